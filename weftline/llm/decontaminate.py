@@ -154,24 +154,29 @@ class Block:
 
 
 _STATE = "n_words long, hits binary, items array<string>, longest long, longest_item string, longest_start long"
+_STATE_NAMES = [x.split()[0] for x in _STATE.split(", ")]
+_STATE_KINDS = [pa.int64(), pa.binary(), pa.list_(pa.string()), pa.int64(), pa.string(), pa.int64()]
 
 
-def _met(block):
+def _met(block, text: str):
+    """Rows go through with their other columns as they are; the state, which stands last, takes in one more block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = block.value
         for b in batches:
-            rows = b.to_pydict()
-            docs = [item_words(t) for t in rows["text"]]
-            out = own.shard(docs)
-            hits, items, best = [], [], []
-            for k, (mask, found, longest) in enumerate(out):
-                if old := rows["hits"][k]:
-                    mask = mask | np.unpackbits(np.frombuffer(old, np.uint8), count=len(mask)).astype(bool)
-                hits.append(np.packbits(mask).tobytes() if mask.any() else b"")
-                items.append((rows["items"][k] or []) + found)
-                best.append(max(longest, (rows["longest"][k] or 0, rows["longest_item"][k], rows["longest_start"][k]), key=lambda x: x[0]))
-            new = [pa.array([len(d) for d in docs], pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string())), *(pa.array([x[i] for x in best], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64())))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), *new], ["doc_id", "text", *(x.split()[0] for x in _STATE.split(", "))])
+            old = {c: b.column(c).to_pylist() for c in _STATE_NAMES}
+            docs = [item_words(t) for t in b.column(text).to_pylist()]
+            state: list[list] = [[] for _ in _STATE_NAMES]
+            for k, (mask, found, best) in enumerate(own.shard(docs)):
+                if old["hits"][k]:
+                    mask = mask | np.unpackbits(np.frombuffer(old["hits"][k], np.uint8), count=len(mask)).astype(bool)
+                best = max(best, (old["longest"][k] or 0, old["longest_item"][k], old["longest_start"][k]), key=lambda x: x[0])
+                row = (len(docs[k]), np.packbits(mask).tobytes() if mask.any() else b"", (old["items"][k] or []) + found, *best)
+                for column, v in zip(state, row, strict=True):
+                    column.append(v)
+            new = [pa.array(x, kind) for x, kind in zip(state, _STATE_KINDS, strict=True)]
+            rest = [b.column(i) for i in range(b.num_columns - len(new))]
+            yield pa.RecordBatch.from_arrays([*rest, *new], b.schema.names)
 
     return run
 
@@ -188,13 +193,12 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the longest match of each document."""
-    spark = docs.sparkSession
+def _searched(d: DataFrame, text: str, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """d, whose columns are none of the state's, and the state after all blocks of the benchmark."""
+    spark = d.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null and item_id is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    d = docs.select("doc_id", "text")
     for x in _STATE.split(", "):
         name, kind = x.split()
         d = d.withColumn(name, F.lit(None).cast(kind))
@@ -202,15 +206,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     for k in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         block = spark.sparkContext.broadcast(Block([tuple(r) for r in own], window))
-        d = d.mapInArrow(_met(block), "doc_id long, text string, " + _STATE)
+        d = d.mapInArrow(_met(block, text), d.schema)
         if k % CHAIN == CHAIN - 1 and k + 1 < blocks:
             scratch = scratch or Scratch(spark)
             d = scratch.save(d, "met")
+    return d
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the longest match of each document."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    d = _searched(d, "text", benchmark, window, block_bytes)
     kinds = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_item string, longest_start long"
     return d.mapInArrow(_summed, kinds)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents that hold no window of the benchmark, with all their columns; rows that share an id go together."""
-    bad = contamination(docs, benchmark, **how).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows that hold no window of the benchmark, with all their columns; each is judged in place, without a shuffle."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of docs is named as one of the state's
+    d = _searched(docs.toDF(*names), names[docs.columns.index("text")], benchmark, window, block_bytes)
+    return d.filter(F.octet_length("hits") == 0).select(*names).toDF(*docs.columns)

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Scratch, WordHashes, gram_hashes, lower_words
@@ -229,3 +229,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
     out = out.select("doc_id", "n_shingles", own("class_id").alias("class_id"), own("component_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of docs for each component, with all columns: that of the smallest doc_id. Rows without an id stay.
+
+    Of rows that share a kept doc_id the first by the hash of their text stays; only such rows, not whole tables,
+    are ordered.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = near_duplicates(docs, words, percent).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    found = scratch.save(found.select(F.col("doc_id").alias("kept_id"), (F.col("n") > 1).alias("again")), "kept")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    d = docs.toDF(*names)
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    single = d.join(found.filter("not again"), doc_id.cast("long") == F.col("kept_id"), "left_semi")
+    many = d.join(found.filter("again"), doc_id.cast("long") == F.col("kept_id"), "left_semi")
+    first = Window.partitionBy(doc_id.cast("long")).orderBy(F.xxhash64(text), text)
+    many = many.withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place")
+    return single.unionByName(many).unionByName(d.filter(doc_id.isNull())).toDF(*docs.columns)

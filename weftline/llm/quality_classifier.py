@@ -141,22 +141,39 @@ class _WordWeights(dict):
         return out
 
 
+def _link_scores(texts: pa.Array, w: np.ndarray, weights: _WordWeights) -> np.ndarray:
+    """w . x of every whole text."""
+    get, out = weights.__getitem__, np.zeros(len(texts))
+    for k, t in enumerate(texts.to_pylist()):
+        words = t.encode("utf-8", "surrogatepass").split() if t else []
+        own, first = 0.0, {}
+        if words:
+            at = np.array([*map(get, words)], np.float64).reshape(-1, 2)
+            first = {x: i for i, x in enumerate(words)}
+            own = float(at[np.fromiter(first.values(), np.int64, len(first)), 0].sum() + at[:, 1].mean())
+        out[k] = own + sum(float(w[j]) for j in band_features(len(words), len(first)))
+    return out
+
+
 def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         weights = _WordWeights(m.w)
-        get = weights.__getitem__
         for b in batches:
-            s = []
-            for t in b.column(1).to_pylist():
-                words = t.encode("utf-8", "surrogatepass").split() if t else []
-                at = np.array([*map(get, words)], np.float64).reshape(-1, 2)
-                first = {w: i for i, w in enumerate(words)}
-                own = float(at[np.fromiter(first.values(), np.int64, len(first)), 0].sum()) if words else 0.0
-                own += float(at[:, 1].mean()) if words else 0.0
-                s.append(own + sum(float(m.w[k]) for k in band_features(len(words), len(first))))
-            p = m.tails(np.array(s, np.float64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, -1] if p.shape[1] else np.zeros(len(p))), pa.array(np.array(s, np.float64))], ["doc_id", "expected_grade", "tail_probability", "link_score"])
+            s = _link_scores(b.column(1), m.w, weights)
+            p = m.tails(s)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, -1] if p.shape[1] else np.zeros(len(p))), pa.array(s)], ["doc_id", "expected_grade", "tail_probability", "link_score"])
+
+    return run
+
+
+def _good(model, at: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        weights = _WordWeights(m.w)
+        for b in batches:
+            p = m.tails(_link_scores(b.column(at), m.w, weights))
+            yield b.filter(pa.array(p[:, -1] >= least, pa.bool_()))
 
     return run
 
@@ -192,6 +209,6 @@ LEAST_TAIL = 0.4
 
 
 def select_good(docs: DataFrame, labels: DataFrame, least: float = LEAST_TAIL, **how) -> DataFrame:
-    """The documents that are not rejected, with all their columns; rows that share an id are kept if any is good."""
-    good = score(docs, labels, **how).filter(F.col("tail_probability") >= least).select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["good_id"]), "left_semi")
+    """The rows that are not rejected, with all their columns; each is judged by its own text, in place."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, grades(labels), **how))
+    return docs.mapInArrow(_good(model, docs.columns.index("text"), least), docs.schema)

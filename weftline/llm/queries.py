@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import mixing, near_dedup, quality_rules
-from weftline.llm.common import table
+from weftline.llm import decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, token_files
+from weftline.llm.common import crc_mod, table
+
+TOKENIZER, VOCABULARY = "byte_bpe_50k.json", 50_257
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +25,24 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op4_source_mixing)}
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.withColumn("kept", F.col("tail_probability") >= quality_classifier.LEAST_TAIL)
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), VOCABULARY)
+    return files.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 4) == 2)
+
+
+_ALL = [op1_quality_rules, op2_minhash_near_dedup, op4_source_mixing, op5_quality_classifier, op8_benchmark_decontamination, op9_token_files, op10_language_id]
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
