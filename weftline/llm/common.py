@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,6 @@ MASK64 = (1 << 64) - 1
 
 #: Java pattern of the bytes that part words.
 SPACES = r"[\x20\x09-\x0D]+"
-LEARN_SALT = 0x9E3779B97F4A7C15
 
 
 def lower_words(text: str | None) -> list[bytes]:
@@ -67,6 +69,21 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def slices(b: pa.RecordBatch, text: int, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many bytes in its text column, or one row."""
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(text)), 0)))
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most, "right")))
+        yield b.slice(i, j - i)
+        i = j
+
+
+def text_key(text: Column) -> Column:
+    """31 bits of the text: with it, rows that share a doc_id are told apart."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; -1 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(-1))

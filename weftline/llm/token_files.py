@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch
+from weftline.llm.common import Scratch, slices
 
 END_ID = 0
 #: Ids after which a block is closed.
@@ -136,16 +136,6 @@ class Encoder:
         return out, np.diff(total[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(pieces)))])])
 
 
-def _slices(b: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of at most so many bytes of text, or one row."""
-    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0)))
-    i = 0
-    while i < b.num_rows:
-        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most, "right")))
-        yield b.slice(i, j - i)
-        i = j
-
-
 def _blocks(path: str, bits: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = Encoder(path), TaskContext.get().partitionId()
@@ -160,7 +150,7 @@ def _blocks(path: str, bits: int, end_id: int):
 
         end = np.array([end_id], np.uint32)
         for b in batches:
-            for part in _slices(b):
+            for part in slices(b, 1):
                 ids, lengths = encoder.encode(part.column(1))
                 for doc, own in zip(part.column(0).to_pylist(), np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
                     docs.append(doc)
