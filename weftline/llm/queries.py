@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_files
+from weftline.llm import class_lm, decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_files
 from weftline.llm.common import crc_mod, table
 
 TOKENIZER, VOCABULARY = "byte_bpe_50k.json", 50_257
@@ -35,6 +35,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +52,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 4) == 2)
 
 
-_ALL = [op1_quality_rules, op2_minhash_near_dedup, op4_source_mixing, op5_quality_classifier, op6_substring_dedup, op8_benchmark_decontamination, op9_token_files, op10_language_id]
+_ALL = [op1_quality_rules, op2_minhash_near_dedup, op4_source_mixing, op5_quality_classifier, op6_substring_dedup, op7_class_lm, op8_benchmark_decontamination, op9_token_files, op10_language_id]
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
