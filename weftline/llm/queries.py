@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import class_lm, decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_files
+from weftline.llm import class_lm, decontaminate, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_files
 from weftline.llm.common import crc_mod, table
 
 TOKENIZER, VOCABULARY = "byte_bpe_50k.json", 50_257
@@ -20,6 +20,11 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = mixing.plan(table(spark, sf_dir, "documents"))
     return p.select("doc_id", "size", "source_size", "target", "taken")
@@ -52,6 +57,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 4) == 2)
 
 
-_ALL = [op1_quality_rules, op2_minhash_near_dedup, op4_source_mixing, op5_quality_classifier, op6_substring_dedup, op7_class_lm, op8_benchmark_decontamination, op9_token_files, op10_language_id]
+_ALL = [op1_quality_rules, op2_minhash_near_dedup, op3_line_dedup, op4_source_mixing, op5_quality_classifier, op6_substring_dedup, op7_class_lm, op8_benchmark_decontamination, op9_token_files, op10_language_id]
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
