@@ -30,6 +30,8 @@ END_ID = 0
 BLOCK_IDS = 1 << 16
 #: Chunks whose ids a task keeps; those beyond are encoded anew in each batch.
 KEPT = 600_000
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 8 << 20
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ODD = f"{_WHITE} ({_WHITE}|$)|^ ({_WHITE}|$)| \\x00"
 _EDGE = re.compile(r"(?<=\S)(?= )")
@@ -150,7 +152,7 @@ def _blocks(path: str, bits: int, end_id: int):
 
         end = np.array([end_id], np.uint32)
         for b in batches:
-            for part in slices(b, 1):
+            for part in slices(b, 1, SLICE_BYTES):
                 ids, lengths = encoder.encode(part.column(1))
                 for doc, own in zip(part.column(0).to_pylist(), np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
                     docs.append(doc)
