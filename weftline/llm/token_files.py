@@ -12,6 +12,7 @@ Empty table: no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -138,9 +139,15 @@ class Encoder:
         return out, np.diff(total[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(pieces)))])])
 
 
+@functools.cache
+def own_encoder(path: str) -> Encoder:
+    """One a Python worker: what it has learned of common words serves the worker's later tasks too."""
+    return Encoder(path)
+
+
 def _blocks(path: str, bits: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder(path), TaskContext.get().partitionId()
+        encoder, shard = own_encoder(path), TaskContext.get().partitionId()
         block, before, docs, parts, held = 0, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
