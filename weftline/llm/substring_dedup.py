@@ -98,17 +98,28 @@ def _texts_of_spots(window: int):
     return run
 
 
-def _long_prefixes(window: int):
-    """The whole window, as 128 bits, of each suffix of the large partitions."""
+def _long_prefixes(window: int, most: int = 100_000):
+    """The whole window, as 128 bits, of the suffixes of the large partitions: the earliest place of each in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[bytes, tuple[int, int, int]] = {}
         for b in (part for whole in batches for part in slices(whole, 2)):
             for doc, key, t, spots in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 words = plain_words(t)
-                starts = [s["lo"] + i for s in spots if s["hot"] for i in range(s["n"])]
-                if starts:
-                    prefix = [xxhash.xxh3_128_digest(b" ".join(words[s : s + window])) for s in starts]
-                    yield pa.RecordBatch.from_arrays([pa.array(prefix, pa.binary()), pa.array([doc] * len(starts), pa.int64()), pa.array([key] * len(starts), pa.int32()), pa.array(starts, pa.int64())], ["prefix", "doc_id", "key", "start"])
+                for s in (s for s in spots if s["hot"]):
+                    for i in range(s["lo"], s["lo"] + s["n"]):
+                        prefix, place = xxhash.xxh3_128_digest(b" ".join(words[i : i + window])), (doc, key, i)
+                        if place < first.setdefault(prefix, place):
+                            first[prefix] = place
+                if len(first) > most:
+                    yield _places(first)
+                    first = {}
+        if first:
+            yield _places(first)
+
+    def _places(first: dict[bytes, tuple[int, int, int]]) -> pa.RecordBatch:
+        doc, key, start = zip(*first.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(first), pa.binary()), pa.array(doc, pa.int64()), pa.array(key, pa.int32()), pa.array(start, pa.int64())], ["prefix", "doc_id", "key", "start"])
 
     return run
 
