@@ -23,13 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from weftline.llm.common import Scratch, slices
+from weftline.llm.common import Scratch, coded, slices
 
 CLASSES, ROUNDS = 64, 8
 TYPES, BUCKETS, ENDING = 4000, 512, 3
@@ -40,22 +39,9 @@ PULL = 64.0
 SLICE_BYTES = 16 << 20
 
 
-def coded(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words of lower-cased texts, the words of all texts by their places in them, and how many each text has."""
-    t = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    lists = pc.ascii_split_whitespace(t)
-    flat = lists.flatten()
-    full = np.asarray(pc.not_equal(flat, pa.scalar("", flat.type)))
-    before = np.concatenate([[0], np.cumsum(full)])
-    ends = np.cumsum(np.asarray(pc.list_value_length(lists)))
-    length = np.diff(before[np.concatenate([[0], ends]).astype(np.int64)])
-    d = flat.filter(pa.array(full)).dictionary_encode()
-    return d.dictionary.cast(pa.large_binary()).to_pylist(), np.asarray(d.indices).astype(np.int64), length
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in (part for whole in batches for part in slices(whole, 0, SLICE_BYTES)):
-        words, codes, _ = coded(b.column(0))
+        words, codes, _ = coded(b.column(0), lower=True)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.bincount(codes, minlength=len(words)))], ["word", "n"])
 
 
@@ -76,7 +62,7 @@ def _pairs(types):
         own = types.value
         size = own.end + 1
         for b in (part for whole in batches for part in slices(whole, 0, SLICE_BYTES)):
-            words, codes, length = coded(b.column(0))
+            words, codes, length = coded(b.column(0), lower=True)
             t = np.insert(own(words)[codes], np.cumsum(length), own.end)
             pair, n = np.unique(np.concatenate([[own.end], t[:-1]]) * size + t, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
@@ -174,7 +160,7 @@ def _scored(model):
         end = int(m.of[m.types.end])
         end_known = m.ends > 0
         for b in (part for whole in batches for part in slices(whole, 3, SLICE_BYTES)):
-            words, codes, length = coded(b.column(3))
+            words, codes, length = coded(b.column(3), lower=True)
             count = np.fromiter((m.common.get(w, 0) for w in words), np.int64, len(words))
             c = m.classes(words)
             ends, docs = np.cumsum(length), len(length)

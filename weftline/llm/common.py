@@ -33,6 +33,19 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def coded(texts: pa.Array, lower: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of texts, the words of all texts by their places in them, and how many each text has."""
+    t = pc.fill_null(texts.cast(pa.large_string()), "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(t) if lower else t)
+    flat = lists.flatten()
+    full = np.asarray(pc.not_equal(flat, pa.scalar("", flat.type)))
+    before = np.concatenate([[0], np.cumsum(full)])
+    ends = np.cumsum(np.asarray(pc.list_value_length(lists)))
+    length = np.diff(before[np.concatenate([[0], ends]).astype(np.int64)])
+    d = flat.filter(pa.array(full)).dictionary_encode()
+    return d.dictionary.cast(pa.large_binary()).to_pylist(), np.asarray(d.indices).astype(np.int64), length
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, kept for the commoner words only so that memory stays bounded."""
 

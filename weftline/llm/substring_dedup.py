@@ -24,13 +24,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, WordHashes, gram_hashes, plain_words, slices, text_key
+from weftline.llm.common import Scratch, WordHashes, coded, gram_hashes, plain_words, slices, text_key
 
 WINDOW, GRAM = 20, 8
 #: Spots of a partition that a tree takes; spots that a task's bundle of partitions has on average.
@@ -55,14 +54,13 @@ def _spots(window: int, gram: int):
         hashes = WordHashes()
         for whole in batches:
             for b in slices(whole, 2, SLICE_BYTES):
-                split = [plain_words(t) for t in b.column(2).to_pylist()]
-                length = np.array([len(w) for w in split], np.int64)
+                words, codes, length = coded(b.column(2), lower=False)
                 ends = np.cumsum(length)
-                h = hashes.array([w for ws in split for w in ws])
+                h = hashes.array(words)[codes]
                 if len(h) < window:
                     continue
                 at = least_runs(h, window, gram)
-                doc = np.repeat(np.arange(len(split)), length)[: len(at)]
+                doc = np.repeat(np.arange(len(length)), length)[: len(at)]
                 start = np.arange(len(at))
                 ok = start + window <= ends[doc]
                 at, doc, start = at[ok], doc[ok], start[ok]
@@ -124,16 +122,13 @@ def _long_prefixes(window: int, most: int = 100_000):
     return run
 
 
-def subtrees(words: list[list[bytes]], order: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
+def subtrees(flat: np.ndarray, length: np.ndarray, order: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
     """Leaves of the trees over all suffixes of window words or more, cut at that depth, in order; and the depth of
-    the node between each leaf and the one before it. A leaf is (row, start in the row); equal suffixes stand in
-    the order that the keys of their rows give, then by start.
+    the node between each leaf and the one before it. flat: the rows' words by number, end to end. A leaf is (row,
+    start in the row); equal suffixes stand in the order that the keys of their rows give, then by start.
     """
-    code: dict[bytes, int] = {}
-    flat = np.array([code.setdefault(w, len(code)) for ws in words for w in ws], np.int32)
-    length = np.array([len(w) for w in words], np.int64)
     n = np.maximum(length - window + 1, 0)
-    row = np.repeat(np.arange(len(words)), n)
+    row = np.repeat(np.arange(len(length)), n)
     start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     base = (np.cumsum(length) - length)[row] + start
     columns = [flat[base + d] for d in range(window)]
@@ -150,16 +145,17 @@ def subtrees(words: list[list[bytes]], order: list[np.ndarray], window: int) ->
 def _repeats(window: int):
     """Of a bundle: for each spot with later places of repeats, which of its suffixes are such (bits from its first)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, key, lo = pdf["doc_id"].to_numpy(), pdf["key"].to_numpy(), pdf["lo"].to_numpy()
-        leaves, depth = subtrees([w.split(b" ") for w in pdf["words"]], [doc, key, lo], window)
+    def run(bundle: pa.Table) -> pa.Table:
+        doc, key, lo = (np.asarray(bundle.column(c)) for c in ("doc_id", "key", "lo"))
+        _, codes, length = coded(bundle.column("words").combine_chunks(), lower=False)
+        leaves, depth = subtrees(codes.astype(np.int32), length, [doc, key, lo], window)
         row, start = leaves[:, 0], leaves[:, 1]
         first = np.maximum.accumulate(np.where(depth < window, np.arange(len(depth)), 0))  # of the node's leaves
         later = (doc[row] != doc[row[first]]) | (key[row] != key[row[first]]) | (lo[row] + start != lo[row[first]] + start[first])
         bits = np.zeros(len(doc), np.int64)
         np.bitwise_or.at(bits, row[later], np.int64(1) << start[later])
         some = np.flatnonzero(bits)
-        return pd.DataFrame({"doc_id": doc[some], "key": key[some], "lo": lo[some], "bits": bits[some]})
+        return pa.table({"doc_id": doc[some], "key": key[some], "lo": lo[some], "bits": bits[some]})
 
     return run
 
@@ -206,7 +202,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     met = d.join(own, ["doc_id", "key"]).select("doc_id", "key", "text", "spots")
     words = met.mapInArrow(_texts_of_spots(window), "run long, doc_id long, key int, lo long, words binary")
     words = words.withColumn("bundle", F.pmod("run", F.lit(max(1, (total or 0) // BUNDLE))))
-    later = words.groupBy("bundle").applyInPandas(_repeats(window), "doc_id long, key int, lo long, bits long")
+    later = words.groupBy("bundle").applyInArrow(_repeats(window), "doc_id long, key int, lo long, bits long")
     later = later.groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "bits")).alias("later"))
     found = d.join(later, ["doc_id", "key"], "left")
     if (most or 0) > group:
