@@ -57,7 +57,10 @@ def partial_token_sort_ratio(a: str, b: str) -> float:
     x, y = sorted((" ".join(sorted(a.split())), " ".join(sorted(b.split()))), key=len)
     if not x:
         return 100.0 if not y else 0.0
-    return max(ratio(x, y[max(0, i) : i + len(x)]) for i in range(1 - len(x), len(y)))
+    best = max(ratio(x, y[max(0, i) : i + len(x)]) for i in range(1 - len(x), len(y)))
+    if len(x) == len(y):  # then neither is the shorter
+        best = max(best, max(ratio(y, x[max(0, i) : i + len(y)]) for i in range(1 - len(y), len(x))))
+    return best
 
 
 def sequence_ratio(a: str, b: str) -> float:

@@ -144,7 +144,7 @@ def mask(secret: Column) -> Column:
 
 
 def split_list(c: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.transform(F.split(text(c), ","), F.trim), ""))
+    return F.array_distinct(F.array_remove(F.transform(F.split(text(c), ","), lambda x: F.trim(x)), ""))
 
 
 def render(template: str, values: dict[str, Column]) -> Column:

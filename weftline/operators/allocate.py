@@ -141,7 +141,7 @@ def selections_text(allocated: DataFrame, product: str = "product_id", label: st
 
 def split_selections(stores: Column, discounts: Column, most: int = 5) -> list[Column]:
     """`a | b` texts of stores and discounts as columns store_1, discount_1, ..., best discount first."""
-    part = lambda c: F.transform(F.split(text(c), r"\|"), F.trim)
+    part = lambda c: F.transform(F.split(text(c), r"\|"), lambda x: F.trim(x))
     pairs = F.arrays_zip(part(stores).alias("s"), part(discounts).alias("d"))
     keyed = F.transform(pairs, lambda z, i: F.struct((-discount_percent(z["d"])).alias("k"), i.alias("i"), z["s"].alias("s"), z["d"].alias("d")))
     keyed = F.array_sort(F.filter(keyed, lambda z: z["s"] != ""))
