@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import class_lm, decontaminate, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_files
+from weftline.llm import class_lm, decontaminate, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sql, substring_dedup, token_files
 from weftline.llm.common import crc_mod, table
 
 TOKENIZER, VOCABULARY = "byte_bpe_50k.json", 50_257
@@ -17,7 +17,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,8 @@ def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +61,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = [op1_quality_rules, op2_minhash_near_dedup, op3_line_dedup, op4_source_mixing, op5_quality_classifier, op6_substring_dedup, op7_class_lm, op8_benchmark_decontamination, op9_token_files, op10_language_id]
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": sql.QUALITY_RULES,
+    "op2_minhash_near_dedup": sql.NEAR_DEDUP,
+    "op4_source_mixing": sql.SOURCE_MIXING,
+    "op6_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op8_benchmark_decontamination": sql.DECONTAMINATION,
+}
