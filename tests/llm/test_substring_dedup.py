@@ -57,3 +57,26 @@ def test_rows_that_share_an_id(spark):
 def test_clashing_columns(spark):
     d = documents(spark, random_rows(1)).selectExpr("*", "1 AS key", "2 AS spots", "3 AS run", "4 AS lo")
     assert remove_repeats(d, window=8, gram=3).count() == 60
+
+
+def test_spots_are_few():
+    """Windows share their least run: about one spot for (window - gram + 2) / 2 words."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from weftline.llm.common import plain_words, stretch_hashes, word_spans
+    from weftline.llm.substring_dedup import least_runs
+
+    r = random.Random(1)
+    texts = [None, "", " a  b\n", "é" * 3 + "\tß", " ".join(str(r.randrange(10**6)) for _ in range(5000)), "end", " "]
+    raw, first, last, length = word_spans(pa.array(texts))
+    assert [bytes(raw[i:j]) for i, j in zip(first, last, strict=True)] == [w for t in texts for w in plain_words(t)]
+    assert length.tolist() == [len(plain_words(t)) for t in texts]
+    sliced = word_spans(pa.array(["skipped text", *texts]).slice(1))
+    assert all(np.array_equal(a, b) for a, b in zip(sliced, (raw, first, last, length), strict=True))
+    h = stretch_hashes(raw, first, last)
+    assert len(np.unique(h)) == len({bytes(raw[i:j]) for i, j in zip(first, last, strict=True)})
+    at = least_runs(h, 20, 8)
+    assert len(np.unique(at)) < 0.2 * len(at) and (at >= np.arange(len(at))).all() and (at <= np.arange(len(at)) + 12).all()
