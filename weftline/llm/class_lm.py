@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from weftline.llm.common import Scratch, coded, slices
+from weftline.llm.common import Scratch, coded, slices, tidy
 
 CLASSES, ROUNDS = 64, 8
 TYPES, BUCKETS, ENDING = 4000, 512, 3
@@ -221,7 +221,7 @@ def train(texts: DataFrame, counts: DataFrame, scratch: Scratch) -> ClassModel:
     common = common_words(counts, COUNTED)
     own = Types(list(common)[:TYPES])
     types, size, k = send(own), own.end + 1, CLASSES + 1
-    pairs = texts.mapInArrow(_pairs(types), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = texts.mapInArrow(tidy(_pairs(types)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     pairs = pairs.select((F.col("pair") / size).cast("int").alias("a"), (F.col("pair") % size).cast("int").alias("b"), "n")
     sides = F.explode(F.array(F.struct(F.col("a").alias("t"), F.col("b").alias("other"), F.lit(0).alias("side")), F.struct(F.col("b").alias("t"), F.col("a").alias("other"), F.lit(1).alias("side"))))
     pairs = scratch.save(pairs.select(sides.alias("s"), "n").select("s.*", "n").repartition("t"), "pairs")
@@ -230,7 +230,7 @@ def train(texts: DataFrame, counts: DataFrame, scratch: Scratch) -> ClassModel:
     best, held, best_m = -math.inf, of, np.zeros((k, k))
     for turn in range(ROUNDS + 1):
         sums = np.zeros((size, 2 * k + 1))
-        for r in pairs.mapInArrow(_neighbours(send(of), k), "t long, sums binary").collect():  # 2 * k numbers a type
+        for r in pairs.mapInArrow(tidy(_neighbours(send(of), k)), "t long, sums binary").collect():  # 2 * k numbers a type
             sums[r["t"]] += np.frombuffer(r["sums"])
         after, before, itself = sums[:, :k], sums[:, k : 2 * k], sums[:, 2 * k]
         m = np.zeros((k, k))
@@ -241,7 +241,7 @@ def train(texts: DataFrame, counts: DataFrame, scratch: Scratch) -> ClassModel:
             of = exchange(after, before, itself, of, m, fixed=1)
     stats = np.zeros((k, 3), np.int64)
     kinds = "class int, tokens long, words long, once long"
-    for r in counts.mapInArrow(_class_stats(types, send(held), k), kinds).groupBy("class").agg(*(F.sum(c).alias(c) for c in ("tokens", "words", "once"))).collect():
+    for r in counts.mapInArrow(tidy(_class_stats(types, send(held), k)), kinds).groupBy("class").agg(*(F.sum(c).alias(c) for c in ("tokens", "words", "once"))).collect():
         stats[r["class"]] = r["tokens"], r["words"], r["once"]
     stats[CLASSES] = ends, 1, 0
     known = int(ends > 0)
@@ -254,13 +254,13 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity; learns from rows not held out."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     learned = docs.filter(~held_out).select(F.col(text).alias("text"))
-    counts = learned.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = learned.mapInArrow(tidy(_counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = scratch.save(counts, "counts")
     model = train(learned, counts, scratch)
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
     more = "n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<long>, classes array<int>"
     own = StructType([*d.drop("text").schema, *StructType.fromDDL(more)])
-    sums = scratch.save(d.mapInArrow(_scored(spark.sparkContext.broadcast(model)), own), "sums")
+    sums = scratch.save(d.mapInArrow(tidy(_scored(spark.sparkContext.broadcast(model))), own), "sums")
     # words that are not common: their counts by a join, what they add back to their texts
     more = sums.select("row", F.explode(F.arrays_zip("words", "times", "classes")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("k"), F.col("w.classes").alias("c"))
     more = more.join(counts, "word")

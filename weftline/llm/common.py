@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,6 +47,46 @@ def coded(texts: pa.Array, lower: bool) -> tuple[list[bytes], np.ndarray, np.nda
     return d.dictionary.cast(pa.large_binary()).to_pylist(), np.asarray(d.indices).astype(np.int64), length
 
 
+_PARTS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2 ** 64; kept by the process."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 1 << 20)
+        factors = np.full((2, size), [[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64)
+        factors[:, 0] = 1
+        _powers[:] = np.multiply.accumulate(factors, axis=1)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def stretch_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of x[start:end] for every pair, each of its values alone, by sums of x times powers: no loop over lengths."""
+    p, inverse = powers(len(x) + 1)
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * p[:-1], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts])
+
+
+def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts end to end, where each word starts and ends in them, and how many words each text has."""
+    t = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(t.buffers()[1], np.int64)[t.offset : t.offset + len(t) + 1] if len(t) else np.zeros(1, np.int64)
+    data = t.buffers()[2] if len(t) else None
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
+    edge = (offsets - offsets[0])[1:-1]
+    edge = edge[(edge > 0) & (edge < len(raw))]
+    inside = ~_PARTS[raw]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    first[edge], last[edge - 1] = inside[edge], inside[edge - 1]  # a text's end parts words too
+    starts = np.flatnonzero(first)
+    return raw, starts, np.flatnonzero(last) + 1, np.diff(np.searchsorted(starts, offsets - offsets[0]))
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, kept for the commoner words only so that memory stays bounded."""
 
@@ -102,6 +143,25 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(-1))
 
 
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(run):
+    """run, for mapInArrow; at its end the worker, which lives on for other tasks, gives back the memory that it has free."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 class Scratch:
     """Tables written to the shared folder: they cut the plan, and survive lost executors."""
 

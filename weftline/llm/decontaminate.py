@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch
+from weftline.llm.common import Scratch, tidy
 
 WINDOW = 10
 #: Bytes of benchmark text that are sent to tasks at once.
@@ -206,7 +206,7 @@ def _searched(d: DataFrame, text: str, benchmark: DataFrame, window: int, block_
     for k in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         block = spark.sparkContext.broadcast(Block([tuple(r) for r in own], window))
-        d = d.mapInArrow(_met(block, text), d.schema)
+        d = d.mapInArrow(tidy(_met(block, text)), d.schema)
         if k % CHAIN == CHAIN - 1 and k + 1 < blocks:
             scratch = scratch or Scratch(spark)
             d = scratch.save(d, "met")
@@ -218,7 +218,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     d = _searched(d, "text", benchmark, window, block_bytes)
     kinds = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_item string, longest_start long"
-    return d.mapInArrow(_summed, kinds)
+    return d.mapInArrow(tidy(_summed), kinds)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import tidy
+
 SAMPLE, WINDOWS_A_DOC = 4000, 4
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 24, 8
 STEPS, BATCH, RATE = 500, 64, 0.02
@@ -141,7 +143,7 @@ def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id") -> ByteNet | N
     each = max(8, SAMPLE // len(count))
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in count.items() for x in (k, min(1.0, 1.2 * each / n + 4 / n)))), F.col("lang"))
     part = d.filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang", "h")
-    got = part.mapInArrow(_drawn, "lang string, raw binary").limit(2 * WINDOWS_A_DOC * max(SAMPLE, 8 * len(count))).toPandas()
+    got = part.mapInArrow(tidy(_drawn), "lang string, raw binary").limit(2 * WINDOWS_A_DOC * max(SAMPLE, 8 * len(count))).toPandas()
     langs = sorted(got["lang"].unique())
     x = np.zeros((len(got), WINDOW), np.uint8)
     for i, raw in enumerate(got["raw"]):
@@ -182,7 +184,7 @@ def identify(docs: DataFrame, held_out: Column, doc_id: str = "doc_id") -> DataF
     """doc_id, held_out, lang_pred, score; learns from the rows that are not held out."""
     net = docs.sparkSession.sparkContext.broadcast(train(docs, ~held_out, doc_id))
     d = docs.select(F.col(doc_id).alias("doc_id"), "text", held_out.alias("held_out"))
-    return d.mapInArrow(_predicted(net), d.select("doc_id", "held_out").schema.add("lang_pred", "string").add("score", "double"))
+    return d.mapInArrow(tidy(_predicted(net)), d.select("doc_id", "held_out").schema.add("lang_pred", "string").add("score", "double"))
 
 
 def accuracy(predicted: pd.DataFrame, lang: pd.Series) -> float:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, plain_words, slices, text_key
+from weftline.llm.common import Scratch, plain_words, slices, text_key, tidy
 
 LEAST_WORDS = 4
 #: Documents that hold a line for it to be rare.
@@ -142,7 +142,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, rare: int = RARE) ->
     scratch = Scratch(docs.sparkSession)
     all_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
     d = all_docs.filter("doc_id is not null")
-    lined = d.mapInArrow(_lined(least), "doc_id long, key int, lines binary, long binary, points array<long>")
+    lined = d.mapInArrow(tidy(_lined(least)), "doc_id long, key int, lines binary, long binary, points array<long>")
     lined = scratch.save(lined, "lined")
     points = lined.select(F.struct("doc_id", "key").alias("doc"), F.explode("points").alias("line"))
     held = points.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -153,11 +153,11 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, rare: int = RARE) ->
     pairs = pairs.select(F.col("doc.doc_id").alias("own_id"), F.col("doc.key").alias("own_key"), F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"))
     pairs = pairs.join(side("first", F.col("lines").alias("first_lines")).dropDuplicates(["first_id", "first_key"]), ["first_id", "first_key"])
     pairs = pairs.join(side("own", "lines", "long").dropDuplicates(["own_id", "own_key"]), ["own_id", "own_key"])
-    gone = pairs.select("own_id", "own_key", "first_lines", "lines", "long").mapInArrow(_aligned, "doc_id long, key int, gone array<long>")
+    gone = pairs.select("own_id", "own_key", "first_lines", "lines", "long").mapInArrow(tidy(_aligned), "doc_id long, key int, gone array<long>")
     gone = gone.filter("size(gone) > 0").groupBy("doc_id", "key").agg(F.collect_list("gone").alias("gone"))
     common = met.filter("not rare").select("doc.*", "line").groupBy("doc_id", "key").agg(F.collect_set("line").alias("common"))
     found = d.join(gone, ["doc_id", "key"], "left").join(common, ["doc_id", "key"], "left").select("doc_id", "text", "gone", "common")
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("gone", "array<array<long>>"), ("common", "array<long>"))]
     rest = all_docs.filter("doc_id is null").select("doc_id", "text", *nothing)
     kinds = "doc_id long, n_lines long, n_removed long, kept_text string"
-    return found.mapInArrow(_cut(least), kinds).unionByName(rest.mapInArrow(_cut(least), kinds))
+    return found.mapInArrow(tidy(_cut(least)), kinds).unionByName(rest.mapInArrow(tidy(_cut(least)), kinds))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, WordHashes, gram_hashes, lower_words
+from weftline.llm.common import Scratch, WordHashes, gram_hashes, lower_words, tidy
 
 HASHES, BANDS = 128, 32
 ROWS = HASHES // BANDS
@@ -181,28 +181,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, kept."""
     scratch = Scratch(docs.sparkSession)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    all_docs = scratch.save(d.mapInArrow(_signed(words), "doc_id long, n_shingles long, set_key binary, sig binary"), "signed")
+    all_docs = scratch.save(d.mapInArrow(tidy(_signed(words)), "doc_id long, n_shingles long, set_key binary, sig binary"), "signed")
     some = all_docs.filter("n_shingles > 0 and doc_id is not null")
     reps = scratch.save(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
-    bands = reps.select("rep", "sig").mapInArrow(_bands, "key long, rep long, band int")
+    bands = reps.select("rep", "sig").mapInArrow(tidy(_bands), "key long, rep long, band int")
     bands = scratch.save(bands.distinct(), "bands")
     hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = scratch.save(bands.join(scratch.save(hubs, "hubs"), "key"), "members")
     scratch.drop(bands)
     # full sets of those that share a bucket at all
     wanted = members.select("rep").distinct().join(reps.select("rep", "set_key"), "rep")
-    sets = d.join(wanted, d.doc_id == wanted.rep).select("doc_id", "text", "set_key").mapInArrow(_sets(words), "id long, shingles binary")
+    sets = d.join(wanted, d.doc_id == wanted.rep).select("doc_id", "text", "set_key").mapInArrow(tidy(_sets(words)), "id long, shingles binary")
     sets = scratch.save(sets.dropDuplicates(["id", "shingles"]), "sets")
     sigs = reps.select("rep", "sig")
     # each with the hub that agrees best
     pairs = members.filter("rep <> hub").select("rep", "hub").distinct()
     pairs = pairs.join(sigs, "rep").join(sigs.select(F.col("rep").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-    best = pairs.select("rep", "hub", "sig", "hub_sig").mapInArrow(_agreeing, "rep long, hub long, same int")
+    best = pairs.select("rep", "hub", "sig", "hub_sig").mapInArrow(tidy(_agreeing), "rep long, hub long, same int")
     best = best.groupBy("rep").agg(F.max(F.struct("same", "hub")).alias("b")).select("rep", F.col("b.hub").alias("hub"))
     best = scratch.save(best, "best")
     of = lambda name, other: sets.select(F.col("id").alias(name), F.col("shingles").alias(other))
     first = best.join(of("rep", "x"), "rep").join(of("hub", "y"), "hub").select("rep", "hub", "x", "y")
-    first = scratch.save(first.mapInArrow(_confirmed(percent), "a long, b long"), "first")
+    first = scratch.save(first.mapInArrow(tidy(_confirmed(percent)), "a long, b long"), "first")
     comp = scratch.save(components(first, scratch), "comp")
     # buckets that hold several components still
     m = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).drop("hub")

@@ -13,6 +13,7 @@ Empty table: no rows. Other columns are ignored.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, slices
+from weftline.llm.common import Scratch, slices, tidy
 
 END_ID = 0
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 16
 #: Chunks whose ids a task keeps; those beyond are encoded anew in each batch.
-KEPT = 600_000
+KEPT = 200_000
 #: Bytes of text that are encoded at once.
 SLICE_BYTES = 8 << 20
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -81,6 +82,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, keep: int = KEPT):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -179,7 +181,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, vocabulary: int, end
     # the hash parts rows that share an id, so that a hot id is no single task
     d = d.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     kinds = "shard int, block long, before long, bits int, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
-    d.mapInArrow(_blocks(tokenizer, bits_for(vocabulary), end_id), kinds).write.option("compression", "zstd").parquet(path)
+    d.mapInArrow(tidy(_blocks(tokenizer, bits_for(vocabulary), end_id)), kinds).write.option("compression", "zstd").parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +206,7 @@ def read_files(spark, path: str) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("shard_start"))
     at = blocks.select("shard", "block", "before")
-    rows = blocks.select("shard", "block", "bits", "n_ids", "doc_ids", "lengths", "payload").mapInArrow(_read, "shard int, block long, offset long, doc_id long, n_tokens long, ids_crc32 long")
+    rows = blocks.select("shard", "block", "bits", "n_ids", "doc_ids", "lengths", "payload").mapInArrow(tidy(_read), "shard int, block long, offset long, doc_id long, n_tokens long, ids_crc32 long")
     out = rows.join(at, ["shard", "block"]).join(shards, "shard")
     return out.select("doc_id", (F.col("shard_start") + F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", "shard", "block", "offset")
 
