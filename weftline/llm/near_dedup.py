@@ -32,7 +32,9 @@ ROWS = HASHES // BANDS
 #: Signatures of texts at the threshold agree in `share * HASHES` places on average; those five deviations below are let go.
 DEVIATIONS = 5.0
 #: Strays and members of a bucket that are compared at once.
-BLOCK_STRAYS, BLOCK_MEMBERS = 256, 1024
+BLOCK_STRAYS, BLOCK_MEMBERS = 128, 512
+#: Bytes of shingles and signatures that a task's bundle of blocks holds on average.
+BUNDLE_BYTES = 8 << 20
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 64, HASHES, np.uint64) | np.uint64(1)
@@ -183,7 +185,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     all_docs = scratch.save(d.mapInArrow(tidy(_signed(words)), "doc_id long, n_shingles long, set_key binary, sig binary"), "signed")
     some = all_docs.filter("n_shingles > 0 and doc_id is not null")
-    reps = scratch.save(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
+    reps = scratch.save(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "reps")
     bands = reps.select("rep", "sig").mapInArrow(tidy(_bands), "key long, rep long, band int")
     bands = scratch.save(bands.distinct(), "bands")
     hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -216,7 +218,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     strays = m.filter("stray").withColumn("sb", block("nsb")).withColumn("mb", F.explode(F.expr("sequence(0L, nmb - 1)")))
     whole = m.withColumn("stray", F.lit(False)).withColumn("mb", block("nmb")).withColumn("sb", F.explode(F.expr("sequence(0L, nsb - 1)")))
     units = scratch.save(strays.unionByName(whole).select("key", "band", "sb", "mb", "rep", "comp", "stray"), "units")
-    bundles = max(1, units.count() // 4096)
+    held = units.join(reps.select("rep", "n"), "rep").agg(F.sum(8 * F.col("n") + 4 * HASHES)).first()[0]
+    bundles = max(1, (held or 0) // BUNDLE_BYTES)
     units = units.join(sigs, "rep").join(of("rep", "shingles"), "rep")
     units = units.withColumn("bundle", F.pmod(F.xxhash64("key", "sb", "mb"), F.lit(bundles)))
     second = scratch.save(units.groupBy("bundle").applyInPandas(_blocks(percent), "a long, b long"), "second")
