@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import documents, odd_rows
-from weftline.llm.common import table
+from weftline.llm.common import crc_mod, table
 from weftline.llm.queries import ORACLE, QUERIES, TOKENIZER
 
 SF = "/root/testdata/sf0.001"
@@ -113,10 +113,12 @@ def test_language_accuracy(spark):
     assert n > 100 and right > 0.95 * n
 
 
-def test_quality_is_learned(spark):
-    """Good labelled documents stay, toxic and poor ones go."""
-    sf = "/root/testdata/sf0.01"
-    got = QUERIES["op5_quality_classifier"](spark, sf).join(table(spark, sf, "labels"), "doc_id")
-    good, bad = F.col("quality").eqNullSafe(1) & (F.col("toxic") == 0), (F.col("toxic") == 1) | (F.col("quality") == 0)
-    r = got.agg(F.count_if(good), F.count_if(good & F.col("kept")), F.count_if(bad), F.count_if(bad & ~F.col("kept"))).first()
-    assert r[1] > 0.95 * r[0] and r[3] > 0.8 * r[2]
+def test_quality_on_held_out_labels(spark):
+    """Learned from two thirds of the labels. A third of the toxic labels have nothing in the text to tell them by."""
+    from weftline.llm import quality_classifier as qc
+
+    sf = "/root/testdata/sf0.1"
+    labels = table(spark, sf, "labels").withColumn("out", crc_mod(F.col("doc_id"), 3) == 0)
+    got = qc.score(table(spark, sf, "documents"), labels.filter("not out").drop("out")).join(labels.filter("out"), "doc_id").withColumn("kept", F.col("tail_probability") >= qc.LEAST_TAIL)
+    r = {(x.quality, x.toxic): x.kept for x in got.groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert r[1, 0] > 0.98 and r[0, 0] < 0.15 and r[1, 1] < 0.15

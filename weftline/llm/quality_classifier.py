@@ -3,7 +3,7 @@
 Grades 0, 1, ... are one axis: P(grade >= k) = sigmoid(w . x - t_k), with weights w shared by all grades and ordered
 thresholds t_1 < t_2 < ... A document gets its expected grade and its tail probability P(grade >= the wanted one).
 
-x has, hashed: each distinct word of the text and its first four characters; and, as shares of all words, their
+x has, hashed and scaled by how much they tell grades apart: each distinct word of the text and its first four characters; and, as shares of all words, their
 shapes (letters to a or A, digits to 9, marks kept). And bands of length and of the share of distinct words.
 
 Fitted in numpy on a bounded sample of labelled rows: about SAMPLE of them, by hash of the id. Scored over every
@@ -25,13 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import tidy
+
 SAMPLE = 12_000
 WORD_BITS, SHAPE_BITS = 18, 10
 BANDS = 16
 DIM = (1 << WORD_BITS) + (1 << SHAPE_BITS) + 2 * BANDS + 1
 #: Features seen in fewer documents of the sample get no weight.
 LEAST_SEEN = 6
-EPOCHS, BATCH, RATE, RIDGE = 12, 64, 0.05, 2e-4
+EPOCHS, BATCH, RATE, RIDGE = 20, 64, 0.05, 3e-3
+#: Features are scaled by how much they tell grades apart, within these bounds.
+TELLING = 0.0, 8.0
 KEPT = 200_000
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[^\W\d_A]+"), re.compile(r"\d+")
 
@@ -88,7 +92,8 @@ class OrdinalModel:
     def fit(self, at: list[np.ndarray], value: list[np.ndarray], grade: np.ndarray, seed: int = 3) -> OrdinalModel:
         seen = np.bincount(np.concatenate(at), minlength=DIM)
         use = seen >= LEAST_SEEN
-        value = [v[use[a]] for a, v in zip(at, value, strict=True)]
+        scale = self.telling(at, grade)
+        value = [(v * scale[a])[use[a]] for a, v in zip(at, value, strict=True)]
         at = [a[use[a]] for a in at]
         k = len(self.t)
         n = np.array([np.mean(grade >= j + 1) for j in range(k)]).clip(0.01, 0.99)
@@ -119,9 +124,19 @@ class OrdinalModel:
                 w[hot] -= RATE * d / np.sqrt(size[hot])
                 t_size += dt * dt
                 self.t = np.sort(self.t - RATE * dt / np.sqrt(t_size))
-        self.w = w.astype(np.float32)
+        self.w = (w * scale).astype(np.float32)
         return self
 
+    def telling(self, at: list[np.ndarray], grade: np.ndarray) -> np.ndarray:
+        """How much each feature's presence tells grades apart: the largest log ratio of its rate in one to that in the others."""
+        out = np.full(DIM, TELLING[0])
+        for g in np.unique(grade):
+            own, other = (np.bincount(np.concatenate([np.zeros(0, np.int32), *(a for a, k in zip(at, grade, strict=True) if (k == g) == same)]), minlength=DIM) for same in (True, False))
+            n, m = int((grade == g).sum()), int((grade != g).sum())
+            out = np.maximum(out, np.abs(np.log((own + 1) / (n + 2)) - np.log((other + 1) / (m + 2))))
+        out[(1 << WORD_BITS) :] = 1.0  # shapes and bands are shares, not presence
+        return np.minimum(out, TELLING[1])
+
     def tails(self, s: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(s[:, None] - self.t[None, :], -30, 30)))
 
@@ -188,7 +203,7 @@ def train(docs: DataFrame, rated: DataFrame, top: int = 2, sample: int = SAMPLE)
     n = rated.count()
     part = rated.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, sample / max(n, 1)))
     part = F.broadcast(part.limit(2 * sample))  # at most 2 * sample ids
-    rows = docs.select("doc_id", "text").join(part, "doc_id").select("grade", "text").mapInArrow(_sampled, "grade int, at binary, value binary")
+    rows = docs.select("doc_id", "text").join(part, "doc_id").select("grade", "text").mapInArrow(tidy(_sampled), "grade int, at binary, value binary")
     got = sorted((r["grade"], r["at"], r["value"]) for r in rows.limit(2 * sample).collect())
     model = OrdinalModel(top + 1)
     if not got:
@@ -201,14 +216,14 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     """doc_id, expected_grade, tail_probability (of the top grade), link_score."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, grades(labels), sample=sample))
     d = docs.select("doc_id", "text")
-    return d.mapInArrow(_scored(model), d.select("doc_id").schema.add("expected_grade", "double").add("tail_probability", "double").add("link_score", "double"))
+    return d.mapInArrow(tidy(_scored(model)), d.select("doc_id").schema.add("expected_grade", "double").add("tail_probability", "double").add("link_score", "double"))
 
 
 #: Documents with a tail probability under this are rejected.
-LEAST_TAIL = 0.4
+LEAST_TAIL = 0.5
 
 
 def select_good(docs: DataFrame, labels: DataFrame, least: float = LEAST_TAIL, **how) -> DataFrame:
     """The rows that are not rejected, with all their columns; each is judged by its own text, in place."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, grades(labels), **how))
-    return docs.mapInArrow(_good(model, docs.columns.index("text"), least), docs.schema)
+    return docs.mapInArrow(tidy(_good(model, docs.columns.index("text"), least)), docs.schema)
