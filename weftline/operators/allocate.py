@@ -75,7 +75,7 @@ def enrich_company(payload: Column) -> Column:
 def preferred_priority(offers: DataFrame, preferred: DataFrame, name: str = "store_name") -> DataFrame:
     """offers with `priority`: the first place in the list whose name equals, holds or is held by the offer's; 999 without one.
 
-    Each distinct name is looked up once, and the list goes to all tasks only in blocks of bounded size.
+    The list is what a user writes by hand; each distinct name is held against it once, whatever the number of offers.
     """
     names = offers.select(name).distinct().withColumn("_n", store_name(F.col(name)))
     lists = preferred.select("position", store_name(F.col("preferred_name")).alias("_p"))

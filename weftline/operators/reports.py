@@ -200,12 +200,10 @@ def row_range(df: DataFrame, order: list[Column], start: int, end: int, most: in
 def chunks(df: DataFrame, order: list[Column], workers: int) -> DataFrame:
     """`chunk` 1 to workers, contiguous, sizes apart by one at most, the first ones larger; a row each if there are fewer rows."""
     d = numbered(df, order, "_n")
-    total = df.agg(F.count("*").alias("_total"))
-    d = d.crossJoin(F.broadcast(total))  # one row
-    small, extra = F.floor(F.col("_total") / workers), F.col("_total") % workers
+    small, extra = divmod(df.count(), workers)
     edge = extra * (small + 1)
-    chunk = F.when(F.col("_n") <= edge, F.floor((F.col("_n") - 1) / (small + 1))).otherwise(extra + F.floor(F.try_divide(F.col("_n") - 1 - edge, small)))
-    return d.withColumn("chunk", (chunk + 1).cast("int")).drop("_n", "_total")
+    chunk = F.when(F.col("_n") <= edge, F.floor((F.col("_n") - 1) / (small + 1))).otherwise(extra + F.floor((F.col("_n") - 1 - edge) / max(1, small)))
+    return d.withColumn("chunk", (chunk + 1).cast("int")).drop("_n")
 
 
 def field_census(payloads: DataFrame, payload: str) -> DataFrame:
