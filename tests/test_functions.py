@@ -135,7 +135,51 @@ def test_verdicts(spark):
     assert [tuple(r.v) for r in c.collect()] == [("b", 0.9), (None, 0.5), (None, 0.5)]
     y = spark.createDataFrame([('{"a": 1}',), ("{bad",), ('{"a": 1, "b": 2}',)], "t string").select(V.required_fields(F.col("t"), ["a", "b"]))
     assert [r[0] for r in y.collect()] == ["missing_fields:b", "invalid_json", "ok"]
-    z = spark.createDataFrame([(3725,), (184,), (5,)], "s int").select(V.duration_text(F.col("s")))
-    assert [r[0] for r in z.collect()] == ["1h 2m", "3m 4s", "5s"]
+    z = spark.createDataFrame([(3725,), (184,), (0,), (90000,)], "s int").select(V.duration_text(F.col("s")))
+    assert [r[0] for r in z.collect()] == ["1h 2m 5s", "3m 4s", "0s", "1d 1h"]
+    w = spark.createDataFrame([("90",), ("1700000060",), ("2023-11-14T22:14:20Z",), ("soon",), (None,)], "s string").select(V.reset_text(F.col("s"), F.lit(1_700_000_000)))
+    assert [r[0] for r in w.collect()] == ["1m 30s", "1m", "1m", "soon", ""]
     m = spark.createDataFrame([('{"choices":[{"message":{"content":"hi"}}]}',), ('{"choices":[{"message":{"content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]}}]}',)], "t string")
     assert [r[0] for r in m.select(V.response_content(F.col("t"))).collect()] == ["hi", "ab"]
+
+
+def test_ai_outcomes(spark):
+    kind = "struct<is_correct: boolean, confidence: double, decision: string, hard_conflicts: array<string>>"
+    yes, soft, no = (True, 0.95, "accept", []), (True, 0.85, "accept", []), (False, 0.95, "reject", [])
+    rows = [
+        (yes, None, None, "", "ai_verified"),
+        (soft, None, yes, "", "ai_verified"),
+        ((True, 0.85, "accept", ["different_form"]), None, None, "", "ai_rejected"),
+        (yes, None, no, "", "ai_review_rejected"),
+        (no, yes, yes, "", "ai_search_accepted"),
+        (no, soft, no, "", "ai_review_rejected"),
+        (no, (True, 0.5, "accept", []), None, "", "ai_low_confidence"),
+        (None, yes, yes, "component mismatch", "ai_rejected"),
+        (None, None, None, "", "ai_rejected"),
+    ]
+    d = spark.createDataFrame(rows, f"v {kind}, s {kind}, r {kind}, l string, want string")
+    for r in d.select("want", V.ai_outcome("v", "s", "r", F.col("l")).alias("got")).collect():
+        assert r.got == r.want
+    cases = [("ai_confirmed", "ok", True, True, 0.9, "ai_confirmed"), ("ai_confirmed", "ok", True, True, 0.5, "ai_review_rejected"), ("ai_found", "different_form", False, True, 0.9, "ai_review_rejected"), ("ai_found", "ok", False, True, 0.1, "ai_found_reviewed"), ("ai_rejected", "ok", False, False, 0.9, "ai_rejected_reviewed"), ("ai_found", "ok", False, False, 0.7, "ai_found_kept_low_confidence_review"), ("ai_found", "ok", False, False, 0.8, "ai_review_rejected"), ("ai_rejected", "ok", False, True, 0.8, "ai_review_search")]
+    d = spark.createDataFrame(cases, "f string, c string, a boolean, r boolean, s double, want string")
+    for r in d.select("want", V.review_state(*map(F.col, "fcars")).alias("got")).collect():
+        assert r.got == r.want
+    f = spark.createDataFrame([(False, "", False, 1, 1.0), (True, "http_500", False, 1, 1.0), (True, "", True, 1, 1.0), (True, "", False, 0, 1.0), (True, "", False, 1, 0.1), (True, "", False, 1, 0.95)], "f boolean, e string, p boolean, b int, c double")
+    assert [r[0] for r in f.select(V.search_failure(*map(F.col, "fepbc"))).collect()] == ["no_ai_result", "http_500", "invalid_json", "best_index_0", "confidence_below_threshold", "no_record"]
+
+
+def test_fallback_names(spark):
+    d = spark.createDataFrame([("ABC 5OO mg", "دواء 500"), ("ABC 10MG", "دواء 20 x 30"), ("ABC", "دواء")], "q string, a string")
+    assert [r[0] for r in d.select(N.plausible_row(F.col("a"), F.col("q"))).collect()] == [False, False, True]
+    assert [r[0] for r in d.select(N.synthetic_name(F.col("q"), F.col("a"))).collect()][1:] == ["ABC MG 20 30", "ABC"]
+    assert d.select(N.major_name_change(F.lit("A B C"), F.lit("A X Y")), N.major_name_change(F.lit("A B"), F.lit("A B C"))).first()[:] == (True, False)
+    assert d.select(N.candidate_source(F.lit("dom-row-1"), F.lit(False)), N.candidate_source(F.lit("5"), F.lit(None).cast("boolean"))).first()[:] == ("dom_fallback", "site_api")
+
+
+def test_prompt_text(spark):
+    d = parse_names(spark.createDataFrame([("* IMP CEFOTAX 500 MG I M VIAL",)], "name string"), "name", "p")
+    line = d.select(V.component_context("p").alias("x")).first().x
+    assert line == "normalized='CEFOTAX 500 MG I M VIAL', brand='CEFOTAX', dosage=500, qty='-', volume='-', weight='-', form='VIAL', flavor='-', class='medicine', route='IM', imported=yes"
+    q = spark.createDataFrame([("FreeUsageLimitError: x", "", "", "", "", "60", "1m"), ("other", "", "", "", "", "60", "1m")], "error_body string, quota_reset_day string, quota_reset_day_in string, quota_reset_in string, quota_remaining_day string, retry_after string, retry_after_in string")
+    got = [r[1:5] for r in V.quota_hints(q).collect()]
+    assert got == [("60", "1m", "1m", "0"), ("", "", "", "")]

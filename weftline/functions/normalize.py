@@ -199,3 +199,41 @@ def distinct_ignoring_case(values: Column) -> Column:
     trimmed = F.filter(F.transform(values, lambda v: F.trim(text(v))), lambda v: v != "")
     lowered = F.transform(trimmed, F.lower)
     return F.filter(trimmed, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
+
+
+def routes(words: Column) -> Column:
+    """IM, IV and SC among the words, also where their letters stand apart."""
+    some = lambda *w: F.array(*map(F.lit, w))
+    spelled = [F.when(F.size(F.array_intersect(words, some(a, b))) == 2, a + b) for a, b in ("IM", "IV", "SC")]
+    return F.array_union(F.array_intersect(words, some(*W.ROUTES)), F.array_compact(F.array(*spelled)))
+
+
+def fallback_query(c: Column) -> Column:
+    """A query with zeros read as O mended, letters and digits apart."""
+    return squeeze(_rewrite(F.trim(text(c)), [(r"(?<=\d)[Oo](?=\b|[^A-Za-z0-9])", "0"), (r"([A-Za-z])(?=\d)", "$1 "), (r"(?<=\d)([A-Za-z])", " $1")]))
+
+
+def plausible_row(arabic_name: Column, query: Column) -> Column:
+    """Whether a page's row shares a number with the query, if that has any."""
+    q = numeric_tokens(fallback_query(query))
+    return (F.size(q) == 0) | F.arrays_overlap(q, numeric_tokens(arabic_name))
+
+
+def synthetic_name(query: Column, arabic_name: Column) -> Column:
+    """An English name for a page's row: the query where the row has its numbers, else its words with the row's numbers."""
+    q = fallback_query(query)
+    asked, there = numeric_tokens(q), F.regexp_extract_all(text(arabic_name), F.lit(r"(\d+)"))
+    made = F.array_join(F.concat(F.filter(tokens(q), lambda t: ~t.rlike(r"\d")), there), " ")
+    whole = (F.size(asked) > 0) & (F.size(F.array_except(asked, there)) == 0)
+    return F.when(whole | (made == ""), q).otherwise(made)
+
+
+def candidate_source(store_product_id: Column, synthetic: Column) -> Column:
+    return F.when(text(store_product_id).startswith("dom-row-") | F.coalesce(synthetic, F.lit(False)), "dom_fallback").otherwise("site_api")
+
+
+def major_name_change(saved: Column, current: Column) -> Column:
+    """Whether two names share less than half of the longer one's words."""
+    a, b = (F.array_distinct(tokens(normalize_text(c))) for c in (saved, current))
+    share = F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b), F.lit(1))
+    return (F.size(a) > 0) & (F.size(b) > 0) & (share < 0.5)

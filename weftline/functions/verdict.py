@@ -5,10 +5,10 @@ No model is called here; their texts and results are input columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.normalize import text
+from weftline.functions.normalize import routes, text, tokens
 
 VERDICT = "is_correct boolean, decision string, best_index string, confidence double, reason string, hard_conflicts array<string>"
 # Conflicts that refuse a match, those that only lower its confidence, and phrases of free text.
@@ -75,17 +75,28 @@ def chosen_candidate(best_index: Column, candidates: Column, confidence: Column,
     return F.struct(F.when(ok, F.get(candidates, i - 1)).alias("candidate"), F.when(F.coalesce(ok, F.lit(False)), confidence).otherwise(F.least(confidence, F.lit(0.5))).alias("confidence"))
 
 
-def ai_outcome(verify: str, search: str, review: str, accept: float = 0.9, soft: float = 0.8) -> Column:
-    """Where verify, search and review results (structs of is_correct and confidence, or null) leave an item."""
+def ai_outcome(verify: str, search: str, review: str, local_rejection: Column, accept: float = 0.9, soft: float = 0.8, reviewing: bool = True) -> Column:
+    """Where verify, search and review results leave an item. They are structs of is_correct, confidence, decision and
+    hard_conflicts, or null; local_rejection says why the match that search found can't be used, or nothing.
+
+    A verdict is accepted at `accept`, or from `soft` on where a review model stands behind it and it says accept
+    without conflicts. A review that refuses ends either way.
+    """
     of = lambda p, f: F.col(f"{p}.{f}")
-    sure = lambda p, least: F.coalesce(of(p, "is_correct") & (of(p, "confidence") >= least), F.lit(False))
+    true = lambda c: F.coalesce(c, F.lit(False))
+    right = lambda p: true(of(p, "is_correct"))
+    sure = lambda p: F.coalesce(of(p, "confidence"), F.lit(0.0))
+    nothing = lambda p: F.coalesce(F.size(of(p, "hard_conflicts")), F.lit(0)) <= 0
+    soft_ok = lambda p: F.lit(reviewing) & right(p) & true(of(p, "decision") == "accept") & nothing(p) & (sure(p) >= soft) & (sure(p) < accept)
+    refused = F.lit(reviewing) & F.col(review).isNotNull() & ~right(review)
+    verified = right(verify) & ((sure(verify) >= accept) | soft_ok(verify))
     return (
-        F.when(sure(verify, accept), "ai_verified")
-        .when(sure(search, accept), "ai_search_accepted")
-        .when(F.col(review).isNotNull() & (sure(verify, soft) | sure(search, soft)) & sure(review, soft), "ai_review_accepted")
-        .when(F.col(review).isNotNull() & ~F.coalesce(of(review, "is_correct"), F.lit(False)), "ai_review_rejected")
-        .when(sure(verify, 0.0) | sure(search, 0.0), "ai_low_confidence")
-        .otherwise("ai_rejected")
+        F.when(verified, F.when(refused, "ai_review_rejected").otherwise("ai_verified"))
+        .when(F.col(search).isNull(), "ai_rejected")
+        .when((sure(search) < accept) & ~soft_ok(search), "ai_low_confidence")
+        .when(text(local_rejection) != "", "ai_rejected")
+        .when(refused, "ai_review_rejected")
+        .otherwise("ai_search_accepted")
     )
 
 
@@ -94,16 +105,58 @@ def local_safety(store_product_id: Column, component_reason: Column) -> Column:
     return F.when(store_product_id.isNull(), "missing storeProductId").when(component_reason != "ok", F.concat(F.lit("component mismatch: "), component_reason)).otherwise("")
 
 
-def review_scenario(api_failed: Column, component_reason: Column, first: Column, second: Column, first_confidence: Column, second_confidence: Column) -> Column:
-    """(state, is_correct, confidence): a failed call, a component reject, agreement or disagreement, in this order.
+#: Confidence from which a review overrides the first model.
+OVERRIDE = 0.75
+
 
-    A failed call is never taken for a confirmation: the first verdict stays as it was, its state says so.
+def review_state(first: Column, component_reason: Column, api_failed: Column, review_right: Column, review_confidence: Column) -> Column:
+    """How a second model's review leaves a first decision (ai_confirmed, ai_corrected, ai_found or ai_rejected).
+
+    Tried in order: a failed first call (the review decides alone, and only with confidence; a failure is never taken
+    for a confirmation), components that differ, agreement, disagreement.
     """
-    agree = first == second
-    state = F.when(api_failed, "api_failed").when(~component_reason.isin("", "ok"), "component_rejected").when(agree, "agreement").otherwise("disagreement")
-    right = F.when(state == "component_rejected", False).when(state == "disagreement", second).otherwise(first)
-    sure = F.when(state == "api_failed", first_confidence).when(state == "agreement", F.greatest(first_confidence, second_confidence)).otherwise(second_confidence)
-    return F.struct(state.alias("state"), right.alias("is_correct"), sure.alias("confidence"))
+    said_yes = first.isin("ai_confirmed", "ai_corrected", "ai_found")
+    sure = review_confidence >= OVERRIDE
+    kept = F.concat(first, F.lit("_kept_low_confidence_review"))
+    return (
+        F.when(api_failed, F.when(review_right & sure, "ai_confirmed").otherwise("ai_review_rejected"))
+        .when(~component_reason.isin("", "ok"), "ai_review_rejected")
+        .when(said_yes == review_right, F.concat(first, F.lit("_reviewed")))
+        .when(~sure, kept)
+        .when(said_yes, "ai_review_rejected")
+        .otherwise("ai_review_search")
+    )
+
+
+def search_failure(found: Column, error_code: Column, parse_failed: Column, best_index: Column, confidence: Column, accept: float = 0.9) -> Column:
+    """Why an AI search gave no match."""
+    return (
+        F.when(~found, "no_ai_result")
+        .when(text(error_code) != "", error_code)
+        .when(F.coalesce(parse_failed, F.lit(False)), "invalid_json")
+        .when(F.coalesce(best_index, F.lit(0)) == 0, "best_index_0")
+        .when(confidence < accept, "confidence_below_threshold")
+        .otherwise("no_record")
+    )
+
+
+def first_filled(*values: Column) -> Column:
+    """The first value that is not blank: of verify, search and review, which model or provider answered."""
+    return F.coalesce(*(F.when(text(v) != "", v) for v in values), F.lit(""))
+
+
+def quota_hints(df: DataFrame, body: str = "error_body") -> DataFrame:
+    """Blank quota columns filled from retry_after, where the error's text says that a free quota ran out."""
+    hit = text(F.col(body)).contains("FreeUsageLimitError")
+    fill = lambda c, v, when=F.lit(True): F.when(hit & when & (text(F.col(c)) == ""), v).otherwise(F.col(c))
+    has = lambda c: text(F.col(c)) != ""
+    after = {
+        "quota_reset_day": fill("quota_reset_day", F.col("retry_after"), has("retry_after")),
+        "quota_reset_day_in": F.when(hit & has("retry_after") & ~has("quota_reset_day"), F.col("retry_after_in")).otherwise(F.col("quota_reset_day_in")),
+        "quota_reset_in": fill("quota_reset_in", F.col("retry_after_in"), has("retry_after_in")),
+        "quota_remaining_day": fill("quota_remaining_day", F.lit("0")),
+    }
+    return df.withColumns(after)
 
 
 def required_fields(answer: Column, required: list[str]) -> Column:
@@ -133,10 +186,20 @@ def api_error_code(status: Column, body: Column) -> Column:
 
 
 def duration_text(s: Column) -> Column:
-    """`1h 2m`, `3m 4s` or `5s`."""
-    whole = F.floor(F.greatest(s, F.lit(0)))
-    hours, minutes, rest = F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60
-    return F.when(hours > 0, F.format_string("%dh %dm", hours, minutes)).when(minutes > 0, F.format_string("%dm %ds", minutes, rest)).otherwise(F.format_string("%ds", rest))
+    """`1d 2h 3m 4s`, without parts that are zero; `0s` for nothing."""
+    whole = F.greatest(F.rint(s).cast("bigint"), F.lit(0))
+    part = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit)))
+    parts = F.concat_ws(" ", part(F.floor(whole / 86400), "d"), part(F.floor(whole % 86400 / 3600), "h"), part(F.floor(whole % 3600 / 60), "m"), part(whole % 60, "s"))
+    return F.when(parts == "", "0s").otherwise(parts)
+
+
+def reset_text(value: Column, now: Column) -> Column:
+    """How long until a limit resets: seconds, an epoch, or an ISO time; other text as it is. now: epoch seconds."""
+    raw = F.trim(text(value))
+    number = F.when(raw.rlike(r"^\d+$"), raw.try_cast("double"))
+    at = F.unix_timestamp(F.try_to_timestamp(raw))
+    left = F.when(number > 1_000_000_000, number - now).when(number.isNotNull(), number).otherwise(at - now)
+    return F.when(raw == "", "").otherwise(F.when(left.isNotNull(), duration_text(left)).otherwise(raw))
 
 
 def mask(secret: Column) -> Column:
@@ -156,8 +219,16 @@ def render(template: str, values: dict[str, Column]) -> Column:
 
 
 def component_context(p: str) -> Column:
-    """A parsed name as one line for a prompt: the components that are known."""
+    """A parsed name as one line for a prompt."""
     of = lambda f: F.col(f"{p}.{f}")
-    known = lambda k, v: F.when(v != "", F.concat(F.lit(f"{k}="), v))
-    strength = F.array_join(F.transform(F.arrays_zip(of("dosage_nums"), of("dosage_units")), lambda z: F.concat(z["dosage_nums"], z["dosage_units"])), "+")
-    return F.concat_ws("; ", known("brand", of("brand")), known("strength", strength), *(known(f, of(f)) for f in ("form", "qty", "volume", "weight", "flavor")), F.when(of("imported"), "imported"))
+    or_dash = lambda c: F.when(c == "", "-").otherwise(c)
+    route = F.array_join(F.array_sort(routes(tokens(of("normalized")))), "/")
+    line = "normalized='%s', brand='%s', dosage=%s, qty='%s', volume='%s', weight='%s', form='%s', flavor='%s', class='%s', route='%s', imported=%s"
+    known = [or_dash(of(f)) for f in ("qty", "volume", "weight", "form", "flavor")]
+    return F.format_string(line, of("normalized"), of("brand"), or_dash(F.array_join(of("dosage_nums"), "/")), *known, of("product_class"), or_dash(route), F.when(of("imported"), "yes").otherwise("no"))
+
+
+def candidate_line(position: Column, name_en: Column, name_ar: Column, score: Column, prices: Column, context: Column, review_reason: Column) -> Column:
+    """A numbered candidate for a prompt, with its parsed components and what the rules hold against it."""
+    against = F.when(text(review_reason).isin("", "ok"), "").otherwise(F.concat(F.lit("\n   rule_review: candidate entered AI review despite "), review_reason, F.lit("; accept only if the products are truly equivalent")))
+    return F.concat(position.cast("string"), F.lit(". "), text(name_en), F.lit(" / "), text(name_ar), F.format_string(" (score=%.1f", score), text(prices), F.lit(")\n   parsed: "), context, against)

@@ -122,3 +122,15 @@ def choose_source(df: DataFrame, item: str = "item_id", query: str = "query_ord"
     any_api = F.max(F.when(api & F.col("orderable"), 1).otherwise(0)).over(w) == 1
     any_page = F.max(F.when(page, 1).otherwise(0)).over(w) == 1
     return df.filter(F.when(any_api | ~any_page, api).otherwise(page))
+
+
+def best_unorderable(df: DataFrame, item: str = "item_id") -> DataFrame:
+    """Of each item the first candidate refused for having no id, else the best rejected one without an id."""
+    exact = F.col("reason") == "Candidate missing orderable storeProductId"
+    d = df.filter(exact | (~F.col("accepted") & F.col("store_product_id").isNull()))
+    return first_of_each(d.withColumn("_exact", exact), [item], [F.desc("_exact"), F.desc("score"), F.asc("row_index")]).drop("_exact")
+
+
+def recovery_set(df: DataFrame, item: str = "item_id", k: int = 5) -> DataFrame:
+    """For items whose match was refused: their k most alike names whose components fit, to choose from."""
+    return ranked(df, item, [F.desc("similarity"), F.asc("row_index")], k).filter("component_reason = 'ok'")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import words as W
-from weftline.functions.normalize import ARABIC_RANGE, identity_tokens, numeric_tokens, tokens
+from weftline.functions.normalize import ARABIC_RANGE, identity_tokens, numeric_tokens, routes, tokens
 from weftline.functions.parse import canonical_number
 
 
@@ -236,11 +236,6 @@ def forms_compatible(x: Column, y: Column) -> Column:
     return same
 
 
-def routes(w: Column) -> Column:
-    spelled = [F.when(_all(w, *k), "".join(k)) for k in (("I", "M"), ("I", "V"), ("S", "C"))]
-    return F.array_union(F.array_intersect(w, _set(*W.ROUTES)), F.array_compact(F.array(*spelled)))
-
-
 def form_gate(d: str, m: str) -> Column:
     """Form, route, pack, volume, weight, flavour. Two powders of different packs, or two syrups of different volumes, pass at once."""
     of = lambda p, f: F.col(f"{p}.{f}")

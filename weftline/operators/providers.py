@@ -114,3 +114,9 @@ def healthy_combinations(df: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct combinations that answered in JSON, in the order first seen."""
     d = df.filter("ok and mode = 'json'").groupBy(*keys).agg(F.min("seq").alias("_seq"))
     return d.withColumn("position", F.row_number().over(Window.orderBy("_seq"))).drop("_seq")
+
+
+def first_header(headers: Column, names: list[str]) -> Column:
+    """The first header, of a map, that is not blank, whatever its letters' case."""
+    low = F.transform_keys(headers, lambda k, _: F.lower(k))
+    return F.coalesce(*(F.when(F.trim(text(F.try_element_at(low, F.lit(n.lower())))) != "", F.trim(F.try_element_at(low, F.lit(n.lower())))) for n in names), F.lit(""))

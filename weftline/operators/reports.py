@@ -12,6 +12,7 @@ from weftline.functions.normalize import text
 # Statuses that a run summary counts.
 STATUS_COUNTS = {"no_results": "no-results", "matched_but_unavailable": "matched-but-unavailable", "not_orderable": "not-orderable"}
 AI_COUNTS = {"ai_verified": "ai_verified", "ai_searched": "ai_search_accepted", "ai_reviewed": "ai_review_rejected", "ai_rejected": "ai_rejected", "ai_low_confidence": "ai_low_confidence"}
+TRACE_FIELDS = "step phase decision reject_rule ai_result candidate_name final_match error_stage error_code selection_reason provider_used model_used ai_model".split()
 AI_RESULT_STEPS = ["ai_verify_result", "ai_search_result", "ai_review_result"]
 
 
@@ -212,3 +213,9 @@ def field_census(payloads: DataFrame, payload: str) -> DataFrame:
     d = payloads.select(F.explode(F.json_object_keys(F.col(payload))).alias("path"), variant.alias("v"))
     kind = F.schema_of_variant(F.try_variant_get(F.col("v"), F.concat(F.lit("$."), F.col("path")), "variant"))
     return d.select("path", kind.alias("type")).groupBy("path", "type").agg(F.count("*").alias("n"))
+
+
+def trace_rows(df: DataFrame, step: str, phase: str, decision: Column, **fields: Column) -> DataFrame:
+    """Trace rows of one kind: the fixed columns of `trace_summary`, blanks for what a kind doesn't say."""
+    given = {"step": F.lit(step), "phase": F.lit(phase), "decision": decision, **fields}
+    return df.select("drug_code", "drug_name", "seq", *(text(given.get(c, F.lit(""))).alias(c) for c in TRACE_FIELDS))

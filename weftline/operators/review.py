@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.normalize import blank_to_null, text
+from weftline.functions.normalize import blank_to_null, major_name_change, text
+from weftline.functions.verdict import first_filled
 
 # Fixed values.
 FUZZY_METHODS = ["fuzzy", "brand_index"]
@@ -159,3 +160,49 @@ def review_options(df: DataFrame, item: str = "item_id", least: float = 80.0, mo
 def progress(df: DataFrame, corrected: Column) -> DataFrame:
     d = df.agg(F.count("*").alias("total"), F.count_if(corrected).alias("corrected"))
     return d.withColumn("remaining", F.col("total") - F.col("corrected"))
+
+
+def needs_full_log(found: Column, accepted: Column, reason: Column, overlap: Column, numeric_overlap: Column) -> Column:
+    """Whether a decision is logged in full: all but accepted matches by full overlap."""
+    plain = found & accepted & (reason == "high_token_overlap") & (overlap >= 1) & numeric_overlap.isin(0.0, 1.0)
+    return ~F.coalesce(plain, F.lit(False))
+
+
+def saved_match_problem(saved_id: Column, current_id: Column, maker_conflict: Column, saved_name: Column, current_name: Column) -> Column:
+    """Why a saved decision no longer fits its candidate; empty if it does."""
+    other = (text(saved_id) != "") & (text(current_id) != "") & (saved_id != current_id)
+    return F.when(other, "product id differs").when(F.coalesce(maker_conflict, F.lit(False)), "manufacturer differs").when(major_name_change(saved_name, current_name), "name differs").otherwise("")
+
+
+def skips_auto_save(rejection: Column, maker_conflict: Column) -> Column:
+    """Whether a match is not saved by itself: a rejection that speaks of a conflict, or makers that differ."""
+    return F.lower(text(rejection)).rlike("conflict|manufacturer|brand|semantic") | F.coalesce(maker_conflict, F.lit(False))
+
+
+def ai_fields(status: Column, verify: Column, search: Column, review: Column) -> list[Column]:
+    """AI columns of a summary row, from result structs of confidence, model_used and provider_used."""
+    there = lambda r: r.isNotNull()
+    return [
+        status.isNotNull().alias("ai_enabled"),
+        text(status).alias("ai_status"),
+        there(verify).alias("ai_verified"),
+        there(search).alias("ai_searched"),
+        there(review).alias("ai_reviewed"),
+        review["confidence"].alias("ai_review_confidence"),
+        first_filled(*(r["model_used"] for r in (verify, search, review))).alias("ai_model"),
+        first_filled(*(r["provider_used"] for r in (verify, search, review))).alias("ai_provider"),
+    ]
+
+
+def winner_fields(candidate: str) -> list[Column]:
+    """Columns of the chosen candidate, a struct. The sale price is the public one, the purchase price the one it is sold at."""
+    of = lambda f: F.col(f"{candidate}.{f}")
+    return [
+        first_filled(of("name_en"), of("name_en_fallback")).alias("matched_product_name_en"),
+        text(of("name_ar")).alias("matched_product_name_ar"),
+        of("product_id").alias("winner_product_id"),
+        of("store_product_id").alias("winner_store_product_id"),
+        of("available_quantity").alias("winner_available_quantity"),
+        first_filled(*(of(f).cast("string") for f in ("retail_price", "public_price", "price", "selling_price"))).alias("winner_sale_price"),
+        of("sale_price").alias("winner_purchase_price"),
+    ]
