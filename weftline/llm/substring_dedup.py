@@ -22,14 +22,16 @@ Empty table: empty result. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, WordHashes, coded, gram_hashes, plain_words, slices, text_key
+from weftline.llm.common import Scratch, coded, plain_words, slices, stretch_hashes, text_key, tidy, word_spans
 
 WINDOW, GRAM = 20, 8
 #: Spots of a partition that a tree takes; spots that a task's bundle of partitions has on average.
@@ -37,9 +39,15 @@ GROUP, BUNDLE = 1000, 8192
 SLICE_BYTES = 4 << 20
 
 
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Of each run of n words, from the words' hashes."""
+    at = np.arange(max(0, len(h) - n + 1))
+    return stretch_hashes(h, at, at + n)
+
+
 def least_runs(h: np.ndarray, window: int, gram: int) -> np.ndarray:
     """For every window of h: where its least-hashed run of gram words starts, the leftmost of equals."""
-    g = gram_hashes(h, gram)
+    g = run_hashes(h, gram)
     wide = window - gram + 1
     at, have = np.arange(len(g)), 1
     while have < wide:
@@ -51,12 +59,11 @@ def least_runs(h: np.ndarray, window: int, gram: int) -> np.ndarray:
 
 def _spots(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for whole in batches:
             for b in slices(whole, 2, SLICE_BYTES):
-                words, codes, length = coded(b.column(2), lower=False)
+                raw, first, last, length = word_spans(b.column(2))
                 ends = np.cumsum(length)
-                h = hashes.array(words)[codes]
+                h = stretch_hashes(raw, first, last)
                 if len(h) < window:
                     continue
                 at = least_runs(h, window, gram)
@@ -66,7 +73,7 @@ def _spots(window: int, gram: int):
                 at, doc, start = at[ok], doc[ok], start[ok]
                 new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]) if len(at) else np.zeros(0, bool))
                 n = np.diff(np.concatenate([new, [len(at)]]))
-                g, doc = gram_hashes(h, gram)[at[new]], doc[new]
+                g, doc = run_hashes(h, gram)[at[new]], doc[new]
                 lo = start[new] - (ends - length)[doc]
                 rows = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array(lo), pa.array(n.astype(np.int32))], ["run", "doc_id", "key", "lo", "n"])
@@ -74,24 +81,25 @@ def _spots(window: int, gram: int):
     return run
 
 
+def _flat_spots(spots: pa.Array) -> tuple[np.ndarray, ...]:
+    """run, lo, n, hot of all spots, and whose they are."""
+    f = spots.flatten()
+    return *(np.asarray(f.field(c)) for c in ("run", "lo", "n", "hot")), np.repeat(np.arange(len(spots)), np.asarray(pc.list_value_length(spots)))
+
+
 def _texts_of_spots(window: int):
-    """The words of each small spot, which its bundle needs."""
+    """The words of each small spot, as they stand in the text: what its bundle needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for whole in batches for part in slices(whole, 2)):
-            out: list[tuple] = []
-            for doc, key, t, spots in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                words = plain_words(t)
-                out += [(s["run"], doc, key, s["lo"], b" ".join(words[s["lo"] : s["lo"] + s["n"] + window - 1])) for s in spots if not s["hot"]]
-                if len(out) > 20_000:
-                    yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in columns], ["run", "doc_id", "key", "lo", "words"])
+        for b in (part for whole in batches for part in slices(whole, 2, SLICE_BYTES)):
+            raw, first, last, length = word_spans(b.column(2))
+            runs, lo, n, hot, doc = _flat_spots(b.column(3))
+            runs, lo, n, doc = (x[~hot] for x in (runs, lo, n, doc))
+            at = (np.cumsum(length) - length)[doc] + lo
+            whole_text = raw.tobytes()
+            words = [whole_text[i:j] for i, j in zip(first[at].tolist(), last[at + n + window - 2].tolist(), strict=True)]
+            rows = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(runs), b.column(0).take(rows), b.column(1).take(rows), pa.array(lo), pa.array(words, pa.binary())], ["run", "doc_id", "key", "lo", "words"])
 
     return run
 
@@ -102,13 +110,16 @@ def _long_prefixes(window: int, most: int = 100_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[bytes, tuple[int, int, int]] = {}
         for b in (part for whole in batches for part in slices(whole, 2)):
-            for doc, key, t, spots in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                words = plain_words(t)
-                for s in (s for s in spots if s["hot"]):
-                    for i in range(s["lo"], s["lo"] + s["n"]):
-                        prefix, place = xxhash.xxh3_128_digest(b" ".join(words[i : i + window])), (doc, key, i)
-                        if place < first.setdefault(prefix, place):
-                            first[prefix] = place
+            _, lo, n, hot, whose = _flat_spots(b.column(3))
+            lo, n, whose = lo[hot].tolist(), n[hot].tolist(), whose[hot]
+            here = b.take(pa.array(np.unique(whose)))
+            ids = dict(zip(np.unique(whose).tolist(), zip(*(here.column(k).to_pylist() for k in range(2)), map(plain_words, here.column(2).to_pylist()), strict=True), strict=True))
+            for k in range(len(lo)):
+                doc, key, words = ids[int(whose[k])]
+                for i in range(lo[k], lo[k] + n[k]):
+                    prefix, place = xxhash.xxh3_128_digest(b" ".join(words[i : i + window])), (doc, key, i)
+                    if place < first.setdefault(prefix, place):
+                        first[prefix] = place
                 if len(first) > most:
                     yield _places(first)
                     first = {}
@@ -132,7 +143,9 @@ def subtrees(flat: np.ndarray, length: np.ndarray, order: list[np.ndarray], wind
     start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     base = (np.cumsum(length) - length)[row] + start
     columns = [flat[base + d] for d in range(window)]
-    place = np.lexsort([start, *(k[row] for k in reversed(order)), *reversed(columns)])
+    bits = max(1, int(flat.max(initial=1)).bit_length())
+    packed = [reduce(lambda a, c: a << bits | c, columns[d : d + 63 // bits], np.zeros(len(base), np.int64)) for d in range(0, window, 63 // bits)]
+    place = np.lexsort([start, *(k[row] for k in reversed(order)), *reversed(packed)])
     depth = np.zeros(len(place), np.int64)
     same = np.ones(max(0, len(place) - 1), bool)
     for c in columns:
@@ -148,7 +161,7 @@ def _repeats(window: int):
     def run(bundle: pa.Table) -> pa.Table:
         doc, key, lo = (np.asarray(bundle.column(c)) for c in ("doc_id", "key", "lo"))
         _, codes, length = coded(bundle.column("words").combine_chunks(), lower=False)
-        leaves, depth = subtrees(codes.astype(np.int32), length, [doc, key, lo], window)
+        leaves, depth = subtrees(codes, length, [doc, key, lo], window)
         row, start = leaves[:, 0], leaves[:, 1]
         first = np.maximum.accumulate(np.where(depth < window, np.arange(len(depth)), 0))  # of the node's leaves
         later = (doc[row] != doc[row[first]]) | (key[row] != key[row[first]]) | (lo[row] + start != lo[row[first]] + start[first])
@@ -191,22 +204,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     scratch = Scratch(docs.sparkSession)
     all_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
     d = all_docs.filter("doc_id is not null")
-    spots = scratch.save(d.mapInArrow(_spots(window, gram), "run long, doc_id long, key int, lo long, n int"), "spots")
+    spots = scratch.save(d.mapInArrow(tidy(_spots(window, gram)), "run long, doc_id long, key int, lo long, n int"), "spots")
     sizes = spots.groupBy("run").agg(F.count("*").alias("m")).filter("m > 1")
     sizes = scratch.save(sizes, "sizes")
     total, most = sizes.agg(F.sum(F.when(F.col("m") <= group, F.col("m"))), F.max("m")).first()
     own = spots.join(sizes, "run").select("doc_id", "key", F.struct("run", "lo", "n", (F.col("m") > group).alias("hot")).alias("s"))
-    own = scratch.save(own.groupBy("doc_id", "key").agg(F.collect_set("s").alias("spots")), "own")
+    own = scratch.save(own.groupBy("doc_id", "key").agg(F.collect_list("s").alias("spots")), "own")
     scratch.drop(spots, sizes)
     # the texts are dealt by document once; each use below reads the same exchange
     met = d.join(own, ["doc_id", "key"]).select("doc_id", "key", "text", "spots")
-    words = met.mapInArrow(_texts_of_spots(window), "run long, doc_id long, key int, lo long, words binary")
+    words = met.mapInArrow(tidy(_texts_of_spots(window)), "run long, doc_id long, key int, lo long, words binary")
     words = words.withColumn("bundle", F.pmod("run", F.lit(max(1, (total or 0) // BUNDLE))))
     later = words.groupBy("bundle").applyInArrow(_repeats(window), "doc_id long, key int, lo long, bits long")
     later = later.groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "bits")).alias("later"))
     found = d.join(later, ["doc_id", "key"], "left")
     if (most or 0) > group:
-        whole = met.mapInArrow(_long_prefixes(window), "prefix binary, doc_id long, key int, start long")
+        whole = met.mapInArrow(tidy(_long_prefixes(window)), "prefix binary, doc_id long, key int, start long")
         firsts = whole.groupBy("prefix").agg(F.min(F.struct("doc_id", "key", "start")).alias("f")).select("f.*")
         firsts = firsts.groupBy("doc_id", "key").agg(F.collect_list("start").alias("firsts"))
         hot = own.select("doc_id", "key", F.expr("filter(spots, s -> s.hot)").alias("hot")).filter("size(hot) > 0")
@@ -214,6 +227,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     else:
         found = found.withColumn("hot", F.lit(None).cast("array<struct<lo:bigint,n:int>>")).withColumn("firsts", F.lit(None).cast("array<bigint>"))
     kinds = "doc_id long, n_words long, n_removed long, kept_text string"
-    out = found.select("doc_id", "text", "later", "hot", "firsts").mapInArrow(_cut(window), kinds)
+    out = found.select("doc_id", "text", "later", "hot", "firsts").mapInArrow(tidy(_cut(window)), kinds)
     nothing = [F.lit(None).cast(t).alias(c) for c, t in found.select("later", "hot", "firsts").dtypes]
-    return out.unionByName(all_docs.filter("doc_id is null").select("doc_id", "text", *nothing).mapInArrow(_cut(window), kinds))
+    return out.unionByName(all_docs.filter("doc_id is null").select("doc_id", "text", *nothing).mapInArrow(tidy(_cut(window)), kinds))
