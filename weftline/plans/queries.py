@@ -193,27 +193,22 @@ def _parsed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def link_cascade(spark, sf_dir):
-    """Component keys first, then brand prefixes for what is left; gates, scores, and the best of each item."""
+    """Pairs by component keys, then by brand and strength; gates and scores once a pair; of each item the best of the first stage that has any."""
     dem, cat = _parsed(spark, sf_dir)
-
-    def stage(name: str, left: DataFrame, keys) -> DataFrame:
-        pairs = B.pairs_by_keys(left, "item_id", keys("d"), cat, "row_id", keys("m")).select("item_id", "row_id")
-        d = pairs.join(left, "item_id").join(cat, "row_id")
-        d = d.withColumn("reason", G.components_reason("d", "m", F.lit(100.0), F.lit(1.0)))
-        d = d.filter("reason = 'ok' or reason is null")
-        alike = SC.token_overlap(F.col("d_x.words"), F.col("m_x.words")) * 100
-        score = SC.component_score("d", "m", alike, G.forms_compatible(F.col("d.form"), F.col("m.form")), SC.price_bonus(F.col("item_price"), F.col("price")))
-        best = d.select("item_id", "row_id", r6(score).alias("score")).groupBy("item_id").agg(F.max(F.struct("score", (-F.col("row_id")).alias("r"))).alias("b"))
-        return best.select("item_id", (-F.col("b.r")).alias("row_id"), F.col("b.score").alias("score"), F.lit(name).alias("method"))
-
-    def component_keys(p):  # strengths with the brand: the brand alone would pair too many
-        return F.filter(B.component_keys(p), lambda k: k.startswith("brand_"))
-
-    first = stage("component_index", dem, component_keys)
-    rest = stage("brand_index", B.unmatched(dem, first, "item_id"), lambda p: F.array(F.concat_ws("|", F.col(f"{p}.brand"), F.array_join(f"{p}.dosage_nums", ","))))
-    found = first.unionByName(rest)
-    none = B.unmatched(dem.select("item_id"), found, "item_id").select("item_id", F.lit(None).cast("long").alias("row_id"), F.lit(0.0).alias("score"), F.lit("no_match").alias("method"))
-    return found.unionByName(none)
+    with_ = lambda p: F.filter(B.component_keys(p), lambda k: k.startswith("brand_"))  # noqa: E731  the brand alone would pair too many
+    brand = lambda p: F.array_compact(F.array(F.when(F.col(f"{p}.brand") != "", F.concat_ws("|", F.col(f"{p}.brand"), F.array_join(f"{p}.dosage_nums", ",")))))
+    by = lambda keys: B.pairs_by_keys(dem, "item_id", keys("d"), cat, "row_id", keys("m"))
+    stages = ["component_index", "brand_index"]
+    pairs = B.union_sources(list(zip(stages, (by(with_), by(brand)), strict=True)), "item_id", "row_id")
+    d = pairs.join(dem, "item_id").join(cat, "row_id").withColumn("reason", G.components_reason("d", "m", F.lit(100.0), F.lit(1.0))).filter("reason = 'ok'")
+    alike = SC.token_overlap(F.col("d_x.words"), F.col("m_x.words")) * 100
+    score = SC.component_score("d", "m", alike, G.forms_compatible(F.col("d.form"), F.col("m.form")), SC.price_bonus(F.col("item_price"), F.col("price")))
+    key = F.struct((F.col("source") == stages[0]).alias("first"), r6(score).alias("score"), (-F.col("row_id")).alias("r"))
+    best = d.groupBy("item_id").agg(F.max(key).alias("b"))
+    out = dem.select("item_id", "d").join(best, "item_id", "left")
+    invalid = F.col("d.brand") == ""
+    method = F.when(F.col("b").isNull() & invalid, "invalid_name").when(F.col("b").isNull(), "no_match").when(F.col("b.first"), stages[0]).otherwise(stages[1])
+    return out.select("item_id", (-F.col("b.r")).alias("row_id"), F.coalesce("b.score", F.lit(0.0)).alias("score"), method.alias("method"))
 
 
 @query(
