@@ -102,9 +102,12 @@ def plan(docs: DataFrame, seed: str = "mix-1", doc_id: str = "doc_id", text: str
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, each as often as the plan takes it. Rows that share a doc_id are planned each by its own size."""
-    p = plan(docs, **how).filter("copies > 0").select(F.col("doc_id").alias("p_id"), F.col("size").alias("p_size"), F.col("copies").alias("p_copies"))
-    p = p.dropDuplicates(["p_id", "p_size"])
-    on = F.col("doc_id").eqNullSafe(F.col("p_id")) & (size_of(F.col("text")) == F.col("p_size"))
-    out = docs.join(p, on).withColumn("p_n", F.explode(F.sequence(F.lit(1), F.col("p_copies").cast("int"))))
-    return out.select(*docs.columns)
+    """The rows of docs, each as often as the plan takes it; rows alike in id, size and source are taken alike."""
+    key = ["p_id", "p_size", "p_source"]
+    p = plan(docs, **how).filter("copies > 0").select(F.col("doc_id").alias("p_id"), F.col("size").alias("p_size"), F.col("source").alias("p_source"), "copies")
+    p = p.groupBy(*key).agg(F.max("copies").cast("int").alias("p_copies"))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of docs is named as one of the plan's
+    d = docs.toDF(*names)
+    doc_id, text, source = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text", "source"))
+    on = doc_id.eqNullSafe(F.col("p_id")) & (size_of(text) == F.col("p_size")) & source.eqNullSafe(F.col("p_source"))
+    return d.join(p, on).withColumn("p_n", F.explode(F.sequence(F.lit(1), F.col("p_copies")))).select(*names).toDF(*docs.columns)
