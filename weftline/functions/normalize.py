@@ -38,6 +38,7 @@ def tokens(normalized: Column) -> Column:
     return F.array_remove(F.split(normalized, " "), "")
 
 
+# Fixed values.
 #: What happens to an English name, in order, after it is upper-cased.
 NAME_RULES: list[tuple[str, str]] = [
     (r"^[+*.]+\s*(?:IMP|IMPORTED)?\s*", ""),

@@ -119,9 +119,9 @@ def choose_source(df: DataFrame, item: str = "item_id", query: str = "query_ord"
     """Rows of the service, unless none of a query's can be ordered and the page has some: then the page's."""
     w = Window.partitionBy(item, query)
     api, page = F.col("source") == "api", F.col("source") == "page"
-    any_api = F.max(F.when(api & F.col("orderable"), 1).otherwise(0)).over(w) == 1
-    any_page = F.max(F.when(page, 1).otherwise(0)).over(w) == 1
-    return df.filter(F.when(any_api | ~any_page, api).otherwise(page))
+    any_of = lambda c: F.max(F.when(c, 1).otherwise(0)).over(w) == 1
+    d = df.withColumns({"_api": any_of(api & F.col("orderable")), "_page": any_of(page)})
+    return d.filter(F.when(F.col("_api") | ~F.col("_page"), api).otherwise(page)).drop("_api", "_page")
 
 
 def best_unorderable(df: DataFrame, item: str = "item_id") -> DataFrame:

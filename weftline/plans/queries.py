@@ -818,3 +818,151 @@ def stream_trace_state(spark, sf_dir):
     from weftline.streaming.state import last_states
 
     return last_states(t(spark, sf_dir, "events"), ["user_id"], "event_id", ["event_type", "value"])
+
+
+# ---------------------------------------------------------------- smaller operators
+
+_CANDIDATES = """SELECT event_id, user_id, round(value, 2) AS score, event_type <> 'error' AS accepted, CASE WHEN event_type IN ('view', 'error') THEN 'different_form' ELSE 'ok' END AS component_reason, CASE WHEN event_id % 4 <> 0 THEN 'e' || event_id END AS key FROM events"""
+
+
+def candidates(spark, sf_dir) -> DataFrame:
+    """Events of a user as candidates of an item."""
+    e = t(spark, sf_dir, "events")
+    return e.select(
+        "event_id",
+        F.col("user_id").alias("item_id"),
+        F.round("value", 2).alias("score"),
+        *(F.lit(0).alias(c) for c in ("exact", "numeric", "available_quantity", "products_count")),
+        *(F.lit(0.0).alias(c) for c in ("overlap", "discount")),
+        (-F.col("event_id")).cast("double").alias("negative_price"),
+        F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("e"), "event_id")).alias("store_product_id"),
+        (F.col("event_type") != "error").alias("accepted"),
+        F.when(F.col("event_type") == "error", "no good").otherwise("fine").alias("reason"),
+        F.when(F.col("event_type").isin("view", "error"), "different_form").otherwise("ok").alias("component_reason"),
+        F.col("event_id").alias("row_index"),
+    )
+
+
+@query(
+    f"""WITH c AS ({_CANDIDATES}), w AS (SELECT *, accepted AND component_reason = 'ok' AS passes FROM c),
+b AS (SELECT *, coalesce(sum(passes::INT) OVER (PARTITION BY user_id ORDER BY score DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w)
+SELECT event_id, passes AND before < 5 AS accepted, CASE WHEN NOT accepted THEN 'no good' WHEN before >= 5 THEN 'Skipped by candidate top-k optimization' WHEN component_reason <> 'ok' THEN 'Semantic token conflict: different_form' ELSE 'fine' END AS reason FROM b"""
+)
+def top_k_checks(spark, sf_dir):
+    return D.check_top(candidates(spark, sf_dir)).select("event_id", "accepted", "reason")
+
+
+@query(
+    f"""WITH c AS ({_CANDIDATES}), a AS (SELECT user_id, max(score) FILTER (accepted) AS best, max({{'s': score, 'k': key}}) FILTER (NOT accepted AND key IS NOT NULL) AS r FROM c GROUP BY user_id)
+SELECT user_id AS item_id, r.k AS store_product_id, r.s AS score FROM a WHERE r IS NOT NULL AND (best IS NULL OR r.s > best)"""
+)
+def higher_rejected(spark, sf_dir):
+    return D.higher_rejected(candidates(spark, sf_dir).filter("accepted or store_product_id is not null")).select("item_id", "store_product_id", "score")
+
+
+@query(f"WITH c AS ({_CANDIDATES}) SELECT user_id AS item_id, event_id, score FROM c WHERE NOT accepted AND key IS NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) = 1")
+def best_unorderable(spark, sf_dir):
+    return D.best_unorderable(candidates(spark, sf_dir)).select("item_id", "event_id", "score")
+
+
+@query(
+    """WITH q AS (SELECT user_id, event_id % 24 AS query_ord, max(value) / 400 AS confidence, count(*) > 1 AS exact_name FROM events GROUP BY ALL)
+SELECT user_id AS item_id, min(query_ord) AS query_ord FROM q WHERE exact_name OR confidence >= 0.5 OR query_ord + 1 >= 3 GROUP BY user_id"""
+)
+def first_decisive_query(spark, sf_dir):
+    e = t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("item_id"), (F.col("event_id") % 24).alias("query_ord"))
+    d = e.agg((F.max("value") / 400).alias("confidence"), (F.count("*") > 1).alias("exact_name")).withColumn("matched", F.lit(True))
+    return D.first_decisive(d, least_confidence=0.5)
+
+
+@query(
+    """WITH x AS (SELECT event_id, user_id, event_type, event_id % 2 = 0 AS orderable FROM events), w AS (SELECT *, bool_or(event_type <> 'view' AND orderable) OVER p AS api, bool_or(event_type = 'view') OVER p AS page FROM x WINDOW p AS (PARTITION BY user_id, event_id % 50))
+SELECT event_id FROM w WHERE CASE WHEN api OR NOT page THEN event_type <> 'view' ELSE event_type = 'view' END"""
+)
+def choose_source(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    d = e.select("event_id", F.col("user_id").alias("item_id"), (F.col("event_id") % 50).alias("query_ord"), F.when(F.col("event_type") == "view", "page").otherwise("api").alias("source"), (F.col("event_id") % 2 == 0).alias("orderable"))
+    return D.choose_source(d).select("event_id")
+
+
+@query(
+    """WITH x AS (SELECT user_id, event_type AS name, min({'g': CASE WHEN event_id % 3 = 0 AND value >= 80 THEN 0 ELSE 1 END, 's': CASE WHEN event_id % 3 = 0 AND value >= 80 THEN -value ELSE 0.0 END, 'p': event_id}) AS o FROM events GROUP BY ALL)
+SELECT user_id AS item_id, array_to_string(list(name ORDER BY o)[1:3], '|') AS options FROM x GROUP BY user_id"""
+)
+def review_options(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    d = e.select(F.col("user_id").alias("item_id"), F.col("event_type").alias("name"), (F.col("event_id") % 3 != 0).alias("accepted"), F.col("value").alias("similarity"), F.col("event_id").alias("position"))
+    return V2.review_options(d, most=3).select("item_id", F.array_join("options", "|").alias("options"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'not_matching' WHEN event_type = 'view' THEN 'corrected' WHEN value > 50 THEN 'approved_match' ELSE '' END AS decision FROM events"""
+)
+def selection_decisions(spark, sf_dir):
+    return t(spark, sf_dir, "events").select(
+        "event_id",
+        V2.selection_decision(F.when(F.col("user_id") % 4 == 0, " Yes "), F.when(F.col("event_type") == "view", "name").otherwise("  "), F.when(F.col("value") > 50, "1").otherwise("0")).alias("decision"),
+    )
+
+
+@query("SELECT event_id AS first_id, event_id AS last_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY (event_type = 'purchase') DESC, event_id DESC) = 1")
+def upsert_human_first(spark, sf_dir):
+    e = t(spark, sf_dir, "events").withColumn("first_id", F.col("event_id"))
+    return U.upsert_keeping(e, ["user_id"], "event_id", F.col("event_type") == "purchase").select("first_id", F.col("event_id").alias("last_id"), "user_id")
+
+
+@query("SELECT 'k' AS path, 'BIGINT' AS type, count(*) AS n FROM events")
+def payload_census(spark, sf_dir):
+    return R.field_census(t(spark, sf_dir, "events"), "props")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CASE WHEN l_discount = 0 THEN '0%' ELSE (l_discount * 100)::INT || '%' END AS shown, CASE WHEN l_discount = 0 THEN 0.0 ELSE round(l_discount * 100, 6) END AS percent FROM lineitem")
+def discount_texts(spark, sf_dir):
+    li = t(spark, sf_dir, "lineitem")
+    x = F.col("l_discount").cast("string")
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", A.format_discount(x).alias("shown"), F.round(A.discount_percent(x), 6).alias("percent"))
+
+
+@query(
+    """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'b' WHEN s_suppkey % 3 = 1 THEN 'a' ELSE 'c' END AS store_1, CASE WHEN s_suppkey % 3 = 0 THEN '20%' WHEN s_suppkey % 3 = 1 THEN '9' ELSE '0.5' END AS discount_1 FROM supplier"""
+)
+def selected_store_columns(spark, sf_dir):
+    k = F.col("s_suppkey") % 3
+    d = F.when(k == 0, "5% | 20% | 7%").when(k == 1, "9 | 3 | 0.01").otherwise("1|2|0.5")
+    return t(spark, sf_dir, "supplier").select("s_suppkey", *A.split_selections(F.lit("a | b | c"), d, 1))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_type = 'view' THEN CASE WHEN user_id % 2 = 0 THEN 'ai_verified' ELSE 'ai_review_rejected' END WHEN event_type = 'click' THEN CASE WHEN user_id % 2 = 0 THEN 'ai_search_accepted' ELSE 'ai_review_rejected' END WHEN event_type = 'signup' THEN 'ai_low_confidence' ELSE 'ai_rejected' END AS status FROM events"""
+)
+def ai_outcomes(spark, sf_dir):
+    k = F.col("event_type")
+    none = F.array().cast("array<string>")
+    verdict = lambda right, sure: F.struct(right.alias("is_correct"), F.lit(sure).alias("confidence"), F.lit("accept").alias("decision"), none.alias("hard_conflicts"))
+    d = t(spark, sf_dir, "events").select(
+        "event_id",
+        verdict(k == "view", 0.95).alias("v"),
+        F.when(k == "click", verdict(F.lit(True), 0.95)).when(k == "signup", verdict(F.lit(True), 0.4)).alias("s"),
+        verdict(F.col("user_id") % 2 == 0, 0.9).alias("r"),
+    )
+    return d.select("event_id", V.ai_outcome("v", "s", "r", F.lit("")).alias("status"))
+
+
+@query("SELECT event_id, CASE WHEN k = 0 THEN 'ok' WHEN k = 1 THEN 'missing_fields:reason' ELSE 'invalid_json' END AS status FROM (SELECT event_id, user_id % 3 AS k FROM events)")
+def required_answer_fields(spark, sf_dir):
+    k = F.col("user_id") % 3
+    body = F.when(k == 0, '{"is_correct": true, "reason": "x"}').when(k == 1, '{"is_correct": true}').otherwise('{"is_correct"')
+    return t(spark, sf_dir, "events").select("event_id", V.required_fields(body, ["is_correct", "reason"]).alias("status"))
+
+
+@query("SELECT o_orderkey, CASE WHEN d > 0 THEN d || 'd' || CASE WHEN h > 0 OR m > 0 OR s > 0 THEN ' ' ELSE '' END ELSE '' END || trim(CASE WHEN h > 0 THEN h || 'h ' ELSE '' END || CASE WHEN m > 0 THEN m || 'm ' ELSE '' END || CASE WHEN s > 0 THEN s || 's' ELSE '' END) AS took FROM (SELECT o_orderkey, x // 86400 AS d, x % 86400 // 3600 AS h, x % 3600 // 60 AS m, x % 60 AS s FROM (SELECT o_orderkey, o_custkey * 977 + 1 AS x FROM orders))")
+def duration_texts(spark, sf_dir):
+    return t(spark, sf_dir, "orders").select("o_orderkey", V.duration_text(F.col("o_custkey") * 977 + 1).alias("took"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '5 minutes', ts) AS start, count(*) AS n FROM events GROUP BY ALL")
+def windowed_event_counts(spark, sf_dir):
+    """The batch form of the streaming counts."""
+    from weftline.streaming.state import windowed_counts
+
+    return windowed_counts(t(spark, sf_dir, "events"), "ts", "event_type")
