@@ -31,7 +31,7 @@ END_ID = 0
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 16
 #: Chunks whose ids a task keeps; those beyond are encoded anew in each batch.
-KEPT = 200_000
+KEPT = 400_000
 #: Bytes of text that are encoded at once.
 SLICE_BYTES = 8 << 20
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
