@@ -20,6 +20,8 @@ from weftline.llm.common import SPACES, Scratch
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Ranks are first counted in so many bins a source, so that no task orders a whole source.
 BINS = 4096
+#: A table of sources goes to every task if it has no more rows than this; else Spark joins it as it sees fit.
+FEW_SOURCES = 50_000
 
 
 def size_of(text: Column) -> Column:
@@ -61,8 +63,13 @@ def plan(docs: DataFrame, seed: str = "mix-1", doc_id: str = "doc_id", text: str
     d = scratch.save(d, "sizes")  # texts are read once; ids, sources and sizes from here on
     t = scratch.save(targets(d, **how), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    # some sources may be many: a join, which Spark broadcasts where the table of sources is small
-    d = d.join(t.withColumnsRenamed({"source": "s2"}), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    few = t.count() <= FEW_SOURCES
+
+    def of_source(rows: DataFrame, sources: DataFrame, how: str = "left") -> DataFrame:
+        """rows with the columns of their source: sources has a row for each, at most, under s2."""
+        return rows.join(F.broadcast(sources) if few else sources, F.col("source").eqNullSafe(F.col("s2")), how).drop("s2")
+
+    d = of_source(d, t.withColumnsRenamed({"source": "s2"}), "inner")
     d = d.withColumn("certain", F.floor(ratio)).withColumn("p", ratio - F.col("certain"))
     u = uniform(F.col("doc_id"), seed)
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
@@ -77,7 +84,7 @@ def plan(docs: DataFrame, seed: str = "mix-1", doc_id: str = "doc_id", text: str
     edge = bins.filter("before < left and before + words >= left").select(
         F.col("source").alias("s2"), F.col("bin").alias("edge_bin"), F.col("before").alias("edge_before")
     )
-    d = d.join(edge, F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2")
+    d = of_source(d, edge)
     inside = (F.col("bin") == F.col("edge_bin")) & (F.col("size") > 0)
     running = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     at_edge = d.filter(inside).withColumn("upto", F.col("edge_before") + F.sum("size").over(running))
@@ -90,11 +97,11 @@ def plan(docs: DataFrame, seed: str = "mix-1", doc_id: str = "doc_id", text: str
     # the closing document: it brings the words nearest to the target, if it brings them nearer at all
     gap = d.groupBy("source", "left").agg(F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0)).alias("got"))
     gap = gap.select(F.col("source").alias("s2"), (F.col("left") - F.col("got")).alias("gap"))
-    near = d.filter("not drawn and p > 0 and size > 0").join(gap, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    near = of_source(d.filter("not drawn and p > 0 and size > 0"), gap, "inner")
     near = near.withColumn("off", F.abs(F.col("gap") - F.col("size"))).filter("off < gap")
     close = near.groupBy("source").agg(F.min(F.struct("off", "rank", "doc_id", "size")).alias("c"))
     close = close.select(F.col("source").alias("s2"), F.col("c.doc_id").alias("c_id"), F.col("c.size").alias("c_size"), F.col("c.rank").alias("c_rank"))
-    d = d.join(close, F.col("source").eqNullSafe(F.col("s2")), "left")
+    d = of_source(d, close)
     closing = ~F.col("drawn") & F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("size") == F.col("c_size")) & F.col("c_rank").isNotNull()
     extra = F.when(F.col("drawn") | F.coalesce(closing, F.lit(False)), 1).otherwise(0)
     d = d.withColumn("copies", (F.col("certain") + extra).cast("long"))
