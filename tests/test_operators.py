@@ -75,6 +75,8 @@ def test_lexical(spark):
     assert got == ["Semantic token conflict: MINT vs CINNAMON", "Candidate has unrequested brand token: BRAND", ""]
     p = [tuple(r.p) for r in d.select(SC.penalties(F.col("q"), F.col("c")).alias("p")).collect()]
     assert p[0] == (-4.0, -3.0, -10.0) and p[2] == (0.0, 0.0, 0.0)
+    f = d.select(SC.lexical_facts(F.col("q")).alias("q"), SC.lexical_facts(F.col("c")).alias("c"))
+    assert [tuple(r.p) for r in f.select(SC.penalties_of("q", "c").alias("p")).collect()] == p
 
 
 CANDIDATE = "item_id int, score double, exact int, overlap double, numeric int, available_quantity int, products_count int, discount double, negative_price double, store_product_id string, accepted boolean, reason string, component_reason string"

@@ -111,15 +111,18 @@ def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Demand and catalogue by first word and size, texts normalised before they are paired."""
-    d = demand(spark, sf_dir).withColumn("q", N.normalize_text(F.col("query")))
-    c = catalogue(spark, sf_dir).withColumn("n", N.normalize_text(F.col("candidate")))
-    return d.join(c, ["w", "p_size"])
+    """Demand and catalogue by first word and size; texts, words and numbers are made once a row, before they are paired."""
+
+    def ready(df: DataFrame, name: str, k: str) -> DataFrame:
+        x = df.withColumn(k, N.normalize_text(F.col(name)))
+        return x.withColumns({f"{k}t": N.tokens(F.col(k)), f"{k}n": N.numeric_tokens(F.col(k))})
+
+    return ready(demand(spark, sf_dir), "query", "q").join(ready(catalogue(spark, sf_dir), "candidate", "n"), ["w", "p_size"])
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    qt, nt = N.tokens(F.col("q")), N.tokens(F.col("n"))
-    d = blocked(spark, sf_dir).withColumns({"overlap": SC.token_overlap(qt, nt), "numeric_overlap": SC.numeric_overlap(F.col("q"), F.col("n")), "bonus": SC.contained_bonus(F.col("q"), F.col("n"))})
+    overlap, numeric = SC.token_overlap(F.col("qt"), F.col("nt")), SC.numeric_share(F.col("qn"), F.col("nn"))
+    d = blocked(spark, sf_dir).withColumns({"overlap": overlap, "numeric_overlap": numeric, "bonus": SC.contained_bonus(F.col("q"), F.col("n"))})
     return d.withColumn("score", SC.total_score(F.lit(0.0), F.col("overlap"), F.col("numeric_overlap"), F.col("bonus"), F.lit(1.0), F.lit(0.0)))
 
 
@@ -159,12 +162,13 @@ def _lexical_sql() -> str:
 
 @query(_lexical_sql())
 def lexical_penalties(spark, sf_dir):
-    """Names dressed with words of the rules, so that every penalty occurs."""
+    """Names dressed with words of the rules, so that every penalty occurs; what the rules see of a name is made once a row."""
     i, r = F.col("item_id") % 5, F.col("row_id") % 4
     q = F.concat(F.when(i == 0, "mint cream plus ").when(i == 1, "lemon gel ").when(i == 2, "syrup kids ").otherwise(""), "query")
     c = F.concat("candidate", F.when(r == 0, " CHAMOMILE GEL").when(r == 1, " ORANGE SYP EXTRA").when(r == 2, " TABS").otherwise(" MAX CREAM"))
-    d = blocked(spark, sf_dir).select("item_id", "row_id", N.canonical_tokens(q).alias("qt"), N.canonical_tokens(c).alias("ct"))
-    return d.select("item_id", "row_id", SC.penalties(F.col("qt"), F.col("ct")).alias("p")).select("item_id", "row_id", "p.critical", "p.extra_token", "p.semantic")
+    d = demand(spark, sf_dir).select("item_id", "w", "p_size", SC.lexical_facts(N.canonical_tokens(q)).alias("q"))
+    m = catalogue(spark, sf_dir).select("row_id", "w", "p_size", SC.lexical_facts(N.canonical_tokens(c)).alias("c"))
+    return d.join(m, ["w", "p_size"]).select("item_id", "row_id", SC.penalties_of("q", "c").alias("p")).select("item_id", "row_id", "p.critical", "p.extra_token", "p.semantic")
 
 
 @query(
@@ -228,7 +232,7 @@ def link_decisions(spark, sf_dir):
         r6("score").alias("score"),
         (F.col("q") == F.col("n")).cast("int").alias("exact"),
         r6("overlap").alias("overlap"),
-        SC.numeric_matches(F.col("q"), F.col("n")).alias("numeric"),
+        F.size(F.array_intersect("qn", "nn")).alias("numeric"),
         F.lit(1).alias("available_quantity"),
         F.lit(1).alias("products_count"),
         F.lit(0.0).alias("discount"),
