@@ -34,7 +34,7 @@ DEVIATIONS = 5.0
 #: Strays and members of a bucket that are compared at once.
 BLOCK_STRAYS, BLOCK_MEMBERS = 128, 512
 #: Bytes of shingles and signatures that a task's bundle of blocks holds on average.
-BUNDLE_BYTES = 8 << 20
+BUNDLE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 64, HASHES, np.uint64) | np.uint64(1)
