@@ -165,13 +165,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     e, mark = scratch.save(e, "edges"), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "low")
+        low = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
         large = both.join(low, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.save(large, "large")
-        low2 = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "low2")
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = scratch.save(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "small")
-        scratch.drop(e, low, large, low2)
+        scratch.drop(e, large)
         e, old = small, mark
         mark = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == old or not mark[0]:
