@@ -4,7 +4,7 @@ A text is cut into windows of fixed length, all of it, the last filled up with z
 several widths slide over the window; each filter's maximum goes to a softmax over the languages. A document's
 probabilities are the means over its windows, weighted by their bytes.
 
-Trained in numpy on a bounded sample: at most SAMPLE documents, dealt evenly over the languages, and of each at most
+Trained in numpy on a bounded sample: about SAMPLE documents (twice as many at most), dealt evenly over the languages, and of each at most
 WINDOWS_A_DOC windows at places drawn from the whole text. Prediction covers every byte of every document.
 
 Null text, or text without a letter: `und`, score 0. Null lang: never learned from. No labelled rows: all `und`.
