@@ -1,6 +1,6 @@
 """Operator 8: benchmark decontamination by suffix arrays over the training texts.
 
-A shard is one Arrow batch of documents. Words outside the benchmark's vocabulary end every match, so a shard's
+A shard is up to 8 MB of documents, or one of them. Words outside the benchmark's vocabulary end every match, so a shard's
 array holds only the suffixes of its runs of benchmark words that are as long as the shortest window. Every test
 suffix is binary-searched in the array, one word deeper at a time, until its interval is empty: that gives its
 longest verbatim match and where it lies. A suffix that reaches window length marks the words of all its matches.
@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, tidy
+from weftline.llm.common import Scratch, slices, tidy
 
 WINDOW = 10
 #: Bytes of benchmark text that are sent to tasks at once.
 BLOCK_BYTES = 16 << 20
+#: Bytes of training text in a shard, or one document.
+SHARD_BYTES = 8 << 20
 #: Blocks that run in one stage; then the state is written.
 CHAIN = 4
 #: Lower-cases A-Z and blanks what parts words, below 0x80.
@@ -163,7 +165,7 @@ def _met(block, text: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = block.value
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, whole.schema.get_field_index(text), SHARD_BYTES)):
             old = {c: b.column(c).to_pylist() for c in _STATE_NAMES}
             docs = [item_words(t) for t in b.column(text).to_pylist()]
             state: list[list] = [[] for _ in _STATE_NAMES]
