@@ -73,6 +73,23 @@ def test_suffix_array():
             assert lcp[k] == next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
 
 
+def test_suffix_array_of_ids_with_gaps():
+    """Word ids are the benchmark's, so a shard has gaps in them: their highest may be what the first round's ranks reach."""
+    r = np.random.default_rng(4)
+    some = [np.array([1, 2, 6, 0, 1, 2, 3, 0])] + [np.append(r.choice([0, 1, 2, 3, int(r.integers(4, 30))], r.integers(1, 40)), 0) for _ in range(300)]
+    for t in some:
+        order, _ = dec.suffix_array(t, np.flatnonzero(t))
+        runs = {int(p): tuple(t[p : p + int(np.argmax(t[p:] == 0))]) for p in np.flatnonzero(t)}
+        assert [runs[int(p)] for p in order] == sorted(runs.values())
+
+
+def test_gaps_hide_no_match(spark):
+    b = spark.createDataFrame([(1, "a b f"), (2, "a b c"), (3, "d e f")], "item_id long, text string")
+    rows = [(1, "a b f"), (2, "a b c")]
+    got = dec.contamination(documents(spark, rows), b, window=3).collect()
+    assert sorted((r.doc_id, r.n_hit, r.n_items, r.longest, r.longest_item) for r in got) == [(1, 3, 1, 3, "1"), (2, 3, 1, 3, "2")]
+
+
 def test_odd_cases(spark):
     b = spark.createDataFrame([(1, "no id here"), (2, None), (3, ""), (4, "w1 w2 w3")], "item_id long, text string")
     got = dec.contamination(documents(spark, odd_rows()), b).collect()

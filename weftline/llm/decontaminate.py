@@ -43,17 +43,16 @@ def item_words(text: str | None) -> list[bytes]:
 def suffix_array(t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions `at` of t in the order of their suffixes, by doubling, and the lengths of common prefixes of neighbours.
 
-    Zeros end a suffix and are smaller than any word.
+    Zeros end a suffix and are smaller than any word. Ranks have no gaps, so that their maxima tell when none was split.
     """
-    rank = t.astype(np.int64)
+    dense = lambda x: np.unique(np.append(x, 0), return_inverse=True)[1][:-1]  # noqa: E731  zeros stay zeros
+    rank = dense(t)
     width, n = 1, len(t)
     while True:
         ahead = np.zeros(n, np.int64)
         ahead[: n - width] = rank[width:]
         ahead[rank == 0] = 0
-        key = rank * (int(rank.max(initial=0)) + 1) + ahead
-        _, new = np.unique(key, return_inverse=True)
-        new = np.where(rank == 0, 0, new + 1)
+        new = dense(rank * (int(rank.max(initial=0)) + 1) + ahead)
         width *= 2
         stop = int(new.max(initial=0)) == int(rank.max(initial=0)) or not ahead.any()
         rank = new
