@@ -38,6 +38,50 @@ def test_equals_brute_force(spark, seed, rare):
     assert sorted(got) == brute(rows, 4, rare)
 
 
+def every_pair(rows, least=4):
+    """Of each document: places that an alignment with any earlier document takes."""
+    lines = {i: line_hashes(t, least) for i, t in rows}
+    return lines, {d: set().union(*(common_lines(lines[e][0], *lines[d]) for e in lines if e < d)) for d in lines}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_line_is_left_that_a_pair_would_take(spark, seed):
+    rows = rows_of(seed)
+    rows += [(40 + i, t) for i, t in rows[:5]]
+    lines, every = every_pair(rows)
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in dedup_lines(documents(spark, rows)).collect()}
+    for i, t in rows:
+        h, far = lines[i]
+        n, kept = got[i]
+        left = line_hashes(kept, 4)[0].tolist()
+        assert n <= len(every[i]) and left.count(0) >= h.tolist().count(0) - (t == "" or kept == "")
+        for x in set(h[far].tolist()):
+            at = {int(k) for k in np.flatnonzero(h == x)}
+            assert (left.count(x) < len(at)) == bool(at & every[i])
+
+
+def test_a_copy_of_a_later_document_goes_whole(spark):
+    p1, p2 = "first paragraph of four words", "second paragraph of four words"
+    rows = [(1, f"{p1}\n{p2}"), (2, f"{p2}\n{p1}"), (3, f"{p2}\n{p1}"), (4, f"{p2}\n{p1}\nown line")]
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in dedup_lines(documents(spark, rows)).collect()}
+    assert got[1][0] == 0 and got[2][0] == 1 and got[3] == (2, "") and got[4] == (2, "own line")
+
+
+def test_a_short_line_goes_with_the_previous_holder(spark):
+    p1, p2 = "first paragraph of four words", "second paragraph of four words"
+    rows = [(1, f"{p1}\nx"), (2, f"y\n{p2}"), (3, f"{p1}\nshort one\n{p2}"), (4, f"{p1}\nshort one\n{p2}\nmine")]
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in dedup_lines(documents(spark, rows)).collect()}
+    assert got[3] == (2, "short one") and got[4] == (3, "mine")
+
+
+def test_many_holders_change_nothing(spark):
+    """A block goes alike from 5 and from 50 documents, with its short line."""
+    block = "one two three four five\nsix seven\neight nine ten eleven"
+    for n in (5, 50):
+        got = {r.doc_id: r.kept_text for r in dedup_lines(documents(spark, [(i, f"own {i}\n{block}\nend {i}") for i in range(n)])).collect()}
+        assert all(got[i] == f"own {i}\nend {i}" for i in range(1, n))
+
+
 def test_patience_keeps_order():
     for seed in range(50):
         r = random.Random(seed)

@@ -2,10 +2,12 @@
 
 1. A line is known by its words (runs of blanks count as one). Lines of LEAST_WORDS words or more point to other
    documents; shorter ones only take part in alignments.
-2. Rare lines, held by 2 to RARE documents, find the pairs: each holder but the first meets the line's first holder, so
-   pairs are never more than lines. Every pair is aligned by patience diff over its full lines: lines that both hold
-   once are anchors, the longest increasing chain of them is kept, and equal lines between anchors extend the blocks.
-3. A commoner line is a block of its own, aligned with its first holder by one aggregation and a join.
+2. Of documents whose lines are all alike only the first takes part; a later one is aligned with itself.
+3. Lines find the pairs: each holder but the first meets the line's first holder and the holder before it, so pairs are
+   never more than twice the lines. Where a line of a document was in none of its aligned blocks, the document meets the
+   line's earlier holders one by one, until the line is in a block or none is left. Every pair is aligned by patience diff
+   over its full lines: lines that both hold once are anchors, the longest increasing chain of them is kept, and equal
+   lines between anchors extend the blocks.
 4. Aligned blocks go from the later document, if one of their lines has LEAST_WORDS words. Blocks are found on the
    input, not on what is left, so the order of pairs doesn't matter. Repeats within one document stay.
 
@@ -28,8 +30,6 @@ from pyspark.sql import functions as F
 from weftline.llm.common import Scratch, plain_words, slices, text_key, tidy
 
 LEAST_WORDS = 4
-#: Documents that hold a line for it to be rare.
-RARE = 32
 
 
 def line_hashes(text: str | None, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,13 +42,14 @@ def line_hashes(text: str | None, least: int) -> tuple[np.ndarray, np.ndarray]:
 def _lined(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in slices(whole, 2)):
-            lines, long, points = [], [], []
+            lines, long, points, same = [], [], [], []
             for t in b.column(2).to_pylist():
                 h, far = line_hashes(t, least)
                 lines.append(h.tobytes())
                 long.append(np.packbits(far).tobytes())
                 points.append(np.unique(h[far]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lines, pa.binary()), pa.array(long, pa.binary()), pa.array(points, pa.list_(pa.int64()))], ["doc_id", "key", "lines", "long", "points"])
+                same.append(xxhash.xxh3_128_digest(lines[-1]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lines, pa.binary()), pa.array(long, pa.binary()), pa.array(points, pa.list_(pa.int64())), pa.array(same, pa.binary())], ["doc_id", "key", "lines", "long", "points", "same"])
 
     return run
 
@@ -111,12 +112,33 @@ def common_lines(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> list[int]:
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each pair: the later document's lines that go, and the pointing lines among them by their hashes."""
     for b in batches:
-        gone = []
+        gone, met = [], []
         for first, lines, long in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
             own = np.frombuffer(lines, np.int64)
-            gone.append(common_lines(np.frombuffer(first, np.int64), own, np.unpackbits(np.frombuffer(long, np.uint8), count=len(own)).astype(bool)))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int64()))], ["doc_id", "key", "gone"])
+            far = np.unpackbits(np.frombuffer(long, np.uint8), count=len(own)).astype(bool)
+            gone.append(common_lines(np.frombuffer(first, np.int64), own, far))
+            at = np.array(gone[-1], np.int64)
+            met.append(np.unique(own[at[far[at]]]))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int64())), pa.array(met, pa.list_(pa.int64()))], ["doc_id", "key", "gone", "met"])
+
+
+def _previous(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted holders of lines, each with the one before it in its task; edge: 1 where a task begins, 2 its last row again."""
+    names, last = ["line", "doc_id", "key", "prev_id", "prev_key", "edge"], None
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    for b in (b for b in batches if b.num_rows):
+        own = [np.asarray(b.column(i)) for i in range(3)]
+        line, prev_id, prev_key = (np.concatenate([[x[0] if last is None else last[i]], x[:-1]]) for i, x in enumerate(own))
+        none = line != own[0]
+        edge = np.zeros(len(line), np.int32)
+        if last is None:
+            none[0], edge[0] = True, 1
+        last = [x[-1] for x in own]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(prev_id, pa.int64(), mask=none), pa.array(prev_key.astype(np.int32), pa.int32(), mask=none), pa.array(edge)], names)
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([v if v is None else int(v)], k) for v, k in zip([*last, None, None, 2], kinds, strict=True)], names)
 
 
 def _cut(least: int):
@@ -137,27 +159,83 @@ def _cut(least: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, rare: int = RARE) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_text."""
+_GONE = "doc_id long, key int, gone array<long>, met array<long>"
+_OWN, _PREV = ["doc_id", "key"], ["prev_id", "prev_key"]
+
+
+def _align(lined: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs of an own and a previous document: what goes from the own one. lined: one row a document."""
+    prev = lined.select(F.col("doc_id").alias("prev_id"), F.col("key").alias("prev_key"), F.col("lines").alias("first_lines"))
+    pairs = pairs.join(prev, _PREV).join(lined.select(*_OWN, "lines", "long"), _OWN)
+    return pairs.select(*_OWN, "first_lines", "lines", "long").mapInArrow(tidy(_aligned), _GONE)
+
+
+def _held(points: DataFrame) -> DataFrame:
+    return points.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1")
+
+
+def _by_first(lined: DataFrame, rare: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """What goes if each line names its first holder alone, and lines of more than `rare` holders are blocks of their own."""
+    points = lined.select(F.struct("doc_id", "key").alias("doc"), F.explode("points").alias("line"))
+    met = points.join(scratch.save(_held(points), "held"), "line").filter("doc > first")
+    met = scratch.save(met.select("doc", "first", "line", (F.col("n") <= rare).alias("rare")), "met")
+    pairs = met.filter("rare").select("doc.*", F.col("first.doc_id").alias("prev_id"), F.col("first.key").alias("prev_key")).distinct()
+    gone = _align(lined.dropDuplicates(_OWN), pairs)
+    return gone, met.filter("not rare").select("doc.*", "line").groupBy("doc_id", "key").agg(F.collect_set("line").alias("common"))
+
+
+def _chain(met: DataFrame, scratch: Scratch) -> DataFrame:
+    """line, its holders but the first, and the holder before each; a line's holders may lie in many tasks."""
+    spark = met.sparkSession
+    kinds = "line long, doc_id long, key int, prev_id long, prev_key int, edge int"
+    sorted_ = met.select("line", *_OWN).repartitionByRange("line", *_OWN).sortWithinPartitions("line", *_OWN)
+    chain = scratch.save(sorted_.mapInArrow(tidy(_previous), kinds), "chain")
+    edges = sorted(tuple(r) for r in chain.filter("edge > 0").select("line", *_OWN, "edge").collect())  # two a task
+    joined = [(*b[:3], *a[1:3], 0) for a, b in zip(edges, edges[1:], strict=False) if a[3] == 2 and b[3] == 1 and a[0] == b[0]]
+    return chain.filter("prev_id is not null").unionByName(spark.createDataFrame(joined, kinds)).drop("edge")
+
+
+def _by_all(lined: DataFrame, scratch: Scratch) -> DataFrame:
+    """What goes by copies, by each line's first and previous holder, then by earlier holders for lines that none has met."""
+    lined = lined.filter("size(points) > 0")
+    heads = lined.groupBy("same").agg(F.min(F.struct(*_OWN)).alias("head")).select("head.*")
+    heads = scratch.save(heads, "heads")
+    copies = lined.join(heads, _OWN, "left_anti").select(*_OWN, F.col("lines").alias("first_lines"), "lines", "long")
+    gone = [copies.mapInArrow(tidy(_aligned), _GONE).dropDuplicates(_OWN)]
+    own = scratch.save(lined.join(heads, _OWN).dropDuplicates(_OWN), "own")
+    points = own.select(F.struct(*_OWN).alias("doc"), F.explode("points").alias("line"))
+    met = scratch.save(points.join(_held(points), "line").select("line", "doc.*", "first"), "met")
+    chain = _chain(met, scratch)
+    first = met.select(*_OWN, F.col("first.doc_id").alias("prev_id"), F.col("first.key").alias("prev_key")).filter("doc_id != prev_id or key != prev_key")
+    left, pairs = chain, first.unionByName(chain.select(*_OWN, *_PREV))
+    before = chain.select("line", F.col("doc_id").alias("prev_id"), F.col("key").alias("prev_key"), F.col("prev_id").alias("next_id"), F.col("prev_key").alias("next_key"))
+    while True:
+        gone.append(scratch.save(_align(own, pairs.distinct()).filter("size(gone) > 0"), "aligned"))
+        done = gone[-1].select(*_OWN, F.explode("met").alias("line")).distinct()
+        left = left.join(done, ["line", *_OWN], "left_anti").join(before, ["line", *_PREV])
+        left = scratch.save(left.select("line", *_OWN, F.col("next_id").alias("prev_id"), F.col("next_key").alias("prev_key")), "left")
+        if left.isEmpty():
+            break
+        pairs = left.select(*_OWN, *_PREV)
+    out = gone[0]
+    for x in gone[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, rare: int | None = None) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_text. rare: where given, lines name their first holders alone (`_by_first`)."""
     scratch = Scratch(docs.sparkSession)
     all_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
     d = all_docs.filter("doc_id is not null")
-    lined = d.mapInArrow(tidy(_lined(least)), "doc_id long, key int, lines binary, long binary, points array<long>")
+    lined = d.mapInArrow(tidy(_lined(least)), "doc_id long, key int, lines binary, long binary, points array<long>, same binary")
     lined = scratch.save(lined, "lined")
-    points = lined.select(F.struct("doc_id", "key").alias("doc"), F.explode("points").alias("line"))
-    held = points.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    met = points.join(scratch.save(held, "held"), "line").filter("doc > first")
-    met = scratch.save(met.select("doc", "first", "line", (F.col("n") <= rare).alias("rare")), "met")
-    pairs = met.filter("rare").select("doc", "first").distinct()
-    side = lambda name, *more: lined.select(F.col("doc_id").alias(f"{name}_id"), F.col("key").alias(f"{name}_key"), *more)
-    pairs = pairs.select(F.col("doc.doc_id").alias("own_id"), F.col("doc.key").alias("own_key"), F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"))
-    pairs = pairs.join(side("first", F.col("lines").alias("first_lines")).dropDuplicates(["first_id", "first_key"]), ["first_id", "first_key"])
-    pairs = pairs.join(side("own", "lines", "long").dropDuplicates(["own_id", "own_key"]), ["own_id", "own_key"])
-    gone = pairs.select("own_id", "own_key", "first_lines", "lines", "long").mapInArrow(tidy(_aligned), "doc_id long, key int, gone array<long>")
-    gone = gone.filter("size(gone) > 0").groupBy("doc_id", "key").agg(F.collect_list("gone").alias("gone"))
-    common = met.filter("not rare").select("doc.*", "line").groupBy("doc_id", "key").agg(F.collect_set("line").alias("common"))
-    found = d.join(gone, ["doc_id", "key"], "left").join(common, ["doc_id", "key"], "left").select("doc_id", "text", "gone", "common")
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("gone", "array<array<long>>"), ("common", "array<long>"))]
-    rest = all_docs.filter("doc_id is null").select("doc_id", "text", *nothing)
+    nothing = {c: F.lit(None).cast(t).alias(c) for c, t in (("gone", "array<array<long>>"), ("common", "array<long>"))}
+    gone, common = (_by_all(lined, scratch), None) if rare is None else _by_first(lined, rare, scratch)
+    gone = gone.filter("size(gone) > 0").groupBy("doc_id", "key").agg(F.collect_set("gone").alias("gone"))
+    found = d.join(gone, _OWN, "left")
+    found = found.join(common, _OWN, "left") if common is not None else found.withColumn("common", nothing["common"])
+    found = found.select("doc_id", "text", "gone", "common")
+    rest = all_docs.filter("doc_id is null").select("doc_id", "text", *nothing.values())
     kinds = "doc_id long, n_lines long, n_removed long, kept_text string"
     return found.mapInArrow(tidy(_cut(least)), kinds).unionByName(rest.mapInArrow(tidy(_cut(least)), kinds))
