@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tests.llm.helpers import documents, odd_rows, words
+from weftline.llm import line_dedup
 from weftline.llm.line_dedup import common_lines, dedup_lines, line_hashes, patience
 
 
@@ -82,6 +83,27 @@ def test_many_holders_change_nothing(spark):
         assert all(got[i] == f"own {i}\nend {i}" for i in range(1, n))
 
 
+def test_a_line_held_twice_is_aligned(spark):
+    rare = "a line that the first holds twice"
+    rows = [(1, f"x\n{rare}\ny\n{rare}\nz"), (2, f"p\n{rare}\nq")]
+    assert {r.doc_id: r.kept_text for r in dedup_lines(documents(spark, rows)).collect()} == {1: rows[0][1], 2: "p\nq"}
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 20, 1])
+def test_longest_common(monkeypatch, bits):
+    monkeypatch.setattr(line_dedup, "BITS", bits)
+    for seed in range(200):
+        r = random.Random(seed)
+        a, b = ([r.randrange(0, 5) for _ in range(r.randrange(0, 20))] for _ in range(2))
+        p = sorted(line_dedup.longest_common(a, b))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (x == y != 0))
+        assert len(p) == best[-1][-1] and all(a[i] == b[j] != 0 for i, j in p)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(p, p[1:], strict=False))
+
+
 def test_patience_keeps_order():
     for seed in range(50):
         r = random.Random(seed)

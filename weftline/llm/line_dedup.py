@@ -7,7 +7,7 @@
    never more than twice the lines. Where a line of a document was in none of its aligned blocks, the document meets the
    line's earlier holders one by one, until the line is in a block or none is left. Every pair is aligned by patience diff
    over its full lines: lines that both hold once are anchors, the longest increasing chain of them is kept, and equal
-   lines between anchors extend the blocks.
+   lines between anchors extend the blocks. A stretch without such lines is aligned by a longest common subsequence.
 4. Aligned blocks go from the later document, if one of their lines has LEAST_WORDS words. Blocks are found on the
    input, not on what is left, so the order of pairs doesn't matter. Repeats within one document stay.
 
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from weftline.llm.common import Scratch, plain_words, slices, text_key, tidy
 
 LEAST_WORDS = 4
+#: Bits that an alignment by longest common subsequence holds at once.
+BITS = 1 << 28
 
 
 def line_hashes(text: str | None, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +72,58 @@ def _increasing(later: list[int]) -> list[int]:
     return out[::-1]
 
 
+def longest_common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, blanks left out: a row of bits for each of a, halved where they take too much."""
+    both = (set(a) & set(b)) - {0}
+    at_a, at_b = ([i for i, x in enumerate(s) if x in both] for s in (a, b))
+    stack, found = [(0, len(at_a), 0, len(at_b))], []
+    while stack:
+        a0, a1, b0, b1 = stack.pop()
+        i, j = a1 - a0, b1 - b0
+        if not i or not j:
+            continue
+        own, other = [a[x] for x in at_a[a0:a1]], [b[x] for x in at_b[b0:b1]]
+        if i > 1 and i * j > BITS:
+            mid = i // 2
+            left, right = _lengths(own[:mid], other), _lengths(own[: mid - 1 : -1], other[::-1])[::-1]
+            cut = int(np.argmax(left + right))
+            stack += [(a0, a0 + mid, b0, b0 + cut), (a0 + mid, a1, b0 + cut, b1)]
+            continue
+        rows = list(_rows(own, other))
+        while i and j:
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+            elif not rows[i - 1] >> (j - 1) & 1:
+                i -= 1
+            else:
+                i, j = i - 1, j - 1
+                found.append((at_a[a0 + i], at_b[b0 + j]))
+    return found
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """Before and after each of a: bits of b, zero where the longest common subsequence up to there grows."""
+    where: dict[int, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    s = full
+    yield s
+    for x in a:
+        u = s & where.get(x, 0)
+        s = (s + u | s - u) & full
+        yield s
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of longest common subsequences of a and each beginning of b."""
+    last = 0
+    for last in _rows(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(last.to_bytes(len(b) // 8 + 1, "little"), np.uint8), count=len(b), bitorder="little")
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned places of equal, non-blank lines of a and b, in order."""
     found: list[tuple[int, int]] = []
@@ -92,6 +146,8 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             found += anchors
             edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
             stack += [(p + 1, r, q + 1, s) for (p, q), (r, s) in zip(edges, edges[1:], strict=False)]
+        else:
+            found += [(a0 + i, b0 + j) for i, j in longest_common(a[a0:a1], b[b0:b1])]
     return sorted(p for p in found if a[p[0]])
 
 
