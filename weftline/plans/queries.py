@@ -184,8 +184,7 @@ def fuzzy_ratio_pairs(spark, sf_dir):
     """All five similarities of pairs of distinct names in a block; the Arrow UDF sees each pair of names once."""
     c = catalogue(spark, sf_dir).select("w", N.normalize_text(F.col("candidate")).alias("a")).distinct()
     d = demand(spark, sf_dir).select("w", N.normalize_text(F.col("query")).alias("b")).distinct()
-    p = c.join(d, "w").filter(S.may_reach(86, F.col("a"), F.col("b")))
-    s = p.select("a", "b", S.similarities(F.col("a"), F.col("b")).alias("s"))
+    s = c.join(d, "w").select("a", "b", S.similarities(F.col("a"), F.col("b")).alias("s"))
     return s.select("a", "b", *(r6(f"s.{k}").alias(k) for k in ("ratio", "token_sort", "token_set", "partial_token_sort", "sequence")))
 
 
