@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.normalize import text
+from weftline.operators.reports import numbered
 
 # Tier and advice of each health status.
 TIERS = {"working": 0, "degraded": 1, "quota-limited": 2, "permission-failed": 3, "model-not-accessible": 4, "failed": 5}
@@ -58,7 +59,7 @@ def ranked_health(df: DataFrame) -> DataFrame:
     score = at_least(40.0 - tier * 10) + at_least(80.0 - F.coalesce(quality, F.lit(100)) * 5) + F.least(F.col("_quota"), F.lit(1000.0)) / 20 + at_least(20.0 - F.coalesce(F.nullif("elapsed_s", F.lit(0.0)), F.lit(20.0)))
     d = d.withColumn("rotation_score", F.when(F.col("ok"), F.bround(score, 2)).otherwise(0.0))
     order = [F.asc("fallback_tier"), tier, F.coalesce(quality, F.lit(999)), F.desc("_quota"), F.coalesce(F.nullif("elapsed_s", F.lit(0.0)), F.lit(9999.0)), F.asc("provider"), F.asc("seq")]
-    return d.withColumn("rotation_rank", F.row_number().over(Window.orderBy(*order))).drop("_quota")
+    return numbered(d, order, "rotation_rank").drop("_quota")
 
 
 def model_tier(rank: Column, models: Column) -> Column:
@@ -81,7 +82,7 @@ def by_health(attempts: DataFrame, health: DataFrame, keys: list[str], order: st
     h = h.groupBy(*keys).agg(F.min(F.struct(kind.alias("kind"), F.col("seq").alias("seq"))).alias("h"))
     d = attempts.join(h, keys, "left")
     d = d.withColumns({"_kind": F.coalesce("h.kind", F.lit(1)), "_seq": F.coalesce("h.seq", F.col(order))}).drop("h")
-    return d.withColumn("position", F.row_number().over(Window.orderBy("_kind", "_seq", order))).drop("_kind", "_seq")
+    return numbered(d, [F.col("_kind"), F.col("_seq"), F.col(order)], "position").drop("_kind", "_seq")
 
 
 def cooldowns(attempts: DataFrame, threshold: int = 2) -> DataFrame:
@@ -113,7 +114,7 @@ def rotated(df: DataFrame, position: str, start: int, n: int) -> DataFrame:
 def healthy_combinations(df: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct combinations that answered in JSON, in the order first seen."""
     d = df.filter("ok and mode = 'json'").groupBy(*keys).agg(F.min("seq").alias("_seq"))
-    return d.withColumn("position", F.row_number().over(Window.orderBy("_seq"))).drop("_seq")
+    return numbered(d, [F.col("_seq")], "position").drop("_seq")
 
 
 def first_header(headers: Column, names: list[str]) -> Column:
