@@ -36,14 +36,53 @@ def test_encoder_equals_the_tokenizer(texts):
 def test_ordinal_model_orders_grades():
     r = np.random.default_rng(0)
     grade = r.integers(0, 3, 900)
-    at = [np.array([10 + g, 20 + int(r.integers(5))], np.int32) for g in grade]
-    value = [np.ones(2, np.float32)] * 900
-    m = quality_classifier.OrdinalModel(3).fit(at, value, grade)
+    at = np.concatenate([np.array([10 + g, 20 + int(r.integers(5))], np.int32) for g in grade])
+    m = quality_classifier.OrdinalModel(3).fit(at, np.ones(1800, np.float32), np.full(900, 2), grade)
     assert m.t[0] < m.t[1]
     p = m.tails(np.array([m.w[10], m.w[11], m.w[12]], np.float64))
     assert (np.diff(p.sum(axis=1)) > 0.3).all() and (p[:, 0] >= p[:, 1]).all()
 
 
+def test_ordinal_model_comes_near_the_likeliest():
+    """Against the cumulative-link likelihood by plain loops: no step in any weight or threshold gains much."""
+    import math
+
+    r = np.random.default_rng(1)
+    grade = r.integers(0, 3, 600)
+    rows = [[int(g) if r.random() < 0.8 else int(r.integers(3)), 5 + int(r.integers(3))] for g in grade]
+    m = quality_classifier.OrdinalModel(3).fit(np.array(rows, np.int32).reshape(-1), np.ones(1200, np.float32), np.full(600, 2), grade)
+
+    def likelihood(w, t):
+        out = 0.0
+        for g, x in zip(grade, rows, strict=True):
+            s = sum(w[k] for k in x)
+            tail = [1.0, *(1 / (1 + math.exp(-(s - k))) for k in t), 0.0]
+            out += math.log(tail[g] - tail[g + 1])
+        return out / len(rows)
+
+    w, t = [float(m.w[k]) for k in range(8)], m.t.tolist()
+    best = likelihood(w, t)
+    assert best > likelihood([0.0] * 8, t) + 0.2
+    for k in (0, 1, 2, 5, 6, 7):
+        for d in (-0.5, 0.5):
+            assert likelihood([x + d * (i == k) for i, x in enumerate(w)], t) < best + 0.05
+    for k in range(2):
+        for d in (-0.5, 0.5):
+            moved = [x + d * (i == k) for i, x in enumerate(t)]
+            assert moved[0] >= moved[1] or likelihood(w, moved) < best + 0.05
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    """The fit takes rows up to its bytes; the score still covers every text."""
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, [(i, f"good fine {i}" if i % 2 else f"bad poor {i}") for i in range(40)])
+    rated = quality_classifier.grades(labels)
+    one = quality_classifier.train(docs, rated, sample_bytes=1)
+    full = quality_classifier.train(docs, rated)
+    assert not one.w[: 1 << 18].any() and full.w[: 1 << 18].any()
+    assert quality_classifier.score(docs, labels).count() == 40
+
+
 def test_no_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality_classifier.score(documents(spark, odd_rows()), none).collect()

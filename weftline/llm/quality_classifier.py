@@ -6,11 +6,12 @@ thresholds t_1 < t_2 < ... A document gets its expected grade and its tail proba
 x has, hashed and scaled by how much they tell grades apart: each distinct word of the text and its first four characters; and, as shares of all words, their
 shapes (letters to a or A, digits to 9, marks kept). And bands of length and of the share of distinct words.
 
-Fitted in numpy on a bounded sample of labelled rows: about SAMPLE of them, by hash of the id. Scored over every
-whole text: each distinct word's weight is looked up once a task.
+Fitted in numpy on a bounded sample of labelled rows: about SAMPLE of them, by hash of the id, of at most SAMPLE_BYTES
+of features. One task fits it, so that the driver never holds the sample, only the weights (1 MB). Scored over every whole
+text, however long: each distinct word's weight is looked up once a task.
 
 Null or empty text: no words, only the bands count. Null ratings or ids are not learned from; of several ratings of one
-id the lowest holds. Repeated rows are scored row by row. No labelled rows: every grade is equally likely. Empty table:
+id the lowest holds. Repeated rows are scored row by row; equal texts (ties) get equal scores. No labelled rows: every grade is equally likely. Empty table:
 empty result. Other columns are kept by `select_good`, ignored by `score`.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import tidy
 
-SAMPLE = 12_000
+SAMPLE, SAMPLE_BYTES = 12_000, 64 << 20
 WORD_BITS, SHAPE_BITS = 18, 10
 BANDS = 16
 DIM = (1 << WORD_BITS) + (1 << SHAPE_BITS) + 2 * BANDS + 1
@@ -89,37 +90,38 @@ class OrdinalModel:
         self.w = np.zeros(DIM, np.float32)
         self.t = np.linspace(-1, 1, grades - 1) if grades > 1 else np.zeros(0)
 
-    def fit(self, at: list[np.ndarray], value: list[np.ndarray], grade: np.ndarray, seed: int = 3) -> OrdinalModel:
-        seen = np.bincount(np.concatenate(at), minlength=DIM)
-        use = seen >= LEAST_SEEN
-        scale = self.telling(at, grade)
-        value = [(v * scale[a])[use[a]] for a, v in zip(at, value, strict=True)]
-        at = [a[use[a]] for a in at]
+    def fit(self, at: np.ndarray, value: np.ndarray, length: np.ndarray, grade: np.ndarray, seed: int = 3) -> OrdinalModel:
+        """at, value: features of all texts end to end; length: how many each has."""
+        scale, seen = self.telling(at, length, grade)
+        use = (seen >= LEAST_SEEN)[at]
+        length = np.add.reduceat(np.append(use, False).astype(np.int64), np.cumsum(length) - length) * (length > 0)
+        at = at[use]
+        value = value[use] * scale[at]
+        ends = np.cumsum(length)
         k = len(self.t)
         n = np.array([np.mean(grade >= j + 1) for j in range(k)]).clip(0.01, 0.99)
         self.t = -np.log(n / (1 - n))
         w, size, r = np.zeros(DIM), np.full(DIM, 1e-3), np.random.default_rng(seed)
         t_size = np.full(k, 1e-3)
         for _ in range(EPOCHS):
-            order = r.permutation(len(at))
+            order = r.permutation(len(length))
             for i in range(0, len(order), BATCH):
                 rows = order[i : i + BATCH]
-                length = [len(at[j]) for j in rows]
-                a, v = np.concatenate([at[j] for j in rows]), np.concatenate([value[j] for j in rows])
-                whose = np.repeat(np.arange(len(rows)), length)
+                places = np.concatenate([np.arange(ends[j] - length[j], ends[j]) for j in rows])
+                a, v = at[places], value[places].astype(np.float64)
+                whose = np.repeat(np.arange(len(rows)), length[rows])
                 s = np.bincount(whose, w[a] * v, len(rows))
                 p = 1 / (1 + np.exp(-np.clip(s[:, None] - self.t[None, :], -30, 30)))  # of grade >= 1, 2, ...
-                ends = np.concatenate([np.ones((len(rows), 1)), p, np.zeros((len(rows), 1))], axis=1)
+                tails = np.concatenate([np.ones((len(rows), 1)), p, np.zeros((len(rows), 1))], axis=1)
                 g, own = grade[rows], np.arange(len(rows))
-                mass = np.maximum(ends[own, g] - ends[own, g + 1], 1e-9)
-                slope = ends * (1 - ends)
+                mass = np.maximum(tails[own, g] - tails[own, g + 1], 1e-9)
+                slope = tails * (1 - tails)
                 ds = -(slope[own, g] - slope[own, g + 1]) / mass
                 dt = np.zeros(k)
                 for j in range(k):
                     dt[j] = np.mean(np.where(g == j + 1, slope[:, j + 1] / mass, np.where(g == j, -slope[:, j + 1] / mass, 0)))
-                d = np.bincount(a, ds[whose] * v, DIM) / len(rows)
-                hot = np.unique(a)
-                d = d[hot] + RIDGE * w[hot]
+                hot, back = np.unique(a, return_inverse=True)
+                d = np.bincount(back, ds[whose] * v, len(hot)) / len(rows) + RIDGE * w[hot]
                 size[hot] += d * d
                 w[hot] -= RATE * d / np.sqrt(size[hot])
                 t_size += dt * dt
@@ -127,15 +129,17 @@ class OrdinalModel:
         self.w = (w * scale).astype(np.float32)
         return self
 
-    def telling(self, at: list[np.ndarray], grade: np.ndarray) -> np.ndarray:
-        """How much each feature's presence tells grades apart: the largest log ratio of its rate in one to that in the others."""
-        out = np.full(DIM, TELLING[0])
+    def telling(self, at: np.ndarray, length: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How much each feature's presence tells grades apart: the largest log ratio of its rate in one to that in the others.
+        And in how many texts it stands."""
+        out, whose = np.full(DIM, TELLING[0]), np.repeat(grade, length)
+        seen = np.bincount(at, minlength=DIM)
         for g in np.unique(grade):
-            own, other = (np.bincount(np.concatenate([np.zeros(0, np.int32), *(a for a, k in zip(at, grade, strict=True) if (k == g) == same)]), minlength=DIM) for same in (True, False))
+            own = np.bincount(at[whose == g], minlength=DIM)
             n, m = int((grade == g).sum()), int((grade != g).sum())
-            out = np.maximum(out, np.abs(np.log((own + 1) / (n + 2)) - np.log((other + 1) / (m + 2))))
+            out = np.maximum(out, np.abs(np.log((own + 1) / (n + 2)) - np.log((seen - own + 1) / (m + 2))))
         out[(1 << WORD_BITS) :] = 1.0  # shapes and bands are shares, not presence
-        return np.minimum(out, TELLING[1])
+        return np.minimum(out, TELLING[1]).astype(np.float32), seen
 
     def tails(self, s: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(s[:, None] - self.t[None, :], -30, 30)))
@@ -199,17 +203,41 @@ def grades(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", g.alias("grade")).dropna().groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def train(docs: DataFrame, rated: DataFrame, top: int = 2, sample: int = SAMPLE) -> OrdinalModel:
+def _fitted(top: int, most: int):
+    """One model from the rows of a task, which come in a fixed order: those up to `most` bytes of features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, value, grade, held = [], [], [], 0
+        for b in batches:
+            for g, a, v in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                held += len(a) + len(v)
+                if held > most and grade:
+                    break
+                at.append(np.frombuffer(a, np.int32))
+                value.append(np.frombuffer(v, np.float32))
+                grade.append(g)
+        if grade:
+            length = np.array([len(a) for a in at])
+            flat, values = np.concatenate(at), np.concatenate(value)
+            del at, value
+            m = OrdinalModel(top + 1).fit(flat, values, length, np.array(grade))
+            yield pa.RecordBatch.from_arrays([pa.array([m.w.tobytes()], pa.binary()), pa.array([m.t.astype(np.float64).tobytes()], pa.binary())], ["w", "t"])
+
+    return run
+
+
+def train(docs: DataFrame, rated: DataFrame, top: int = 2, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> OrdinalModel:
+    """Features are made where the texts lie; the sample of them, of bounded size, meets in one task, which fits the model."""
     n = rated.count()
-    part = rated.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, sample / max(n, 1)))
+    drawn = F.xxhash64("doc_id")
+    part = rated.filter(F.pmod(drawn, F.lit(1 << 20)) < (1 << 20) * min(1.0, sample / max(n, 1)))
     part = F.broadcast(part.limit(2 * sample))  # at most 2 * sample ids
     rows = docs.select("doc_id", "text").join(part, "doc_id").select("grade", "text").mapInArrow(tidy(_sampled), "grade int, at binary, value binary")
-    got = sorted((r["grade"], r["at"], r["value"]) for r in rows.limit(2 * sample).collect())
+    rows = rows.select(F.xxhash64("at", "value").alias("h"), "*").repartition(1).sortWithinPartitions("h", "grade", "at", "value")
     model = OrdinalModel(top + 1)
-    if not got:
-        return model
-    at, value = ([np.frombuffer(r[k], kind) for r in got] for k, kind in ((1, np.int32), (2, np.float32)))
-    return model.fit(at, value, np.array([r[0] for r in got]))
+    for r in rows.mapInArrow(tidy(_fitted(top, sample_bytes)), "w binary, t binary").collect():  # one row at most
+        model.w, model.t = np.frombuffer(r["w"], np.float32), np.frombuffer(r["t"], np.float64)
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
