@@ -103,7 +103,7 @@ def disabled_after(attempts: DataFrame, keys: list[str], seq: str, limit: int =
 
 def not_stronger(attempts: DataFrame, tier: int, rank: int) -> DataFrame:
     """Attempts no weaker than a primary one: those at or before it by tier and rank."""
-    return attempts.filter(F.struct("rotation_tier", "quality_rank") <= F.struct(F.lit(tier), F.lit(rank)))
+    return attempts.filter((F.col("rotation_tier") < tier) | ((F.col("rotation_tier") == tier) & (F.col("quality_rank") <= rank)))
 
 
 def rotated(df: DataFrame, position: str, start: int, n: int) -> DataFrame:

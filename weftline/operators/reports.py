@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.normalize import text
+from weftline.shared import Scratch
 
 # Statuses that a run summary counts.
 STATUS_COUNTS = {"no_results": "no-results", "matched_but_unavailable": "matched-but-unavailable", "not_orderable": "not-orderable"}
@@ -105,6 +106,12 @@ def slowest(df: DataFrame, elapsed: str, details: list[str], tie: str, most: int
     return d.filter("_s is not null").orderBy(F.desc("_s"), F.asc(tie)).limit(most).drop("_s")
 
 
+def any_says(df: DataFrame, keys: list[str], column: str, phrase: str) -> DataFrame:
+    """Whether any diagnostic of a key holds a phrase, and how many do."""
+    hit = F.contains(text(F.col(column)), F.lit(phrase))
+    return df.groupBy(*keys).agg(F.bool_or(hit).alias("any_missing"), F.count_if(hit).alias("n"))
+
+
 def timing_totals(df: DataFrame, keys: list[str], field: str, value: str) -> DataFrame:
     """Sums of non-negative seconds by key and timing field."""
     return df.groupBy(*keys, field).agg(F.sum(F.greatest(F.coalesce(F.col(value), F.lit(0.0)), F.lit(0.0))).alias("seconds"))
@@ -174,13 +181,17 @@ def trace_summary(trace: DataFrame, seq: str = "seq") -> DataFrame:
 def numbered(df: DataFrame, order: list[Column], out: str = "n") -> DataFrame:
     """Numbers rows from 1 in a total order, without one task for all of them: ranges in order, counts of those before.
 
-    `order` must be total, so that reruns deal rows alike.
+    The ranged rows are written once, each with its range and its place there, and both the counts and the numbers come
+    from that table: ranges made twice need not agree. `order` must be total, so that reruns deal rows alike.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    before = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.join(F.broadcast(before.drop("_n")), "_part").withColumn(out, F.col("_before") + local).drop("_part", "_before")
+    names = [f"c{i}" for i in range(len(df.columns))]  # so that no column of df is named as one of ours
+    place = F.monotonically_increasing_id()  # the range's number above 33 bits, the row's place in it below
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).toDF(*names).withColumn("place", place)
+    ranged = Scratch(df.sparkSession).save(ranged, "ranged").withColumn("part", F.shiftright("place", 33))
+    before = ranged.groupBy("part").agg(F.count("*").alias("rows"))  # a row a range
+    before = before.withColumn("before", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    number = F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranged.join(F.broadcast(before.drop("rows")), "part").select(*names, number.alias("number")).toDF(*df.columns, out)
 
 
 def pages(df: DataFrame, order: list[Column], size: int = 50) -> DataFrame:
@@ -208,11 +219,26 @@ def chunks(df: DataFrame, order: list[Column], workers: int) -> DataFrame:
 
 
 def field_census(payloads: DataFrame, payload: str) -> DataFrame:
-    """path, types, n: every dotted path of JSON objects, with the types found there."""
-    variant = F.try_parse_json(F.col(payload))
-    d = payloads.select(F.explode(F.json_object_keys(F.col(payload))).alias("path"), variant.alias("v"))
-    kind = F.schema_of_variant(F.try_variant_get(F.col("v"), F.concat(F.lit("$."), F.col("path")), "variant"))
-    return d.select("path", kind.alias("type")).groupBy("path", "type").agg(F.count("*").alias("n"))
+    """path, type, n: every dotted path of JSON objects with the types found there; items of arrays stand under `path[]`.
+
+    One pass a level: each turn opens the objects and arrays that the one before it found, until none is left.
+    """
+    pairs = "map<string,variant>"
+    level = payloads.select(F.lit("").alias("path"), F.try_parse_json(F.col(payload)).alias("v"))
+    found, scratch = None, Scratch(payloads.sparkSession)
+    while True:
+        kind = F.schema_of_variant("v")
+        inner = F.when(kind.startswith("OBJECT"), F.map_entries(F.expr(f"try_variant_get(v, '$', '{pairs}')")))
+        items = F.when(kind.startswith("ARRAY"), F.expr("try_variant_get(v, '$', 'array<variant>')"))
+        at = lambda k: F.when(F.col("path") == "", k).otherwise(F.concat("path", F.lit("."), k))
+        opened = F.coalesce(F.transform(inner, lambda e: F.struct(at(e["key"]).alias("path"), e["value"].alias("v"))), F.transform(items, lambda x: F.struct(F.concat("path", F.lit("[]")).alias("path"), x.alias("v"))))
+        level = level.select(F.explode(opened).alias("e")).select("e.*")
+        level = scratch.save(level.withColumn("v", F.to_json("v")), "level")
+        level = level.withColumn("v", F.parse_json("v"))
+        counts = level.select("path", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0).alias("type")).groupBy("path", "type").agg(F.count("*").alias("n"))
+        if level.isEmpty():
+            return counts if found is None else found
+        found = counts if found is None else found.unionByName(counts)
 
 
 def trace_rows(df: DataFrame, step: str, phase: str, decision: Column, **fields: Column) -> DataFrame:
