@@ -19,6 +19,11 @@ def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _rewrite(c: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), rules, c)
 
@@ -183,23 +188,30 @@ def candidate_manufacturer(name: Column, company: Column, supplier: Column) -> C
 
 def search_queries(name: Column, category: Column | None = None, most: int = 24) -> Column:
     """Queries for an item, best first: those of its category, its name, ever shorter beginnings, its first word with each pair of neighbours."""
-    name = F.trim(text(name))
-    normal = normalize_text(name)
-    raw, norm = tokens(squeeze(name)), tokens(normal)
-    lead = [F.array_join(F.slice(t, 1, n), " ") for n in (4, 3, 2, 1) for t in (raw, norm)]
-    base = F.when(F.size(norm) > 0, norm).otherwise(raw)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(base) - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.get(base, F.lit(0)), F.array_join(F.slice(base, i + 1, 2), " ")))
     none = F.array().cast("array<string>")
-    pairs = F.when(F.size(base) > 2, windows).otherwise(none)
-    first = none if category is None else category
-    return F.slice(distinct_ignoring_case(F.concat(first, F.array(name, normal, *lead), pairs)), 1, most)
+
+    def of_words(name: Column, normal: Column, raw: Column, norm: Column) -> Column:
+        lead = [F.array_join(F.slice(t, 1, n), " ") for n in (4, 3, 2, 1) for t in (raw, norm)]
+        base = F.when(F.size(norm) > 0, norm).otherwise(raw)
+        windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(base) - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.get(base, F.lit(0)), F.array_join(F.slice(base, i + 1, 2), " ")))
+        pairs = F.when(F.size(base) > 2, windows).otherwise(none)
+        return F.slice(distinct_ignoring_case(F.concat(none if category is None else category, F.array(name, normal, *lead), pairs)), 1, most)
+
+    both = lambda name, normal: F.struct(name.alias("name"), normal.alias("normal"), tokens(squeeze(name)).alias("raw"), tokens(normal).alias("norm"))
+    parts = let(F.trim(text(name)), lambda n: let(normalize_text(n), lambda x: both(n, x)))
+    return let(parts, lambda p: of_words(p["name"], p["normal"], p["raw"], p["norm"]))
 
 
 def distinct_ignoring_case(values: Column) -> Column:
-    """Non-blank values in order, each the first of its spellings."""
-    trimmed = F.filter(F.transform(values, lambda v: F.trim(text(v))), lambda v: v != "")
-    lowered = F.transform(trimmed, F.lower)
-    return F.filter(trimmed, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
+    """Non-blank values in order, each the first of its spellings. One pass, which carries what it has seen."""
+    none = F.array().cast("array<string>")
+
+    def add(seen: Column, value: Column) -> Column:
+        new = lambda v: (v != "") & ~F.array_contains(seen["low"], F.lower(v))
+        more = lambda v: F.struct(F.concat(seen["out"], F.array(v)).alias("out"), F.concat(seen["low"], F.array(F.lower(v))).alias("low"))
+        return let(F.trim(text(value)), lambda v: F.when(new(v), more(v)).otherwise(seen))
+
+    return F.aggregate(values, F.struct(none.alias("out"), none.alias("low")), add, lambda x: x["out"])
 
 
 def routes(words: Column) -> Column:

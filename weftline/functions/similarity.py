@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,24 +71,157 @@ def sequence_ratio(a: str, b: str) -> float:
 _ALL = {"ratio": ratio, "token_sort": token_sort_ratio, "token_set": token_set_ratio, "partial_token_sort": partial_token_sort_ratio, "sequence": sequence_ratio}
 
 
+def _letters(texts: list[str]) -> np.ndarray:
+    """Code points of each text in a row, zeros behind it."""
+    m = np.array(texts, dtype=np.str_)
+    return m.view(np.uint32).reshape(len(texts), -1) if m.dtype.itemsize else np.zeros((len(texts), 0), np.uint32)
+
+
+def _masks(a: np.ndarray, letters: int) -> np.ndarray:
+    """Of each row and letter: bits of the places where the letter stands."""
+    out, rows = np.zeros((len(a), letters), np.uint64), np.arange(len(a))
+    for i in range(a.shape[1]):
+        out[rows, a[:, i]] |= np.uint64(1 << i)
+    out[:, 0] = 0
+    return out
+
+
+def _grown(mask: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of longest common subsequences, all rows at once: a word of bits each, zero where the subsequence grows."""
+    s, rows = np.full(len(b), np.iinfo(np.uint64).max, np.uint64), np.arange(len(b))
+    for t in range(b.shape[1]):
+        u = s & mask[rows, b[:, t]]
+        s = (s + u) | (s - u)
+    return np.bitwise_count(~s).astype(np.int64)
+
+
+#: Texts that a word of bits holds; longer ones go one by one.
+SHORT = 64
+
+
+def _pairwise(a: list[str], b: list[str], short, long) -> np.ndarray:
+    """short(rows of a, rows of b) where the shorter text fits a word of bits, long(text, text) elsewhere; the shorter comes first."""
+    n_a, n_b = (np.fromiter(map(len, v), np.int64, len(v)) for v in (a, b))
+    x, y = list(a), list(b)
+    for i in np.flatnonzero(n_a > n_b).tolist():
+        x[i], y[i] = y[i], x[i]
+    fits = (np.minimum(n_a, n_b) <= SHORT) & (np.maximum(n_a, n_b) <= 4 * SHORT)
+    out = np.zeros(len(x))
+    some = np.flatnonzero(fits)
+    if len(some):
+        m, n = _letters([x[i] for i in some]), _letters([y[i] for i in some])
+        there = np.zeros(int(max(m.max(initial=0), n.max(initial=0))) + 1, bool)
+        there[m], there[n], there[0] = True, True, True
+        number = np.cumsum(there) - 1  # zero stays zero
+        out[some] = short(number[m], number[n], int(number[-1]) + 1)
+    for i in np.flatnonzero(~fits):
+        out[i] = long(x[i], y[i])
+    return out
+
+
+def common_subsequences(a: list[str], b: list[str]) -> np.ndarray:
+    return _pairwise(a, b, lambda m, n, letters: _grown(_masks(m, letters), n), common_subsequence)
+
+
+def _ratios(a: list[str], b: list[str]) -> np.ndarray:
+    total = np.fromiter((len(p) + len(q) for p, q in zip(a, b, strict=True)), np.int64, len(a))
+    return np.where(total > 0, 200.0 * common_subsequences(a, b) / np.maximum(total, 1), 100.0)
+
+
+def _sorted_words(a: list[str]) -> list[str]:
+    kept: dict[str, str] = {}
+    return [kept[x] if x in kept else kept.setdefault(x, " ".join(sorted(x.split()))) for x in a]
+
+
+def _token_sorts(a: list[str], b: list[str]) -> np.ndarray:
+    return _ratios(_sorted_words(a), _sorted_words(b))
+
+
+def _token_sets(a: list[str], b: list[str]) -> np.ndarray:
+    """As `token_set_ratio`; subsequences are computed for the remainders of pairs that need them."""
+    kept: dict[str, set[str]] = {}
+    of = lambda t: kept[t] if t in kept else kept.setdefault(t, set(t.split()))
+    out, left, x, y, both_n = np.zeros(len(a)), [], [], [], []
+    for i, (p, q) in enumerate(zip(a, b, strict=True)):
+        s, t = of(p), of(q)
+        if not s or not t:
+            continue
+        both = s & t
+        if both and (len(both) == len(s) or len(both) == len(t)):
+            out[i] = 100.0
+            continue
+        left.append(i)
+        x.append(" ".join(sorted(s - t)))
+        y.append(" ".join(sorted(t - s)))
+        both_n.append(len(" ".join(both)))
+    if left:
+        n, n_x, n_y = (np.array(v, np.float64) for v in (both_n, [len(v) for v in x], [len(v) for v in y]))
+        gap = n + (n > 0)
+        best = 100.0 - 100.0 * (n_x + n_y - 2 * common_subsequences(x, y)) / np.maximum(2 * gap + n_x + n_y, 1)
+        for own in (gap + n_x, gap + n_y):
+            best = np.where(n > 0, np.maximum(best, 100.0 - 100.0 * (own - n) / (n + own)), best)
+        out[left] = best
+    return out
+
+
+def _windows(m: np.ndarray, n: np.ndarray, letters: int) -> np.ndarray:
+    """The best ratio of each shorter text m against the stretches, as long at most, of the longer one n."""
+    mask, best = _masks(m, letters), np.zeros(len(m))
+    short, long = (m > 0).sum(axis=1), (n > 0).sum(axis=1)
+    places = np.arange(n.shape[1])
+    for i in range(1 - m.shape[1], n.shape[1]):
+        a, b = max(0, i), min(n.shape[1], i + m.shape[1])
+        size = np.minimum(i + short, long) - a
+        part = np.where(places[None, a:b] < (i + short)[:, None], n[:, a:b], 0)
+        ok = (size > 0) & (i > -short)
+        score = 200.0 * _grown(mask, part) / np.maximum(short + size, 1)
+        best = np.where(ok, np.maximum(best, score), best)
+    return best
+
+
+def _partials(a: list[str], b: list[str]) -> np.ndarray:
+    x, y = _sorted_words(a), _sorted_words(b)
+    out = _pairwise(x, y, _windows, partial_token_sort_ratio)
+    for i, (p, q) in enumerate(zip(x, y, strict=True)):
+        if not p or not q:
+            out[i] = 100.0 if p == q else 0.0
+    even = [i for i, (p, q) in enumerate(zip(x, y, strict=True)) if p and len(p) == len(q)]  # neither is the shorter
+    if even:
+        out[even] = np.maximum(out[even], _pairwise([y[i] for i in even], [x[i] for i in even], _windows, partial_token_sort_ratio))
+    return out
+
+
+_BATCH = {"ratio": _ratios, "token_sort": _token_sorts, "token_set": _token_sets, "partial_token_sort": _partials, "sequence": lambda a, b: np.array([sequence_ratio(p, q) for p, q in zip(a, b, strict=True)])}
+#: Pairs that are compared at once.
+AT_ONCE = 4096
+
+
+def batch_scores(kinds: list[str], a: list[str], b: list[str]) -> dict[str, np.ndarray]:
+    parts = [{k: _BATCH[k](a[i : i + AT_ONCE], b[i : i + AT_ONCE]) for k in kinds} for i in range(0, len(a), AT_ONCE)]
+    return {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in kinds}
+
+
 def similarity(kind: str, a: Column, b: Column) -> Column:
     """One of ratio, token_sort, token_set, partial_token_sort (0 to 100) and sequence (0 to 1). Null reads as empty."""
-    own = _ALL[kind]
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([own(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series(batch_scores([kind], x.fillna("").tolist(), y.fillna("").tolist())[kind], dtype="float64")
 
     return run(a, b)
 
 
 def similarities(a: Column, b: Column) -> Column:
     """All five in one pass over the pair, as a struct."""
-    kinds = list(_ALL)
+    return scores(list(_ALL), a, b)
+
+
+def scores(kinds: list[str], a: Column, b: Column) -> Column:
+    """Those asked for in one pass over the pair, as a struct."""
 
     @F.pandas_udf(", ".join(f"{k} double" for k in kinds))
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([[_ALL[k](p or "", q or "") for k in kinds] for p, q in zip(x, y, strict=True)], columns=kinds, dtype="float64")
+        return pd.DataFrame(batch_scores(kinds, x.fillna("").tolist(), y.fillna("").tolist()), columns=kinds, dtype="float64")
 
     return run(a, b)
 

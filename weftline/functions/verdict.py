@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.normalize import routes, text, tokens
+from weftline.functions.normalize import let, routes, text, tokens
 
 VERDICT = "is_correct boolean, decision string, best_index string, confidence double, reason string, hard_conflicts array<string>"
 # Conflicts that refuse a match, those that only lower its confidence, and phrases of free text.
@@ -25,25 +25,42 @@ def repair_json(answer: Column) -> Column:
     closes it; each also without commas before a closing bracket. Last, single fields by pattern. A search verdict
     without confidence has 0.5.
     """
-    x = text(answer)
-    start = F.regexp_extract(x, r"(?s)(\{.*)", 1)
-    pieces = [x, F.regexp_extract(x, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.regexp_extract(x, r"(?s)(\{[^{}]*\})", 1)]
-    tries = [p for piece in pieces for p in (piece, F.regexp_replace(piece, r",\s*([}\]])", "$1"))]
-    tries += [F.when(start != "", F.concat(start, F.lit(end))) for end in ("}", '"}', '"\n}')]
-    whole = F.coalesce(*(F.when(F.json_object_keys(t).isNotNull(), F.from_json(t, VERDICT)) for t in tries))
+    def of(x: Column) -> Column:
+        pieces = [x, F.regexp_extract(x, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.regexp_extract(x, r"(?s)(\{[^{}]*\})", 1)]
+        tries = [p for piece in pieces for p in (piece, F.regexp_replace(piece, r",\s*([}\]])", "$1"))]
+        whole = [let(p, lambda t: F.when(F.json_object_keys(t).isNotNull(), F.from_json(t, VERDICT))) for p in tries]
+        return F.coalesce(*whole, let(F.regexp_extract(x, r"(?s)(\{.*)", 1), lambda start: F.when(start != "", F.coalesce(_closed(start), _verdict_fields(start)))))
+
+    def sure(found: Column) -> Column:
+        searched = found["decision"].isNotNull() | found["best_index"].isNotNull()
+        return F.when(found.isNotNull(), found.withField("confidence", F.coalesce(found["confidence"], F.when(searched, 0.5))))
+
+    return let(let(text(answer), of), sure)
+
+
+def _closed(start: Column) -> Column:
+    """A cut-off object with what closes it."""
+    return F.coalesce(*(let(F.concat(start, F.lit(end)), lambda t: F.when(F.json_object_keys(t).isNotNull(), F.from_json(t, VERDICT))) for end in ("}", '"}', '"\n}')))
+
+
+def _verdict_fields(start: Column) -> Column:
+    """Single fields by pattern, where none of the tries is JSON."""
     get = lambda pattern: F.nullif(F.regexp_extract(start, pattern, 1), F.lit(""))
-    right, decision, best = get(r'(?i)"is_correct"\s*:\s*(true|false)'), get(r'"decision"\s*:\s*"([^"]*)"'), get(r'"best_index"\s*:\s*(\d+)')
-    fields = F.struct(
-        (F.lower(right) == "true").alias("is_correct"),
-        F.when(right.isNull(), F.coalesce(decision, F.lit(""))).alias("decision"),
-        F.when(right.isNull(), F.coalesce(best, F.lit("0"))).alias("best_index"),
-        F.coalesce(get(r'"confidence"\s*:\s*([\d.]+)').try_cast("double"), F.lit(0.5)).alias("confidence"),
-        F.coalesce(get(r'"reason"\s*:\s*"([^"]*)"'), F.lit("")).alias("reason"),
-        F.lit(None).cast("array<string>").alias("hard_conflicts"),
-    )
-    found = F.coalesce(whole, F.when(right.isNotNull() | decision.isNotNull() | best.isNotNull(), fields))
-    searched = found["decision"].isNotNull() | found["best_index"].isNotNull()
-    return F.when(found.isNotNull(), found.withField("confidence", F.coalesce(found["confidence"], F.when(searched, 0.5))))
+    found = F.struct(get(r'(?i)"is_correct"\s*:\s*(true|false)').alias("right"), get(r'"decision"\s*:\s*"([^"]*)"').alias("decision"), get(r'"best_index"\s*:\s*(\d+)').alias("best"))
+
+    def verdict(f: Column) -> Column:
+        right, decision, best = f["right"], f["decision"], f["best"]
+        whole = F.struct(
+            (F.lower(right) == "true").alias("is_correct"),
+            F.when(right.isNull(), F.coalesce(decision, F.lit(""))).alias("decision"),
+            F.when(right.isNull(), F.coalesce(best, F.lit("0"))).alias("best_index"),
+            F.coalesce(get(r'"confidence"\s*:\s*([\d.]+)').try_cast("double"), F.lit(0.5)).alias("confidence"),
+            F.coalesce(get(r'"reason"\s*:\s*"([^"]*)"'), F.lit("")).alias("reason"),
+            F.lit(None).cast("array<string>").alias("hard_conflicts"),
+        )
+        return F.when(right.isNotNull() | decision.isNotNull() | best.isNotNull(), whole)
+
+    return let(found, verdict)
 
 
 def infer_correct(answer: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions.normalize import blank_to_null, major_name_change, text
 from weftline.functions.verdict import first_filled
+from weftline.operators.allocate import split_selections
+from weftline.operators.reports import numbered
 
 # Fixed values.
 FUZZY_METHODS = ["fuzzy", "brand_index"]
@@ -206,3 +208,18 @@ def winner_fields(candidate: str) -> list[Column]:
         first_filled(*(of(f).cast("string") for f in ("retail_price", "public_price", "price", "selling_price"))).alias("winner_sale_price"),
         of("sale_price").alias("winner_purchase_price"),
     ]
+
+
+def order_results(items: DataFrame, won: DataFrame, tail: DataFrame, stores: int = 5, item: str = "item_id") -> DataFrame:
+    """Wide rows: the item, its match (`winner`, a struct), the stores chosen as columns, whether review holds it back, and queries and times.
+
+    won: item, winner, stores, discounts (texts `a | b`), found, review; tail: item, queries (array), and times.
+    """
+    w = won.select(item, *winner_fields("winner"), *split_selections(F.col("stores"), F.col("discounts"), stores), F.col("found").alias("matched"), (F.col("found") & F.col("review")).alias("blocked_match"))
+    t = tail.withColumn("queries", F.array_join("queries", " | "))
+    return items.join(w, item, "left").join(t, item, "left")
+
+
+def split_at(df: DataFrame, order: list[Column], most: int, out: str) -> DataFrame:
+    """Whether a row is among the first so many in a total order: those are worked on, the rest are skipped."""
+    return numbered(df, order, "_at").withColumn(out, F.col("_at") <= most).drop("_at")

@@ -39,8 +39,23 @@ def distinct_products(df: DataFrame, order: str) -> DataFrame:
     return keep_first(d.filter("_key is not null and (_en <> '' or _ar <> '')"), ["_en", "_ar", "_key"], order).drop("_en", "_ar", "_key")
 
 
+def distinct_export_rows(df: DataFrame, order: str) -> DataFrame:
+    """Export rows once by both names and the store's id, or the product's where that is blank; all-blank rows go. `copies`: how many there were."""
+    t = {c: F.trim(text(F.col(c))) for c in ("name_ar", "name_en", "store_product_id", "product_id")}
+    any_ = F.concat(*t.values()) != ""
+    d = df.filter(any_).withColumns({"_ar": t["name_ar"], "_en": t["name_en"], "_id": F.when(t["store_product_id"] != "", t["store_product_id"]).otherwise(t["product_id"])})
+    d = d.groupBy("_ar", "_en", "_id").agg(F.min_by(F.struct(*df.columns), order).alias("r"), F.count("*").alias("copies"))
+    return d.select("r.*", "copies")
+
+
+def removed(scanned: DataFrame, unique: DataFrame) -> DataFrame:
+    """removed: how many rows a dedup took, never below zero."""
+    n = scanned.agg(F.count("*").alias("n")).unionByName(unique.agg((-F.count("*")).alias("n")))
+    return n.agg(F.greatest(F.sum("n"), F.lit(0)).alias("removed"))
+
+
 def removed_count(scanned: DataFrame, unique: DataFrame) -> int:
-    return max(0, scanned.count() - unique.count())
+    return removed(scanned, unique).first()[0]
 
 
 def upsert(rows: DataFrame, keys: list[str], seq: str, first: list[str]) -> DataFrame:

@@ -188,32 +188,6 @@ def fuzzy_ratio_pairs(spark, sf_dir):
     return s.select("a", "b", *(r6(f"s.{k}").alias(k) for k in ("ratio", "token_sort", "token_set", "partial_token_sort", "sequence")))
 
 
-def _parsed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    dem = parse_names(demand(spark, sf_dir).select("item_id", "query", "item_price"), "query", "d")
-    cat = parse_names(catalogue(spark, sf_dir).select("row_id", "candidate", "price"), "candidate", "m")
-    return G.with_facts(dem, "d"), G.with_facts(cat, "m")
-
-
-@query()
-def link_cascade(spark, sf_dir):
-    """Pairs by component keys, then by brand and strength; gates and scores once a pair; of each item the best of the first stage that has any."""
-    dem, cat = _parsed(spark, sf_dir)
-    with_ = lambda p: F.filter(B.component_keys(p), lambda k: k.startswith("brand_"))  # noqa: E731  the brand alone would pair too many
-    brand = lambda p: F.array_compact(F.array(F.when(F.col(f"{p}.brand") != "", F.concat_ws("|", F.col(f"{p}.brand"), F.array_join(f"{p}.dosage_nums", ",")))))
-    by = lambda keys: B.pairs_by_keys(dem, "item_id", keys("d"), cat, "row_id", keys("m"))
-    stages = ["component_index", "brand_index"]
-    pairs = B.union_sources(list(zip(stages, (by(with_), by(brand)), strict=True)), "item_id", "row_id")
-    d = pairs.join(dem, "item_id").join(cat, "row_id").withColumn("reason", G.components_reason("d", "m", F.lit(100.0), F.lit(1.0))).filter("reason = 'ok'")
-    alike = SC.token_overlap(F.col("d_x.words"), F.col("m_x.words")) * 100
-    score = SC.component_score("d", "m", alike, G.forms_compatible(F.col("d.form"), F.col("m.form")), SC.price_bonus(F.col("item_price"), F.col("price")))
-    key = F.struct((F.col("source") == stages[0]).alias("first"), r6(score).alias("score"), (-F.col("row_id")).alias("r"))
-    best = d.groupBy("item_id").agg(F.max(key).alias("b"))
-    out = dem.select("item_id", "d").join(best, "item_id", "left")
-    invalid = F.col("d.brand") == ""
-    method = F.when(F.col("b").isNull() & invalid, "invalid_name").when(F.col("b").isNull(), "no_match").when(F.col("b.first"), stages[0]).otherwise(stages[1])
-    return out.select("item_id", (-F.col("b.r")).alias("row_id"), F.coalesce("b.score", F.lit(0.0)).alias("score"), method.alias("method"))
-
-
 @query(
     _SCORED
     + """,
@@ -302,9 +276,9 @@ def prevented_name_norm(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.md5(N.normalize_prevented_name(F.col("text"))).alias("name"))
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(lower(split_part(url, ':', 1)), '[^\\p{L}\\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g') AS scheme, regexp_replace(regexp_replace(lower(split_part(substr(url, 9), ':', 1)), '[^\\p{L}\\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g') AS code FROM pages")
+@query("SELECT page_id, regexp_replace(regexp_replace(lower(split_part(url, ':', 1)), '[^\\p{L}\\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g') AS scheme, regexp_replace(regexp_replace(lower(split_part(regexp_replace(url, '^[a-z]+://', ''), ':', 1)), '[^\\p{L}\\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g') AS code FROM pages")
 def reason_codes(spark, sf_dir):
-    return t(spark, sf_dir, "pages").select("page_id", N.reason_code(F.col("url")).alias("scheme"), N.reason_code(F.substring("url", 9, 100000)).alias("code"))
+    return t(spark, sf_dir, "pages").select("page_id", N.reason_code(F.col("url")).alias("scheme"), N.reason_code(F.regexp_replace("url", "^[a-z]+://", "")).alias("code"))
 
 
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '([0-9]+)', 1))), ',') AS numbers FROM documents")
@@ -704,13 +678,13 @@ def review_predicate(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT doc_id, lower(CASE doc_id % 5 WHEN 0 THEN 'No matching product found' WHEN 1 THEN 'needs Manual Review' WHEN 2 THEN 'Out of stock' WHEN 3 THEN 'cart button disabled' ELSE left(text, 40) END) AS r, doc_id % 10 = 0 AS known FROM documents)
+    """WITH r AS (SELECT doc_id, lower(CASE doc_id % 5 WHEN 0 THEN 'No matching product found' WHEN 1 THEN 'needs Manual Review' WHEN 2 THEN 'Out of stock' WHEN 3 THEN 'cart button disabled' ELSE text END) AS r, doc_id % 10 = 0 AS known FROM documents)
 SELECT doc_id, CASE WHEN contains(r, 'no matching product found') THEN CASE WHEN known THEN 'not-orderable' ELSE 'no-results' END WHEN contains(r, 'manual review') THEN 'manual-review-required' WHEN contains(r, 'unavailable') OR contains(r, 'out of stock') THEN 'matched-but-unavailable'
  WHEN contains(r, 'not orderable') OR contains(r, 'missing storeproductid') OR contains(r, 'cart button disabled') THEN 'not-orderable' ELSE 'skipped' END AS status FROM r"""
 )
 def status_classifier(spark, sf_dir):
     k = F.col("doc_id") % 5
-    reason = F.when(k == 0, "No matching product found").when(k == 1, "needs Manual Review").when(k == 2, "Out of stock").when(k == 3, "cart button disabled").otherwise(F.left("text", F.lit(40)))
+    reason = F.when(k == 0, "No matching product found").when(k == 1, "needs Manual Review").when(k == 2, "Out of stock").when(k == 3, "cart button disabled").otherwise(F.col("text"))
     return t(spark, sf_dir, "documents").select("doc_id", V2.summary_status(reason, F.when(F.col("doc_id") % 10 == 0, "not-orderable")).alias("status"))
 
 
@@ -969,3 +943,7 @@ def windowed_event_counts(spark, sf_dir):
     from weftline.streaming.state import windowed_counts
 
     return windowed_counts(t(spark, sf_dir, "events"), "ts", "event_type")
+
+
+# The other queries stand in modules of their own, which add themselves here.
+from weftline.plans import rules, tables, texts  # noqa: E402, F401

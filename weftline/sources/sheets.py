@@ -82,6 +82,26 @@ def workbook(rows: list[list]) -> bytes:
     return out.getvalue()
 
 
+#: Rows that the format's sheets hold: what a workbook can have.
+MOST_ROWS = 1_048_576
+
+
+def write_workbook(df: DataFrame, path: str, above: list[list] | None = None) -> None:
+    """One workbook with a header row, `above` before it, in df's order. A sheet is one small file by its format, so its rows
+    go through the driver; more than it holds are refused."""
+    head = [*(above or []), df.columns]
+    rows = [list(r) for r in df.limit(MOST_ROWS - len(head) + 1).collect()]
+    if len(rows) + len(head) > MOST_ROWS:
+        raise ValueError(f"a sheet holds {MOST_ROWS} rows; write text tables instead")
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(workbook([*head, *rows]))
+    finally:
+        out.close()
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """path, row (from 0), cells (text) of every workbook under path."""
 

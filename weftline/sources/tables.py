@@ -66,7 +66,7 @@ def merge_worker_parts(spark: SparkSession, paths: list[str], sep: str = ",") ->
 
 def merge_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text of whole small files, to be joined in path order."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def newest_file(spark: SparkSession, paths: list[str]) -> str | None:
@@ -99,18 +99,30 @@ def save_decisions(table: DataFrame, rows: DataFrame) -> DataFrame:
     return upsert(table.unionByName(rows, allowMissingColumns=True), ["item_code_key", "item_name_key"], "seq", ["item_code", "item_name", "created_at"])
 
 
-def payload_rows(df: DataFrame, payload: str) -> DataFrame:
-    """Rows of JSON answers: the first non-empty list under the known keys, at the top or one object down; those with a name."""
+def _listed(payload: Column) -> Column:
+    """The first non-empty list of a JSON answer, under the known keys at the top or one object down, or the answer itself."""
     paths = [k for k in ROW_KEYS] + [f"{a}.{b}" for a in ROW_KEYS for b in ROW_KEYS]
     lists = [F.from_json(F.get_json_object(payload, f"$.{p}"), "array<string>") for p in paths]
-    rows = F.coalesce(*(F.when(F.size(x) > 0, x) for x in lists), F.from_json(F.col(payload), "array<string>"))
-    d = df.withColumn("_rows", rows).select(*df.columns, F.posexplode("_rows").alias("row_index", "row"))
+    return F.coalesce(*(F.when(F.size(x) > 0, x) for x in lists), F.from_json(payload, "array<string>"))
+
+
+def payload_rows(df: DataFrame, payload: str) -> DataFrame:
+    """Rows of JSON answers: the first non-empty list under the known keys, at the top or one object down; those with a name."""
+    d = df.withColumn("_rows", _listed(F.col(payload))).select(*df.columns, F.posexplode("_rows").alias("row_index", "row"))
     g = lambda k: blank_to_null(F.get_json_object("row", f"$.{k}"))
     d = d.withColumns({"name_ar": g("productName"), "name_en": F.coalesce(g("productNameEn"), g("productNameEnFallback")), "product_id": g("productId"), "store_product_id": g("storeProductId"), "company": enrich_company(F.col("row"))})
     d = d.withColumns({"sale_price": g("salePrice"), "retail_price": F.coalesce(g("retailPrice"), g("salePrice")), "available_quantity": g("availableQuantity")})
     return d.filter("name_ar is not null or name_en is not null")
 
 
+def pages_until_empty(df: DataFrame, query: str, page: str, payload: str) -> DataFrame:
+    """Stored pages (from 0) of each query before its first empty one, and before the number that the answers themselves give."""
+    empty = F.coalesce(F.size(_listed(F.col(payload))), F.lit(0)) <= 0
+    given = F.get_json_object(payload, "$.totalPages").try_cast("long")
+    ends = df.groupBy(query).agg(F.least(F.min(F.when(empty, F.col(page))), F.max(given)).alias("_end"))
+    return df.join(ends, query).filter(F.col("_end").isNull() | (F.col(page) < F.col("_end"))).drop("_end")
+
+
 def snapshot_json(columns: list[str]) -> Column:
     """A row as JSON, its keys in order."""
     return F.to_json(F.struct(*(F.col(c) for c in sorted(columns))))
