@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.shared import Scratch  # noqa: F401  for the operators
+
 MASK64 = (1 << 64) - 1
 
 #: Java pattern of the bytes that part words.
@@ -162,38 +162,5 @@ def tidy(run):
     return wrapped
 
 
-class Scratch:
-    """Tables written to the shared folder: they cut the plan, and survive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        sc = spark.sparkContext
-        named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-        if not named:
-            named = tempfile.mkdtemp(prefix="weftline-")  # tests only: a cluster names the folder
-            sc.setCheckpointDir(named)
-            named = sc.getCheckpointDir()
-        self.root = f"{named.rstrip('/')}/weftline-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:03d}-{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
