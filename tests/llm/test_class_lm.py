@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -45,20 +46,118 @@ def test_joined_counts_give_the_same_scores(spark, monkeypatch):
     assert all(abs(whole[i] - joined[i]) < 1e-6 for i in whole)
 
 
-def test_model_sums_to_one(spark):
+def numbered(spark, rows):
+    d = documents(spark, rows)
+    return d.select(F.monotonically_increasing_id().alias("row"), "doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
+
+
+def own_classes(own, column):
+    """Class of each training word, and how often it stands there."""
+    named = list(own.common)[: class_lm.TYPES]
+    of = {w: int(c) for w, c in zip(named, own.held[own.types(named)], strict=True)}
+    n = {w: own.common[w] for w in named}
+    for r in own.rest.collect():
+        of[bytes(r["word"])], n[bytes(r["word"])] = r[column], r.n
+    return of, n
+
+
+def test_model_sums_to_one(spark, monkeypatch):
     """Of every class: what follows, and words with the unknown one."""
-    rows = random_rows(5, n=50)
-    d = documents(spark, rows).select("text")
-    scratch = class_lm.Scratch(spark)
-    counts = scratch.save(d.mapInArrow(class_lm._counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    m = class_lm.train(d, counts, scratch)
+    monkeypatch.setattr(class_lm, "TYPES", 12)
+    m, _, own, column = class_lm.fitted(numbered(spark, random_rows(5, n=50)))
     assert np.allclose((10**m.step).sum(axis=1), 1)
-    of = m.classes(list(m.common))
-    for c in set(of):
-        known = sum(10 ** (m.known[c] + math.log10(m.common[w])) for w, k in zip(m.common, of, strict=True) if k == c)
+    of, n = own_classes(own, column)
+    for c in set(of.values()):
+        known = sum(10 ** (m.known[c] + math.log10(n[w])) for w, k in of.items() if k == c)
         assert abs(known + 10 ** m.unknown[c] - 1) < 1e-9
 
 
+@pytest.mark.parametrize("counted", [200_000, 30])
+def test_score_equals_brute_force(spark, monkeypatch, counted):
+    """From the words' classes alone: counts, transitions and probabilities by plain loops."""
+    monkeypatch.setattr(class_lm, "TYPES", 10)
+    monkeypatch.setattr(class_lm, "COUNTED", counted)
+    rows = random_rows(6, n=80, vocabulary=300)
+    _, _, own, column = class_lm.fitted(numbered(spark, rows))
+    of, _ = own_classes(own, column)
+    end, unseen_class = class_lm.CLASSES, lambda w: int(own.held[own.types([w])][0])
+    tokens = {i: [lower(w).encode() for w in words(t)] for i, t in rows}
+    train = [i for i, _ in rows if not held(i)]
+    n = Counter(w for i in train for w in tokens[i])
+    assert {w: n[w] for w in of} == dict(n)
+    chain = {i: [*(of.get(w, unseen_class(w)) for w in tokens[i]), end] for i in tokens}
+    pairs = Counter(p for i in train for p in zip([end, *chain[i]], chain[i], strict=False))
+    size, once = Counter(), Counter()
+    for w, k in n.items():
+        size[of[w]] += k
+        once[of[w]] += k == 1
+    size[end] = len(train)
+    share = {c: (size[c] + 1) / (sum(size.values()) + end + 1) for c in range(end + 1)}
+    row = Counter()
+    for (a, _), k in pairs.items():
+        row[a] += k
+    for i, got in ((r.doc_id, r.score) for r in scored(spark, rows).collect()):
+        want, before = 0.0, end
+        for w, c in zip([*tokens[i], None], chain[i], strict=True):
+            want += math.log10((pairs[before, c] + class_lm.PULL * share[c]) / (row[before] + class_lm.PULL))
+            before = c
+            if w is not None:
+                u = (once[c] + 1) / (size[c] + 2)
+                want += math.log10((1 - u) * n[w] / size[c] if n[w] else u)
+        assert abs(want - got) < 1e-6
+
+
+def test_every_word_is_exchanged():
+    """Against moving each word by itself and counting the likelihood anew."""
+    r = np.random.default_rng(2)
+    k, words = 5, 30
+    m = r.integers(20, 200, (k + 1, k + 1)).astype(float)
+    of = r.integers(0, k, words)
+    owner, side, other, n = [], [], [], []
+    for w in range(words):
+        for s in (0, 1):
+            for e in r.choice(k, 2, replace=False):
+                owner.append(w), side.append(s), other.append(int(e)), n.append(int(r.integers(1, 6)))
+    arrays = [np.array(x) for x in (owner, side, other, n)]
+    for o, s, e, x in zip(*arrays, strict=True):  # the table holds the words' own places
+        m[(of[o], e) if s == 0 else (e, of[o])] += x
+    got = class_lm.exchange_words(*arrays, of, m, fixed=1)
+    better = 0
+    for w in range(words):
+        def moved(d, w=w):
+            t = m.copy()
+            for o, s, e, x in zip(*arrays, strict=True):
+                if o == w:
+                    t[(of[w], e) if s == 0 else (e, of[w])] -= x
+                    t[(d, e) if s == 0 else (e, d)] += x
+            return class_lm.objective(t)
+
+        better += moved(got[w]) >= max(moved(d) for d in range(k)) - 0.5  # a word next to its own class is counted once, not twice
+        assert moved(got[w]) >= moved(of[w]) - 0.5
+    assert better >= 0.9 * words
+
+
+def test_words_beyond_the_types_are_clustered(spark, monkeypatch):
+    """Rare words of two kinds, alike in their endings, part by what stands next to them; held-out text gains."""
+    monkeypatch.setattr(class_lm, "TYPES", 20)
+    monkeypatch.setattr(class_lm, "BUCKETS", 4)
+    r = random.Random(1)
+    rare = [[f"{k}{i}xxx" for i in range(300)] for k in "ab"]
+    frame = [[f"{k}l{i}" for i in range(5)] for k in "ab"]
+    rows = []
+    for i in range(500):
+        text = []
+        for _ in range(25):
+            k = r.randrange(2)
+            text += [r.choice(frame[k]), r.choice(rare[k]), r.choice(frame[k])]
+        rows.append((i, " ".join(text)))
+    _, chains, own, column = class_lm.fitted(numbered(spark, rows))
+    assert column == "class" and class_lm.objective(own.pairs(chains)) > class_lm.objective(own.m) + 100
+    of, _ = own_classes(own, "class")
+    kinds = [Counter(of[w.encode()] for w in some if w.encode() in of) for some in rare]
+    assert not {c for c, n in kinds[0].items() if n > 15} & {c for c, n in kinds[1].items() if n > 15}
+
+
 def test_exchange_gains_likelihood():
     """Two kinds of words that follow their own kind only: the exchange parts them."""
     r = np.random.default_rng(1)

@@ -2,18 +2,22 @@
 
 P(w | v) = P(class of w | class of v) * P(w | class of w); a text is its words, then one end, and follows an end.
 
-Words are clustered as types: each of the TYPES commonest words is one, all others meet in BUCKETS types by their
-endings. All training text counts: words in full, bigrams of types. Types are then exchanged between classes, to gain
-likelihood, in rounds: Spark sums each type's neighbours by class, which are two numbers a type and class, and the
-moves follow on the driver. The classes of the round with the best likelihood hold.
+1. The TYPES commonest words, and all others met in BUCKETS types by their endings, are exchanged between classes, to gain
+   likelihood, in rounds: Spark sums each type's neighbours by class, which are two numbers a type and class, and the moves
+   follow on the driver. The classes of the round with the best likelihood hold.
+2. Then every other word of the training text is exchanged by itself, as many as there are: words are dealt out by Spark, each
+   with the classes of all its neighbours, and held against the table of class pairs, whose size doesn't depend on the
+   corpus. It starts from its ending's class and goes where the likelihood gains most (a word that follows itself counts as a
+   neighbour of its class); a task's own moves change its copy of the table as they are made. Where all these moves together lose likelihood, the classes of step 1 hold.
+3. Texts become chains of classes. Classes of words that are not among the COUNTED commonest come to their places in the texts
+   by a join. Only words never seen in training have their ending's class. Transitions are counted over these chains.
 
 Transitions are smoothed towards the class's share of all tokens. A class's words share 1 - u of its probability by
 their counts; u, the share of its tokens that were seen once, is for words never seen (taken as one word, as the base does).
 
-Counts of the COUNTED commonest words at most go to every task; what other words add to a text's sums comes by a join.
-
-Null or empty text: the end alone. Null doc_id: not held out. Repeated rows are scored row by row. Without training
-text every token is unknown. Empty table: empty result. Other columns are ignored.
+Null or empty text: the end alone. Null doc_id: not held out. Repeated rows are scored row by row. Very long texts are read
+whole, some slices of many texts at once; ties of gain go to the lower class. Without training text every token is unknown.
+Empty table: empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +42,8 @@ COUNTED = 200_000
 #: Tokens by which a class's transitions are drawn towards the classes' shares.
 PULL = 64.0
 SLICE_BYTES = 16 << 20
+#: Words of a task that move at once against one table, at most.
+AT_ONCE = 1024
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,11 +57,12 @@ class Types:
 
     def __init__(self, common: list[bytes]):
         self.of = {w: i for i, w in enumerate(common)}
+        self.buckets = BUCKETS
         self.end = len(common) + BUCKETS
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        get, first = self.of.get, self.end - BUCKETS
-        return np.fromiter((t if (t := get(w)) is not None else first + xxhash.xxh3_64_intdigest(w[-ENDING:]) % BUCKETS for w in words), np.int64, len(words))
+        get, first = self.of.get, self.end - self.buckets
+        return np.fromiter((t if (t := get(w)) is not None else first + xxhash.xxh3_64_intdigest(w[-ENDING:]) % self.buckets for w in words), np.int64, len(words))
 
 
 def _pairs(types):
@@ -135,70 +143,253 @@ def exchange(after: np.ndarray, before: np.ndarray, itself: np.ndarray, of: np.n
     return of
 
 
-class ClassModel:
-    """What scoring needs: counts of common words, classes of types, and the logarithms (base 10) to add up."""
+def exchange_words(owner: np.ndarray, side: np.ndarray, other: np.ndarray, n: np.ndarray, of: np.ndarray, m: np.ndarray, fixed: int) -> np.ndarray:
+    """New classes of many words, each moved by itself against the same table m of class pairs.
 
-    def __init__(self, types: Types, of: np.ndarray, pairs: np.ndarray, common: dict[bytes, int], stats: np.ndarray, tokens: int, distinct: int, ends: int):
-        """stats: tokens, words, words seen once of each class; ends: how many texts were learned from."""
-        self.types, self.of, self.common, self.tokens, self.ends = types, of, common, tokens, ends
-        share = (stats[:, 0] + 1) / (stats[:, 0] + 1).sum()
-        self.step = np.log10((pairs + PULL * share) / (pairs.sum(axis=1, keepdims=True) + PULL))
-        unseen = (stats[:, 2] + 1) / (stats[:, 0] + 2)
-        self.unknown = np.log10(unseen)  # of a word never seen, in its class
-        self.known = np.log10(1 - unseen) - np.log10(np.maximum(stats[:, 0], 1))  # of a word, besides log10 of its count
-        self.base = -math.log10(tokens + distinct + 1)
+    owner (sorted), side (0: follows, 1: precedes), other, n: how often each class stands next to each word; of: their classes.
+    """
+    free, words = len(m) - fixed, len(of)
+    gain = np.zeros((words, free))
+    tables = m[:free], m[:, :free].T  # by class of the word and of its neighbour
+    starts = np.searchsorted(owner, np.arange(words + 1))
+    i = 0
+    while i < words:
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + (1 << 15), "right")) - 1)
+        at = slice(starts[i], starts[j])
+        old = np.stack(tables)[side[at], :, other[at]]  # entry by class
+        add = n[at][:, None].astype(np.float64)
+        own = of[owner[at]]
+        rows = np.arange(len(own))
+        fits = own < free
+        old[rows[fits], own[fits]] = np.maximum(old[rows[fits], own[fits]] - add[fits, 0], 0)  # without the word itself
+        change = _xlogx(old + add) - _xlogx(old)
+        has = np.flatnonzero(np.diff(starts[i : j + 1])) + i
+        if len(has):
+            gain[has] = np.add.reduceat(change, starts[has] - starts[i], axis=0)
+        i = j
+    for k, total in ((0, m.sum(axis=1)[:free]), (1, m.sum(axis=0)[:free])):
+        add = np.bincount(owner[side == k], n[side == k], words)[:, None]
+        old = np.repeat(total[None, :], words, axis=0)
+        rows = np.flatnonzero(of < free)
+        old[rows, of[rows]] = np.maximum(old[rows, of[rows]] - add[rows, 0], 0)
+        gain -= _xlogx(old + add) - _xlogx(old)
+    best = gain.argmax(axis=1)
+    rows = np.arange(words)
+    stay = np.where(of < free, gain[rows, np.minimum(of, free - 1)], -math.inf)
+    return np.where(gain[rows, best] > stay + 1e-9, best, of)
+
+
+def exchange_in_turn(owner: np.ndarray, side: np.ndarray, other: np.ndarray, n: np.ndarray, of: np.ndarray, m: np.ndarray, fixed: int) -> np.ndarray:
+    """New classes of words in their order: a few move, the table follows, then more move, a sixteenth of those before at once."""
+    of, m = of.copy(), m.astype(np.float64)
+    starts = np.searchsorted(owner, np.arange(len(of) + 1))
+    i = 0
+    while i < len(of):
+        j = min(len(of), i + min(AT_ONCE, max(1, i // 16)))
+        at = slice(starts[i], starts[j])
+        whose, s, e, k = owner[at] - i, side[at], other[at], n[at]
+        new = exchange_words(whose, s, e, k, of[i:j], m, fixed)
+        for classes, sign in ((of[i:j], -1), (new, 1)):
+            c = classes[whose]
+            np.add.at(m, (np.where(s == 0, c, e), np.where(s == 0, e, c)), sign * k)
+        np.maximum(m, 0, out=m)
+        of[i:j] = new
+        i = j
+    return of
 
-    def classes(self, words: list[bytes]) -> np.ndarray:
-        return self.of[self.types(words)]
 
+def _word_neighbours(types, classes):
+    """Of each word of a slice that is no type by itself: the classes next to it, two codes for each of its places."""
 
-def _scored(model):
-    """Sums of each text, as if words that are not common were unknown; and those words, with their counts and classes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, of = types.value, classes.value
+        k = int(of.max()) + 1
+        for b in (part for whole in batches for part in slices(whole, 0, SLICE_BYTES)):
+            words, codes, length = coded(b.column(0), lower=True)
+            t = own(words)
+            ends = np.cumsum(length)
+            chain = np.insert(of[t][codes], ends, of[own.end])
+            before = np.concatenate([[of[own.end]], chain[:-1]])
+            at = np.arange(len(codes)) + np.repeat(np.arange(len(length)), length)  # each word's place in chain
+            some = np.flatnonzero((t >= own.end - own.buckets)[codes])
+            order = some[np.argsort(codes[some], kind="stable")]
+            whose = codes[order]
+            near = np.stack([chain[at[order] + 1], k + before[at[order]]], axis=1).astype(np.uint8)
+            new = np.flatnonzero(np.diff(whose, prepend=-1))
+            offsets = pa.py_buffer(np.append(new * 2, near.size).astype(np.int64))
+            lists = pa.Array.from_buffers(pa.large_binary(), len(new), [None, offsets, pa.py_buffer(np.ascontiguousarray(near))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).take(pa.array(whose[new])), lists], ["word", "near"])
+
+    return run
+
+
+def _exchanged(types, classes, pairs):
+    """All words of a task with their counts, first and new classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        end = int(m.of[m.types.end])
-        end_known = m.ends > 0
+        own, of, m = types.value, classes.value, pairs.value
+        k = len(m)
+        at: dict[bytes, int] = {}
+        owners, codes, counts = [], [], []
+        for b in batches:
+            ids = np.fromiter((at.setdefault(w, len(at)) for w in b.column(0).to_pylist()), np.int64, b.num_rows)
+            near = b.column(1)
+            sizes = np.asarray(pc.binary_length(near)).astype(np.int64)
+            flat = np.frombuffer(b"".join(near.to_pylist()), np.uint8).astype(np.int64)
+            pair, n = np.unique(np.repeat(ids, sizes) * (2 * k) + flat, return_counts=True)
+            owners.append(pair)
+            counts.append(n)
+        if not at:
+            return
+        pair, back = np.unique(np.concatenate(owners), return_inverse=True)
+        n = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+        owner, code = np.divmod(pair, 2 * k)
+        words = list(at)
+        total = np.bincount(owner[code < k], n[code < k], len(words)).astype(np.int64)
+        turn = sorted(range(len(words)), key=lambda i: (-total[i], words[i]))  # the commonest first, whatever order rows came in
+        place = np.empty(len(words), np.int64)
+        place[turn] = np.arange(len(words))
+        words, total = [words[i] for i in turn], total[turn]
+        order = np.argsort(place[owner], kind="stable")
+        owner, code, n = place[owner][order], code[order], n[order]
+        first = of[own(words)]
+        new = exchange_in_turn(owner, code // k, code % k, n, first, m, fixed=1)
+        yield from pa.Table.from_arrays([pa.array(words, pa.binary()), pa.array(total), pa.array(first.astype(np.int32)), pa.array(new.astype(np.int32))], ["word", "n", "first", "class"]).to_batches(1 << 14)
+
+    return run
+
+
+class Lexicon:
+    """Counts and classes of the common words; classes of all others by their endings, until a join gives their own."""
+
+    def __init__(self, types: Types, of: np.ndarray, words: list[bytes], n: np.ndarray, classes: np.ndarray):
+        self.types, self.of, self.at, self.n, self.classes = types, of, {w: i for i, w in enumerate(words)}, n, classes
+        self.end = int(of[types.end])
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts (0 where a join must say) and classes."""
+        get = self.at.get
+        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        far = np.flatnonzero(at < 0)
+        n, c = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        n[at >= 0], c[at >= 0] = self.n[at[at >= 0]], self.classes[at[at >= 0]]
+        c[far] = self.of[self.types([words[i] for i in far])]
+        return n, c
+
+
+#: Marks a place of a chain whose word is not among the common ones.
+FAR = 128
+
+
+def _chains(lexicon, known_end: bool, unit: float):
+    """Of each text its classes, a byte a word, and sums over its common words; and its other words with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lexicon.value
         for b in (part for whole in batches for part in slices(whole, 3, SLICE_BYTES)):
             words, codes, length = coded(b.column(3), lower=True)
-            count = np.fromiter((m.common.get(w, 0) for w in words), np.int64, len(words))
-            c = m.classes(words)
-            ends, docs = np.cumsum(length), len(length)
-            own = np.where(count > 0, m.known[c] + np.log10(np.maximum(count, 1)), m.unknown[c])
+            n, c = own(words)
+            docs, ends = len(length), np.cumsum(length)
+            chain = np.where(n > 0, c, c | FAR).astype(np.uint8)[codes]
             doc = np.repeat(np.arange(docs), length)
-            sums = lambda x: np.bincount(doc, x[codes], docs)  # noqa: B023, E731
-            chain = np.insert(c[codes], ends, end)
-            steps = m.step[np.concatenate([[end], chain[:-1]]), chain]
-            score = sums(own) + np.bincount(np.insert(doc, ends, np.arange(docs)), steps, docs)
-            base = sums(m.base + np.log10(count + 1.0)) + m.base + math.log10(m.ends + 1)
-            n_known = sums((count > 0).astype(float)).astype(np.int64) + int(end_known)
-            # words to look up: each once a text
-            rare = np.flatnonzero((count == 0)[codes])
-            pair, n = np.unique(doc[rare] * max(1, len(words)) + codes[rare], return_counts=True)
-            who, which = pair // max(1, len(words)), pair % max(1, len(words))
+            sums = lambda x: np.bincount(doc, x[codes], docs).astype(np.float64)  # noqa: B023, E731
+            base = sums(unit + np.log10(n + 1.0))
+            log_n = sums(np.log10(np.maximum(n, 1)))
+            n_known = sums((n > 0).astype(float)).astype(np.int64) + int(known_end)
+            # words to look up: each once a text, with its places
+            far = np.flatnonzero((n == 0)[codes])
+            key = doc[far] * max(1, len(words)) + codes[far]
+            order = np.argsort(key, kind="stable")
+            place = (far - (ends - length)[doc[far]])[order].astype(np.int32)
+            pair, first = np.unique(key[order], return_index=True)
+            who, which = np.divmod(pair, max(1, len(words)))
             offsets = pa.array(np.searchsorted(who, np.arange(docs + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(words, pa.binary()).take(pa.array(which)), pa.array(n), pa.array(c[which].astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(length + 1), pa.array(n_known), pa.array(base), pa.array(score), *lists], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "words", "times", "classes"])
+            at = pa.Array.from_buffers(pa.large_binary(), len(pair), [None, pa.py_buffer((np.append(first, len(place)) * 4).astype(np.int64)), pa.py_buffer(place)]).cast(pa.binary())
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(words, pa.binary()).take(pa.array(which)), at)]
+            edge = np.concatenate([[0], ends])
+            bytes_ = pa.Array.from_buffers(pa.large_binary(), docs, [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(chain)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], bytes_, pa.array(n_known), pa.array(base), pa.array(log_n), *lists], ["row", "doc_id", "held_out", "chain", "n_known", "base_score", "log_n", "words", "at"])
 
     return run
 
 
-def _class_stats(types, classes, k: int):
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chains with the classes that the join found for words which are not common."""
+    for b in batches:
+        found = b.column(b.schema.names.index("found"))
+        chains, known, base, log_n = [], [], [], []
+        for chain, some in zip(b.column(3).to_pylist(), found.to_pylist(), strict=True):
+            add = [0, 0.0, 0.0]
+            if some:
+                x = np.frombuffer(chain, np.uint8).copy()
+                for word in some:
+                    at = np.frombuffer(word["at"], np.int32)
+                    x[at] = word["class"]
+                    add[0] += len(at)
+                    add[1] += len(at) * math.log10(word["n"] + 1)
+                    add[2] += len(at) * math.log10(word["n"])
+                chain = x.tobytes()
+            chains.append(chain)
+            for column, v in zip((known, base, log_n), add, strict=True):
+                column.append(v)
+        more = [pc.add(b.column(i), pa.array(v, b.column(i).type)) for i, v in ((4, known), (5, base), (6, log_n))]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(chains, pa.binary()), *more], b.schema.names[:7])
+
+
+def _joined(chains: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all texts end to end, an end after each; and how many places each has, its end too."""
+    length = np.fromiter(map(len, chains), np.int64, len(chains))
+    return np.insert(np.frombuffer(b"".join(chains), np.uint8), np.cumsum(length), end), length + 1
+
+
+def _transitions(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, of = types.value, classes.value
-        out = np.zeros((k, 3))
+        m = np.zeros(k * k, np.int64)
         for b in batches:
-            n = np.asarray(b.column(1))
-            c = of[own(b.column(0).to_pylist())]
-            for i, x in enumerate((n, np.ones(len(n)), n == 1)):
-                out[:, i] += np.bincount(c, x, k)
-        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), *(pa.array(out[:, i].astype(np.int64)) for i in range(3))], ["class", "tokens", "words", "once"])
+            flat, _ = _joined(b.column(0).to_pylist(), k - 1)
+            c = (flat & (FAR - 1)).astype(np.int64)
+            m += np.bincount(np.concatenate([[k - 1], c[:-1]]) * k + c, minlength=k * k) if len(c) else 0
+        some = np.flatnonzero(m)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(m[some])], ["pair", "n"])
 
     return run
 
 
-def common_words(counts: DataFrame, most: int) -> dict[bytes, int]:
-    """The commonest words and their counts, at most so many: all from some count on, found by an eighth of a doubling."""
+class ClassModel:
+    """The logarithms (base 10) that scoring adds up."""
+
+    def __init__(self, pairs: np.ndarray, stats: np.ndarray, tokens: int, distinct: int, ends: int):
+        """stats: tokens, words, words seen once of each class; ends: how many texts were learned from."""
+        self.tokens, self.ends = tokens, ends
+        share = (stats[:, 0] + 1) / (stats[:, 0] + 1).sum()
+        self.step = np.log10((pairs + PULL * share) / (pairs.sum(axis=1, keepdims=True) + PULL))
+        unseen = (stats[:, 2] + 1) / (stats[:, 0] + 2)
+        self.unknown = np.log10(unseen)  # of a word never seen, in its class
+        self.known = np.log10(1 - unseen) - np.log10(np.maximum(stats[:, 0], 1))  # of a word, besides log10 of its count
+        self.known[-1] = self.unknown[-1] = 0.0  # the end is its class's only word
+        self.base = -math.log10(tokens + distinct + 1)
+
+
+def _scored(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        end = len(m.step) - 1
+        word = np.concatenate([m.known, np.zeros(FAR - end - 1), m.unknown])  # by class, from FAR on of unknown words
+        for b in batches:
+            flat, length = _joined(b.column(2).to_pylist(), end)
+            c = flat & (FAR - 1)
+            step = m.step[np.concatenate([[end], c[:-1]]), c] if len(c) else np.zeros(0)
+            doc = np.repeat(np.arange(len(length)), length)
+            score = np.bincount(doc, step + word[flat], len(length)) + np.asarray(b.column(5))
+            base = np.asarray(b.column(4)) + m.base + math.log10(m.ends + 1)
+            tokens = pa.array(np.full(len(length), m.tokens))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(length), b.column(3), tokens, pa.array(base), pa.array(score), pa.array(10.0 ** (-score / length))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+
+    return run
+
+
+def common_words(counts: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
+    """The commonest words and their counts, at most so many: all of a count or more, which is the second; by an eighth of a doubling."""
     level = F.floor(F.log2("n") * 8)
     held, cut = 0, None
     for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundred rows at most
@@ -207,19 +398,15 @@ def common_words(counts: DataFrame, most: int) -> dict[bytes, int]:
             break
         cut = r["level"]
     if cut is None:
-        return {}
+        return {}, 0
     rows = [(bytes(r["word"]), r["n"]) for r in counts.filter(level >= cut).collect()]
-    return dict(sorted(rows, key=lambda r: (-r[1], r[0])))
+    rows.sort(key=lambda r: (-r[1], r[0]))
+    return dict(rows), rows[-1][1]
 
 
-def train(texts: DataFrame, counts: DataFrame, scratch: Scratch) -> ClassModel:
-    """texts: one column; counts: word and n of all of them."""
-    spark = texts.sparkSession
-    send = spark.sparkContext.broadcast
-    words, distinct = counts.agg(F.sum("n"), F.count("*")).first()
-    ends = texts.count()
-    common = common_words(counts, COUNTED)
-    own = Types(list(common)[:TYPES])
+def classify_types(texts: DataFrame, own: Types, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the types after the best round, the end in the last class by itself; and the counts of class pairs."""
+    send = texts.sparkSession.sparkContext.broadcast
     types, size, k = send(own), own.end + 1, CLASSES + 1
     pairs = texts.mapInArrow(tidy(_pairs(types)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     pairs = pairs.select((F.col("pair") / size).cast("int").alias("a"), (F.col("pair") % size).cast("int").alias("b"), "n")
@@ -230,8 +417,10 @@ def train(texts: DataFrame, counts: DataFrame, scratch: Scratch) -> ClassModel:
     best, held, best_m = -math.inf, of, np.zeros((k, k))
     for turn in range(ROUNDS + 1):
         sums = np.zeros((size, 2 * k + 1))
-        for r in pairs.mapInArrow(tidy(_neighbours(send(of), k)), "t long, sums binary").collect():  # 2 * k numbers a type
+        classes = send(of)
+        for r in pairs.mapInArrow(tidy(_neighbours(classes, k)), "t long, sums binary").collect():  # 2 * k numbers a type
             sums[r["t"]] += np.frombuffer(r["sums"])
+        classes.destroy()
         after, before, itself = sums[:, :k], sums[:, k : 2 * k], sums[:, 2 * k]
         m = np.zeros((k, k))
         np.add.at(m, of, after)
@@ -239,34 +428,99 @@ def train(texts: DataFrame, counts: DataFrame, scratch: Scratch) -> ClassModel:
             best, held, best_m = now, of, m
         if turn < ROUNDS:
             of = exchange(after, before, itself, of, m, fixed=1)
-    stats = np.zeros((k, 3), np.int64)
-    kinds = "class int, tokens long, words long, once long"
-    for r in counts.mapInArrow(tidy(_class_stats(types, send(held), k)), kinds).groupBy("class").agg(*(F.sum(c).alias(c) for c in ("tokens", "words", "once"))).collect():
-        stats[r["class"]] = r["tokens"], r["words"], r["once"]
-    stats[CLASSES] = ends, 1, 0
-    known = int(ends > 0)
-    model = ClassModel(own, held, best_m, common, stats, (words or 0) + ends, distinct + known, ends)
-    model.known[CLASSES], model.unknown[CLASSES] = 0.0, 0.0
-    return model
+    scratch.drop(pairs)
+    return held, best_m
+
+
+def classify_words(texts: DataFrame, own: Types, held: np.ndarray, m: np.ndarray, scratch: Scratch) -> DataFrame:
+    """word, n, first, class of every training word that is no type by itself: its ending's class, and that of its exchange."""
+    send = texts.sparkSession.sparkContext.broadcast
+    types, classes = send(own), send(held)
+    near = texts.mapInArrow(tidy(_word_neighbours(types, classes)), "word binary, near binary").repartition("word")
+    return scratch.save(near.mapInArrow(tidy(_exchanged(types, classes, send(m))), "word binary, n long, first int, class int"), "words")
+
+
+class Trained:
+    """Counts, classes of all words, and what chains and scores need of them."""
+
+    def __init__(self, texts: DataFrame, counts: DataFrame, scratch: Scratch):
+        """texts: one column; counts: word and n of all of them."""
+        self.scratch = scratch
+        self.words, self.distinct = counts.agg(F.sum("n"), F.count("*")).first()
+        self.ends = texts.count()
+        self.common, self.cut = common_words(counts, COUNTED)
+        self.types = Types(list(self.common)[:TYPES])
+        self.held, self.m = classify_types(texts, self.types, scratch)
+        self.rest = classify_words(texts, self.types, self.held, self.m, scratch)
+        self.tokens, self.known_end = (self.words or 0) + self.ends, self.ends > 0
+        self.distinct += int(self.known_end)
+
+    def lexicon(self, column: str) -> Lexicon:
+        words = list(self.common)
+        classes = self.held[self.types(words)]
+        at = {w: i for i, w in enumerate(words)}
+        for r in self.rest.filter(F.col("n") >= self.cut).select("word", column).collect():  # COUNTED at most
+            classes[at[bytes(r["word"])]] = r[column]
+        return Lexicon(self.types, self.held, words, np.fromiter(self.common.values(), np.int64, len(words)), classes)
+
+    def stats(self, column: str) -> np.ndarray:
+        out = np.zeros((CLASSES + 1, 3), np.int64)
+        named = list(self.common)[:TYPES]
+        n = np.array([self.common[w] for w in named], np.int64)
+        c = self.held[self.types(named)] if named else np.zeros(0, np.int64)
+        for i, x in enumerate((n, np.ones(len(n)), n == 1)):
+            out[:, i] = np.bincount(c, x, CLASSES + 1)
+        for r in self.rest.groupBy(F.col(column).alias("c")).agg(F.sum("n").alias("t"), F.count("*").alias("w"), F.count_if(F.col("n") == 1).alias("o")).collect():
+            out[r["c"]] += np.array([r["t"], r["w"], r["o"]])
+        out[CLASSES] = self.ends, 1, 0
+        return out
+
+    def chains(self, d: DataFrame, column: str) -> DataFrame:
+        """d: row, doc_id, held_out, text. Each text's chain with the sums of its words."""
+        unit = -math.log10(self.tokens + self.distinct + 1)
+        kinds = "chain binary, n_known long, base_score double, log_n double"
+        names = StructType([*d.drop("text").schema, *StructType.fromDDL(kinds)])
+        more = StructType([*names, *StructType.fromDDL("words array<binary>, at array<binary>")])
+        lexicon = d.sparkSession.sparkContext.broadcast(self.lexicon(column))
+        near = self.scratch.save(d.mapInArrow(tidy(_chains(lexicon, self.known_end, unit)), more), "near")
+        each = near.select("row", F.explode(F.arrays_zip("words", "at")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.at").alias("at"))
+        each = each.join(self.rest.select("word", "n", F.col(column).alias("class")), "word")
+        each = each.groupBy("row").agg(F.collect_list(F.struct("at", "n", "class")).alias("found"))
+        out = self.scratch.save(near.drop("words", "at").join(each, "row", "left").mapInArrow(tidy(_filled), names), "chains")
+        self.scratch.drop(near)
+        return out
+
+    def pairs(self, chains: DataFrame) -> np.ndarray:
+        k = CLASSES + 1
+        m = np.zeros(k * k)
+        for r in chains.filter("not held_out").select("chain").mapInArrow(tidy(_transitions(k)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+            m[r["pair"]] = r["n"]  # k * k rows at most
+        return m.reshape(k, k)
+
+
+def fitted(d: DataFrame) -> tuple[ClassModel, DataFrame, Trained, str]:
+    """The model, the chains of all texts, and which column has the classes that hold."""
+    scratch = Scratch(d.sparkSession)
+    learned = d.filter("not held_out").select("text")
+    counts = learned.mapInArrow(tidy(_counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = scratch.save(counts, "counts")
+    own = Trained(learned, counts, scratch)
+    scratch.drop(counts)
+    column = "class"
+    chains = own.chains(d, column)
+    m = own.pairs(chains)
+    if objective(m) < objective(own.m):  # the words' moves, made at once, have lost
+        scratch.drop(chains)
+        column = "first"
+        chains = own.chains(d, column)
+        m = own.pairs(chains)
+    return ClassModel(m, own.stats(column), own.tokens, own.distinct, own.ends), chains, own, column
 
 
 def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity; learns from rows not held out."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    learned = docs.filter(~held_out).select(F.col(text).alias("text"))
-    counts = learned.mapInArrow(tidy(_counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = scratch.save(counts, "counts")
-    model = train(learned, counts, scratch)
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
-    more = "n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<long>, classes array<int>"
-    own = StructType([*d.drop("text").schema, *StructType.fromDDL(more)])
-    sums = scratch.save(d.mapInArrow(tidy(_scored(spark.sparkContext.broadcast(model))), own), "sums")
-    # words that are not common: their counts by a join, what they add back to their texts
-    more = sums.select("row", F.explode(F.arrays_zip("words", "times", "classes")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("k"), F.col("w.classes").alias("c"))
-    more = more.join(counts, "word")
-    gain = F.element_at(F.array(*(F.lit(float(x)) for x in model.known - model.unknown)), F.col("c") + 1)
-    more = more.groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("b"), F.sum(F.col("k") * (F.log10("n") + gain)).alias("s"))
-    out = sums.drop("words", "times", "classes").join(more, "row", "left")
-    add = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-    out = out.select("doc_id", "held_out", "n_tokens", add("n_known", "k"), F.lit(model.tokens).cast("long").alias("train_tokens"), add("base_score", "b"), add("score", "s"))
-    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    model, chains, _, _ = fitted(d)
+    kinds = "n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+    out = StructType([*d.select("doc_id", "held_out").schema, *StructType.fromDDL(kinds)])
+    return chains.drop("row").mapInArrow(tidy(_scored(docs.sparkSession.sparkContext.broadcast(model))), out)
