@@ -60,27 +60,66 @@ def test_longest_match(spark):
     assert (r.longest, r.longest_item, r.longest_start, r.contaminated) == (4, "1", 1, True)
 
 
-def test_suffix_array():
+def test_search_equals_every_comparison():
+    """Sorted suffixes, longest matches and groups, over texts whose ids have gaps, against comparing all with all."""
     r = np.random.default_rng(3)
-    for _ in range(30):
-        t = r.integers(0, 4, r.integers(1, 40))
-        at = np.flatnonzero(t)
-        order, lcp = dec.suffix_array(t, at)
-        runs = {int(p): tuple(t[p : p + int(np.argmax(np.append(t[p:], 0) == 0))]) for p in at}
-        assert [runs[int(p)] for p in order] == sorted(runs.values())
-        for k in range(1, len(order)):
-            x, y = runs[int(order[k - 1])], runs[int(order[k])]
-            assert lcp[k] == next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
-
-
-def test_suffix_array_of_ids_with_gaps():
-    """Word ids are the benchmark's, so a shard has gaps in them: their highest may be what the first round's ranks reach."""
-    r = np.random.default_rng(4)
-    some = [np.array([1, 2, 6, 0, 1, 2, 3, 0])] + [np.append(r.choice([0, 1, 2, 3, int(r.integers(4, 30))], r.integers(1, 40)), 0) for _ in range(300)]
-    for t in some:
-        order, _ = dec.suffix_array(t, np.flatnonzero(t))
-        runs = {int(p): tuple(t[p : p + int(np.argmax(t[p:] == 0))]) for p in np.flatnonzero(t)}
-        assert [runs[int(p)] for p in order] == sorted(runs.values())
+    for _ in range(300):
+        some = [1, 2, 3, int(r.integers(4, 30))]
+        run = lambda: np.append(r.choice(some, r.integers(1, 15)), 0)  # noqa: B023, E731
+        train, tests = (np.concatenate([run() for _ in range(r.integers(1, 4))]) for _ in range(2))
+        t, n = np.concatenate([train, tests]), len(train)
+        zero = np.flatnonzero(t == 0)
+        rest = zero[np.searchsorted(zero, np.arange(len(t)))] - np.arange(len(t))
+        text = [tuple(t[i : i + rest[i]]) for i in range(len(t))]
+        same = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        levels = dec.doubled(t, n, rest)
+        at = np.flatnonzero(train)
+        order = at[np.argsort(levels[-1][at], kind="stable")]
+        wanted = np.flatnonzero(tests) + n
+        longest, place = dec.search(levels, order, wanted, rest)
+        for w, k, p in zip(wanted, longest, place, strict=True):
+            assert k == max(same(text[w], text[i]) for i in at) and same(text[w], text[order[p]]) >= k
+        for depth in range(1, int(longest.max(initial=0)) + 1):
+            group = dec.stretches(levels, n, rest, order, depth)
+            for i in range(len(order)):
+                for j in range(i):
+                    assert (group[i] == group[j]) == (same(text[order[i]], text[order[j]]) >= depth)
+
+
+def test_long_matches_are_not_slow():
+    """An item copied whole, and one word over and over: neither grows with the square."""
+    import time
+
+    words = [b"w%d" % (i * 7919 % 50_021) for i in range(200_000)]
+    began = time.time()
+    mask, found, best = dec.Block([("a", b" ".join(words).decode())], 10).shard([words])[0]
+    assert mask.all() and found == ["a"] and best == (200_000, "a", 0)
+    mask, found, best = dec.Block([("a", "x " * 100_000)], 10).shard([[b"x"] * 100_000])[0]
+    assert mask.all() and found == ["a"] and best == (100_000, "a", 0)
+    assert time.time() - began < 40
+
+
+def test_each_copy_has_its_longest_match():
+    text = b"one two three four five six".split()
+    got = dec.Block([("i", "one two three four five six")], 10).shard([text, [b"zero", *text[1:4]], text])
+    assert [x[2] for x in got] == [(6, "i", 0), (3, "i", 1), (6, "i", 0)]
+
+
+def test_ids_that_repeat_or_are_null(spark):
+    """Rows that share an id are one item; those without one mark words only. The SQL says the same."""
+    import duckdb
+
+    from weftline.llm.sql import DECONTAMINATION
+
+    b = spark.createDataFrame([(1, "a b c d"), (1, "c d e"), (2, "a b c d"), (None, "x y z")], "item_id long, text string")
+    d = documents(spark, [(1, "a b c d e"), (2, "x y z"), (3, "q"), (4, "c d e a")])
+    got = dec.contamination(d, b, block_bytes=8).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert sorted((r.doc_id, r.n_hit, r.n_items) for r in got.collect()) == [(1, 5, 2), (2, 3, 0), (3, 0, 0), (4, 3, 1)]
+    con = duckdb.connect()
+    con.register("documents", d.toPandas())
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", [list(r) for r in b.collect()])
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(DECONTAMINATION).fetchall())
 
 
 def test_gaps_hide_no_match(spark):

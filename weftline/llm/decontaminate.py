@@ -1,16 +1,22 @@
 """Operator 8: benchmark decontamination by suffix arrays over the training texts.
 
 A shard is up to 8 MB of documents, or one of them. Words outside the benchmark's vocabulary end every match, so a shard's
-array holds only the suffixes of its runs of benchmark words that are as long as the shortest window. Every test
-suffix is binary-searched in the array, one word deeper at a time, until its interval is empty: that gives its
-longest verbatim match and where it lies. A suffix that reaches window length marks the words of all its matches.
+array holds the suffixes of its runs of benchmark words. Runs are named by prefix doubling, together with the test texts:
+equal stretches of 1, 2, 4, ... words have equal numbers, in order. So the array is sorted by its last numbers, every test
+suffix is found in it by binary search of its own number, and the common prefix of two suffixes takes one comparison a
+doubling: no step grows with the length of a match. Doubling ends where no test stretch stands in the shard.
+
+A test suffix that matches as far as a window marks the words of all suffixes that begin so. Searched the other way, each
+training suffix has its longest verbatim match, and each document its longest and where it lies.
 
 The benchmark is a stated query set: it is sent out in blocks of bounded size, and each shard meets one block
 after the other, so its size may grow without limit. No row leaves its task: there is no shuffle.
 
 Null or empty text: no words. An item shorter than a window, but not empty, is one window; items without words are
-never found. Repeated items each count; repeated documents are judged row by row. Without documents or items the
-result is empty, or clean. Other columns are ignored.
+never found. Rows of the benchmark that share an item_id are one item; those without an id mark words, but are not counted
+or listed. Repeated documents are judged row by row; of equally long matches (ties) a document gets that which begins first,
+with one of the items that hold it. Very long texts are a shard of their own, and very long matches cost no more than short
+ones. Without documents or items the result is empty, or clean. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ WINDOW = 10
 BLOCK_BYTES = 16 << 20
 #: Bytes of training text in a shard, or one document.
 SHARD_BYTES = 8 << 20
+#: Pairs of a document and an item that are put together at once.
+PAIRS = 1 << 22
 #: Blocks that run in one stage; then the state is written.
 CHAIN = 4
 #: Lower-cases A-Z and blanks what parts words, below 0x80.
@@ -40,70 +48,70 @@ def item_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
-def suffix_array(t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions `at` of t in the order of their suffixes, by doubling, and the lengths of common prefixes of neighbours.
+def doubled(t: np.ndarray, n: int, rest: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the stretches of 1, 2, 4, ... words that begin at each place of t: equal for equal ones, and in order.
 
-    Zeros end a suffix and are smaller than any word. Ranks have no gaps, so that their maxima tell when none was split.
+    t: training runs up to n, test texts after, a zero behind each; rest: how many words each place has before the next
+    zero. The last list is the first in which no whole stretch of the tests is one of the training runs.
     """
-    dense = lambda x: np.unique(np.append(x, 0), return_inverse=True)[1][:-1]  # noqa: E731  zeros stay zeros
-    rank = dense(t)
-    width, n = 1, len(t)
+    dense = lambda x: np.unique(x, return_inverse=True)[1].astype(np.int32)
+    levels, width = [dense(t)], 1
     while True:
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - width] = rank[width:]
-        ahead[rank == 0] = 0
-        new = dense(rank * (int(rank.max(initial=0)) + 1) + ahead)
+        rank = levels[-1]
+        most = int(rank.max(initial=0)) + 1
+        here = np.zeros(most, bool)
+        here[rank[:n][rest[:n] >= width]] = True
+        if not here[rank[n:][rest[n:] >= width]].any():
+            return levels
+        ahead = np.zeros(len(t), np.int64)
+        ahead[: max(0, len(t) - width)] = rank[width:] + 1
+        levels.append(dense(rank.astype(np.int64) * (most + 1) + ahead))
         width *= 2
-        stop = int(new.max(initial=0)) == int(rank.max(initial=0)) or not ahead.any()
-        rank = new
-        if stop or width > n:
-            break
-    order = at[np.argsort(rank[at], kind="stable")]
-    lcp = np.zeros(len(order), np.int64)
-    alive = np.arange(1, len(order))
-    d = 0
-    while len(alive):
-        a, b = order[alive - 1] + d, order[alive] + d
-        ok = (a < n) & (b < n)
-        a, b, alive = a[ok], b[ok], alive[ok]
-        alive = alive[(t[a] == t[b]) & (t[a] != 0)]
-        lcp[alive] += 1
-        d += 1
-    return order, lcp
-
-
-def search(t: np.ndarray, order: np.ndarray, lcp: np.ndarray, tests: np.ndarray, starts: np.ndarray, need: np.ndarray, words: int):
-    """For every test suffix: its longest match, a place of it, and the interval of the array at its `need` depth.
-
-    tests: all items' words with a zero after each; starts: where the suffixes begin.
-    """
-    k = len(starts)
-    longest, place = np.zeros(k, np.int64), np.zeros(k, np.int64)
-    lo, hi = np.zeros(k, np.int64), np.full(k, len(order))
-    hit_lo, hit_hi = np.zeros(k, np.int64), np.zeros(k, np.int64)
-    alive, d = np.arange(k), 0
-    while len(alive) and len(order):
-        group = np.cumsum(lcp < d)
-        pos = order + d
-        word = np.where(pos < len(t), t[np.minimum(pos, len(t) - 1)], 0)
-        key = group * (words + 1) + word
-        q = tests[starts[alive] + d]
-        want = group[lo[alive]] * (words + 1) + q
-        left, right = np.searchsorted(key, want, "left"), np.searchsorted(key, want, "right")
-        ok = (right > left) & (q != 0)
-        alive, left, right = alive[ok], left[ok], right[ok]
-        d += 1
-        lo[alive], hi[alive] = left, right
-        longest[alive], place[alive] = d, order[left]
-        full = alive[need[alive] == d]
-        hit_lo[full], hit_hi[full] = lo[full], hi[full]
-    return longest, place, hit_lo, hit_hi
+
+
+def shared_length(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many places from a and from b on are alike, up to what the levels tell."""
+    d, size = np.zeros(len(a), np.int64), len(levels[0])
+    for k in range(len(levels) - 1, -1, -1):
+        x, y = a + d, b + d
+        ok = (x < size) & (y < size)
+        same = levels[k][np.where(ok, x, 0)] == levels[k][np.where(ok, y, 0)]
+        d += (ok & same).astype(np.int64) << k
+    return d
+
+
+def search(levels: list[np.ndarray], order: np.ndarray, wanted: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each wanted suffix its longest match among those of `order`, which are sorted, and which of them (its place in order)."""
+    if not len(order) or not len(wanted):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+    at = np.searchsorted(levels[-1][order], levels[-1][wanted])
+    near = np.stack([np.maximum(at - 1, 0), np.minimum(at, len(order) - 1)])
+    length = np.stack([np.minimum(shared_length(levels, wanted, order[x]), rest[wanted]) for x in near])
+    best = length.argmax(axis=0)
+    own = np.arange(len(wanted))
+    return length[best, own], near[best, own]
+
+
+def stretches(levels: list[np.ndarray], n: int, rest: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """For each place in order: the number of its group, of suffixes whose first `depth` words are the same. Groups are runs of order."""
+    k = min(depth.bit_length() - 1, len(levels) - 1)
+    step = [1 << k] * (depth >> k)  # of whole doublings, the last one set back so that all are covered
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    starts = np.unique(np.minimum(np.cumsum([0, *step]), depth - (1 << k)))
+    for at in starts:
+        x = levels[k][np.minimum(order + at, len(levels[k]) - 1)]
+        new[1:] |= x[1:] != x[:-1]
+    short = rest[order] < depth  # stands alone
+    new |= short
+    new[1:] |= short[:-1]
+    return np.cumsum(new) - 1
 
 
 class Block:
     """Test suffixes of a block of items."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         split = [(i, w) for i, t in items if (w := item_words(t))]
         self.ids = [i for i, _ in split]
         self.vocab = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in split for w in ws}))}
@@ -114,7 +122,8 @@ class Block:
             item += [k] * len(ws)
             tests += [self.vocab[w] for w in ws] + [0]
         self.tests, self.starts, self.need, self.item = (np.array(x, np.int64) for x in (tests, starts, need, item))
-        self.least = int(self.need.min(initial=window))
+        self.item_at = np.zeros(len(self.tests), np.int64)  # of each place of tests
+        self.item_at[self.starts] = self.item
 
     def shard(self, docs: list[list[bytes]]):
         """Of each document: mask of hit words, items found, longest match (words, item, start)."""
@@ -125,33 +134,54 @@ class Block:
         known = np.concatenate([[0], (flat != 0).astype(np.int8), [0]])
         edge = np.diff(known)
         a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        a, b = a[b - a >= self.least], b[b - a >= self.least]
         # the runs alone, a zero after each; back: where each word of them lies in flat
         length = b - a + 1
         back = np.repeat(a - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(int(length.sum())) if len(a) else np.zeros(0, np.int64)
-        t = np.where(back < len(flat), flat[np.minimum(back, max(len(flat) - 1, 0))], 0) if len(back) else back
-        order, lcp = suffix_array(t, np.flatnonzero(t)) if len(t) else (t, t)
-        longest, place, lo, hi = search(t, order, lcp, self.tests, self.starts, self.need, len(self.vocab))
-        mask = np.zeros(len(flat) + 1, np.int64)
-        found: list[set[int]] = [set() for _ in docs]
+        n = len(back)
+        t = np.concatenate([np.where(back < len(flat), flat[np.minimum(back, max(len(flat) - 1, 0))], 0) if n else back, self.tests])
+        zero = np.flatnonzero(t == 0)
+        rest = zero[np.searchsorted(zero, np.arange(len(t)))] - np.arange(len(t)) if len(t) else t
+        found: list[set[str]] = [set() for _ in docs]
         best = [(0, None, None)] * len(docs)
-        doc_of = lambda p: np.searchsorted(first, p, "right") - 1
-        n = hi - lo
-        if n.sum():
-            test = np.repeat(np.arange(len(n)), n)
-            at = back[order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))]]
-            np.add.at(mask, at, 1)
-            np.add.at(mask, at + self.need[test], -1)
-            pairs = np.unique(doc_of(at) * len(self.ids) + self.item[test])
-            for d, i in zip(pairs // len(self.ids), pairs % len(self.ids), strict=True):
-                found[d].add(int(i))
-        some = np.flatnonzero(longest > 0)
-        for s in some[np.argsort(longest[some], kind="stable")] if len(some) else []:
-            p = int(back[place[s]])
-            d = int(doc_of(p))
-            best[d] = (int(longest[s]), self.ids[self.item[s]], p - int(first[d]))
+        mask = np.zeros(len(flat) + 1, np.int64)
+        if n and len(self.starts):
+            levels = doubled(t, n, rest)
+            at, tests = np.flatnonzero(t[:n]), self.starts + n
+            order = at[np.argsort(levels[-1][at], kind="stable")]
+            longest, place = search(levels, order, tests, rest)
+            for depth in np.unique(self.need[longest >= self.need]).tolist():
+                full = np.flatnonzero((self.need == depth) & (longest >= depth))
+                group = stretches(levels, n, rest, order, depth)
+                hit = np.divmod(np.unique(group[place[full]] * len(self.ids) + self.item[full]), len(self.ids))  # group and item
+                wanted = np.zeros(int(group[-1]) + 1, bool)
+                wanted[hit[0]] = True
+                some = np.flatnonzero(wanted[group])
+                np.add.at(mask, back[order[some]], 1)
+                np.add.at(mask, back[order[some]] + depth, -1)
+                # documents of each group, once; then each with each item of the group
+                doc_of = np.searchsorted(first, back[order[some]], "right") - 1
+                whose = np.divmod(np.unique(group[some] * len(docs) + doc_of), len(docs))
+                lo, hi = np.searchsorted(whose[0], hit[0], "left"), np.searchsorted(whose[0], hit[0], "right")
+                ends, i = np.cumsum(hi - lo), 0
+                while i < len(ends):
+                    j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+                    count = (hi - lo)[i:j]
+                    d = whose[1][np.repeat(lo[i:j] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
+                    pairs = np.unique(d * len(self.ids) + np.repeat(hit[1][i:j], count))
+                    for d, item in zip((pairs // len(self.ids)).tolist(), (pairs % len(self.ids)).tolist(), strict=True):
+                        if self.ids[item] is not None:
+                            found[d].add(self.ids[item])
+                    i = j
+            # the other way: each training suffix's longest match, of which each document's first of the longest
+            by_rank = tests[np.argsort(levels[-1][tests], kind="stable")]
+            matched, which = search(levels, by_rank, at, rest)
+            doc = np.searchsorted(first, back[at], "right") - 1
+            rank = np.lexsort([at, -matched, doc])
+            for k in rank[np.unique(doc[rank], return_index=True)[1]].tolist():
+                item = self.ids[self.item_at[by_rank[which[k]] - n]]
+                best[doc[k]] = (int(matched[k]), item, int(back[at[k]] - first[doc[k]]))
         hit = np.cumsum(mask) > 0
-        return [(hit[first[d] : first[d] + len(ids[d])], [self.ids[i] for i in sorted(found[d])], best[d]) for d in range(len(docs))]
+        return [(hit[first[d] : first[d] + len(ids[d])], sorted(found[d]), best[d]) for d in range(len(docs))]
 
 
 _STATE = "n_words long, hits binary, items array<string>, longest long, longest_item string, longest_start long"
@@ -172,7 +202,7 @@ def _met(block, text: str):
                 if old["hits"][k]:
                     mask = mask | np.unpackbits(np.frombuffer(old["hits"][k], np.uint8), count=len(mask)).astype(bool)
                 best = max(best, (old["longest"][k] or 0, old["longest_item"][k], old["longest_start"][k]), key=lambda x: x[0])
-                row = (len(docs[k]), np.packbits(mask).tobytes() if mask.any() else b"", (old["items"][k] or []) + found, *best)
+                row = (len(docs[k]), np.packbits(mask).tobytes() if mask.any() else b"", sorted({*(old["items"][k] or []), *found}), *best)
                 for column, v in zip(state, row, strict=True):
                     column.append(v)
             new = [pa.array(x, kind) for x, kind in zip(state, _STATE_KINDS, strict=True)]
@@ -185,7 +215,7 @@ def _met(block, text: str):
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n = [int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) if h else 0 for h in b.column("hits").to_pylist()]
-        items = [sorted(x or []) for x in b.column("items").to_pylist()]
+        items = [sorted(set(x or [])) for x in b.column("items").to_pylist()]
         sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
         keep = [b.column(c) for c in ("longest", "longest_item", "longest_start")]
         yield pa.RecordBatch.from_arrays(
@@ -197,7 +227,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _searched(d: DataFrame, text: str, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
     """d, whose columns are none of the state's, and the state after all blocks of the benchmark."""
     spark = d.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null and item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for x in _STATE.split(", "):
