@@ -58,6 +58,23 @@ def test_equals_brute_force(spark, seed, n):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, n)
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    """One component for an id, whatever its texts; what either links to is reachable."""
+    rows = [(1, "a b c d"), (5, "a b c d"), (5, "x y z w"), (7, "x y z w"), (9, ""), (9, "x y z w"), (3, "k l m n"), (3, None), (8, "alone here")]
+    got = near_dedup.near_duplicates(documents(spark, rows), words=2).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (5, 1), (7, 1), (9, 1), (3, 3), (8, 8)} and len(got) == 9
+    assert {(r.doc_id, r.kept) for r in got} == {(1, True), (5, False), (7, False), (9, False), (3, True), (8, True)}
+    kept = near_dedup.keep_one(documents(spark, rows), words=2).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3, 8]
+
+
+def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 2000)
+    rows = variants(11, families=4)
+    got = near_dedup.near_duplicates(documents(spark, rows), words=1)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 1)
+
+
 def test_one_large_bucket(spark, monkeypatch):
     """Hundreds of texts about the threshold around one; small blocks, so that many are compared."""
     monkeypatch.setattr(near_dedup, "BLOCK_STRAYS", 4)

@@ -7,11 +7,12 @@
 3. Buckets that still hold several components are compared in full: the members outside the bucket's largest
    component against all its members, in blocks, so that no link between different texts is lost and no list of
    all pairs is ever made. Signatures are compared first, full sets after; a pair is judged in the first band it shares.
-4. Components come from alternating large-star and small-star.
+4. Components come from alternating large-star and small-star. Rows that share a doc_id are linked through it.
 
 Null or empty text, or one without words: no shingles, linked with nothing. Null doc_id: never linked, null
-component. Repeated rows and rows that share a doc_id count as one document. Empty table: empty result. Other
-columns are ignored.
+component. Repeated rows and rows that share a doc_id, whatever their texts, count as one document and have one component.
+Very long texts are shingled whole; blocks of pairs are bounded in bytes, so that one long text is a block of its own. Ties
+(equal sets) collapse to the smallest doc_id. Empty table: empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ from weftline.llm.common import Scratch, WordHashes, gram_hashes, lower_words, t
 
 HASHES, BANDS = 128, 32
 ROWS = HASHES // BANDS
-#: Signatures of texts at the threshold agree in `share * HASHES` places on average; those five deviations below are let go.
-DEVIATIONS = 5.0
-#: Strays and members of a bucket that are compared at once.
-BLOCK_STRAYS, BLOCK_MEMBERS = 128, 512
+#: Signatures of texts at the threshold agree in `share * HASHES` places on average; those seven deviations below are let go,
+#: which at the threshold is rarer by far than to share no band.
+DEVIATIONS = 7.0
+#: Strays and members of a bucket that are compared at once, by their number and on average by their bytes.
+BLOCK_STRAYS, BLOCK_MEMBERS, BLOCK_BYTES = 128, 512, 4 << 20
 #: Bytes of shingles and signatures that a task's bundle of blocks holds on average.
 BUNDLE_BYTES = 1 << 20
 
@@ -186,6 +188,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     all_docs = scratch.save(d.mapInArrow(tidy(_signed(words)), "doc_id long, n_shingles long, set_key binary, sig binary"), "signed")
     some = all_docs.filter("n_shingles > 0 and doc_id is not null")
     reps = scratch.save(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "reps")
+    # a doc_id with several texts links their classes
+    several = all_docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("set_key")).alias("lo"), F.max(F.xxhash64("set_key")).alias("hi"))
+    several = scratch.save(several.filter("lo <> hi").select("doc_id"), "several")
+    same_id = some.select("doc_id", "set_key").join(several, "doc_id").join(reps.select("set_key", "rep"), "set_key")
+    same_id = scratch.save(same_id.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "same_id")
     bands = reps.select("rep", "sig").mapInArrow(tidy(_bands), "key long, rep long, band int")
     bands = scratch.save(bands.distinct(), "bands")
     hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -205,30 +212,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     of = lambda name, other: sets.select(F.col("id").alias(name), F.col("shingles").alias(other))
     first = best.join(of("rep", "x"), "rep").join(of("hub", "y"), "hub").select("rep", "hub", "x", "y")
     first = scratch.save(first.mapInArrow(tidy(_confirmed(percent)), "a long, b long"), "first")
+    scratch.drop(best)
+    first = first.unionByName(same_id)
     comp = scratch.save(components(first, scratch), "comp")
     # buckets that hold several components still
     m = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).drop("hub")
     m = scratch.save(m, "placed")
     each = m.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = each.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m"), F.count("*").alias("k")).filter("k > 1")
-    mixed = scratch.save(mixed.select("key", F.col("top.comp").alias("top"), (F.col("m") - F.col("top.n")).alias("s"), "m"), "mixed")
-    m = m.join(mixed, "key").withColumn("stray", F.col("comp") != F.col("top"))
-    m = m.withColumn("nsb", F.ceil(F.col("s") / BLOCK_STRAYS)).withColumn("nmb", F.ceil(F.col("m") / BLOCK_MEMBERS))
+    mixed = each.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("k")).filter("k > 1")
+    m = m.join(scratch.save(mixed.select("key", F.col("top.comp").alias("top")), "mixed"), "key").withColumn("stray", F.col("comp") != F.col("top"))
+    # of the buckets that are left: how many strays and members, and how many bytes they have
+    m = scratch.save(m.join(reps.groupBy("rep").agg(F.sum(8 * F.col("n") + 4 * HASHES).alias("bytes")), "rep"), "left")
+    own = lambda c: F.sum(F.when(F.col("stray"), c).otherwise(0))
+    sizes = m.groupBy("key").agg(own(F.lit(1)).alias("s"), own(F.col("bytes")).alias("s_bytes"), F.count("*").alias("m"), F.sum("bytes").alias("m_bytes"))
+    parts = lambda n, rows, size: F.ceil(F.greatest(F.col(n) / rows, F.col(size) / BLOCK_BYTES))
+    sizes = sizes.select("key", parts("s", BLOCK_STRAYS, "s_bytes").alias("nsb"), parts("m", BLOCK_MEMBERS, "m_bytes").alias("nmb"))
+    m = m.join(sizes, "key")
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     strays = m.filter("stray").withColumn("sb", block("nsb")).withColumn("mb", F.explode(F.expr("sequence(0L, nmb - 1)")))
     whole = m.withColumn("stray", F.lit(False)).withColumn("mb", block("nmb")).withColumn("sb", F.explode(F.expr("sequence(0L, nsb - 1)")))
-    units = scratch.save(strays.unionByName(whole).select("key", "band", "sb", "mb", "rep", "comp", "stray"), "units")
-    held = units.join(reps.select("rep", "n"), "rep").agg(F.sum(8 * F.col("n") + 4 * HASHES)).first()[0]
+    units = scratch.save(strays.unionByName(whole).select("key", "band", "sb", "mb", "rep", "comp", "stray", "bytes"), "units")
+    held = units.agg(F.sum("bytes")).first()[0]
     bundles = max(1, (held or 0) // BUNDLE_BYTES)
     units = units.join(sigs, "rep").join(of("rep", "shingles"), "rep")
     units = units.withColumn("bundle", F.pmod(F.xxhash64("key", "sb", "mb"), F.lit(bundles)))
     second = scratch.save(units.groupBy("bundle").applyInPandas(_blocks(percent), "a long, b long"), "second")
+    scratch.drop(members, sets)
     final = scratch.save(components(first.unionByName(second), scratch), "final")
     # every document has its class, every class its component
     classes = reps.select("set_key", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select("set_key", F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("component_id"))
     out = all_docs.drop("sig").join(classes, "set_key", "left")
-    # rows that share a doc_id are one document
+    if not several.isEmpty():  # rows without words have no class of their own
+        by_id = final.join(several, F.col("id") == F.col("doc_id")).select("doc_id", F.col("comp").alias("id_comp"))
+        out = out.join(by_id, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "id_comp"))
     own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
     out = out.select("doc_id", "n_shingles", own("class_id").alias("class_id"), own("component_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
