@@ -115,3 +115,18 @@ def test_language_of_odd_texts(spark):
     docs = documents(spark, [*odd_rows(), (20, "123 456")])
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, F.lit(False)).collect()}
     assert got[1] == got[2] == got[20] == ("und", 0.0) and got[8][0] == "en"
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("aBé \n\tX", max_size=12)), min_size=1, max_size=12), st.integers(0, 12), st.integers(0, 12))
+def test_words_of_a_part_of_a_batch(texts, start, n):
+    """A part of a batch keeps the batch's buffers: its words must be its own."""
+    from weftline.llm.common import coded, lower_words, plain_words, word_spans
+
+    part = pa.array(texts, pa.string()).slice(min(start, len(texts)), n)
+    for lower, split in ((True, lower_words), (False, plain_words)):
+        words, codes, length = coded(part, lower)
+        want = [split(t) for t in part.to_pylist()]
+        assert [words[c] for c in codes] == [w for ws in want for w in ws] and length.tolist() == [len(w) for w in want]
+    raw, first, last, length = word_spans(part)
+    assert [raw[i:j].tobytes() for i, j in zip(first, last, strict=True)] == [w for t in part.to_pylist() for w in plain_words(t)]

@@ -34,9 +34,20 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def from_zero(texts: pa.Array) -> pa.Array:
+    """texts as large strings, null as empty, whose bytes begin with its buffer: the cast of a part of a batch keeps the batch's
+    offsets, which `ascii_lower` doesn't heed."""
+    t = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not len(t):
+        return t
+    offsets = np.frombuffer(t.buffers()[1], np.int64)[t.offset : t.offset + len(t) + 1]
+    data = t.buffers()[2] or pa.py_buffer(b"")
+    return pa.Array.from_buffers(pa.large_string(), len(t), [None, pa.py_buffer(offsets - offsets[0]), data.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))])
+
+
 def coded(texts: pa.Array, lower: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct words of texts, the words of all texts by their places in them, and how many each text has."""
-    t = pc.fill_null(texts.cast(pa.large_string()), "")
+    t = from_zero(texts)
     lists = pc.ascii_split_whitespace(pc.ascii_lower(t) if lower else t)
     flat = lists.flatten()
     full = np.asarray(pc.not_equal(flat, pa.scalar("", flat.type)))
