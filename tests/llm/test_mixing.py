@@ -59,6 +59,23 @@ def test_mix_repeats_rows(spark):
     assert out.columns == docs.columns and out.count() == plan
 
 
+def test_mix_takes_what_the_plan_takes(spark, monkeypatch):
+    """Row by row, with null ids and sources, empty texts and ties; by a sent table of sources and by a join."""
+    from collections import Counter
+
+    r = __import__("random").Random(4)
+    rows = [(r.choice([i, i, i, i // 2, None]), " ".join(["w"] * r.choice([0, 1, 3, 9, 40])), "en", r.choice(["a", "b", "c", None])) for i in range(400)]
+    docs = documents(spark, rows)
+    size = lambda t: len(words(t))
+    plan = {(p.doc_id, p.source, p.size): p.copies for p in mixing.plan(docs).orderBy("copies").collect()}  # of rows alike the one taken most
+    want = Counter()
+    for i, t, _, s in rows:
+        want[i, s, size(t)] += plan[i, s, size(t)]
+    for few in (50_000, 0):
+        monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+        assert Counter((x.doc_id, x.source, size(x.text)) for x in mixing.mix(docs).collect()) == +want
+
+
 def test_odd_cases(spark):
     got = mixing.plan(documents(spark, [(*r, "en", "s") for r in odd_rows()])).collect()
     assert len(got) == 10 and all(r.taken <= 2 * r.size for r in got)

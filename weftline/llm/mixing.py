@@ -5,9 +5,9 @@ every document of a source, floor(target / size) whole copies are certain. What
 without replacement: documents are ranked by random odds u / (1 - u) over inclusion odds p / (1 - p) and taken
 in that order until the words are reached; one closing document, the best fit to the remaining gap, may follow.
 
-Null text: size 0, nothing taken. Null source: a source of its own, last in order. Repeated ids: rows of one id
-share a draw and stand in a row by size. Empty table: empty result. Extra columns are ignored by `plan`; `mix`
-keeps them.
+Null or empty text: size 0, nothing taken. Null source: a source of its own, last in order. Repeated ids: rows of one id
+share a draw and stand in a row by size; ties in all are taken alike. Very long texts count by all their words. Empty table:
+empty result. Extra columns are ignored by `plan`; `mix` keeps them.
 """
 
 from __future__ import annotations
@@ -56,9 +56,18 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return (F.conv(digest, 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def plan(docs: DataFrame, seed: str = "mix-1", doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (whole copies to take), taken (their words)."""
-    scratch = Scratch(docs.sparkSession)
+def odds(doc_id: Column, p: Column, seed: str) -> Column:
+    """Random odds over inclusion odds: the lowest are drawn first. Null where nothing is drawn."""
+    u = uniform(doc_id, seed)
+    return F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))
+
+
+def bin_of(rank: Column) -> Column:
+    return F.floor(rank / (1 + rank) * BINS).cast("int")
+
+
+def planned(docs: DataFrame, scratch: Scratch, seed: str, doc_id: str, text: str, source: str, **how) -> tuple[DataFrame, bool]:
+    """The plan with what decided it, and whether sources are few."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"))
     d = scratch.save(d, "sizes")  # texts are read once; ids, sources and sizes from here on
     t = scratch.save(targets(d, **how), "targets")
@@ -71,10 +80,8 @@ def plan(docs: DataFrame, seed: str = "mix-1", doc_id: str = "doc_id", text: str
 
     d = of_source(d, t.withColumnsRenamed({"source": "s2"}), "inner")
     d = d.withColumn("certain", F.floor(ratio)).withColumn("p", ratio - F.col("certain"))
-    u = uniform(F.col("doc_id"), seed)
-    odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    d = d.withColumn("rank", F.when(F.col("p") > 0, odds)).withColumn("left", F.col("target") - F.col("certain") * F.col("source_size"))
-    d = d.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
+    d = d.withColumn("rank", odds(F.col("doc_id"), F.col("p"), seed)).withColumn("left", F.col("target") - F.col("certain") * F.col("source_size"))
+    d = d.withColumn("bin", bin_of(F.col("rank")))
     # words of each bin, then the words before it: at most BINS rows a source
     draw = d.filter("p > 0 and size > 0")
     bins = draw.groupBy("source", "bin", "left").agg(F.sum("size").alias("words"))
@@ -103,18 +110,35 @@ def plan(docs: DataFrame, seed: str = "mix-1", doc_id: str = "doc_id", text: str
     close = close.select(F.col("source").alias("s2"), F.col("c.doc_id").alias("c_id"), F.col("c.size").alias("c_size"), F.col("c.rank").alias("c_rank"))
     d = of_source(d, close)
     closing = ~F.col("drawn") & F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("size") == F.col("c_size")) & F.col("c_rank").isNotNull()
-    extra = F.when(F.col("drawn") | F.coalesce(closing, F.lit(False)), 1).otherwise(0)
-    d = d.withColumn("copies", (F.col("certain") + extra).cast("long"))
+    d = d.withColumn("closing", F.coalesce(closing, F.lit(False)))
+    return d.withColumn("copies", (F.col("certain") + F.when(F.col("drawn") | F.col("closing"), 1).otherwise(0)).cast("long")), few
+
+
+def plan(docs: DataFrame, seed: str = "mix-1", doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (whole copies to take), taken (their words)."""
+    d, _ = planned(docs, Scratch(docs.sparkSession), seed, doc_id, text, source, **how)
     return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, each as often as the plan takes it; rows alike in id, size and source are taken alike."""
-    key = ["p_id", "p_size", "p_source"]
-    p = plan(docs, **how).filter("copies > 0").select(F.col("doc_id").alias("p_id"), F.col("size").alias("p_size"), F.col("source").alias("p_source"), "copies")
-    p = p.groupBy(*key).agg(F.max("copies").cast("int").alias("p_copies"))
+def mix(docs: DataFrame, seed: str = "mix-1", doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The rows of docs, each as often as the plan takes it; rows alike in id, size and source are taken alike.
+
+    A source's draw ends at one place in the order of its ranks. So a row of a source for each, sent to every task where they
+    are few, says of every document what becomes of it, and no text is shuffled; else documents are joined with their sources.
+    """
+    d, few = planned(docs, Scratch(docs.sparkSession), seed, doc_id, text, source, **how)
+    place = F.struct("rank", "doc_id", "size")
+    one = {c: F.first(c) for c in ("certain", "p", "edge_bin")}
+    ends = {"last": F.max(F.when(F.col("drawn") & (F.col("size") > 0), place)), "close": F.max(F.when(F.col("closing"), place))}
+    s = d.groupBy("source").agg(*(x.alias(f"s_{c}") for c, x in {**one, **ends}.items())).withColumnRenamed("source", "s_source")
     names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of docs is named as one of the plan's
-    d = docs.toDF(*names)
-    doc_id, text, source = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text", "source"))
-    on = doc_id.eqNullSafe(F.col("p_id")) & (size_of(text) == F.col("p_size")) & source.eqNullSafe(F.col("p_source"))
-    return d.join(p, on).withColumn("p_n", F.explode(F.sequence(F.lit(1), F.col("p_copies")))).select(*names).toDF(*docs.columns)
+    id_, words, from_ = (F.col(names[docs.columns.index(c)]) for c in (doc_id, text, source))
+    d = docs.toDF(*names).withColumn("s_size", size_of(words))
+    d = d.join(F.broadcast(s) if few else s, from_.eqNullSafe(F.col("s_source")))
+    d = d.withColumn("s_rank", odds(id_, F.col("s_p"), seed))
+    own = F.struct(F.col("s_rank").alias("rank"), id_.alias("doc_id"), F.col("s_size").alias("size"))
+    empty = F.col("s_edge_bin").isNull() | (bin_of(F.col("s_rank")) < F.col("s_edge_bin"))
+    drawn = (F.col("s_p") > 0) & F.when(F.col("s_size") > 0, own <= F.col("s_last")).otherwise(empty)
+    extra = F.coalesce(drawn, F.lit(False)) | F.coalesce(own == F.col("s_close"), F.lit(False))
+    d = d.withColumn("s_copies", (F.col("s_certain") + extra.cast("int")).cast("int")).filter("s_copies > 0")
+    return d.withColumn("s_n", F.explode(F.sequence(F.lit(1), F.col("s_copies")))).select(*names).toDF(*docs.columns)
