@@ -193,8 +193,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             crc = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(starts, ends, strict=True)]
             n = len(ends)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r["shard"]] * n, pa.int32()), pa.array([r["block"]] * n, pa.int64()), pa.array(starts, pa.int64()), pa.array(r["doc_ids"], pa.int64()), pa.array(r["lengths"], pa.int64()), pa.array(crc, pa.int64())],
-                ["shard", "block", "offset", "doc_id", "n_tokens", "ids_crc32"],
+                [pa.array([r["shard"]] * n, pa.int32()), pa.array([r["block"]] * n, pa.int64()), pa.array(starts, pa.int64()), pa.array(starts + r["before"], pa.int64()), pa.array(r["doc_ids"], pa.int64()), pa.array(r["lengths"], pa.int64()), pa.array(crc, pa.int64())],
+                ["shard", "block", "offset", "in_shard", "doc_id", "n_tokens", "ids_crc32"],
             )
 
 
@@ -205,10 +205,10 @@ def read_files(spark, path: str) -> DataFrame:
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("shard_start"))
-    at = blocks.select("shard", "block", "before")
-    rows = blocks.select("shard", "block", "bits", "n_ids", "doc_ids", "lengths", "payload").mapInArrow(tidy(_read), "shard int, block long, offset long, doc_id long, n_tokens long, ids_crc32 long")
-    out = rows.join(at, ["shard", "block"]).join(shards, "shard")
-    return out.select("doc_id", (F.col("shard_start") + F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", "shard", "block", "offset")
+    rows = blocks.select("shard", "block", "before", "bits", "n_ids", "doc_ids", "lengths", "payload")
+    rows = rows.mapInArrow(tidy(_read), "shard int, block long, offset long, in_shard long, doc_id long, n_tokens long, ids_crc32 long")
+    out = rows.join(shards, "shard")
+    return out.select("doc_id", (F.col("shard_start") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32", "shard", "block", "offset")
 
 
 def token_files(docs: DataFrame, tokenizer: str, vocabulary: int, path: str | None = None, end_id: int = END_ID) -> DataFrame:
