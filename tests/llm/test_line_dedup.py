@@ -61,6 +61,41 @@ def test_no_line_is_left_that_a_pair_would_take(spark, seed):
             assert (left.count(x) < len(at)) == bool(at & every[i])
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_equals_every_pair_by_plain_loops(spark, seed):
+    """No code of the operator's: documents are runs of one long text, each line once, so that what two have in common stands
+    in one order and can be aligned in one way. Every pair is compared; a long line goes if an earlier document has it in a
+    block with it, a short one only with a long neighbour in both."""
+    r = random.Random(seed)
+    long_text = [f"line {i} of some more words" if r.random() < 0.7 else f"short {i}" for i in range(60)]
+    rows = []
+    for i in range(30):
+        lines = []
+        for k in sorted(r.sample(range(60), r.randrange(1, 5))):
+            start = max(k, len(lines) and long_text.index(lines[-1]) + 1 if lines and lines[-1] in long_text else k)
+            lines += long_text[start : start + r.randrange(1, 8)]
+            if r.random() < 0.5:
+                break
+        rows.append((i, "\n".join(lines)))
+    got = {x.doc_id: x.kept_text.split("\n") for x in dedup_lines(documents(spark, rows)).collect()}
+    for d, text in rows:
+        lines = text.split("\n")
+        far, gone = {x for x in lines if len(x.split()) >= 4}, set()
+        for e, other in rows[:d]:
+            theirs = other.split("\n")
+            run = []
+            for x in [*lines, None]:
+                joined = run and x in theirs and theirs.index(x) == theirs.index(run[-1]) + 1
+                if not joined:
+                    gone |= set(run) if far & set(run) else set()
+                    run = []
+                if x in theirs:
+                    run.append(x)
+        kept = got[d] if got[d] != [""] else []
+        assert [x for x in kept if x in far] == [x for x in lines if x in far - gone]
+        assert set(lines) - set(kept) <= gone
+
+
 def test_a_copy_of_a_later_document_goes_whole(spark):
     p1, p2 = "first paragraph of four words", "second paragraph of four words"
     rows = [(1, f"{p1}\n{p2}"), (2, f"{p2}\n{p1}"), (3, f"{p2}\n{p1}"), (4, f"{p2}\n{p1}\nown line")]

@@ -12,7 +12,9 @@
    input, not on what is left, so the order of pairs doesn't matter. Repeats within one document stay.
 
 Null or empty text: no lines, nothing removed. Null doc_id: left as it is. Rows that share a doc_id stand in order of
-their texts' hashes; repeated rows count once and are treated alike. Empty table: empty result. Other columns are ignored.
+their texts' hashes; repeated rows count once and are treated alike. Very long texts are read whole; an alignment holds two
+documents' line hashes, and a longest common subsequence is halved where it would take too much. Ties (equally long chains or
+subsequences) are settled by the first found, alike in every run. Empty table: empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ of features. One task fits it, so that the driver never holds the sample, only t
 text, however long: each distinct word's weight is looked up once a task.
 
 Null or empty text: no words, only the bands count. Null ratings or ids are not learned from; of several ratings of one
-id the lowest holds. Repeated rows are scored row by row; equal texts (ties) get equal scores. No labelled rows: every grade is equally likely. Empty table:
-empty result. Other columns are kept by `select_good`, ignored by `score`.
+id the lowest holds. Repeated rows are scored row by row; equal texts (ties) get equal scores. No labelled rows: every grade is equally likely, and
+`select_good` rejects nothing. Empty table: empty result. Other columns are kept by `select_good`, ignored by `score`.
 """
 
 from __future__ import annotations
@@ -88,7 +88,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class OrdinalModel:
     def __init__(self, grades: int):
         self.w = np.zeros(DIM, np.float32)
-        self.t = np.linspace(-1, 1, grades - 1) if grades > 1 else np.zeros(0)
+        self.t = np.array([np.log(k / (grades - k)) for k in range(1, grades)])  # every grade alike, until it has learned
+        self.learned = False
 
     def fit(self, at: np.ndarray, value: np.ndarray, length: np.ndarray, grade: np.ndarray, seed: int = 3) -> OrdinalModel:
         """at, value: features of all texts end to end; length: how many each has."""
@@ -236,7 +237,7 @@ def train(docs: DataFrame, rated: DataFrame, top: int = 2, sample: int = SAMPLE,
     rows = rows.select(F.xxhash64("at", "value").alias("h"), "*").repartition(1).sortWithinPartitions("h", "grade", "at", "value")
     model = OrdinalModel(top + 1)
     for r in rows.mapInArrow(tidy(_fitted(top, sample_bytes)), "w binary, t binary").collect():  # one row at most
-        model.w, model.t = np.frombuffer(r["w"], np.float32), np.frombuffer(r["t"], np.float64)
+        model.w, model.t, model.learned = np.frombuffer(r["w"], np.float32), np.frombuffer(r["t"], np.float64), True
     return model
 
 
@@ -253,5 +254,8 @@ LEAST_TAIL = 0.5
 
 def select_good(docs: DataFrame, labels: DataFrame, least: float = LEAST_TAIL, **how) -> DataFrame:
     """The rows that are not rejected, with all their columns; each is judged by its own text, in place."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, grades(labels), **how))
+    own = train(docs, grades(labels), **how)
+    if not own.learned:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(own)
     return docs.mapInArrow(tidy(_good(model, docs.columns.index("text"), least)), docs.schema)

@@ -14,7 +14,8 @@ consecutive and go together as one spot: (first start, how many). Partitions are
 
 Words are compared themselves; hashes only deal them out, save for step 3 (128 bits).
 
-Null or empty text, or fewer words than a window: nothing is removed. Rows that share a doc_id stand in order of their
+Null or empty text, or fewer words than a window: nothing is removed. Very long texts are read whole, in slices of many
+windows; of equal windows (ties) the one of the smallest document, then key, then start stays. Rows that share a doc_id stand in order of their
 texts' hashes; repeated rows count once and are all treated alike. Null doc_id: left as it is, and no source of repeats.
 Empty table: empty result. Other columns are ignored.
 """
