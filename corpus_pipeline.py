@@ -1,6 +1,12 @@
 """A training corpus from raw documents to token files. Each stage is written and read again before the next.
 
 Every stage but the last keeps the columns of `documents`; the last returns one row a document of the files.
+
+Null and empty texts go through: the classifier judges them by their length, near duplicates and decontamination leave them,
+mixing takes none of their words, token files hold their end id alone. Rows with a null doc_id are never near duplicates. Of
+rows that share a doc_id near duplicates keep one; mixing may repeat rows. Very long texts are worked on whole; equal texts
+(ties) leave the smallest doc_id. Extra columns are carried, whatever their names. Empty tables give empty results; without
+labels the classifier rejects nothing, without a benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
