@@ -181,6 +181,22 @@ def test_chunks_and_pages(spark):
     assert [r.id for r in R.page(d, [F.asc("id")], 3).collect()] == list(range(100, 120))
 
 
+def test_numbers_of_wide_rows(spark):
+    """Columns that the order doesn't know, many partitions: each number once, each row with its own."""
+    d = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("id"), (F.col("id") % 5).alias("k"), F.repeat(F.col("id").cast("string"), 80).alias("wide"), F.lit(1).alias("place")).repartition(13)
+    got = R.numbered(d, [F.col("k"), F.desc("id")]).collect()
+    assert sorted(r.n for r in got) == list(range(1, 20_001)) and set(got[0].asDict()) == {"id", "k", "wide", "place", "n"}
+    order = sorted(got, key=lambda r: r.n)
+    assert [(r.k, -r.id) for r in order] == sorted((r.k, -r.id) for r in order)
+    assert R.numbered(d.limit(0), [F.col("id")]).collect() == []
+
+
+def test_nested_census(spark):
+    rows = [('{"a": {"b": [1, {"c": "x"}]}, "d": null}',), ('{"a": 3}',), ("[1]",), ("no json",), (None,)]
+    got = {(r.path, r.type): r.n for r in R.field_census(spark.createDataFrame(rows, "p string"), "p").collect()}
+    assert got == {("a", "OBJECT"): 1, ("a", "BIGINT"): 1, ("d", "VOID"): 1, ("a.b", "ARRAY"): 1, ("a.b[]", "BIGINT"): 1, ("a.b[]", "OBJECT"): 1, ("a.b[].c", "STRING"): 1, ("[]", "BIGINT"): 1}
+
+
 def test_empty_reports(spark):
     none = spark.createDataFrame([], "status string, matched string, manual_review_required string, deterministic_match_found string, ai_status string")
     row = R.quality_counts(none).withColumn("p", R.rate(F.col("auto_matched"), F.col("total"))).first()

@@ -95,7 +95,7 @@ CRITICAL_TOKENS = (
     " JUNIOR KIDS LEMON LOTION MAX MILK MINT OINTMENT ORANGE PLUS POWDER SHAMPOO SOAP SPRAY STRAWBERRY SYRUP TABLET ULTRA"
     " VANILLA VIAL VITAMIN"
 ).split()
-DISTINGUISHING_TOKENS = "ADVANCED EXTRA FORTE JOINT MAX PLUS PRO SUPER ULTRA".split()
+DISTINGUISHING_TOKENS = "2% ADVANCED EXTRA FORTE JOINT MAX PLUS PRO SUPER ULTRA".split()
 CONFLICTS = [
     "ANISE CHAMOMILE CINNAMON CLOVE DETOX MINT".split(),
     "APPLE BANANA CHOCOLATE LEMON ORANGE STRAWBERRY".split(),

@@ -72,14 +72,24 @@ def enrich_company(payload: Column) -> Column:
     return F.coalesce(*flat, *(_json(payload, f"{o}.{n}") for o in NESTED_KEYS for n in NAME_KEYS))
 
 
+def _pieces(c: Column) -> Column:
+    """All stretches of one to three letters."""
+    at = lambda i: F.array(*(F.substring(c, i, F.lit(n)) for n in (1, 2, 3)))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), at)))
+
+
 def preferred_priority(offers: DataFrame, preferred: DataFrame, name: str = "store_name") -> DataFrame:
     """offers with `priority`: the first place in the list whose name equals, holds or is held by the offer's; 999 without one.
 
-    The list is what a user writes by hand; each distinct name is held against it once, whatever the number of offers.
+    A name that holds another holds the other's first three letters: an equi-join on these finds the pairs, each distinct name
+    once, however long the list is. Names without a letter match nothing.
     """
-    names = offers.select(name).distinct().withColumn("_n", store_name(F.col(name)))
-    lists = preferred.select("position", store_name(F.col("preferred_name")).alias("_p"))
-    found = names.join(lists, F.col("_n").contains(F.col("_p")) | F.col("_p").contains(F.col("_n"))).groupBy(name).agg(F.min("position").alias("priority"))
+    names = offers.select(name).distinct().withColumn("_n", store_name(F.col(name))).filter("_n <> ''")
+    lists = preferred.select("position", store_name(F.col("preferred_name")).alias("_p")).filter("_p <> ''")
+    begin, every = (lambda c: F.left(F.col(c), F.lit(3)).alias("_k")), (lambda c: F.explode(_pieces(F.col(c))).alias("_k"))
+    held = names.select(name, "_n", every("_n")).join(lists.select("position", "_p", begin("_p")), "_k").filter(F.col("_n").contains(F.col("_p")))
+    holds = names.select(name, "_n", begin("_n")).join(lists.select("position", "_p", every("_p")), "_k").filter(F.col("_p").contains(F.col("_n")))
+    found = held.select(name, "position").unionByName(holds.select(name, "position")).groupBy(name).agg(F.min("position").alias("priority"))
     return offers.join(found, name, "left").withColumn("priority", F.coalesce("priority", F.lit(999)))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import words as W
-from weftline.functions.normalize import identity_tokens
+from weftline.functions.normalize import identity_tokens, text
 from weftline.functions.parse import parse_names
 from weftline.functions.similarity import ratio, scores, sequence_ratio, similarity
 from weftline.operators import gates as G
@@ -146,6 +146,7 @@ def cascade(items: DataFrame, catalogue: DataFrame, threshold: float = THRESHOLD
     in which the first scorer with a passing name ends the search, not the best of the three.
     """
     scratch = Scratch(items.sparkSession)
+    items, catalogue = (x.withColumn("name", text(F.col("name"))) for x in (items, catalogue))
     d, m = scratch.save(names(items, "name", "d"), "d"), scratch.save(names(catalogue, "name", "m"), "m")
     rows = catalogue.groupBy(F.col("name").alias("m_name"), F.col("price").alias("m_price")).agg(F.min("row_id").alias("row_id"))
     first = catalogue.groupBy(F.col("name").alias("m_name")).agg(F.min(F.struct("row_id", "price")).alias("f")).select("m_name", "f.row_id", F.col("f.price").alias("m_price"))
@@ -200,6 +201,7 @@ def search_candidates(items: DataFrame, catalogue: DataFrame, limit: int = SEARC
     person may be shown with LEAST_REVIEW or more. catalogue: row_id, name, price, store_product_id.
     """
     scratch = Scratch(items.sparkSession)
+    items, catalogue = (x.withColumn("name", text(F.col("name"))) for x in (items, catalogue))
     d, m = scratch.save(names(items, "name", "d"), "d"), scratch.save(names(catalogue, "name", "m"), "m")
     first = catalogue.groupBy(F.col("name").alias("m_name")).agg(F.min(F.struct("row_id", "price")).alias("f")).select("m_name", "f.row_id", F.col("f.price").alias("m_price"))
     by = lambda keys: pairs_by_keys(d, "d_name", with_strength(keys("d"), True, "d"), m, "m_name", with_strength(keys("m"), False, "m"))
