@@ -143,6 +143,10 @@ def exchange(after: np.ndarray, before: np.ndarray, itself: np.ndarray, of: np.n
     return of
 
 
+#: Words next to each other so often or less look up what they change; chunks of fewer words compute it.
+FEW_TIMES, LOOK_UP = 8, 256
+
+
 def exchange_words(owner: np.ndarray, side: np.ndarray, other: np.ndarray, n: np.ndarray, of: np.ndarray, m: np.ndarray, fixed: int) -> np.ndarray:
     """New classes of many words, each moved by itself against the same table m of class pairs.
 
@@ -150,29 +154,40 @@ def exchange_words(owner: np.ndarray, side: np.ndarray, other: np.ndarray, n: np
     """
     free, words = len(m) - fixed, len(of)
     gain = np.zeros((words, free))
-    tables = m[:free], m[:, :free].T  # by class of the word and of its neighbour
+    tables = np.ascontiguousarray(np.stack([m[:free].T, m[:, :free]]))  # by side, class of the neighbour, class of the word
     starts = np.searchsorted(owner, np.arange(words + 1))
+    own = of[owner]
+    fits = np.flatnonzero(own < free)
+    if words >= LOOK_UP:
+        small = np.stack([_xlogx(tables + k) - _xlogx(tables) for k in range(1, FEW_TIMES + 1)])
     i = 0
     while i < words:
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + (1 << 15), "right")) - 1)
         at = slice(starts[i], starts[j])
-        old = np.stack(tables)[side[at], :, other[at]]  # entry by class
-        add = n[at][:, None].astype(np.float64)
-        own = of[owner[at]]
-        rows = np.arange(len(own))
-        fits = own < free
-        old[rows[fits], own[fits]] = np.maximum(old[rows[fits], own[fits]] - add[fits, 0], 0)  # without the word itself
-        change = _xlogx(old + add) - _xlogx(old)
+        s, e, k = side[at], other[at], n[at]
+        if words >= LOOK_UP:
+            change = small[np.minimum(k, FEW_TIMES) - 1, s, e]
+            many = np.flatnonzero(k > FEW_TIMES)
+        else:
+            change, many = np.empty((len(k), free)), np.arange(len(k))
+        if len(many):
+            old = tables[s[many], e[many]]
+            change[many] = _xlogx(old + k[many][:, None]) - _xlogx(old)
+        here = fits[np.searchsorted(fits, starts[i]) : np.searchsorted(fits, starts[j])]  # a word's own class, without the word itself
+        old = tables[side[here], other[here], own[here]]
+        change[here - starts[i], own[here]] = _xlogx(np.maximum(old - n[here], 0) + n[here]) - _xlogx(np.maximum(old - n[here], 0))
         has = np.flatnonzero(np.diff(starts[i : j + 1])) + i
         if len(has):
             gain[has] = np.add.reduceat(change, starts[has] - starts[i], axis=0)
         i = j
     for k, total in ((0, m.sum(axis=1)[:free]), (1, m.sum(axis=0)[:free])):
-        add = np.bincount(owner[side == k], n[side == k], words)[:, None]
-        old = np.repeat(total[None, :], words, axis=0)
-        rows = np.flatnonzero(of < free)
-        old[rows, of[rows]] = np.maximum(old[rows, of[rows]] - add[rows, 0], 0)
-        gain -= _xlogx(old + add) - _xlogx(old)
+        add = np.bincount(owner[side == k], n[side == k], words)
+        times, which = np.unique(add, return_inverse=True)  # few kinds of sums
+        kinds = _xlogx(total[None, :] + times[:, None]) - _xlogx(total)[None, :]
+        change, rows = kinds[which], np.flatnonzero(of < free)
+        old = np.maximum(total[of[rows]] - add[rows], 0)
+        change[rows, of[rows]] = _xlogx(old + add[rows]) - _xlogx(old)
+        gain -= change
     best = gain.argmax(axis=1)
     rows = np.arange(words)
     stay = np.where(of < free, gain[rows, np.minimum(of, free - 1)], -math.inf)
@@ -314,26 +329,23 @@ def _chains(lexicon, known_end: bool, unit: float):
 
 
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains with the classes that the join found for words which are not common."""
+    """Chains with the classes that the join found for words which are not common; all of a batch's places at once."""
     for b in batches:
+        docs, chains = b.num_rows, b.column(3).to_pylist()
+        length = np.fromiter(map(len, chains), np.int64, docs)
+        flat = np.frombuffer(b"".join(chains), np.uint8).copy()
         found = b.column(b.schema.names.index("found"))
-        chains, known, base, log_n = [], [], [], []
-        for chain, some in zip(b.column(3).to_pylist(), found.to_pylist(), strict=True):
-            add = [0, 0.0, 0.0]
-            if some:
-                x = np.frombuffer(chain, np.uint8).copy()
-                for word in some:
-                    at = np.frombuffer(word["at"], np.int32)
-                    x[at] = word["class"]
-                    add[0] += len(at)
-                    add[1] += len(at) * math.log10(word["n"] + 1)
-                    add[2] += len(at) * math.log10(word["n"])
-                chain = x.tobytes()
-            chains.append(chain)
-            for column, v in zip((known, base, log_n), add, strict=True):
-                column.append(v)
-        more = [pc.add(b.column(i), pa.array(v, b.column(i).type)) for i, v in ((4, known), (5, base), (6, log_n))]
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(chains, pa.binary()), *more], b.schema.names[:7])
+        each = found.flatten()  # without those of null lists
+        doc = np.repeat(np.arange(docs), np.asarray(pc.fill_null(pc.list_value_length(found), 0)))
+        n, classes, at = (each.field(i) for i in range(3))
+        n, times = np.asarray(n), np.asarray(pc.binary_length(at)).astype(np.int64) // 4
+        place = np.frombuffer(b"".join(at.to_pylist()), np.int32) + np.repeat((np.cumsum(length) - length)[doc], times)
+        flat[place] = np.repeat(np.asarray(classes), times)
+        add = [np.bincount(doc, x, docs) for x in (times, times * np.log10(n + 1.0), times * np.log10(np.maximum(n, 1)))] if len(doc) else [np.zeros(docs)] * 3
+        more = [pc.add(b.column(i), pa.array(v.astype(kind), b.column(i).type)) for i, v, kind in zip((4, 5, 6), add, (np.int64, np.float64, np.float64), strict=True)]
+        edge = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+        out = pa.Array.from_buffers(pa.large_binary(), docs, [None, pa.py_buffer(edge), pa.py_buffer(flat)]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], out, *more], b.schema.names[:7])
 
 
 def _joined(chains: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -485,7 +497,7 @@ class Trained:
         near = self.scratch.save(d.mapInArrow(tidy(_chains(lexicon, self.known_end, unit)), more), "near")
         each = near.select("row", F.explode(F.arrays_zip("words", "at")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.at").alias("at"))
         each = each.join(self.rest.select("word", "n", F.col(column).alias("class")), "word")
-        each = each.groupBy("row").agg(F.collect_list(F.struct("at", "n", "class")).alias("found"))
+        each = each.groupBy("row").agg(F.collect_list(F.struct("n", "class", "at")).alias("found"))
         out = self.scratch.save(near.drop("words", "at").join(each, "row", "left").mapInArrow(tidy(_filled), names), "chains")
         self.scratch.drop(near)
         return out

@@ -217,12 +217,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     comp = scratch.save(components(first, scratch), "comp")
     # buckets that hold several components still
     m = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).drop("hub")
-    m = scratch.save(m, "placed")
+    m = placed = scratch.save(m, "placed")
     each = m.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = each.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("k")).filter("k > 1")
     m = m.join(scratch.save(mixed.select("key", F.col("top.comp").alias("top")), "mixed"), "key").withColumn("stray", F.col("comp") != F.col("top"))
     # of the buckets that are left: how many strays and members, and how many bytes they have
     m = scratch.save(m.join(reps.groupBy("rep").agg(F.sum(8 * F.col("n") + 4 * HASHES).alias("bytes")), "rep"), "left")
+    scratch.drop(placed)
     own = lambda c: F.sum(F.when(F.col("stray"), c).otherwise(0))
     sizes = m.groupBy("key").agg(own(F.lit(1)).alias("s"), own(F.col("bytes")).alias("s_bytes"), F.count("*").alias("m"), F.sum("bytes").alias("m_bytes"))
     parts = lambda n, rows, size: F.ceil(F.greatest(F.col(n) / rows, F.col(size) / BLOCK_BYTES))
