@@ -34,15 +34,16 @@ class Scratch:
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
+        if not self.n:
+            root, fs = self._file_system(self.root)
+            fs.mkdirs(root)
+            fs.deleteOnExit(root)
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.mode("overwrite").parquet(path)
-        if self.n == 1:
-            root, fs = self._file_system(self.root)
-            fs.deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
@@ -50,5 +51,8 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
         for t in tables:
-            p, fs = self._file_system(t.scratch_path)
-            fs.delete(p, True)
+            self.forget(t.scratch_path)
+
+    def forget(self, path: str) -> None:
+        p, fs = self._file_system(path)
+        fs.delete(p, True)
