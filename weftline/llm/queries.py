@@ -1,4 +1,4 @@
-"""The queries of the ten operators, and SQL for those that SQL can express."""
+"""The queries of the thirteen operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import class_lm, decontaminate, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sql, substring_dedup, token_files
+from weftline.llm import centroids, class_lm, decontaminate, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sql, substring_dedup, token_files, vector_codes, warc
 from weftline.llm.common import crc_mod, table
 
 TOKENIZER, VOCABULARY = "byte_bpe_50k.json", 50_257
@@ -59,7 +59,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 4) == 2)
 
 
-_ALL = [op1_quality_rules, op2_minhash_near_dedup, op3_line_dedup, op4_source_mixing, op5_quality_classifier, op6_substring_dedup, op7_class_lm, op8_benchmark_decontamination, op9_token_files, op10_language_id]
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.codes(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, final = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("centroid_sha256", centroids.of_cluster(centroids.digests(final), "string"))
+
+
+_ALL = [op1_quality_rules, op2_minhash_near_dedup, op3_line_dedup, op4_source_mixing, op5_quality_classifier, op6_substring_dedup, op7_class_lm, op8_benchmark_decontamination, op9_token_files, op10_language_id, op11_vector_codes, op12_warc_normaliser, op13_centroid_clustering]
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {
     "op1_quality_rules": sql.QUALITY_RULES,
@@ -67,4 +81,7 @@ ORACLE: dict[str, str] = {
     "op4_source_mixing": sql.SOURCE_MIXING,
     "op6_substring_dedup": sql.SUBSTRING_DEDUP,
     "op8_benchmark_decontamination": sql.DECONTAMINATION,
+    "op11_vector_codes": sql.VECTOR_CODES,
+    "op12_warc_normaliser": sql.WARC,
+    "op13_centroid_clustering": sql.CENTROIDS,
 }

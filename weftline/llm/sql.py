@@ -73,3 +73,63 @@ c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(i, i + n))
 s AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',')) AS items FROM h GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_WHOLE = "list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT)"
+
+
+def _apart(x: str, y: str) -> str:
+    return f"list_sum(list_transform(list_zip({x}, {y}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+
+
+def _floored(total: str, n: str) -> str:
+    """Whole-number division of a sum by a count, downwards."""
+    return f"(({total} - (({total} % {n}) + {n}) % {n}) // {n})::BIGINT"
+
+
+def _codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+m{r} AS MATERIALIZED (SELECT vec_id, label, p, x, arg_min(e, {{'d': d, 'e': e}}) AS e, min(d) AS d FROM (SELECT vec_id, label, p, x, e, {_apart('x', 'y')} AS d FROM q JOIN b{r} USING (p)) GROUP BY vec_id, label, p, x)""")
+        if r < rounds:
+            mean = _floored("sum(x[i])", "count(*)")
+            steps.append(f"""
+s{r} AS (SELECT p, e, list(v ORDER BY i) AS y FROM (SELECT p, e, i, {mean} AS v FROM m{r}, unnest(range(1, len(x) + 1)) u(i) GROUP BY p, e, i) GROUP BY p, e),
+b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(s{r}.y, b{r}.y) AS y FROM b{r} LEFT JOIN s{r} USING (p, e))""")
+    return f"""
+WITH k AS (SELECT vec_id, label, {_WHOLE} AS v FROM embeddings WHERE {_FINITE}),
+q AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM k, unnest(range({parts})) u(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS y FROM q QUALIFY e < {entries}),{",".join(steps)},
+f AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM m{rounds} GROUP BY vec_id, label),
+h AS (SELECT sha256(string_agg(y[i]::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM b{rounds}, unnest(range(1, len(y) + 1)) u(i))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM f, h"""
+
+
+VECTOR_CODES = _codes()
+
+WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to FROM r"""
+
+
+def _centroids(dim: int = 64, clusters: int = 8, rounds: int = 10) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+m{r} AS MATERIALIZED (SELECT vec_id, x, arg_min(c, {{'d': d, 'c': c}}) AS c, min(d) AS d FROM (SELECT vec_id, x, c, {_apart('x', 'y')} AS d FROM k, b{r}) GROUP BY vec_id, x)""")
+        if r < rounds:
+            mean = _floored("sum(x[i])", "count(*)")
+            steps.append(f"""
+s{r} AS (SELECT c, list(v ORDER BY i) AS y FROM (SELECT c, i, {mean} AS v FROM m{r}, unnest(range(1, {dim + 1})) u(i) GROUP BY c, i) GROUP BY c),
+b{r + 1} AS MATERIALIZED (SELECT c, coalesce(s{r}.y, b{r}.y) AS y FROM b{r} LEFT JOIN s{r} USING (c))""")
+    return f"""
+WITH k AS MATERIALIZED (SELECT vec_id, {_WHOLE} AS x FROM embeddings WHERE {_FINITE} AND len(embedding) = {dim}),
+b0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, x AS y FROM k QUALIFY c < {clusters}),{",".join(steps)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+ sha256(array_to_string(list_transform(y, lambda v: v::VARCHAR), ',')) AS centroid_sha256 FROM m{rounds} JOIN b{rounds} USING (c)"""
+
+
+CENTROIDS = _centroids()
