@@ -164,36 +164,126 @@ def _token_sets(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-def _windows(m: np.ndarray, n: np.ndarray, letters: int) -> np.ndarray:
+def _strands(m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each pair of rows, where the strand that leaves the grid below each letter of n came in: a column of n counted from 0, or less than 0
+    for a row of m.
+
+    A strand enters above each letter of n and before each letter of m. Two that meet at a cell cross there, unless its letters are equal or they
+    have crossed before. Of the letters l to r of n, those whose strands both enter and leave there are what a longest common subsequence with m
+    leaves out: one pass over the cells has the answer for every stretch of n.
+    """
+    above = np.repeat(np.arange(n.shape[1], dtype=np.int16)[:, None], len(n), axis=1)
+    x, y = np.ascontiguousarray(m.T), np.ascontiguousarray(n.T)
+    for i in range(len(x)):
+        h = np.full(len(m), -1 - i, np.int16)
+        equal = (y == x[i]) & (x[i] != 0)
+        for j in range(len(y)):
+            v = above[j]
+            low, high = np.minimum(h, v), np.maximum(h, v)
+            above[j], h = np.where(equal[j], h, high), np.where(equal[j], v, low)  # unlike letters: what enters farther left leaves to the right
+    return above.T
+
+
+def _windows(m: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The best ratio of each shorter text m against the stretches, as long at most, of the longer one n."""
-    mask, best = _masks(m, letters), np.zeros(len(m))
+    came, best = _strands(m, n), np.zeros(len(m))
     short, long = (m > 0).sum(axis=1), (n > 0).sum(axis=1)
     places = np.arange(n.shape[1])
     for i in range(1 - m.shape[1], n.shape[1]):
-        a, b = max(0, i), min(n.shape[1], i + m.shape[1])
-        size = np.minimum(i + short, long) - a
-        part = np.where(places[None, a:b] < (i + short)[:, None], n[:, a:b], 0)
+        left, right = max(0, i), np.minimum(i + short, long)
+        size = right - left
+        lost = ((came[:, left:] >= left) & (places[None, left:] < right[:, None])).sum(axis=1)
         ok = (size > 0) & (i > -short)
-        score = 200.0 * _grown(mask, part) / np.maximum(short + size, 1)
-        best = np.where(ok, np.maximum(best, score), best)
+        best = np.where(ok, np.maximum(best, 200.0 * (size - lost) / np.maximum(short + size, 1)), best)
     return best
 
 
-def _partials(a: list[str], b: list[str]) -> np.ndarray:
-    x, y = _sorted_words(a), _sorted_words(b)
-    out = _pairwise(x, y, _windows, partial_token_sort_ratio)
-    for i, (p, q) in enumerate(zip(x, y, strict=True)):
-        if not p or not q:
-            out[i] = 100.0 if p == q else 0.0
-    even = [i for i, (p, q) in enumerate(zip(x, y, strict=True)) if p and len(p) == len(q)]  # neither is the shorter
-    if even:
-        out[even] = np.maximum(out[even], _pairwise([y[i] for i in even], [x[i] for i in even], _windows, partial_token_sort_ratio))
+#: Cells of the grid of a pair that is still worked on in batches.
+CELLS = 1 << 14
+
+
+def _best_windows(x: list[str], y: list[str]) -> np.ndarray:
+    """`_windows` of pairs whose first is no longer than the second, those of like size together."""
+    n_x, n_y = (np.fromiter(map(len, v), np.int64, len(v)) for v in (x, y))
+    out, fits = np.zeros(len(x)), n_x * n_y <= CELLS
+    order = np.flatnonzero(fits)
+    order = order[np.lexsort([n_y[order], n_x[order]])]
+    for i in range(0, len(order), 2048):
+        rows = order[i : i + 2048]
+        out[rows] = _windows(_letters([x[k] for k in rows]), _letters([y[k] for k in rows]))
+    for k in np.flatnonzero(~fits):
+        out[k] = partial_token_sort_ratio(x[k], y[k])
     return out
 
 
-_BATCH = {"ratio": _ratios, "token_sort": _token_sorts, "token_set": _token_sets, "partial_token_sort": _partials, "sequence": lambda a, b: np.array([sequence_ratio(p, q) for p, q in zip(a, b, strict=True)])}
+def _partials(a: list[str], b: list[str]) -> np.ndarray:
+    x, y = _sorted_words(a), _sorted_words(b)
+    pairs = [(p, q) if len(p) <= len(q) else (q, p) for p, q in zip(x, y, strict=True)]
+    pairs += [(q, p) for p, q in pairs if len(p) == len(q)]  # neither is the shorter
+    number = {pair: i for i, pair in enumerate(dict.fromkeys(pairs))}
+    best = _best_windows([p for p, _ in number], [q for _, q in number])
+    for pair, i in number.items():
+        if not all(pair):
+            best[i] = 100.0 if pair[0] == pair[1] else 0.0
+    of = lambda p, q: max(best[number[p, q]], best[number[q, p]]) if len(p) == len(q) else best[number[(p, q) if len(p) < len(q) else (q, p)]]
+    return np.array([of(p, q) for p, q in zip(x, y, strict=True)], np.float64)
+
+
+def _longest_blocks(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair of rows the longest stretch that both have, first in a and then in b: where it begins in each, and its length."""
+    rows = np.arange(len(a))
+    run, size, in_a, in_b = np.zeros(b.shape, np.int32), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    for i in range(a.shape[1]):
+        longer = np.zeros_like(run)
+        longer[:, 1:] = run[:, :-1]
+        run = np.where(b == a[:, i : i + 1], longer + 1, 0)
+        at = run.argmax(axis=1)
+        n = run[rows, at]
+        better = n > size
+        size, in_a, in_b = np.where(better, n, size), np.where(better, i + 1 - n, in_a), np.where(better, at + 1 - n, in_b)
+    return in_a, in_b, size
+
+
+def _stretches(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, fill: int) -> np.ndarray:
+    """A row for each stretch of flat, filled up behind it."""
+    place = np.arange(int(sizes.max(initial=0)))
+    at = starts[:, None] + place
+    return np.where(place < sizes[:, None], flat[np.minimum(at, max(0, len(flat) - 1))], np.uint32(0xFFFFFFFF - fill))
+
+
+#: From so many letters on the sequence ratio leaves common letters aside.
+POPULAR = 200
+
+
+def _sequences(a: list[str], b: list[str]) -> np.ndarray:
+    """`sequence_ratio` of all pairs: longest blocks of all of them at once, then of what lies before and behind these, and so on."""
+    number = {pair: i for i, pair in enumerate(dict.fromkeys(zip(a, b, strict=True)))}
+    x, y = [p for p, _ in number], [q for _, q in number]
+    n_x, n_y = (np.fromiter(map(len, v), np.int64, len(v)) for v in (x, y))
+    matched, short = np.zeros(len(x)), (n_y < POPULAR) & (n_x < POPULAR)
+    flat_x, flat_y = (np.frombuffer("".join(v).encode("utf-32-le", "surrogatepass"), np.uint32) for v in (x, y))
+    ends_x, ends_y = np.cumsum(n_x), np.cumsum(n_y)
+    whose = np.flatnonzero(short & (n_x > 0) & (n_y > 0))
+    left = np.stack([whose, (ends_x - n_x)[whose], n_x[whose], (ends_y - n_y)[whose], n_y[whose]])  # pair, and a stretch of each: from, letters
+    while left.shape[1]:
+        left, after = left[:, np.lexsort([left[4], left[2]])], []
+        for i in range(0, left.shape[1], 1024):
+            k, from_a, n_a, from_b, n_b = left[:, i : i + 1024]
+            in_a, in_b, size = _longest_blocks(_stretches(flat_x, from_a, n_a, 0), _stretches(flat_y, from_b, n_b, 1))
+            np.add.at(matched, k, size)
+            behind_a, behind_b = in_a + size, in_b + size
+            after.append(np.stack([k, from_a, in_a, from_b, in_b])[:, (size > 0) & (in_a > 0) & (in_b > 0)])
+            after.append(np.stack([k, from_a + behind_a, n_a - behind_a, from_b + behind_b, n_b - behind_b])[:, (size > 0) & (behind_a < n_a) & (behind_b < n_b)])
+        left = np.concatenate(after, axis=1)
+    out = np.where(n_x + n_y > 0, 2.0 * matched / np.maximum(n_x + n_y, 1), 1.0)
+    for k in np.flatnonzero(~short):
+        out[k] = sequence_ratio(x[k], y[k])
+    return out[[number[pair] for pair in zip(a, b, strict=True)]] if len(a) else out
+
+
+_BATCH = {"ratio": _ratios, "token_sort": _token_sorts, "token_set": _token_sets, "partial_token_sort": _partials, "sequence": _sequences}
 #: Pairs that are compared at once.
-AT_ONCE = 4096
+AT_ONCE = 8192
 
 
 def batch_scores(kinds: list[str], a: list[str], b: list[str]) -> dict[str, np.ndarray]:
@@ -226,17 +316,17 @@ def scores(kinds: list[str], a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-def _any_alike(x, y) -> bool:
-    long_x, long_y = ([t for t in (s if s is not None else ()) if len(t) >= 4] for s in (x, y))
-    return any(p.startswith(q) or q.startswith(p) or sequence_ratio(p, q) >= 0.85 for p in long_x for q in long_y)
-
-
 def any_alike(a: Column, b: Column) -> Column:
     """Of two arrays of words: whether a word of each, four letters or more, begins with the other or is 85 % alike."""
 
     @F.pandas_udf("boolean")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_any_alike(p, q) for p, q in zip(x, y, strict=True)], dtype="bool")
+        long = [[[t for t in (s if s is not None else ()) if len(t) >= 4] for s in v] for v in (x, y)]
+        begin = np.array([any(p.startswith(q) or q.startswith(p) for p in s for q in t) for s, t in zip(*long, strict=True)], bool)
+        pairs = [(i, p, q) for i in np.flatnonzero(~begin).tolist() for p in long[0][i] for q in long[1][i]]
+        alike = batch_scores(["sequence"], [p for _, p, _ in pairs], [q for _, _, q in pairs])["sequence"] >= 0.85
+        begin[[i for (i, _, _), ok in zip(pairs, alike, strict=True) if ok]] = True
+        return pd.Series(begin, dtype="bool")
 
     return run(a, b)
 

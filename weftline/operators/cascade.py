@@ -1,8 +1,8 @@
 """The matching cascade: of each item the best catalogue row of the first stage that has one.
 
 Stages: rows of the same brand, by component score; rows whose brand begins alike, by sorted words; then names that begin
-alike, by three scorers, each with its one best name. Each stage works on the items that no earlier one has matched. Names
-are parsed and pairs of names judged once, whatever the number of items and rows that bear them.
+alike, by three scorers, each with its one best name; then the same over all names (`fuzzy_search`). Each stage works on the items that no
+earlier one has matched. Names are parsed and pairs of names judged once, whatever the number of items and rows that bear them.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import words as W
-from weftline.functions.normalize import identity_tokens, text
+from weftline.functions.normalize import text
 from weftline.functions.parse import parse_names
-from weftline.functions.similarity import ratio, scores, sequence_ratio, similarity
+from weftline.functions.similarity import scores, similarity
 from weftline.operators import gates as G
 from weftline.operators.blocking import pairs_by_keys, text_prefix_keys
+from weftline.operators.fuzzy_search import most_alike
 from weftline.operators.scoring import component_score, display_score, price_bonus
 from weftline.shared import Scratch
 
@@ -54,27 +55,15 @@ def with_strength(keys: Column, asked: bool, p: str) -> Column:
     return F.flatten(F.transform(keys, lambda k: F.transform(ends, lambda e: F.concat_ws("|", k, e))))
 
 
-def word_keys(p: str) -> Column:
-    """Words that name a product: what names share that don't begin alike. Takes the place of a scan of all names."""
-    return F.filter(identity_tokens(F.col(f"{p}_x.words")), lambda w: F.length(w) >= 3)
-
-
-def _alike(pairs: DataFrame, kind) -> DataFrame:
+def _alike(pairs: DataFrame, kind: str) -> DataFrame:
     """a, b, alike of distinct pairs of texts; few, as brands and makers are."""
-
-    @F.pandas_udf("double")
-    def run(a, b):
-        import pandas as pd
-
-        return pd.Series([kind(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return pairs.distinct().select("a", "b", run("a", "b").alias("alike"))
+    return pairs.distinct().select("a", "b", similarity(kind, F.col("a"), F.col("b")).alias("alike"))
 
 
 def _with_likeness(x: DataFrame) -> DataFrame:
     """x, of both sides, with `_brand` and `_maker`: how alike these are, computed once for each pair of them that the gates ask for."""
-    brands = _alike(x.filter(G.needs_brand_ratio("d", "m")).select(G.bare_brand("d").alias("a"), G.bare_brand("m").alias("b")), ratio)
-    makers = _alike(x.filter("d.manufacturer <> m.manufacturer").select(F.col("d.manufacturer").alias("a"), F.col("m.manufacturer").alias("b")), sequence_ratio)
+    brands = _alike(x.filter(G.needs_brand_ratio("d", "m")).select(G.bare_brand("d").alias("a"), G.bare_brand("m").alias("b")), "ratio")
+    makers = _alike(x.filter("d.manufacturer <> m.manufacturer").select(F.col("d.manufacturer").alias("a"), F.col("m.manufacturer").alias("b")), "sequence")
     x = x.join(brands.withColumnRenamed("alike", "_brand"), (G.bare_brand("d") == F.col("a")) & (G.bare_brand("m") == F.col("b")), "left").drop("a", "b")
     return x.join(makers.withColumnRenamed("alike", "_maker"), (F.col("d.manufacturer") == F.col("a")) & (F.col("m.manufacturer") == F.col("b")), "left").drop("a", "b")
 
@@ -126,11 +115,20 @@ def tops(pairs: DataFrame, d: DataFrame, m: DataFrame, first: DataFrame, kinds:
     return x.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
-def _fuzzy(left: DataFrame, d: DataFrame, m: DataFrame, first: DataFrame, keys, in_turn: bool, scratch: Scratch) -> DataFrame:
+def tops_of_beginnings(asked: DataFrame, m: DataFrame, first: DataFrame) -> DataFrame:
+    keys = lambda p: text_prefix_keys(F.col(f"{p}.normalized"))
+    return tops(pairs_by_keys(asked, "d_name", keys("d"), m, "m_name", keys("m")), asked, m, first, SCORERS)
+
+
+def tops_of_all(asked: DataFrame, m: DataFrame, first: DataFrame, kinds: list[str] | None = None, most: int = 1, least: float = THRESHOLD) -> DataFrame:
+    names_ = m.select("m_name", F.col("m.normalized").alias("b")).join(first, "m_name")
+    return most_alike(asked.select("d_name", F.col("d.normalized").alias("a")), names_, kinds or SCORERS, most, least)
+
+
+def _fuzzy(left: DataFrame, d: DataFrame, m: DataFrame, first: DataFrame, near, in_turn: bool, scratch: Scratch) -> DataFrame:
     """item_id, row_id, score, method: of each scorer's best name, which must pass the gates, the best; or the first scorer's in turn."""
     asked = d.join(left.select("d_name").distinct(), "d_name", "left_semi")
-    pairs = pairs_by_keys(asked, "d_name", keys("d"), m, "m_name", keys("m"))
-    top = scratch.save(tops(pairs, d, m, first, SCORERS), "top")
+    top = scratch.save(near(asked, m, first), "top")
     ok = passing(top.select("d_name", "m_name").distinct(), d, m, scratch).select("d_name", "m_name")
     hits = left.join(top.join(ok, ["d_name", "m_name"]), "d_name")
     score = F.round(F.col("base") + price_bonus(F.col("d_price"), F.col("m_price")), 6)
@@ -161,11 +159,10 @@ def cascade(items: DataFrame, catalogue: DataFrame, threshold: float = THRESHOLD
         found = _staged(left, rows, d, m, keys, kind, base, scratch).filter(F.col("score") >= threshold)
         out.append(scratch.save(found.withColumn("method", F.lit(method)), method))
         left = left.join(out[-1], "item_id", "left_anti")
-    begins = lambda p: text_prefix_keys(F.col(f"{p}.normalized"))
-    for keys in (begins, word_keys):
+    for near in (tops_of_beginnings, tops_of_all):
         if left.isEmpty():  # nothing to plan for
             break
-        out.append(scratch.save(_fuzzy(left, d, m, first, keys, in_turn, scratch), "fuzzy"))
+        out.append(scratch.save(_fuzzy(left, d, m, first, near, in_turn, scratch), "fuzzy"))
         left = left.join(out[-1], "item_id", "left_anti")
     found = out[0]
     for x in out[1:]:
@@ -206,8 +203,7 @@ def search_candidates(items: DataFrame, catalogue: DataFrame, limit: int = SEARC
     first = catalogue.groupBy(F.col("name").alias("m_name")).agg(F.min(F.struct("row_id", "price")).alias("f")).select("m_name", "f.row_id", F.col("f.price").alias("m_price"))
     by = lambda keys: pairs_by_keys(d, "d_name", with_strength(keys("d"), True, "d"), m, "m_name", with_strength(keys("m"), False, "m"))
     same, begins = scratch.save(by(brand_keys), "same"), scratch.save(by(brand_beginnings), "begins")
-    wide = pairs_by_keys(d, "d_name", word_keys("d"), m, "m_name", word_keys("m"))
-    near = scratch.save(tops(wide, d, m, first, SCORERS[:2], limit, LEAST_REVIEW), "near")
+    near = scratch.save(tops_of_all(d, m, first, SCORERS[:2], limit, LEAST_REVIEW), "near")
     pairs = same.select("d_name", "m_name").unionByName(begins.select("d_name", "m_name")).unionByName(near.select("d_name", "m_name")).distinct()
     x = judged(pairs, d, m)
     alike = scores(["ratio", "token_set", "token_sort"], F.col("d.normalized"), F.col("m.normalized"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.normalize import distinct_ignoring_case, hint_key, normalize_code, normalize_item_name, normalize_prevented_name
+from weftline.operators.contained import first_contained
 
 
 def without_prevented(items: DataFrame, prevented: DataFrame, code: str = "code", name: str = "name") -> DataFrame:
@@ -45,12 +46,9 @@ def without_decisions(items: DataFrame, decisions: DataFrame, code: str = "code"
 
 
 def cart_rows_to_remove(cart: DataFrame, removals: DataFrame) -> DataFrame:
-    """Cart rows whose text holds the name of an item to remove, as whole words: an equi-join on the name's first word first."""
-    rows = cart.withColumn("_t", normalize_item_name(F.col("row_text")))
-    names = removals.select(normalize_item_name(F.col("name")).alias("_n")).filter("_n <> ''").distinct()
-    names = names.withColumn("_w", F.split_part(F.col("_n"), F.lit(" "), F.lit(1)))
-    words = rows.select("row_id", "_t", F.explode(F.array_distinct(F.split("_t", " "))).alias("_w"))
-    return words.join(names, "_w").filter(F.concat(F.lit(" "), F.col("_t"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("_n"), F.lit(" ")))).groupBy("row_id").agg(F.min("_n").alias("name"))
+    """row_id, name: cart rows whose text holds the name of an item to remove, anywhere in it, with the first such name; both normalised."""
+    rows = cart.select("row_id", normalize_item_name(F.col("row_text")).alias("text"))
+    return first_contained(rows, removals.select(normalize_item_name(F.col("name")).alias("name")))
 
 
 def removal_names(items: DataFrame, matches: DataFrame, item: str = "item_id") -> DataFrame:

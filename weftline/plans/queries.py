@@ -184,7 +184,8 @@ def fuzzy_ratio_pairs(spark, sf_dir):
     """All five similarities of pairs of distinct names in a block; the Arrow UDF sees each pair of names once."""
     c = catalogue(spark, sf_dir).select("w", N.normalize_text(F.col("candidate")).alias("a")).distinct()
     d = demand(spark, sf_dir).select("w", N.normalize_text(F.col("query")).alias("b")).distinct()
-    s = c.join(d, "w").select("a", "b", S.similarities(F.col("a"), F.col("b")).alias("s"))
+    pairs = c.join(d, "w").select("a", "b").repartition("a", "b")  # a block of many names is many tasks
+    s = pairs.select("a", "b", S.similarities(F.col("a"), F.col("b")).alias("s"))
     return s.select("a", "b", *(r6(f"s.{k}").alias(k) for k in ("ratio", "token_sort", "token_set", "partial_token_sort", "sequence")))
 
 
@@ -410,7 +411,7 @@ def forced_match_first(spark, sf_dir):
 
 @query(
     """WITH r AS (SELECT DISTINCT lower(p_name) AS n FROM part), c AS (SELECT conv_id * 1000 + turn AS row_id, lower(text) || ' ' || CASE WHEN turn % 3 = 0 THEN 'small ring' WHEN turn % 3 = 1 THEN 'red widgets' ELSE 'blue bolt, cold' END AS x FROM conversations)
-SELECT row_id, min(n) AS name FROM c JOIN r ON contains(' ' || trim(regexp_replace(x, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) || ' ', ' ' || n || ' ') GROUP BY row_id"""
+SELECT row_id, min(n) AS name FROM c JOIN r ON contains(trim(regexp_replace(x, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), n) GROUP BY row_id"""
 )
 def cart_contains_join(spark, sf_dir):
     k = F.col("turn") % 3
