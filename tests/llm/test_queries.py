@@ -23,7 +23,17 @@ CONTRACT = {
     8: "doc_id n_words n_hit n_items items_sha256 contaminated",
     9: "doc_id start n_tokens ids_crc32",
     10: "doc_id held_out lang_pred score",
+    11: "vec_id code error label_error codebooks_sha256",
+    12: "page_id payload_bytes payload_digest record_type refers_to",
+    13: "vec_id cluster distance cluster_inertia inertia centroid_sha256",
 }
+#: The table whose rows the result has one by one, if not documents.
+OF = {11: "embeddings", 12: "pages", 13: "embeddings"}
+TABLES = ("documents", "benchmark", "labels", "embeddings", "pages")
+
+
+def rows_of(name):
+    return OF.get(int(name[2:].split("_")[0]), "documents")
 
 
 def canon(rows):
@@ -35,7 +45,7 @@ def canon(rows):
 def test_equals_sql(spark, name):
     df = QUERIES[name](spark, SF)
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(ORACLE[name])
     columns = [c[0] for c in want.description]
@@ -48,11 +58,11 @@ def test_contract(spark, name):
     df = QUERIES[name](spark, SF)
     n = int(name[2:].split("_")[0])
     assert n not in CONTRACT or df.columns[: len(CONTRACT[n].split())] == CONTRACT[n].split() or set(CONTRACT[n].split()) <= set(df.columns)
-    assert df.count() == table(spark, SF, "documents").count()
+    assert df.count() == table(spark, SF, rows_of(name)).count()
 
 
-def test_there_are_ten():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_there_are_thirteen():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")
@@ -60,24 +70,29 @@ def odd_dir(spark, tmp_path_factory):
     """Tables with every odd case and columns whose names clash with the operators' own."""
     at = tmp_path_factory.mktemp("odd")
     clash = {c: F.lit(1) for c in ("key", "row", "size", "rank", "target", "score", "words", "hits", "items", "kept", "grade", "comp", "id", "bin", "copies", "shard")}
+    more = {c: F.lit(1) for c in ("v", "n", "code", "error", "cluster", "distance", "file", "ordinal", "payload", "first", "key_of", "size")}
     d = documents(spark, [(*r, "en" if i % 2 else None, None if i % 3 else "s") for i, r in enumerate(odd_rows())]).withColumns(clash)
     d.write.parquet(f"{at}/documents.parquet")
-    spark.createDataFrame([(1, 1, 0), (5, None, None), (6, 0, 1), (None, 1, 1), (8, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
-    spark.createDataFrame([(1, "no id here"), (2, None), (None, "w1 w2"), (3, "")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (5, None, None), (6, 0, 1), (None, 1, 1), (8, 1, 0)], "doc_id long, quality int, toxic int").withColumns(clash).write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, "no id here"), (2, None), (None, "w1 w2"), (3, "")], "item_id long, text string").withColumns(clash).write.parquet(f"{at}/benchmark.parquet")
+    vectors = [(1, [0.5] * 64, 1), (2, [0.5] * 64, None), (2, [0.5] * 64, 1), (None, [-0.25] * 64, 2)]
+    spark.createDataFrame([*vectors, (3, None, 1), (4, [], 1), (5, [float("nan")] * 64, 1), (6, [None] * 64, 1)], "vec_id long, embedding array<float>, label int").withColumns(more).write.parquet(f"{at}/embeddings.parquet")
+    spark.createDataFrame([(1, None, None), (2, "u", ""), (3, "u", "x" * 500), (3, "u", "x" * 500), (None, "u", "x" * 500)], "page_id long, url string, html string").withColumns(more).write.parquet(f"{at}/pages.parquet")
     return str(at)
 
 
 @pytest.fixture(scope="module")
 def empty_dir(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "labels", "benchmark"):
+    for t in TABLES:
         table(spark, SF, t).limit(0).write.parquet(f"{at}/{t}.parquet")
     return str(at)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_odd_and_empty_tables(spark, name, odd_dir, empty_dir):
-    assert len(QUERIES[name](spark, odd_dir).collect()) == len(odd_rows())
+    n = {"documents": len(odd_rows()), "embeddings": 4, "pages": 5}[rows_of(name)]
+    assert len(QUERIES[name](spark, odd_dir).collect()) == n
     assert QUERIES[name](spark, empty_dir).collect() == []
 
 
