@@ -106,3 +106,28 @@ def test_cascade_meets_a_name_that_shares_no_word(spark):
     asked, m = C.names(items, "name", "d"), C.names(rows, "name", "m")
     first = rows.selectExpr("name as m_name", "row_id", "price as m_price")
     assert {r.m_name for r in C.tops_of_all(asked, m, first).collect()} == {"PARACETAMOLUM"}
+
+
+def test_hot_keys_meet_in_blocks(spark):
+    """Every key hot, in blocks of a few names: the pairs that reach the threshold are those of a plain join, and few others are made."""
+    a, b = texts(7, 120), texts(8, 200)
+    asked = spark.createDataFrame([(t, t, f"k{i % 3}") for i, t in enumerate(dict.fromkeys(a))], "d_name string, a string, key string")
+    names = spark.createDataFrame([(t, t, f"k{i % 3}") for i, t in enumerate(dict.fromkeys(b))], "m_name string, b string, key string")
+    plain = asked.join(names, "key").select("d_name", "m_name").distinct().collect()
+    wanted = {(x, y) for x, y in plain if S.token_sort_ratio(x, y) >= 70}
+    hot = FS.likely_pairs(asked, names, ["token_sort"], 70.0, most=10, asked_block=7, names_block=30)
+    cold = {tuple(r) for r in FS.likely_pairs(asked, names, ["token_sort"], 70.0).collect()}
+    got = [tuple(r) for r in hot.collect()]
+    assert len(got) == len(set(got)) and wanted <= set(got) <= {tuple(r) for r in plain} == cold and wanted
+    assert len(got) < 0.6 * len(plain)
+    p = hot._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in p and "NestedLoop" not in p and "FlatMapCoGroupsInArrow" in p
+
+
+def test_beginnings_of_hot_brands(spark):
+    """The pairs that the second stage may take are the same however few names make a beginning hot."""
+    items = spark.createDataFrame([(i, f"ZETA{x} {n} MG TAB") for i, (x, n) in enumerate((x, n) for x in ("", "M", "LONG", "PLUS FORTE") for n in (5, 10))], "item_id long, name string")
+    d, m = C.names(items, "name", "d"), C.names(items, "name", "m")
+    score = {(r.d_name, r.m_name): S.token_sort_ratio(r.x, r.y) for r in C.pairs_of_beginnings(d, m, 74.0).join(d, "d_name").join(m, "m_name").selectExpr("d_name", "m_name", "d.normalized x", "m.normalized y").collect()}
+    got = {tuple(r) for r in C.pairs_of_beginnings(d, m, 74.0, most=2).collect()}
+    assert {p for p, s in score.items() if s >= 74} <= got < set(score)

@@ -16,12 +16,14 @@ from weftline.functions.parse import parse_names
 from weftline.functions.similarity import scores, similarity
 from weftline.operators import gates as G
 from weftline.operators.blocking import pairs_by_keys, text_prefix_keys
-from weftline.operators.fuzzy_search import most_alike
+from weftline.operators.fuzzy_search import MOST_PAIRS, likely_pairs, most_alike
 from weftline.operators.scoring import component_score, display_score, price_bonus
 from weftline.shared import Scratch
 
 # Fixed values.
 THRESHOLD = 80.0
+#: The most that a price adds to a score.
+BONUS = 6.0
 SCORERS = ["token_set", "token_sort", "partial_token_sort"]
 #: Mismatches that a reviewer is never shown, and those that may be shown.
 DANGEROUS = ["different_age_group", "different_flavor", "different_form", "different_product_class", "different_route", "different_weight"]
@@ -91,10 +93,22 @@ def _component_base(likeness: Column) -> Column:
     return component_score("d", "m", likeness, (a == b) | (a.isin(W.OCULAR_FORMS) & b.isin(W.OCULAR_FORMS)), F.lit(0.0))
 
 
-def _staged(left: DataFrame, rows: DataFrame, d: DataFrame, m: DataFrame, keys, kind: str, base, scratch: Scratch) -> DataFrame:
+def pairs_of_brands(asked: DataFrame, m: DataFrame) -> DataFrame:
+    """d_name, m_name of the same brand, unless both have strengths and these differ."""
+    return pairs_by_keys(asked, "d_name", with_strength(brand_keys("d"), True, "d"), m, "m_name", with_strength(brand_keys("m"), False, "m"))
+
+
+def pairs_of_beginnings(asked: DataFrame, m: DataFrame, least: float, most: int = MOST_PAIRS) -> DataFrame:
+    """d_name, m_name whose brands begin alike, as above; of beginnings that pair many, those alone whose sorted words may be `least` alike."""
+    x = asked.select("d_name", F.col("d.normalized").alias("a"), F.explode(with_strength(brand_beginnings("d"), True, "d")).alias("key"))
+    y = m.select("m_name", F.col("m.normalized").alias("b"), F.explode(with_strength(brand_beginnings("m"), False, "m")).alias("key"))
+    return likely_pairs(x, y, ["token_sort"], least, most)
+
+
+def _staged(left: DataFrame, rows: DataFrame, d: DataFrame, m: DataFrame, near, kind: str, base, scratch: Scratch) -> DataFrame:
     """item_id, row_id, score: of each item the best row that passes the gates."""
     asked = d.join(left.select("d_name").distinct(), "d_name", "left_semi")
-    pairs = pairs_by_keys(asked, "d_name", with_strength(keys("d"), True, "d"), m, "m_name", with_strength(keys("m"), False, "m"))
+    pairs = near(asked, m)
     ok = passing(pairs, d, m, scratch).select("d_name", "m_name", base(similarity(kind, F.col("d.normalized"), F.col("m.normalized"))).alias("base"))
     hits = left.join(ok, "d_name").join(rows, "m_name")
     score = F.col("base") + price_bonus(F.col("d_price"), F.col("m_price"))
@@ -116,8 +130,9 @@ def tops(pairs: DataFrame, d: DataFrame, m: DataFrame, first: DataFrame, kinds:
 
 
 def tops_of_beginnings(asked: DataFrame, m: DataFrame, first: DataFrame) -> DataFrame:
-    keys = lambda p: text_prefix_keys(F.col(f"{p}.normalized"))
-    return tops(pairs_by_keys(asked, "d_name", keys("d"), m, "m_name", keys("m")), asked, m, first, SCORERS)
+    x = asked.select("d_name", F.col("d.normalized").alias("a"), F.explode(text_prefix_keys(F.col("d.normalized"))).alias("key"))
+    y = m.select("m_name", F.col("m.normalized").alias("b"), F.explode(text_prefix_keys(F.col("m.normalized"))).alias("key"))
+    return tops(likely_pairs(x, y, SCORERS, THRESHOLD), asked, m, first, SCORERS)
 
 
 def tops_of_all(asked: DataFrame, m: DataFrame, first: DataFrame, kinds: list[str] | None = None, most: int = 1, least: float = THRESHOLD) -> DataFrame:
@@ -153,10 +168,11 @@ def cascade(items: DataFrame, catalogue: DataFrame, threshold: float = THRESHOLD
     fit = d.filter(~short & ~nameless).select("d_name")
     left = every.join(fit, "d_name", "left_semi")
     out = []
-    for method, keys, kind, base in (("component_index", brand_keys, "token_set", _component_base), ("brand_index", brand_beginnings, "token_sort", lambda s: s)):
+    begins = lambda asked, m: pairs_of_beginnings(asked, m, threshold - BONUS)
+    for method, near, kind, base in (("component_index", pairs_of_brands, "token_set", _component_base), ("brand_index", begins, "token_sort", lambda s: s)):
         if out and left.isEmpty():
             break
-        found = _staged(left, rows, d, m, keys, kind, base, scratch).filter(F.col("score") >= threshold)
+        found = _staged(left, rows, d, m, near, kind, base, scratch).filter(F.col("score") >= threshold)
         out.append(scratch.save(found.withColumn("method", F.lit(method)), method))
         left = left.join(out[-1], "item_id", "left_anti")
     for near in (tops_of_beginnings, tops_of_all):
@@ -201,8 +217,7 @@ def search_candidates(items: DataFrame, catalogue: DataFrame, limit: int = SEARC
     items, catalogue = (x.withColumn("name", text(F.col("name"))) for x in (items, catalogue))
     d, m = scratch.save(names(items, "name", "d"), "d"), scratch.save(names(catalogue, "name", "m"), "m")
     first = catalogue.groupBy(F.col("name").alias("m_name")).agg(F.min(F.struct("row_id", "price")).alias("f")).select("m_name", "f.row_id", F.col("f.price").alias("m_price"))
-    by = lambda keys: pairs_by_keys(d, "d_name", with_strength(keys("d"), True, "d"), m, "m_name", with_strength(keys("m"), False, "m"))
-    same, begins = scratch.save(by(brand_keys), "same"), scratch.save(by(brand_beginnings), "begins")
+    same, begins = scratch.save(pairs_of_brands(d, m), "same"), scratch.save(pairs_of_beginnings(d, m, LEAST_REVIEW), "begins")
     near = scratch.save(tops_of_all(d, m, first, SCORERS[:2], limit, LEAST_REVIEW), "near")
     pairs = same.select("d_name", "m_name").unionByName(begins.select("d_name", "m_name")).unionByName(near.select("d_name", "m_name")).distinct()
     x = judged(pairs, d, m)

@@ -186,3 +186,40 @@ def most_alike(asked: DataFrame, names: DataFrame, kinds: list[str], most: int,
     met = meeting_blocks(q, [F.col("d_name")], n_q, c, [F.col("m_name")], n_c).applyInArrow(_meeting(kinds, most, least), schema)
     rank = F.row_number().over(Window.partitionBy("d_name", "scorer").orderBy(F.desc(F.round("base", 6)), "row_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= most)
+
+
+#: Pairs of names that one key may bring together in a join; names of a key with more meet in blocks, where bounds go first.
+MOST_PAIRS = 2_000_000
+
+
+def _may_reach(kinds: list[str], least: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked, names = left.column("a").to_pylist(), right.column("b").to_pylist()
+        block = Block(names) if asked else None
+        rows = [np.flatnonzero(block.bounds(t, kinds).max(axis=0) >= least - _SLACK) for t in asked]
+        own, theirs = np.repeat(np.arange(len(asked)), [len(r) for r in rows]), np.concatenate([np.zeros(0, np.int64), *rows])
+        return pa.table([left.column("d_name").take(pa.array(own)), right.column("m_name").take(pa.array(theirs))], names=["d_name", "m_name"])
+
+    return run
+
+
+def likely_pairs(asked: DataFrame, names: DataFrame, kinds: list[str], least: float, most: int = MOST_PAIRS, asked_block: int = ASKED, names_block: int = NAMES) -> DataFrame:
+    """d_name, m_name, each pair once: those that share a key, without any, of keys that pair more than `most`, that can't reach `least` by any scorer of kinds.
+
+    asked: d_name, a, key; names: m_name, b, key, a row for each key of a name. How many names have each key is counted first. Where they make `most`
+    pairs or fewer a join pairs them; else they are dealt to blocks of bounded size, and a task compares what two blocks share before
+    it makes a pair. So no task holds more than two blocks, whatever the commonest key, and no pair that reaches `least` is lost.
+    """
+    n = asked.groupBy("key").agg(F.count("*").alias("_n")).join(names.groupBy("key").agg(F.count("*").alias("_m")), "key")
+    hot = n.filter(F.col("_n") * F.col("_m") > most)
+    blocks = lambda c, size: F.ceil(F.col(c) / size).cast("int")
+    of = lambda c, k: F.pmod(F.xxhash64(c), k).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
+    hot = hot.select("key", blocks("_n", asked_block).alias("_nb"), blocks("_m", names_block).alias("_mb"))
+    x = asked.join(hot, "key").select("d_name", "a", "key", of("d_name", F.col("_nb")).alias("_lb"), every(F.col("_mb")).alias("_rb"))
+    y = names.join(hot, "key").select("m_name", "b", "key", of("m_name", F.col("_mb")).alias("_rb"), every(F.col("_nb")).alias("_lb"))
+    kind = {f.name: f.dataType.simpleString() for f in [*asked.schema, *names.schema]}
+    at = ("key", "_lb", "_rb")
+    met = x.groupBy(*at).cogroup(y.groupBy(*at)).applyInArrow(_may_reach(kinds, least), f"d_name {kind['d_name']}, m_name {kind['m_name']}")
+    rest = asked.join(hot.select("key"), "key", "left_anti").join(names, "key").select("d_name", "m_name")
+    return met.unionByName(rest).distinct()
