@@ -1,6 +1,10 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.operators import providers
+from weftline.plans import rules
 from weftline.sources import sheets, tables
 from weftline.streaming import state
 
@@ -68,3 +72,25 @@ def test_streams_equal_batches(spark, tmp_path):
     got = state.drain(state.disabled_stream(ok, ["user_id"]), "disabled", str(tmp_path / "c2"), "append")
     want = events.filter("event_type = 'error'").groupBy("user_id").count().filter("count >= 2")
     assert sorted(r.user_id for r in got.collect()) == sorted(r.user_id for r in want.collect())
+
+
+def test_stream_of_failures_equals_its_batch(spark, tmp_path):
+    """Files in no order of time, failures at one time, long waits; when all waits are over nothing is left in the state."""
+    events = rules.attempts_of(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    odd = [(1, None, False, None), (None, datetime(2024, 1, 1), False, 70), (1, datetime(2024, 1, 1), None, 90), (2, datetime(2024, 1, 1), False, None), (2, datetime(2024, 1, 1), False, None), (2, datetime(2024, 1, 1, 0, 0, 1), False, None)]
+    events = events.unionByName(spark.createDataFrame(odd, events.schema))
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(0, datetime(2090, 1, 1), True, None)], events.schema).write.parquet(str(tmp_path / "end"))
+    want = providers.timed_out(events, ["model"], "ts", 3, 86_400, 7_200)
+    live = state.new_files(spark, f"{tmp_path}/in", events._jdf.schema().toDDL(), files_a_batch=1)
+    got = state.timed_out_stream(live, ["model"], "ts", 3, 86_400, 7_200, late="100000 days")
+    run = lambda d, mode="append": d.writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode(mode).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    run(got).awaitTermination()
+    for f in (tmp_path / "end").glob("part-*"):
+        f.rename(tmp_path / "in" / f.name)
+    live = state.new_files(spark, f"{tmp_path}/in", events._jdf.schema().toDDL())
+    q = run(state.timed_out_stream(live, ["model"], "ts", 3, 86_400, 7_200, late="1 day"))
+    q.awaitTermination()
+    rows = lambda d: sorted(map(str, d.select("model", "at", "failures", "until").collect()))
+    assert rows(spark.read.parquet(f"{tmp_path}/out")) == rows(want) and want.count() > 20
+    assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 0

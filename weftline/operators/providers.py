@@ -20,6 +20,8 @@ ADVICE = {
 }
 PERMANENT = ["permission-failed", "model-not-accessible"]
 COOLDOWN_ERRORS = ["rate_limited", "invalid_json", "null_content"]
+#: Seconds from which a wait that an answer asks for puts its provider out at once.
+LONG_WAIT = 60
 QUOTAS = ["rate_remaining_requests", "quota_remaining_day", "quota_remaining_minute", "rate_remaining_tokens"]
 
 
@@ -88,12 +90,29 @@ def by_health(attempts: DataFrame, health: DataFrame, keys: list[str], order: st
 def cooldowns(attempts: DataFrame, threshold: int = 2) -> DataFrame:
     """Providers to leave out: so many failures of some kinds, or one with a wait of a minute or more."""
     wait = F.regexp_extract(text(F.col("reason")), r"retry_after=(\d+)", 1).try_cast("bigint")
-    now = (F.col("error_code") == "rate_limited") & (wait >= 60)
+    now = (F.col("error_code") == "rate_limited") & (wait >= LONG_WAIT)
     d = attempts.filter(F.col("error_code").isin(COOLDOWN_ERRORS) & ~text(F.col("provider")).isin("", "default"))
     d = d.groupBy("provider").agg(F.count("*").alias("failures"), F.max(F.coalesce(now, F.lit(False))).alias("immediate"))
     return d.filter(F.col("immediate") | (F.col("failures") >= threshold))
 
 
+def timed_out(attempts: DataFrame, keys: list[str], ts: str, limit: int = 2, memory: int = 600, wait: int = 300) -> DataFrame:
+    """keys, at, failures, until: each time at which a combination fails for the `limit`-th time in `memory` seconds, which puts it out for `wait` seconds,
+    or is told to wait a minute or more, which puts it out for that. Failures that are `memory` seconds old are forgotten.
+
+    attempts: keys, ts, ok, retry_after (seconds; null: none). Failures at one time are one row; failures counts up to `limit`. Rows
+    without a time, and successes, put nothing out.
+    """
+    asked = F.coalesce(F.col("retry_after").cast("long"), F.lit(0))
+    d = attempts.filter(~F.coalesce("ok", F.lit(True)) & F.col(ts).isNotNull()).groupBy(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"))
+    d = d.agg(F.count("*").alias("_n"), F.max(F.when(asked >= LONG_WAIT, asked)).alias("_asked"))
+    w = Window.partitionBy(*keys).orderBy("_at").rangeBetween(-memory * 1_000_000 + 1, 0)
+    d = d.withColumn("failures", F.least(F.sum("_n").over(w), F.lit(limit)))
+    most = F.greatest(F.when(F.col("failures") >= limit, F.lit(wait)).cast("long"), F.col("_asked"))
+    as_ts = lambda c: F.timestamp_micros(c).cast(attempts.schema[ts].dataType)
+    return d.filter(most.isNotNull()).select(*keys, as_ts(F.col("_at")).alias("at"), "failures", as_ts(F.col("_at") + most * 1_000_000).alias("until"))
+
+
 def disabled_after(attempts: DataFrame, keys: list[str], seq: str, limit: int = 2) -> DataFrame:
     """Each combination's failures so far, and whether they have disabled it."""
     w = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)

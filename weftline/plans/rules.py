@@ -390,3 +390,17 @@ def rotation_and_disabling(spark, sf_dir):
     strong = P.not_stronger(h, 2, 3).select("event_id", F.lit(True).alias("kept"))
     d = P.disabled_after(h, ["provider", "model"], "seq").join(strong, "event_id", "left")
     return d.select("event_id", "turn", F.coalesce("kept", F.lit(False)).alias("kept"), "failures", "disabled")
+
+
+@query(
+    """WITH f AS (SELECT user_id % 40 AS model, ts AS "at", count(*) AS n, max(CASE WHEN value > 90 THEN 3600 ELSE 0 END) AS asked FROM events WHERE event_type = 'error' GROUP BY ALL),
+w AS (SELECT *, least(sum(n) OVER (PARTITION BY model ORDER BY epoch_us("at") RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW), 3)::BIGINT AS failures FROM f)
+SELECT model, "at", failures, "at" + to_seconds(greatest(CASE WHEN failures >= 3 THEN 7200 ELSE 0 END, asked)) AS until FROM w WHERE failures >= 3 OR asked > 0"""
+)
+def failures_timed_out(spark, sf_dir):
+    """When models are out: for two hours after the third failure of a day, or as long as an answer asks."""
+    return P.timed_out(attempts_of(t(spark, sf_dir, "events")), ["model"], "ts", 3, 86_400, 7_200)
+
+
+def attempts_of(events):
+    return events.select((F.col("user_id") % 40).alias("model"), "ts", (F.col("event_type") != "error").alias("ok"), F.when(F.col("value") > 90, 3600).alias("retry_after"))
