@@ -152,7 +152,7 @@ def test_words_beyond_the_types_are_clustered(spark, monkeypatch):
             text += [r.choice(frame[k]), r.choice(rare[k]), r.choice(frame[k])]
         rows.append((i, " ".join(text)))
     _, chains, own, column = class_lm.fitted(numbered(spark, rows))
-    assert column == "class" and class_lm.objective(own.pairs(chains)) > class_lm.objective(own.m) + 100
+    assert column == "class_1" and class_lm.objective(own.pairs(chains)) > class_lm.objective(own.m) + 100
     of, _ = own_classes(own, "class")
     kinds = [Counter(of[w.encode()] for w in some if w.encode() in of) for some in rare]
     assert not {c for c, n in kinds[0].items() if n > 15} & {c for c, n in kinds[1].items() if n > 15}
@@ -199,3 +199,51 @@ def test_odd_cases(spark):
     assert [(r.n_known, r.train_tokens, r.base_score) for r in nothing] == [(0, 0, 0.0)] * 2
     clash = documents(spark, [(1, "a b a")]).selectExpr("*", "1 AS row", "2 AS words", "3 AS score", "4 AS held_out")
     assert class_lm.score(clash, F.col("doc_id") == 2).first().n_known == 4
+
+
+def test_a_flat_vocabulary(spark, monkeypatch):
+    """Every word as often as every other, and more of them than the commonest may be: none is common, none is collected."""
+    monkeypatch.setattr(class_lm, "COUNTED", 5)
+    rows = [(i + 1, " ".join(f"u{j}" for j in range(60))) for i in range(20)]
+    got = scored(spark, rows).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == base(rows)
+
+
+def test_groups_hold_whole_words(monkeypatch):
+    """However rows fall into batches and groups, each word comes once, with all of its entries."""
+    import pyarrow as pa
+
+    r = random.Random(1)
+    rows = sorted((f"w{r.randrange(40):02d}".encode(), bytes(r.randrange(130) for _ in range(n)), bytes(r.randrange(1, 256) for _ in range(n))) for n in (r.randrange(1, 9) for _ in range(300)))
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows[a : a + 17]], pa.binary()) for i in range(3)], ["word", "near", "times"]) for a in range(0, 300, 17)]
+    want = Counter()
+    for w, near, times in rows:
+        for c, t in zip(near, times, strict=True):
+            want[w, c] += t
+    for entries, most in ((1 << 20, 1 << 17), (50, 1 << 17), (1 << 20, 3), (1, 1)):
+        monkeypatch.setattr(class_lm, "GROUP_ENTRIES", entries)
+        monkeypatch.setattr(class_lm, "GROUP_WORDS", most)
+        got, seen = Counter(), []
+        for names, whose, code, times in class_lm._groups(iter(batches)):
+            seen += names
+            for i, c, t in zip(whose.tolist(), code.tolist(), times.tolist(), strict=True):
+                got[names[i], c] += t
+        assert got == want and len(seen) == len(set(seen)) == len({w for w, _, _ in rows})
+
+
+def test_neighbours_are_summed_a_slice(spark):
+    """A word of a slice is one row; counts above a byte are several entries."""
+    import pyarrow as pa
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    own = class_lm.Types([])
+    of = np.arange(own.end + 1) % 3
+    of[own.end] = 3
+    batch = pa.RecordBatch.from_arrays([pa.array(["aa bb " * 700, "bb"])], ["text"])
+    out = next(iter(class_lm._word_neighbours(Sent(own), Sent(of))(iter([batch])))).to_pylist()
+    assert sorted(r["word"] for r in out) == [b"aa", b"bb"]
+    sums = {r["word"]: sum(r["times"]) for r in out}
+    assert sums == {b"aa": 1400, b"bb": 1402} and all(len(r["near"]) == len(r["times"]) < 20 for r in out)

@@ -6,9 +6,11 @@ P(w | v) = P(class of w | class of v) * P(w | class of w); a text is its words,
    likelihood, in rounds: Spark sums each type's neighbours by class, which are two numbers a type and class, and the moves
    follow on the driver. The classes of the round with the best likelihood hold.
 2. Then every other word of the training text is exchanged by itself, as many as there are: words are dealt out by Spark, each
-   with the classes of all its neighbours, and held against the table of class pairs, whose size doesn't depend on the
-   corpus. It starts from its ending's class and goes where the likelihood gains most (a word that follows itself counts as a
-   neighbour of its class); a task's own moves change its copy of the table as they are made. Where all these moves together lose likelihood, the classes of step 1 hold.
+   with how often each class stands next to it, summed a slice of text before the shuffle, and held against the table of class pairs, whose
+   size doesn't depend on the corpus. It starts from its ending's class and goes where the likelihood gains most (a word that follows itself counts as a
+   neighbour of its class); a task's own moves change its copy of the table as they are made. Tasks, of which there are more the more such tokens there
+   are, work on groups of words of bounded size, one after another. Where all these moves together lose likelihood, every second of them is made, or
+   every fourth, and so on.
 3. Texts become chains of classes. Classes of words that are not among the COUNTED commonest come to their places in the texts
    by a join. Only words never seen in training have their ending's class. Transitions are counted over these chains.
 
@@ -41,7 +43,7 @@ TYPES, BUCKETS, ENDING = 4000, 512, 3
 COUNTED = 200_000
 #: Tokens by which a class's transitions are drawn towards the classes' shares.
 PULL = 64.0
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Words of a task that move at once against one table, at most.
 AT_ONCE = 1024
 
@@ -194,6 +196,13 @@ def exchange_words(owner: np.ndarray, side: np.ndarray, other: np.ndarray, n: np
     return np.where(gain[rows, best] > stay + 1e-9, best, of)
 
 
+def move(m: np.ndarray, old: np.ndarray, new: np.ndarray, side: np.ndarray, other: np.ndarray, n: np.ndarray) -> None:
+    """m after the words of some neighbours went from their old classes to new ones."""
+    for c, sign in ((old, -1), (new, 1)):
+        np.add.at(m, (np.where(side == 0, c, other), np.where(side == 0, other, c)), sign * n)
+    np.maximum(m, 0, out=m)
+
+
 def exchange_in_turn(owner: np.ndarray, side: np.ndarray, other: np.ndarray, n: np.ndarray, of: np.ndarray, m: np.ndarray, fixed: int) -> np.ndarray:
     """New classes of words in their order: a few move, the table follows, then more move, a sixteenth of those before at once."""
     of, m = of.copy(), m.astype(np.float64)
@@ -204,17 +213,14 @@ def exchange_in_turn(owner: np.ndarray, side: np.ndarray, other: np.ndarray, n:
         at = slice(starts[i], starts[j])
         whose, s, e, k = owner[at] - i, side[at], other[at], n[at]
         new = exchange_words(whose, s, e, k, of[i:j], m, fixed)
-        for classes, sign in ((of[i:j], -1), (new, 1)):
-            c = classes[whose]
-            np.add.at(m, (np.where(s == 0, c, e), np.where(s == 0, e, c)), sign * k)
-        np.maximum(m, 0, out=m)
+        move(m, of[i:j][whose], new[whose], s, e, k)
         of[i:j] = new
         i = j
     return of
 
 
 def _word_neighbours(types, classes):
-    """Of each word of a slice that is no type by itself: the classes next to it, two codes for each of its places."""
+    """Of each word of a slice that is no type by itself: which classes stand next to it and how often, a byte each; 255 is the most of one entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, of = types.value, classes.value
@@ -227,49 +233,69 @@ def _word_neighbours(types, classes):
             before = np.concatenate([[of[own.end]], chain[:-1]])
             at = np.arange(len(codes)) + np.repeat(np.arange(len(length)), length)  # each word's place in chain
             some = np.flatnonzero((t >= own.end - own.buckets)[codes])
-            order = some[np.argsort(codes[some], kind="stable")]
-            whose = codes[order]
-            near = np.stack([chain[at[order] + 1], k + before[at[order]]], axis=1).astype(np.uint8)
+            near = np.concatenate([codes[some] * (2 * k) + chain[at[some] + 1], codes[some] * (2 * k) + k + before[at[some]]])
+            pair, n = np.unique(near, return_counts=True)
+            parts = -(-n // 255)
+            pair, n = np.repeat(pair, parts), np.minimum(np.repeat(n, parts) - 255 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)), 255)
+            whose, code = np.divmod(pair, 2 * k)
             new = np.flatnonzero(np.diff(whose, prepend=-1))
-            offsets = pa.py_buffer(np.append(new * 2, near.size).astype(np.int64))
-            lists = pa.Array.from_buffers(pa.large_binary(), len(new), [None, offsets, pa.py_buffer(np.ascontiguousarray(near))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).take(pa.array(whose[new])), lists], ["word", "near"])
+            offsets = pa.py_buffer(np.append(new, len(pair)).astype(np.int64))
+            lists = [pa.Array.from_buffers(pa.large_binary(), len(new), [None, offsets, pa.py_buffer(x.astype(np.uint8))]).cast(pa.binary()) for x in (code, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).take(pa.array(whose[new])), *lists], ["word", "near", "times"])
 
     return run
 
 
+#: Entries of neighbours, and words, that a task exchanges at once.
+GROUP_ENTRIES, GROUP_WORDS = 1 << 20, 1 << 17
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """Whole words of sorted rows, so many that they fit: the words, and of each entry its word's place, its code and its times."""
+    words: list[bytes] = []
+    held, size = [], 0
+    for b in batches:
+        own, near = b.column(0).to_pylist(), b.column(1)
+        sizes = np.asarray(pc.binary_length(near)).astype(np.int64)
+        ends = np.cumsum(sizes)
+        code, times = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8) for i in (1, 2))
+        places, i, last = [], 0, 0
+        for r, w in enumerate(own):
+            if not words or w != words[-1]:
+                if size + int(ends[r - 1] - last if r else 0) >= GROUP_ENTRIES or len(words) >= GROUP_WORDS:
+                    stop = int(ends[r - 1]) if r else 0
+                    held.append((np.repeat(np.array(places, np.int64), sizes[i:r]), code[last:stop], times[last:stop]))
+                    yield words, *(np.concatenate(x) for x in zip(*held, strict=True))
+                    words, held, size, places, i, last = [], [], 0, [], r, stop
+                words.append(w)
+            places.append(len(words) - 1)
+        held.append((np.repeat(np.array(places, np.int64), sizes[i:]), code[last:], times[last:]))
+        size += len(code) - last
+    if words:
+        yield words, *(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _exchanged(types, classes, pairs):
-    """All words of a task with their counts, first and new classes."""
+    """Words of a task, whose rows are sorted by word, with their counts, first and new classes; the table of pairs goes on from group to group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, of, m = types.value, classes.value, pairs.value
+        own, of, m = types.value, classes.value, pairs.value.astype(np.float64)
         k = len(m)
-        at: dict[bytes, int] = {}
-        owners, codes, counts = [], [], []
-        for b in batches:
-            ids = np.fromiter((at.setdefault(w, len(at)) for w in b.column(0).to_pylist()), np.int64, b.num_rows)
-            near = b.column(1)
-            sizes = np.asarray(pc.binary_length(near)).astype(np.int64)
-            flat = np.frombuffer(b"".join(near.to_pylist()), np.uint8).astype(np.int64)
-            pair, n = np.unique(np.repeat(ids, sizes) * (2 * k) + flat, return_counts=True)
-            owners.append(pair)
-            counts.append(n)
-        if not at:
-            return
-        pair, back = np.unique(np.concatenate(owners), return_inverse=True)
-        n = np.bincount(back, np.concatenate(counts)).astype(np.int64)
-        owner, code = np.divmod(pair, 2 * k)
-        words = list(at)
-        total = np.bincount(owner[code < k], n[code < k], len(words)).astype(np.int64)
-        turn = sorted(range(len(words)), key=lambda i: (-total[i], words[i]))  # the commonest first, whatever order rows came in
-        place = np.empty(len(words), np.int64)
-        place[turn] = np.arange(len(words))
-        words, total = [words[i] for i in turn], total[turn]
-        order = np.argsort(place[owner], kind="stable")
-        owner, code, n = place[owner][order], code[order], n[order]
-        first = of[own(words)]
-        new = exchange_in_turn(owner, code // k, code % k, n, first, m, fixed=1)
-        yield from pa.Table.from_arrays([pa.array(words, pa.binary()), pa.array(total), pa.array(first.astype(np.int32)), pa.array(new.astype(np.int32))], ["word", "n", "first", "class"]).to_batches(1 << 14)
+        for words, whose, code, times in _groups(batches):
+            pair, back = np.unique(whose * (2 * k) + code, return_inverse=True)
+            n = np.bincount(back, times).astype(np.int64)
+            owner, code = np.divmod(pair, 2 * k)
+            total = np.bincount(owner[code < k], n[code < k], len(words)).astype(np.int64)
+            turn = sorted(range(len(words)), key=lambda i: (-total[i], words[i]))  # noqa: B023  the commonest of the group first
+            place = np.empty(len(words), np.int64)
+            place[turn] = np.arange(len(words))
+            words, total = [words[i] for i in turn], total[turn]
+            order = np.argsort(place[owner], kind="stable")
+            owner, code, n = place[owner][order], code[order], n[order]
+            side, other, first = code // k, code % k, of[own(words)]
+            new = exchange_in_turn(owner, side, other, n, first, m, fixed=1)
+            move(m, first[owner], new[owner], side, other, n)
+            yield from pa.Table.from_arrays([pa.array(words, pa.binary()), pa.array(total), pa.array(first.astype(np.int32)), pa.array(new.astype(np.int32))], ["word", "n", "first", "class"]).to_batches(1 << 14)
 
     return run
 
@@ -444,11 +470,16 @@ def classify_types(texts: DataFrame, own: Types, scratch: Scratch) -> tuple[np.n
     return held, best_m
 
 
-def classify_words(texts: DataFrame, own: Types, held: np.ndarray, m: np.ndarray, scratch: Scratch) -> DataFrame:
-    """word, n, first, class of every training word that is no type by itself: its ending's class, and that of its exchange."""
+#: Tokens that no type has by itself whose neighbours go to one task.
+TASK_TOKENS = 4_000_000
+
+
+def classify_words(texts: DataFrame, own: Types, held: np.ndarray, m: np.ndarray, tokens: int, scratch: Scratch) -> DataFrame:
+    """word, n, first, class of every training word that is no type by itself: its ending's class, and that of its exchange. tokens: how many these have."""
     send = texts.sparkSession.sparkContext.broadcast
     types, classes = send(own), send(held)
-    near = texts.mapInArrow(tidy(_word_neighbours(types, classes)), "word binary, near binary").repartition("word")
+    near = texts.mapInArrow(tidy(_word_neighbours(types, classes)), "word binary, near binary, times binary")
+    near = near.repartition(max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // TASK_TOKENS)), "word").sortWithinPartitions("word")
     return scratch.save(near.mapInArrow(tidy(_exchanged(types, classes, send(m))), "word binary, n long, first int, class int"), "words")
 
 
@@ -463,7 +494,8 @@ class Trained:
         self.common, self.cut = common_words(counts, COUNTED)
         self.types = Types(list(self.common)[:TYPES])
         self.held, self.m = classify_types(texts, self.types, scratch)
-        self.rest = classify_words(texts, self.types, self.held, self.m, scratch)
+        others = (self.words or 0) - sum(list(self.common.values())[:TYPES])
+        self.rest = classify_words(texts, self.types, self.held, self.m, others, scratch)
         self.tokens, self.known_end = (self.words or 0) + self.ends, self.ends > 0
         self.distinct += int(self.known_end)
 
@@ -471,7 +503,7 @@ class Trained:
         words = list(self.common)
         classes = self.held[self.types(words)]
         at = {w: i for i, w in enumerate(words)}
-        for r in self.rest.filter(F.col("n") >= self.cut).select("word", column).collect():  # COUNTED at most
+        for r in self.rest.filter(F.col("n") >= self.cut).select("word", column).collect() if words else ():  # COUNTED at most
             classes[at[bytes(r["word"])]] = r[column]
         return Lexicon(self.types, self.held, words, np.fromiter(self.common.values(), np.int64, len(words)), classes)
 
@@ -510,6 +542,10 @@ class Trained:
         return m.reshape(k, k)
 
 
+#: Which share of the words' moves is tried, in turn.
+MOVED = (1, 2, 4, 8, 0)
+
+
 def fitted(d: DataFrame) -> tuple[ClassModel, DataFrame, Trained, str]:
     """The model, the chains of all texts, and which column has the classes that hold."""
     scratch = Scratch(d.sparkSession)
@@ -518,14 +554,15 @@ def fitted(d: DataFrame) -> tuple[ClassModel, DataFrame, Trained, str]:
     counts = scratch.save(counts, "counts")
     own = Trained(learned, counts, scratch)
     scratch.drop(counts)
-    column = "class"
-    chains = own.chains(d, column)
-    m = own.pairs(chains)
-    if objective(m) < objective(own.m):  # the words' moves, made at once, have lost
-        scratch.drop(chains)
-        column = "first"
+    for part in MOVED:  # all moves, if made at once they don't lose; else every second, fourth, eighth; at last none
+        column = f"class_{part}"
+        moves = F.pmod(F.xxhash64("word"), F.lit(part)) == 0 if part else F.lit(False)
+        own.rest = own.rest.withColumn(column, F.when(moves, F.col("class")).otherwise(F.col("first")))
         chains = own.chains(d, column)
         m = own.pairs(chains)
+        if not part or objective(m) >= objective(own.m):
+            break
+        scratch.drop(chains)
     return ClassModel(m, own.stats(column), own.tokens, own.distinct, own.ends), chains, own, column
 
 
