@@ -13,8 +13,10 @@ from weftline.operators import gates as G
 from weftline.operators import providers as P
 from weftline.operators import reports as R
 from weftline.operators import review as V
+from weftline.operators import running
 from weftline.operators import scoring as SC
 from weftline.operators import upsert as U
+from weftline.shared import Scratch
 
 GATES = [
     ("PANADOL 500 MG 24 TAB", "PANADOL 500 MG 24 TABLETS", "ok"),
@@ -125,23 +127,40 @@ def greedy(offers, qty, mode, least):
     return sorted((o["offer_ord"], n) for o, n in out)
 
 
+@pytest.mark.parametrize("hot", [200_000, 2])
 @pytest.mark.parametrize("mode", ["first_available", "max_available", "max_discount"])
-def test_allocation_equals_a_loop(spark, mode):
+def test_allocation_equals_a_loop(spark, mode, hot):
     r = random.Random(7)
     offers, demand = [], []
     for p in range(150):
-        demand.append((p, r.randrange(1, 60)))
-        for k in range(r.randrange(0, 9)):
+        demand.append((p, r.randrange(1, 60) if p else 900))
+        for k in range(r.randrange(0, 9) if p else 400):  # product 0 has 40 % of all offers
             offers.append(dict(product_id=p, offer_ord=k, available=r.choice([0, 5, 10, 20]), discount=r.choice([0.0, 9.7, 9.85, 10.0, 10.1, 10.4, 20.0]), priority=r.choice([1, 2, 999])))
     o = spark.createDataFrame([tuple(x.values()) for x in offers], "product_id int, offer_ord int, available int, discount double, priority int")
     d = spark.createDataFrame(demand, "product_id int, qty int")
     got = {}
-    for x in A.allocate(d, o, mode, least=5.0).collect():
+    for x in A.allocate(d, o, mode, least=5.0, hot=hot).collect():
         got.setdefault(x.product_id, []).append((x.offer_ord, x.ordered))
     for p, qty in demand:
         assert sorted(got.get(p, [])) == greedy([x for x in offers if x["product_id"] == p], qty, mode, 5.0), (p, qty)
 
 
+def test_running_sums_of_a_hot_group_run_in_many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    r = random.Random(3)
+    rows = [(r.choice(["hot", "hot", "b", None, "c"]), i, r.randrange(-9, 10)) for i in range(600)]
+    d = spark.createDataFrame(rows, "g string, k int, x int").repartition(3)
+    split = running.ranged(d, ["g"], [F.col("k")], Scratch(spark))
+    got = {x.k: (x.s, x.m, x._part) for x in running.before(split, ["g"], {"s": F.col("x")}, {"m": F.col("x")}).collect()}
+    seen: dict = {}
+    for g, k, x in sorted(rows, key=lambda v: v[1]):
+        earlier = seen.setdefault(g, [])
+        assert got[k][:2] == (sum(earlier), max(earlier) if earlier else None)
+        earlier.append(x)
+    assert len({got[k][2] for g, k, _ in rows if g == "hot"}) > 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_discounts(spark):
     rows = ['{"discountPercent": "12%"}', '{"store": {"discount": 0.12}}', '{"salePrice": 80, "retailPrice": "100"}', "{}", '{"discount": {"percent": 7}}']
     d = spark.createDataFrame([(x,) for x in rows], "p string").withColumn("v", A.first_discount(F.col("p")))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.normalize import store_name, text
+from weftline.operators import running
 from weftline.operators.decide import first_of_each
+from weftline.shared import Scratch
 
 # Where a discount stands in a payload, in order.
 DISCOUNT_KEYS = (
@@ -118,27 +120,48 @@ def choose_offer(offers: DataFrame, mode: str, product: str = "product_id", leas
     return first_of_each(d, [product], offer_order(mode)).drop("_tier")
 
 
-def allocate(demand: DataFrame, offers: DataFrame, mode: str, product: str = "product_id", least: float = 0.0) -> DataFrame:
+#: Offers of a product from which it is no single task's work.
+HOT_OFFERS = 200_000
+
+
+def _given(d: DataFrame, mode: str, before) -> DataFrame:
+    """Offers in their order with `_given`, what those before them give; before(rows, sums=, maxima=) runs along the order."""
+    if mode == "max_discount":
+        # an offer below the best taken is passed over; since those taken only rise, the best taken is the best that came
+        d = before(d, maxima={"_best": F.col("discount")})
+        d = d.filter(F.col("_best").isNull() | (F.col("discount") >= F.col("_best") - 0.001))
+        d = before(d, maxima={"_stopped": (F.col("discount") < F.col("_top") - 0.5).cast("int")}).filter("coalesce(_stopped, 0) = 0")
+    return before(d, sums={"_given": F.col("available")})
+
+
+def allocate(demand: DataFrame, offers: DataFrame, mode: str, product: str = "product_id", least: float = 0.0, hot: int = HOT_OFFERS) -> DataFrame:
     """(product, offer_ord, discount, ordered): how much each offer gives, in the mode's order, until the demand is met.
 
     In `max_discount` each offer must also reach the best discount taken so far, and an offer more than half a point
     below the product's best is the last. Discounts fall along the order but within a tier, so those rules are running
-    maxima over the order, and the sums that remain are running sums: windows, without any loop.
+    maxima over the order, and the sums that remain are running sums. A product's offers are a window's; those of products that
+    have more than `hot` run over ranges (`running`), in many tasks. offer_ord must tell a product's offers apart.
     """
     d = offers.filter(eligible(F.col("available"), F.col("discount"), least)).withColumn("_tier", discount_tier(F.col("discount")))
     d = d.join(demand.select(product, "qty"), product)
-    w = Window.partitionBy(product).orderBy(*offer_order(mode))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     if mode == "max_discount":
-        # an offer below the best taken is passed over; since those taken only rise, the best taken is the best that came
-        best = F.max("discount").over(before)
-        d = d.withColumn("_taken", best.isNull() | (F.col("discount") >= best - 0.001))
-        d = d.filter("_taken")
-        top = offers.filter("available > 0").groupBy(product).agg(F.max("discount").alias("_top"))
-        d = d.join(top, product).withColumn("_low", F.col("discount") < F.col("_top") - 0.5)
-        d = d.withColumn("_stopped", F.coalesce(F.max(F.col("_low").cast("int")).over(before), F.lit(0)) == 1).filter("not _stopped")
-    given = F.coalesce(F.sum("available").over(before), F.lit(0))
-    d = d.withColumn("ordered", F.greatest(F.lit(0), F.least(F.col("available"), F.col("qty") - given)))
+        d = d.join(offers.filter("available > 0").groupBy(product).agg(F.max("discount").alias("_top")), product)
+    w = Window.partitionBy(product).orderBy(*offer_order(mode)).rowsBetween(Window.unboundedPreceding, -1)
+
+    def windows(rows: DataFrame, sums: dict | None = None, maxima: dict | None = None) -> DataFrame:
+        run = {n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in (sums or {}).items()} | {n: F.max(c).over(w) for n, c in (maxima or {}).items()}
+        return rows.withColumns(run)
+
+    scratch = Scratch(offers.sparkSession)
+    many = scratch.save(offers.groupBy(product).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select(product), "many")  # total / hot products at most
+    keep = (product, "offer_ord", "discount", "available", "qty", "_given")
+    if many.isEmpty():
+        d = _given(d, mode, windows).select(*keep)
+    else:
+        rest = _given(d.join(many, product, "left_anti"), mode, windows).select(*keep)
+        split = running.ranged(d.join(many, product, "left_semi"), [product], offer_order(mode), scratch)
+        d = rest.unionByName(_given(split, mode, lambda rows, **of: running.before(rows, [product], **of)).select(*keep))
+    d = d.withColumn("ordered", F.greatest(F.lit(0), F.least(F.col("available"), F.col("qty") - F.col("_given"))))
     return d.filter("ordered > 0").select(product, "offer_ord", "discount", "ordered")
 
 

@@ -13,6 +13,8 @@ from weftline.plans.texts import pick, pick_sql
 from weftline.shared import Scratch
 from weftline.sources import sheets as SH
 from weftline.sources import tables as T
+from weftline.sources.paged import before_the_end, stored_pages
+from weftline.streaming import resume
 
 # ---------------------------------------------------------------- files
 
@@ -34,22 +36,22 @@ def export_round_trip(spark, sf_dir):
 SELECT code, name, q::INT AS qty FROM x WHERE q >= 1"""
 )
 def demand_workbook(spark, sf_dir):
-    """A demand list as a workbook: title rows before the header, Arabic headers, codes ending in .0, quantities with commas."""
+    """A demand list as workbooks: title rows before the header, Arabic headers, codes ending in .0, quantities with commas."""
     p = t(spark, sf_dir, "part")
     k = F.col("p_partkey")
     code = F.when(k % 5 == 0, F.lit(None)).otherwise(F.concat(k % 40, F.lit(".0")))
     qty = F.when(k % 4 == 0, "x").when(k % 4 == 1, "1,000").otherwise(F.col("p_size").cast("string"))
-    rows = p.orderBy(k).select(code.alias("كود الصنف"), F.concat(F.lit(" "), F.lower("p_name")).alias("اسم الصنف"), F.lit("note").alias("note"), qty.alias("الكمية"))
-    path = Scratch(spark).path("demand.xlsx")
-    SH.write_workbook(rows, path, above=[["Demand of the day"], [None, "two"]])
+    rows = p.select(code.alias("كود الصنف"), F.concat(F.lit(" "), F.lower("p_name")).alias("اسم الصنف"), F.lit("note").alias("note"), qty.alias("الكمية"))
+    path = Scratch(spark).path("demand")
+    SH.write_workbooks(rows, path, above=[["Demand of the day"], [None, "two"]], most_rows=10_000)
     return SH.read_demand(spark, path).select("code", "name", "qty")
 
 
 @query("SELECT 'k' || p_partkey AS code, p_name AS name, 1 AS qty FROM part")
 def match_only_workbook(spark, sf_dir):
     """A list without quantities: each row asks for one."""
-    path = Scratch(spark).path("items.xlsx")
-    SH.write_workbook(t(spark, sf_dir, "part").orderBy("p_partkey").select(F.concat(F.lit("k"), "p_partkey").alias("code"), F.col("p_name").alias("name")), path)
+    path = Scratch(spark).path("items")
+    SH.write_workbooks(t(spark, sf_dir, "part").select(F.concat(F.lit("k"), "p_partkey").alias("code"), F.col("p_name").alias("name")), path, order=[F.col("code")])
     return SH.read_demand(spark, path, match_only=True).select("code", "name", "qty")
 
 
@@ -73,15 +75,18 @@ def worker_merge(spark, sf_dir):
     return T.merge_worker_parts(spark, paths).select("id", "name", "nation")
 
 
-@query("SELECT string_agg(x, '' ORDER BY k) AS text FROM (SELECT 1 AS k, string_agg(r_name || chr(10), '' ORDER BY r_name) AS x FROM region UNION ALL SELECT 2, string_agg(n_name || chr(10), '' ORDER BY n_name) FROM nation)")
+@query(
+    """WITH f AS (SELECT user_id % 25 AS part, string_agg(event_id || ' ' || props || chr(10), '' ORDER BY event_id) AS text FROM events GROUP BY ALL)
+SELECT part, text, coalesce(sum(strlen(text)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM f"""
+)
 def text_merge(spark, sf_dir):
-    """Whole text files joined in the order of their paths; they are a few small ones."""
+    """Workers' text files as one: where each begins in the merged text. The parts that are written, one after another, are that text."""
     scratch = Scratch(spark)
-    for name, table in (("r_name", "region"), ("n_name", "nation")):
-        t(spark, sf_dir, table).select(name).coalesce(1).sortWithinPartitions(name).write.text(f"{scratch.root}/texts/{1 if table == 'region' else 2}")
-    d = T.merge_texts(spark, f"{scratch.root}/texts/*")
-    d = d.agg(F.array_sort(F.collect_list(F.struct("path", "text"))).alias("x"))
-    return d.select(F.array_join(F.transform("x", lambda x: x["text"]), "").alias("text"))
+    e = t(spark, sf_dir, "events").select(F.format_string("%02d", F.col("user_id") % 25).alias("part"), "event_id", F.concat_ws(" ", "event_id", "props").alias("line"))
+    path = scratch.path("texts")
+    e.repartition("part").sortWithinPartitions("part", "event_id").select("part", "line").write.partitionBy("part").text(path)
+    d = T.merge_texts(spark, path)
+    return d.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part"), "text", "start")
 
 
 @query("SELECT user_id::VARCHAR AS item_code, event_type AS item_name, user_id || '::' || event_type AS item_key, max(event_id) AS line FROM events GROUP BY ALL")
@@ -93,22 +98,44 @@ def jsonl_candidates(spark, sf_dir):
     return T.last_candidates(spark, path).select("item_code", "item_name", "item_key", "line")
 
 
-@query("SELECT k AS query_ord, c AS query FROM (SELECT 0 AS k, '' AS c UNION ALL SELECT i, chr(64 + i::INT) FROM range(1, 27) r(i) UNION ALL SELECT 26 + i, substr('ابتثجحخدذرزسشصضطظعغفقكلمنهويءآأؤإئى', i::INT, 1) FROM range(1, 36) r(i))")
+@query(
+    """WITH q AS (SELECT 0 AS k, '' AS c UNION ALL SELECT i, chr(64 + i::INT) FROM range(1, 27) r(i) UNION ALL SELECT 26 + i, substr('ابتثجحخدذرزسشصضطظعغفقكلمنهويءآأؤإئى', i::INT, 1) FROM range(1, 36) r(i)),
+f AS (SELECT p_partkey, k, c FROM part JOIN q ON c = '' OR starts_with(upper(p_name), c) OR contains(upper(p_name), ' ' || c))
+SELECT p_partkey, count(*) AS queries, min(k) FILTER (WHERE c <> '')::INT AS first_ord, arg_min(c, k) FILTER (WHERE c <> '') AS first_query FROM f GROUP BY p_partkey"""
+)
 def catalogue_fan_out(spark, sf_dir):
-    return T.query_fan_out(spark)
+    """Which of the listing's queries find each product, by the letters its words begin with; the first of them brings it."""
+    found = T.found_by_queries(t(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name")
+    named = F.col("query") != ""
+    return found.groupBy("p_partkey").agg(F.count("*").alias("queries"), F.min(F.when(named, F.col("query_ord"))).alias("first_ord"), F.min_by("query", F.when(named, F.col("query_ord"))).alias("first_query"))
 
 
 @query(
-    """WITH x AS (SELECT user_id, event_id % 40 AS page, min(CASE WHEN user_id % 10 = 3 AND event_id % 40 = 7 THEN 7 ELSE 99 END) OVER (PARTITION BY user_id) AS stop FROM events)
-SELECT user_id, page, count(*) AS n FROM x WHERE page < 20 + user_id % 10 AND page < stop GROUP BY ALL"""
+    """WITH x AS (SELECT user_id % 5 AS q, event_id % 30 AS page, event_id FROM events), n AS (SELECT x.*, CASE WHEN q % 3 = 1 THEN 7 ELSE 20 + q END AS stop FROM x)
+SELECT 'q ' || q AS query, page::INT AS page, count(*) AS listed, min(event_id) AS first_id, max(event_id) AS last_id FROM n WHERE page < stop GROUP BY ALL"""
 )
 def paged_catalogue(spark, sf_dir):
-    """Stored pages of each query up to its first empty one, or its last by the answer's own count."""
-    e = t(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 40).alias("page"))
-    k = F.col("user_id") % 10
-    body = F.when((k == 3) & (F.col("page") == 7), '{"data": []}').otherwise(F.concat(F.lit('{"data": [{"productNameEn": "x"}], "totalPages": '), (20 + k).cast("string"), F.lit("}")))
-    d = T.pages_until_empty(e.withColumn("payload", body), "user_id", "page", "payload")
-    return d.groupBy("user_id", "page").agg(F.count("*").alias("n"))
+    """Stored pages of each query up to its first empty one, or its last by the answer's own count, read by ranges of pages."""
+    e = t(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("q"), (F.col("event_id") % 30).alias("page"), "event_id")
+    names = F.transform(F.array_sort(F.collect_list("event_id")), lambda k: F.struct(k.cast("string").alias("productNameEn")))
+    body = F.to_json(F.struct(F.when((F.col("q") % 3 == 1) & (F.col("page") == 7), F.array().cast("array<struct<productNameEn:string>>")).otherwise(names).alias("data"), (20 + F.col("q")).alias("totalPages")))
+    path = Scratch(spark).path("pages")
+    e.groupBy("q", "page").agg(body.alias("payload")).select(F.concat(F.lit("q "), "q").alias("query"), "page", "payload").write.partitionBy("query", "page").text(path)
+    d = before_the_end(stored_pages(spark, path, pages_a_task=16, most_pages=32))
+    d = T.payload_rows(d, "payload").select("query", "page", F.col("name_en").cast("long").alias("id"))
+    return d.groupBy("query", "page").agg(F.count("*").alias("listed"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, max(event_id // 2000) AS batch, count(*) AS seen FROM events GROUP BY user_id")
+def resumed_upsert(spark, sf_dir):
+    """Batches that come again change nothing: each user's newest row, the batch that brought it, and how many rows came."""
+    scratch, schema = Scratch(spark), "user_id long, event_id long, event_type string"
+    e, table = t(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), scratch.path("saved")
+    last = e.agg(F.max(F.floor(F.col("event_id") / 2000))).first()[0] or 0
+    for batch in [*range(last + 1), *range(0, last + 1, 2)]:
+        resume.append_once(e.filter(F.floor(F.col("event_id") / 2000) == batch), table, batch)
+    rows = resume.read(spark, table, schema)
+    return rows.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"), F.max("batch").alias("batch"), F.count("*").alias("seen"))
 
 
 @query("SELECT to_json({'n_name': n_name, 'n_nationkey': n_nationkey, 'n_regionkey': n_regionkey})::VARCHAR AS snapshot FROM nation")
@@ -146,17 +173,11 @@ def newest_report(spark, sf_dir):
     return T.newest_within(files, F.lit(e.agg(F.max("ts")).first()[0]), 3600)
 
 
-@query("SELECT 'second' AS newest")
+@query("SELECT user_id, arg_max('run_' || event_id || '/summary.csv', {'ts': ts, 'p': 'run_' || event_id || '/summary.csv'}) AS path FROM events WHERE event_type <> 'view' GROUP BY user_id")
 def newest_of_files(spark, sf_dir):
-    """The last written of the files in two folders."""
-    import time
-
-    scratch = Scratch(spark)
-    for name in ("first", "second"):
-        t(spark, sf_dir, "region").coalesce(1).write.parquet(f"{scratch.root}/{name}")
-        time.sleep(1.1)
-    path = T.newest_file(spark, [f"{scratch.root}/{name}/*.parquet" for name in ("first", "second")])
-    return spark.createDataFrame([(path.split("/")[-2],)], "newest string")
+    """Of each run's files the last written; of those written at one time the last by name."""
+    e = t(spark, sf_dir, "events").filter("event_type <> 'view'")
+    return T.newest_by(e.select("user_id", F.concat(F.lit("run_"), "event_id", F.lit("/summary.csv")).alias("path"), F.col("ts").alias("modificationTime")), ["user_id"])
 
 
 # ---------------------------------------------------------------- keyed tables

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import pyarrow.fs as stores
 from pyspark.sql import DataFrame, SparkSession
 
 
+def store(folder: str) -> tuple[stores.FileSystem, str]:
+    """The file system of a folder (local, hdfs, s3) and the path in it, for tasks that write or read files which Spark has no source for."""
+    fs, path = stores.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/(?!//)", "file:///", folder)))
+    return fs, path.rstrip("/")
+
+
+def file_system(spark: SparkSession, path: str):
+    """Spark's own path and file system, for the driver."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_folder(spark: SparkSession) -> str:
     """What `spark.checkpoint.dir` names. Where it is unset a local session, whose tasks are all on this machine, gets one of its own."""
     sc = spark.sparkContext
@@ -29,13 +43,9 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/weftline-{uuid.uuid4().hex}"
         self.n = 0
 
-    def _file_system(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
     def path(self, name: str) -> str:
         if not self.n:
-            root, fs = self._file_system(self.root)
+            root, fs = file_system(self.spark, self.root)
             fs.mkdirs(root)
             fs.deleteOnExit(root)
         self.n += 1
@@ -54,5 +64,5 @@ class Scratch:
             self.forget(t.scratch_path)
 
     def forget(self, path: str) -> None:
-        p, fs = self._file_system(path)
+        p, fs = file_system(self.spark, path)
         fs.delete(p, True)

@@ -1,23 +1,31 @@
 """Workbooks (.xlsx) as rows of cells, by zip and XML alone; headers found by their aliases; demand lists.
 
-Files are read whole by tasks through Spark's `binaryFile` source, so any store that Spark reads will do; a workbook is one
-row of that source and must fit a task.
+Files are read by tasks through Spark's `binaryFile` source, so any store that Spark reads will do; a workbook, packed, is one row of that source and
+must fit a task; its rows come out a few thousand at a time. Tables are written by tasks too, a workbook or more each.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
+import json
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
+from typing import BinaryIO
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from weftline.functions.normalize import text
+from weftline.shared import store
 
 _M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 # Headers under which demand lists have their columns.
@@ -58,27 +66,39 @@ def workbook_rows(content: bytes) -> Iterator[list[str | None]]:
             row.clear()
 
 
-def workbook(rows: list[list]) -> bytes:
-    """One sheet of inline strings and numbers."""
-    lines = []
-    for row in rows:
-        cells = (f"<c><v>{v}</v></c>" if isinstance(v, int | float) and not isinstance(v, bool) else "<c/>" if v is None else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for v in row)
-        lines.append(f"<row>{''.join(cells)}</row>")
-    ns = _M[1:-1]
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    pack = "http://schemas.openxmlformats.org/package/2006"
-    main = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    files = {
-        "[Content_Types].xml": f'<Types xmlns="{pack}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{main}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{main}.worksheet+xml"/></Types>',
-        "_rels/.rels": f'<Relationships xmlns="{pack}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets><sheet name="rows" sheetId="1" r:id="r1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{pack}/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{ns}"><sheetData>{"".join(lines)}</sheetData></worksheet>',
-    }
-    out = io.BytesIO()
+_PACK = "http://schemas.openxmlformats.org/package/2006"
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_MAIN = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+_XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+_PARTS = {
+    "[Content_Types].xml": f'<Types xmlns="{_PACK}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{_MAIN}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{_MAIN}.worksheet+xml"/></Types>',
+    "_rels/.rels": f'<Relationships xmlns="{_PACK}/relationships"><Relationship Id="r1" Type="{_REL}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/workbook.xml": f'<workbook xmlns="{_M[1:-1]}" xmlns:r="{_REL}"><sheets><sheet name="rows" sheetId="1" r:id="r1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACK}/relationships"><Relationship Id="r1" Type="{_REL}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+}
+
+
+def _cell(v) -> str:
+    if isinstance(v, int | float) and not isinstance(v, bool):
+        return f"<c><v>{v}</v></c>"
+    return "<c/>" if v is None else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+
+def pack_rows(out: BinaryIO, rows: Iterable[Sequence]) -> None:
+    """One sheet of inline strings and numbers, packed into out as rows come."""
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, body in files.items():
-            z.writestr(name, f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>{body}')
+        for name, body in _PARTS.items():
+            z.writestr(name, _XML + body)
+        with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as sheet:
+            sheet.write(f'{_XML}<worksheet xmlns="{_M[1:-1]}"><sheetData>'.encode())
+            for row in rows:
+                sheet.write(f"<row>{''.join(map(_cell, row))}</row>".encode())
+            sheet.write(b"</sheetData></worksheet>")
+
+
+def workbook(rows: Iterable[Sequence]) -> bytes:
+    out = io.BytesIO()
+    pack_rows(out, rows)
     return out.getvalue()
 
 
@@ -86,20 +106,56 @@ def workbook(rows: list[list]) -> bytes:
 MOST_ROWS = 1_048_576
 
 
-def write_workbook(df: DataFrame, path: str, above: list[list] | None = None) -> None:
-    """One workbook with a header row, `above` before it, in df's order. A sheet is one small file by its format, so its rows
-    go through the driver; more than it holds are refused."""
-    head = [*(above or []), df.columns]
-    rows = [list(r) for r in df.limit(MOST_ROWS - len(head) + 1).collect()]
-    if len(rows) + len(head) > MOST_ROWS:
-        raise ValueError(f"a sheet holds {MOST_ROWS} rows; write text tables instead")
-    spark = df.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
-    try:
-        out.write(workbook([*head, *rows]))
-    finally:
-        out.close()
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[str]
+
+
+class Workbooks(DataSource):
+    """`df.write.format("workbooks").mode("append").save(folder)`: workbooks of a header row and at most `mostRows` rows in all, by tasks."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "workbooks"
+
+    def writer(self, schema: StructType, overwrite: bool) -> WorkbookWriter:
+        return WorkbookWriter(self.options, schema.names)
+
+
+class WorkbookWriter(DataSourceWriter):
+    """Tasks write under names of their own attempt, hidden; the files of the attempts that Spark takes are moved to theirs in the end."""
+
+    def __init__(self, options: dict, names: list[str]):
+        self.folder, self.most = options["path"], min(MOST_ROWS, int(options.get("mostrows", MOST_ROWS)))
+        self.head = [*json.loads(options.get("above", "[]")), names]
+
+    def write(self, iterator: Iterator[Row]) -> Written:
+        fs, root = store(self.folder)
+        fs.create_dir(root, recursive=True)
+        task, files = TaskContext.get(), []
+        rows = iter(iterator)
+        while (first := next(rows, None)) is not None:
+            files.append(f"part-{task.partitionId():06d}-{len(files):04d}-{task.taskAttemptId():x}.xlsx")
+            with fs.open_output_stream(f"{root}/_{files[-1]}") as out:
+                pack_rows(out, itertools.chain(self.head, [first], itertools.islice(rows, self.most - len(self.head) - 1)))
+        return Written(files)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        fs, root = store(self.folder)
+        for f in (f for m in messages if m for f in m.files):
+            fs.move(f"{root}/_{f}", f"{root}/{f}")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        fs, root = store(self.folder)
+        for f in (f for m in messages if m for f in m.files):
+            fs.delete_file(f"{root}/_{f}")
+
+
+def write_workbooks(df: DataFrame, folder: str, above: list[list] | None = None, order: list[Column] | None = None, most_rows: int = MOST_ROWS) -> None:
+    """df as workbooks in folder, each with a header row and `above` before it. In an order, names of files rise with it."""
+    d = df if order is None else df.repartitionByRange(*order).sortWithinPartitions(*order)
+    df.sparkSession.dataSource.register(Workbooks)
+    d.write.format("workbooks").option("above", json.dumps(above or [])).option("mostRows", most_rows).mode("append").save(folder)
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -108,10 +164,12 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, content in zip(b["path"], b["content"], strict=True):
-                rows = list(workbook_rows(content))
-                yield pd.DataFrame({"path": p, "row": range(len(rows)), "cells": rows})
+                rows = enumerate(workbook_rows(content))
+                while part := list(itertools.islice(rows, 4096)):
+                    yield pd.DataFrame({"path": p, "row": [i for i, _ in part], "cells": [c for _, c in part]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row long, cells array<string>")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    return files.select("path", "content").mapInPandas(run, "path string, row long, cells array<string>")
 
 
 def header_rows(cells: DataFrame, wanted: dict[str, list[str]] = ALIASES, identity: tuple = ("code", "name")) -> DataFrame:

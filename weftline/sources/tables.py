@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.normalize import blank_to_null, text
+from weftline.operators import running
 from weftline.operators.allocate import enrich_company
 from weftline.operators.upsert import keep_last, union_all, upsert
+from weftline.shared import Scratch
 
 # Under which keys a service's answer has its rows.
 ROW_KEYS = "data items products results rows content records".split()
@@ -65,14 +67,30 @@ def merge_worker_parts(spark: SparkSession, paths: list[str], sep: str = ",") ->
 
 
 def merge_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path, text of whole small files, to be joined in path order."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    """path, text, start of text files, each whole, in the order of their paths: start is how many bytes of the merged text stand before it.
+
+    Files are dealt to ranges of paths, and lengths sum over those; a file must fit a task, all of them need not. Empty files have no row.
+    """
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    rows = running.ranged(files.withColumn("_all", F.lit(0)), ["_all"], [F.col("path")], Scratch(spark))
+    return running.before(rows, ["_all"], {"start": F.octet_length("text").cast("long")}).select("path", "text", "start")
+
+
+def write_merged(merged: DataFrame, path: str) -> None:
+    """Parts whose names rise with `start`; one after another they are the merged text. A text that doesn't end its last line has it ended."""
+    d = merged.filter("text <> ''").repartitionByRange("start").sortWithinPartitions("start")
+    d.select(F.regexp_replace("text", r"\n\z", "")).write.text(path)
+
+
+def newest_by(files: DataFrame, keys: list[str]) -> DataFrame:
+    """Of (keys, path, modificationTime) the path last written of each key, of those written at one time the last."""
+    return files.groupBy(*keys).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
 
 
 def newest_file(spark: SparkSession, paths: list[str]) -> str | None:
     """The last written file under several layouts."""
     files = reduce(lambda a, b: a.unionByName(b), (spark.read.format("binaryFile").load(p).select("path", "modificationTime") for p in paths))
-    return files.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
+    return newest_by(files, []).first()[0]
 
 
 def newest_within(files: DataFrame, now: Column, seconds: int) -> DataFrame:
@@ -115,14 +133,6 @@ def payload_rows(df: DataFrame, payload: str) -> DataFrame:
     return d.filter("name_ar is not null or name_en is not null")
 
 
-def pages_until_empty(df: DataFrame, query: str, page: str, payload: str) -> DataFrame:
-    """Stored pages (from 0) of each query before its first empty one, and before the number that the answers themselves give."""
-    empty = F.coalesce(F.size(_listed(F.col(payload))), F.lit(0)) <= 0
-    given = F.get_json_object(payload, "$.totalPages").try_cast("long")
-    ends = df.groupBy(query).agg(F.least(F.min(F.when(empty, F.col(page))), F.max(given)).alias("_end"))
-    return df.join(ends, query).filter(F.col("_end").isNull() | (F.col(page) < F.col("_end"))).drop("_end")
-
-
 def snapshot_json(columns: list[str]) -> Column:
     """A row as JSON, its keys in order."""
     return F.to_json(F.struct(*(F.col(c) for c in sorted(columns))))
@@ -132,3 +142,10 @@ def query_fan_out(spark: SparkSession) -> DataFrame:
     """query_ord, query: nothing, A to Z, and the Arabic letters."""
     letters = ["", *map(chr, range(65, 91)), *"ابتثجحخدذرزسشصضطظعغفقكلمنهويءآأؤإئى"]
     return spark.createDataFrame(list(enumerate(letters)), "query_ord int, query string")
+
+
+def found_by_queries(products: DataFrame, name: str) -> DataFrame:
+    """products a row for each query of the fan-out that finds them: the empty one, and the letters that words of their names begin with."""
+    begins = F.transform(F.split(F.upper(F.coalesce(F.col(name), F.lit(""))), " "), lambda w: F.left(w, F.lit(1)))
+    keyed = products.withColumn("query", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), begins))))
+    return keyed.join(F.broadcast(query_fan_out(products.sparkSession)), "query")  # 62 rows
