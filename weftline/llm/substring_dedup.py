@@ -210,14 +210,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     sizes = scratch.save(sizes, "sizes")
     total, most = sizes.agg(F.sum(F.when(F.col("m") <= group, F.col("m"))), F.max("m")).first()
     own = spots.join(sizes, "run").select("doc_id", "key", F.struct("run", "lo", "n", (F.col("m") > group).alias("hot")).alias("s"))
-    own = scratch.save(own.groupBy("doc_id", "key").agg(F.collect_list("s").alias("spots")), "own")
+    own = scratch.save(own.groupBy("doc_id", "key").agg(F.collect_set("s").alias("spots")), "own")  # a set: of repeated rows, once
     scratch.drop(spots, sizes)
     # the texts are dealt by document once; each use below reads the same exchange
     met = d.join(own, ["doc_id", "key"]).select("doc_id", "key", "text", "spots")
     words = met.mapInArrow(tidy(_texts_of_spots(window)), "run long, doc_id long, key int, lo long, words binary")
     words = words.withColumn("bundle", F.pmod("run", F.lit(max(1, (total or 0) // BUNDLE))))
     later = words.groupBy("bundle").applyInArrow(_repeats(window), "doc_id long, key int, lo long, bits long")
-    later = later.groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "bits")).alias("later"))
+    later = later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("lo", "bits")).alias("later"))
     found = d.join(later, ["doc_id", "key"], "left")
     if (most or 0) > group:
         whole = met.mapInArrow(tidy(_long_prefixes(window)), "prefix binary, doc_id long, key int, start long")
