@@ -135,3 +135,19 @@ def test_odd_cases(spark):
     assert len(got) == 10 and {r.doc_id for r in got if r.contaminated} == {None, 6}
     assert dec.contamination(documents(spark, []), b).count() == 0
     assert not any(r.contaminated for r in dec.contamination(documents(spark, odd_rows()), b.limit(0)).collect())
+
+
+def test_blocks_are_bounded(spark, monkeypatch):
+    """Many copies of one row are one; a very long item is cut into pieces, and nothing that it hits is lost."""
+    r = random.Random(5)
+    long = " ".join(f"w{r.randrange(3000)}" for _ in range(4000))
+    own = long.split()
+    docs = documents(spark, [(i, " ".join(["x", *own[a : a + n], "y"])) for i, (a, n) in enumerate((r.randrange(3900), r.randrange(5, 40)) for _ in range(300))])
+    bench = spark.createDataFrame([(1, long)] + [(2, "a copied row of ten words and a few more words")] * 3000, "item_id long, text string")
+    want = {x.doc_id: (x.n_hit, x.n_items, x.items_sha256) for x in dec.contamination(docs, bench).collect()}
+    sizes = []
+    real = dec.Block.__init__
+    monkeypatch.setattr(dec.Block, "__init__", lambda self, items, window: sizes.append(sum(len(t) for _, t in items)) or real(self, items, window))
+    got = {x.doc_id: (x.n_hit, x.n_items, x.items_sha256) for x in dec.contamination(docs, bench, block_bytes=4000).collect()}
+    assert got == want and sum(n > 0 for n, _, _ in want.values()) > 100
+    assert len(sizes) > 4 and max(sizes) < 3 * 4000 and sum(sizes) < 1.2 * len(long)

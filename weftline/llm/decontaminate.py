@@ -9,14 +9,15 @@ doubling: no step grows with the length of a match. Doubling ends where no test
 A test suffix that matches as far as a window marks the words of all suffixes that begin so. Searched the other way, each
 training suffix has its longest verbatim match, and each document its longest and where it lies.
 
-The benchmark is a stated query set: it is sent out in blocks of bounded size, and each shard meets one block
-after the other, so its size may grow without limit. No row leaves its task: there is no shuffle.
+The benchmark is a stated query set: equal rows of it are one, very long items are cut into pieces that overlap by a window less a word,
+and it is sent out in blocks of bounded size; each shard meets one block after the other, so its size may grow without limit. No
+document leaves its task: there is no shuffle of texts.
 
 Null or empty text: no words. An item shorter than a window, but not empty, is one window; items without words are
 never found. Rows of the benchmark that share an item_id are one item; those without an id mark words, but are not counted
 or listed. Repeated documents are judged row by row; of equally long matches (ties) a document gets that which begins first,
-with one of the items that hold it. Very long texts are a shard of their own, and very long matches cost no more than short
-ones. Without documents or items the result is empty, or clean. Other columns are ignored.
+with one of the items that hold it; of an item in pieces, within one piece. Very long texts are a shard of their own, and very long matches cost no more than
+short ones. Without documents or items the result is empty, or clean. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from weftline.llm.common import Scratch, slices, tidy
 WINDOW = 10
 #: Bytes of benchmark text that are sent to tasks at once.
 BLOCK_BYTES = 16 << 20
+#: Bytes of an item beyond which it is cut into pieces, as a share of a block.
+PIECE = 0.125
 #: Bytes of training text in a shard, or one document.
 SHARD_BYTES = 8 << 20
 #: Pairs of a document and an item that are put together at once.
@@ -224,22 +227,44 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _pieces(window: int, most: int):
+    """Items as they are, or, beyond so many bytes, cut between words, every piece with the last words, less than a window, of the one before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in slices(whole, 1, SHARD_BYTES)):
+            rows = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if len(text) * 4 <= most or len(text.encode("utf-8", "surrogatepass")) <= most:
+                    rows.append((item, text))
+                    continue
+                words = item_words(text)
+                ends = np.cumsum([len(w) + 1 for w in words])
+                i = 0
+                while i < len(words):
+                    j = max(i + window, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+                    rows.append((item, b" ".join(words[i:j]).decode("utf-8", "surrogatepass")))
+                    i = j - window + 1 if j < len(words) else len(words)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["item_id", "text"])
+
+    return run
+
+
 def _searched(d: DataFrame, text: str, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
     """d, whose columns are none of the state's, and the state after all blocks of the benchmark."""
     spark = d.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
+    scratch = Scratch(spark)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text <> ''").distinct()
+    items = scratch.save(items.mapInArrow(tidy(_pieces(window, max(1, int(block_bytes * PIECE)))), "item_id string, text string").distinct(), "items")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for x in _STATE.split(", "):
         name, kind = x.split()
         d = d.withColumn(name, F.lit(None).cast(kind))
-    scratch = None
     for k in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         block = spark.sparkContext.broadcast(Block([tuple(r) for r in own], window))
         d = d.mapInArrow(tidy(_met(block, text)), d.schema)
         if k % CHAIN == CHAIN - 1 and k + 1 < blocks:
-            scratch = scratch or Scratch(spark)
             d = scratch.save(d, "met")
     return d
 
