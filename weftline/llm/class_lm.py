@@ -250,29 +250,36 @@ def _word_neighbours(types, classes):
 GROUP_ENTRIES, GROUP_WORDS = 1 << 20, 1 << 17
 
 
+def _bytes(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls end to end, and how many each row has."""
+    ends = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+    return np.frombuffer(x.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], np.diff(ends)
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
     """Whole words of sorted rows, so many that they fit: the words, and of each entry its word's place, its code and its times."""
     words: list[bytes] = []
-    held, size = [], 0
-    for b in batches:
-        own, near = b.column(0).to_pylist(), b.column(1)
-        sizes = np.asarray(pc.binary_length(near)).astype(np.int64)
-        ends = np.cumsum(sizes)
-        code, times = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8) for i in (1, 2))
-        places, i, last = [], 0, 0
-        for r, w in enumerate(own):
-            if not words or w != words[-1]:
-                if size + int(ends[r - 1] - last if r else 0) >= GROUP_ENTRIES or len(words) >= GROUP_WORDS:
-                    stop = int(ends[r - 1]) if r else 0
-                    held.append((np.repeat(np.array(places, np.int64), sizes[i:r]), code[last:stop], times[last:stop]))
-                    yield words, *(np.concatenate(x) for x in zip(*held, strict=True))
-                    words, held, size, places, i, last = [], [], 0, [], r, stop
-                words.append(w)
-            places.append(len(words) - 1)
-        held.append((np.repeat(np.array(places, np.int64), sizes[i:]), code[last:], times[last:]))
-        size += len(code) - last
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def all_held() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+    for b in (b for b in batches if b.num_rows):
+        own = b.column(0)
+        (code, sizes), (times, _) = _bytes(b.column(1)), _bytes(b.column(2))
+        new = np.ones(len(own), bool)
+        new[1:] = np.asarray(pc.not_equal(own.slice(1), own.slice(0, len(own) - 1)))
+        new[0] = not words or own[0].as_py() != words[-1]
+        place = len(words) - 1 + np.cumsum(new)
+        words += own.filter(pa.array(new)).to_pylist()
+        held.append((np.repeat(place, sizes), code, times))
+        if len(words) > 1 and (len(words) > GROUP_WORDS or sum(len(c) for _, c, _ in held) > GROUP_ENTRIES):
+            whose, code, times = all_held()  # all but the last word, which may go on
+            cut = int(np.searchsorted(whose, len(words) - 1))
+            yield words[:-1], whose[:cut], code[:cut], times[:cut]
+            words, held = words[-1:], [(np.zeros(len(code) - cut, np.int64), code[cut:], times[cut:])]
     if words:
-        yield words, *(np.concatenate(x) for x in zip(*held, strict=True))
+        yield words, *all_held()
 
 
 def _exchanged(types, classes, pairs):
