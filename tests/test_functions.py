@@ -183,3 +183,19 @@ def test_prompt_text(spark):
     q = spark.createDataFrame([("FreeUsageLimitError: x", "", "", "", "", "60", "1m"), ("other", "", "", "", "", "60", "1m")], "error_body string, quota_reset_day string, quota_reset_day_in string, quota_reset_in string, quota_remaining_day string, retry_after string, retry_after_in string")
     got = [r[1:5] for r in V.quota_hints(q).collect()]
     assert got == [("60", "1m", "1m", "0"), ("", "", "", "")]
+
+
+def test_words_that_are_alike(spark):
+    """Against a loop over every pair of words: beginnings, and 85 % by longest blocks."""
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("ABC") for _ in range(r.randrange(1, 9)))
+    rows = [(i, [word() for _ in range(r.randrange(0, 4))], [word() for _ in range(r.randrange(0, 4))]) for i in range(300)] + [(300, None, ["AAAA"]), (301, ["AAAAAAAB"], ["AAAAAAAC"])]
+    d = spark.createDataFrame(rows, "id long, a array<string>, b array<string>")
+    got = {x.id: x.v for x in d.select("id", S.any_alike(F.col("a"), F.col("b")).alias("v")).collect()}
+    for i, a, b in rows:
+        pairs = [(p, q) for p in a or [] for q in b if len(p) >= 4 and len(q) >= 4]
+        assert got[i] == any(p.startswith(q) or q.startswith(p) or SequenceMatcher(None, p, q).ratio() >= 0.85 for p, q in pairs)
+    assert 0 < sum(got.values()) < 300

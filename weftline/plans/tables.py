@@ -374,3 +374,15 @@ def paginate_wide(spark, sf_dir):
 def chunk_assignment_wide(spark, sf_dir):
     d = R.chunks(t(spark, sf_dir, "orders"), [F.asc("o_orderdate"), F.asc("o_orderkey")], 7)
     return d.select("o_orderkey", "o_orderpriority", "o_totalprice", "chunk")
+
+
+@query("SELECT o_orderkey, l.lines::BIGINT AS lines FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS lines FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON o_orderkey = l_orderkey")
+def bucketed_lookup(spark, sf_dir):
+    """Orders against a stored table of what was decided about them, which keeps its buckets: only the orders move."""
+    scratch = Scratch(spark)
+    li = t(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").alias("lines"))
+    saved = li.select(F.col("l_orderkey").cast("string").alias("code_key"), F.concat(F.lit("ORDER "), F.col("l_orderkey") % 7).alias("name_key"), "lines")
+    name = "decisions_" + scratch.root.rsplit("-", 1)[1]
+    store = T.bucketed(saved, name, scratch.path("decisions"), max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    items = t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("code"), F.concat(F.lit(" order "), F.col("o_orderkey") % 7).alias("name"))
+    return X.with_decisions(items, store).select("o_orderkey", "lines")

@@ -117,6 +117,19 @@ def save_decisions(table: DataFrame, rows: DataFrame) -> DataFrame:
     return upsert(table.unionByName(rows, allowMissingColumns=True), ["item_code_key", "item_name_key"], "seq", ["item_code", "item_name", "created_at"])
 
 
+def bucketed(decisions: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """The decision table, written to path by buckets of its keys, sorted, and known to the catalogue by name.
+
+    A look-up (`exclusions.with_decisions`) then shuffles its items into as many buckets and joins each with its file: the store itself,
+    which is large and looked up at each run, is neither shuffled nor sorted again. buckets should not be fewer than the session's shuffle partitions,
+    else Spark deals both sides anew.
+    """
+    keys = ["code_key", "name_key"]
+    d = decisions.repartition(buckets, *keys)  # a file a bucket
+    d.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("overwrite").saveAsTable(name)
+    return decisions.sparkSession.table(name)
+
+
 def _listed(payload: Column) -> Column:
     """The first non-empty list of a JSON answer, under the known keys at the top or one object down, or the answer itself."""
     paths = [k for k in ROW_KEYS] + [f"{a}.{b}" for a in ROW_KEYS for b in ROW_KEYS]
