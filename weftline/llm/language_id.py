@@ -7,8 +7,9 @@ probabilities are the means over its windows, weighted by their bytes.
 Trained in numpy on a bounded sample: about SAMPLE documents (twice as many at most), dealt evenly over the languages, and of each at most
 WINDOWS_A_DOC windows at places drawn from the whole text. Prediction covers every byte of every document.
 
-Null text, or text without a letter: `und`, score 0. Null lang: never learned from. No labelled rows: all `und`.
-Repeated rows are judged row by row. Other columns are ignored; lang, source and doc_id are no inputs of a prediction.
+Null text, or text without a letter: `und`, score 0. Null lang: never learned from. No labelled rows: all `und`. Empty table: empty result.
+Repeated rows are judged row by row; of languages that are equally likely (ties) the first by name is given. Very long texts are read whole, some
+windows at once: 4 MB of them at a time, or one text. Other columns are ignored; lang, source and doc_id are no inputs of a prediction.
 """
 
 from __future__ import annotations

@@ -3,8 +3,8 @@
 Every rule is evaluated once; the ledger keeps the measurements and one failure bit a rule. A policy is a
 versioned mask over those bits, so a new policy, or the ablation of one, never reads the texts again.
 
-Null or empty text: zero words, zero everywhere, fails `few_words`. Repeated rows are judged row by row. An
-empty table gives an empty ledger. Only doc_id and text are read; other columns, whatever their names, are
+Null or empty text: zero words, zero everywhere, fails `few_words`. Repeated rows are judged row by row. Very long
+texts are measured whole, in the row's own task; ties can't be, as every row is judged by itself. An empty table gives an empty ledger. Only doc_id and text are read; other columns, whatever their names, are
 left out of the ledger.
 """
 

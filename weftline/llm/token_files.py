@@ -7,7 +7,7 @@ their lengths, and the payload: every id in the fewest bits that the vocabulary
 commits the files, on whatever store the folder is.
 
 Null or empty text: no ids but the end id. Null doc_id: first in order. Repeated ids: a document each, by text.
-Empty table: no rows. Other columns are ignored.
+A very long text is encoded whole and ends its block, which is as long as it asks for; equal rows (ties) stand next to each other. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
