@@ -335,6 +335,19 @@ def parse_components(spark, sf_dir):
     return d.select("p_partkey", one(F.col("d.dosage_nums")).alias("dose"), one(F.col("d.dosage_units")).alias("unit"), "d.qty", "d.volume", "d.weight", "d.form", "d.product_class")
 
 
+@query(
+    f"""WITH n AS (SELECT p.p_partkey, upper(x.name) AS n, string_split(upper(p_name), ' ') AS w FROM part p JOIN ({_NAMED}) x USING (p_partkey)),
+f AS (SELECT p_partkey, unnest([w[1], w[1] || w[2]]) AS b, regexp_extract(n, '([0-9]+) (MG|MCG)', 1) AS dose, regexp_extract(n, '([0-9]+) (TABLETS|AMPS)', 1) AS qty, regexp_extract(n, '([0-9]+) ML', 1) AS volume FROM n WHERE w[1] NOT IN ('RED', 'BLUE')),
+k AS (SELECT p_partkey, unnest(list_filter(['brand|' || b, CASE WHEN volume <> '' THEN 'brand_volume|' || b || '|' || volume END, CASE WHEN qty <> '' THEN 'brand_qty|' || b || '|' || qty END, CASE WHEN dose <> '' THEN 'brand_dosage|' || b || '|' || dose END], lambda x: x IS NOT NULL)) AS key FROM f)
+SELECT key, (count(*) * count(*))::BIGINT AS pairs FROM k GROUP BY key"""
+)
+def component_key_sizes(spark, sf_dir):
+    """What each component key of the names would pair: brands alone, and with volume, pack and strengths."""
+    d = parse_names(named(spark, sf_dir), "name", "d")
+    m = parse_names(named(spark, sf_dir), "name", "m")
+    return B.key_sizes(d, B.component_keys("d"), m, B.component_keys("m")).withColumnRenamed("_key", "key")
+
+
 @query()
 def parse_names_full(spark, sf_dir):
     d = parse_names(named(spark, sf_dir), "name", "d")
