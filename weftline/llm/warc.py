@@ -43,6 +43,8 @@ LEAST = 100
 ARCHIVE_BYTES = 64 << 20
 #: Bytes of members that are read at once, and of a block that are copied at once.
 PIECE = 4 << 20
+#: Tasks that rewrite or read archives, at most; with fewer archives, or fewer times 4 PIECE bytes, one for each.
+MOST_TASKS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
@@ -243,7 +245,8 @@ def normalised(files: DataFrame, source: str, folder: str, changes: DataFrame |
     d = files.select("file", F.lit(None).cast("long").alias("ordinal"), F.lit(None).cast(first).alias("first"))
     if changes is not None:
         d = d.unionByName(changes.select("file", "ordinal", F.struct(*(F.col(f"first.{c}") for c in ("page_id", "file", "ordinal", "url"))).alias("first")))
-    return d.repartition("file").sortWithinPartitions("file", F.col("ordinal").asc_nulls_first()).mapInArrow(tidy(_own_members(source, folder)), INDEX)
+    tasks = min(max(1, files.count()), MOST_TASKS)  # said in numbers: the rows are few, and would else be put together in a task or two
+    return d.repartitionByRange(tasks, "file").sortWithinPartitions("file", F.col("ordinal").asc_nulls_first()).mapInArrow(tidy(_own_members(source, folder)), INDEX)
 
 
 def _read(folder: str):
@@ -300,7 +303,8 @@ def read_member(data: bytes) -> tuple[int | None, int, str, str, int | None]:
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records that index lists, read from the archives in folder at their offsets, parts of a file in different tasks."""
     i = index.select("file", "offset", "length")
-    i = i.repartition("file", F.floor(F.col("offset") / (4 * PIECE))).sortWithinPartitions("file", "offset")
+    tasks = min(max(1, -(-(i.agg(F.sum("length")).first()[0] or 0) // (4 * PIECE))), MOST_TASKS)
+    i = i.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return i.mapInArrow(tidy(_read(folder)), RECORDS)
 
 
@@ -310,7 +314,8 @@ def archive(pages: DataFrame, folder: str | None = None, least: int = LEAST, **c
     streams, folder = scratch.path("streams"), folder or scratch.path("archives")
     raw = scratch.save(write_streams(pages, streams, **columns), "raw")
     changes = repeats(raw, scratch, least)
-    normalised(raw.select("file").distinct(), streams, f"{folder}/warc", changes).write.parquet(f"{folder}/index")
+    files = scratch.save(raw.select("file").distinct(), "files")
+    normalised(files, streams, f"{folder}/warc", changes).write.parquet(f"{folder}/index")
     scratch.forget(streams)
     return read_index(pages.sparkSession, folder), f"{folder}/warc"
 
