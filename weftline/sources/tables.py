@@ -100,8 +100,11 @@ def newest_within(files: DataFrame, now: Column, seconds: int) -> DataFrame:
 
 
 def last_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of review candidates: the last line of each item."""
-    d = spark.read.json(path).withColumn("_place", F.monotonically_increasing_id())
+    """JSON lines of review candidates: the last line of each item, files in the order of their names.
+
+    Spark deals files to tasks by their size, so a line's place is its file, where its split begins there, and its rank among a task's rows."""
+    place = F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    d = spark.read.json(path).withColumn("_place", place)
     key = F.concat(text(F.col("item_code")), F.lit("::"), text(F.col("item_name")))
     return keep_last(d.withColumn("item_key", key), ["item_key"], "_place").drop("_place")
 
