@@ -18,3 +18,10 @@ def test_last_line_by_file_and_place(spark, tmp_path):
         lines = "".join(f'{{"item_code": "c", "item_name": "n", "line": {1000 * k + i}}}\n' for i in range(n))
         (tmp_path / f"part-0000{k}-x.json").write_text(lines)
     assert [r.line for r in T.last_candidates(spark, str(tmp_path)).collect()] == [2000]
+
+
+def test_price_delta_rounds_as_printf(spark):
+    pairs = [(200.0, 200.5), (1000.0, 1002.5), (400.0, 403.0), (800.0, 806.0), (16.0, 16.125), (16.0, 16.375), (3.0, 2.0), (7.0, 123456.7), (2000.0, 2001.0), (9.0, 9.35)]
+    d = spark.createDataFrame(pairs, "a double, b double").select("a", "b", A.price_delta(F.col("a"), F.col("b")).alias("x"))
+    for a, b, x in d.collect():
+        assert x == f"{'+' if b >= a else '-'}{abs(b - a):.2f} ({abs(b - a) / a * 100:.1f}%)"

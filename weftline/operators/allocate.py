@@ -29,7 +29,9 @@ def price(c: Column) -> Column:
 def price_delta(old: Column, new: Column) -> Column:
     """`+1.50 (10.0%)`, signed; empty without two prices."""
     off = new - old
-    shown = F.format_string("%s%.2f (%.1f%%)", F.when(off >= 0, "+").otherwise("-"), F.abs(off), F.abs(off) / old * 100)
+    # DecimalFormat rounds what the double is, halves to even; format_string rounds its shortest decimal form, halves up
+    digits = lambda x, form: F.call_function("format_number", x, F.lit(form))
+    shown = F.concat(F.when(off >= 0, "+").otherwise("-"), digits(F.abs(off), "0.00"), F.lit(" ("), digits(F.abs(off) / old * 100, "0.0"), F.lit("%)"))
     return F.when((old > 0) & (new > 0), shown).otherwise("")
 
 
