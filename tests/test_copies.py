@@ -25,3 +25,19 @@ def test_price_delta_rounds_as_printf(spark):
     d = spark.createDataFrame(pairs, "a double, b double").select("a", "b", A.price_delta(F.col("a"), F.col("b")).alias("x"))
     for a, b, x in d.collect():
         assert x == f"{'+' if b >= a else '-'}{abs(b - a):.2f} ({abs(b - a) / a * 100:.1f}%)"
+
+
+def test_many_batches_are_added_once_in_few_jobs(spark, tmp_path):
+    """Batches together and alone, again in any order: each once. A thousand batches take the jobs of one."""
+    table, schema = str(tmp_path / "table"), "id long"
+    d = spark.range(3000).select("id", F.floor(F.col("id") / 3).alias("part"))
+    resume.append_many_once(d.filter("part < 0"), table, "part")
+    assert resume.read(spark, table, schema).count() == 0
+    resume.append_once(d.filter("part = 7").select("id"), table, 7)
+    resume.append_many_once(d.unionByName(spark.createDataFrame([(1, None)], "id long, part long")), table, "part")
+    resume.append_many_once(d.filter("part % 2 = 0"), table, "part")
+    assert not resume.append_once(d.filter("part = 8").select("id"), table, 8)
+    assert resume.append_once(spark.range(5000, 5002), table, 2000)
+    rows = resume.read(spark, table, schema).collect()
+    assert sorted((r.id, r.batch) for r in rows) == [*((i, i // 3) for i in range(3000)), (5000, 2000), (5001, 2000)]
+    assert {r.batch: r.rows for r in resume.progress(spark, table).collect()} == {**dict.fromkeys(range(1000), 3), 2000: 2}

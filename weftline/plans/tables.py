@@ -129,11 +129,10 @@ def paged_catalogue(spark, sf_dir):
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, max(event_id // 2000) AS batch, count(*) AS seen FROM events GROUP BY user_id")
 def resumed_upsert(spark, sf_dir):
     """Batches that come again change nothing: each user's newest row, the batch that brought it, and how many rows came."""
-    scratch, schema = Scratch(spark), "user_id long, event_id long, event_type string"
-    e, table = t(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), scratch.path("saved")
-    last = e.agg(F.max(F.floor(F.col("event_id") / 2000))).first()[0] or 0
-    for batch in [*range(last + 1), *range(0, last + 1, 2)]:
-        resume.append_once(e.filter(F.floor(F.col("event_id") / 2000) == batch), table, batch)
+    table, schema = Scratch(spark).path("saved"), "user_id long, event_id long, event_type string"
+    e = t(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.floor(F.col("event_id") / 2000).alias("part"))
+    resume.append_many_once(e, table, "part")
+    resume.append_many_once(e.filter("part % 2 = 0"), table, "part")
     rows = resume.read(spark, table, schema)
     return rows.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"), F.max("batch").alias("batch"), F.count("*").alias("seen"))
 
