@@ -12,6 +12,61 @@ from weftline.streaming import resume
 COPIES = 300
 
 
+@pytest.fixture(scope="module")
+def copies(spark, tmp_path_factory):
+    """Two names of one block, and 300 rows of each."""
+    folder = str(tmp_path_factory.mktemp("copies"))
+    p = spark.range(2 * COPIES).select(
+        F.col("id").alias("p_partkey"),
+        F.when(F.col("id") % 2 == 0, "red bolt").otherwise("red ring").alias("p_name"),
+        F.lit("Brand#1").alias("p_brand"),
+        F.lit("LARGE").alias("p_type"),
+        F.lit(5).alias("p_size"),
+        (900.0 + F.floor(F.col("id") / 2) % 7).alias("p_retailprice"),
+    )
+    p.write.parquet(f"{folder}/part.parquet")
+    return folder
+
+
+def nodes(plan):
+    """All nodes of a plan that has run."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        yield from nodes(plan.executedPlan())
+    elif "QueryStage" in name:
+        yield from nodes(plan.plan())
+    else:
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+
+def most_joined(df):
+    """The most rows that any join of the plan gave."""
+    rows = df.collect()
+    joins = [n for n in nodes(df._jdf.queryExecution().executedPlan()) if "Join" in n.nodeName()]
+    return rows, max(n.metrics().apply("numOutputRows").value() for n in joins)
+
+
+@pytest.mark.parametrize("name", ["link_best_match", "link_decisions", "token_overlap_scores", "extra_numeric_gate", "lexical_penalties"])
+def test_names_are_paired_once(spark, copies, name):
+    rows, joined = most_joined(QUERIES[name](spark, copies))
+    assert len(rows) == (2 * COPIES if name.startswith("link") else 4 * COPIES**2)
+    assert joined <= 2 * COPIES  # 360,000 when rows were paired
+    if name == "link_best_match":
+        assert {(r.item_id % 2, r.row_id) for r in rows} == {(0, 0), (1, 1)}
+    if name == "link_decisions":
+        assert all(r.ambiguous and r.candidates == 2 * COPIES for r in rows)
+
+
+def test_lists_of_ids_are_bounded_and_whole(spark):
+    d = spark.range(1000).select("id", F.when(F.col("id") > 900, F.lit("a")).alias("k"))
+    rows = B.grouped_ids(d, ["k"], "id", "ids", 50).collect()
+    assert sorted(i for r in rows for i in r.ids) == list(range(1000))
+    assert all((r.k == "a") == (i > 900) for r in rows for i in r.ids)
+    assert max(len(r.ids) for r in rows) < 150
+
+
 def test_last_line_by_file_and_place(spark, tmp_path):
     """A short file after a long one: tasks read the long one last or first by size, but the later file holds."""
     for k, n in ((0, 3), (1, 400), (2, 1)):
