@@ -67,6 +67,14 @@ def test_lists_of_ids_are_bounded_and_whole(spark):
     assert max(len(r.ids) for r in rows) < 150
 
 
+@pytest.mark.parametrize("name", ["parse_components", "component_key_sizes", "parse_names_full", "candidate_lines", "match_confidence", "safe_omissions"])
+def test_names_are_parsed_once(spark, copies, name):
+    """The widest step is behind a distinct: in the plan parsing stands above an aggregate."""
+    p = QUERIES[name](spark, copies)._jdf.queryExecution().optimizedPlan().toString()
+    parsing = next(line for line in p.splitlines() if "_ends" in line or "_stops" in line)
+    assert "Aggregate" in p[p.index(parsing) :]
+
+
 def test_last_line_by_file_and_place(spark, tmp_path):
     """A short file after a long one: tasks read the long one last or first by size, but the later file holds."""
     for k, n in ((0, 3), (1, 400), (2, 1)):

@@ -153,6 +153,12 @@ def parse_names(df: DataFrame, name: str, out: str, synthetic: Column | None = N
     return d.select(*keep, parsed.alias(out))
 
 
+def parse_distinct(df: DataFrame, name: str, out: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """`parse_names` where rows repeat names: each distinct name is parsed once and joined back. more: columns of the name and `out` alone, made as seldom."""
+    parsed = parse_names(df.select(F.col(name).alias("_name")).distinct().withColumn(name, F.col("_name")), name, out).withColumns(more or {})
+    return df.join(parsed.drop(name), F.col(name).eqNullSafe(F.col("_name"))).drop("_name")
+
+
 def category_queries(p: str) -> Column:
     """Queries that a parsed name's form calls for: brand with volume or strength for liquids, with strength and form for injections."""
     f = lambda x: F.col(f"{p}.{x}")
