@@ -90,6 +90,12 @@ def test_price_delta_rounds_as_printf(spark):
         assert x == f"{'+' if b >= a else '-'}{abs(b - a):.2f} ({abs(b - a) / a * 100:.1f}%)"
 
 
+def test_payload_keys_spelt_with_escapes(spark):
+    bodies = ['{"disc\\u006funtPercent": 5}', '{"store": {"discount": "7%"}}', '{"x": "discount"}', "{", None]
+    d = spark.createDataFrame([(b,) for b in bodies], "body string").select(A.first_discount(F.col("body")).alias("x"))
+    assert [r.x for r in d.collect()] == ["5", "7%", None, None, None]
+
+
 def test_many_batches_are_added_once_in_few_jobs(spark, tmp_path):
     """Batches together and alone, again in any order: each once. A thousand batches take the jobs of one."""
     table, schema = str(tmp_path / "table"), "id long"

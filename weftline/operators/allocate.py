@@ -40,11 +40,17 @@ def _json(payload: Column, path: str) -> Column:
     return F.when((v != "") & ~v.rlike(r"^\s*[\[{]"), v)
 
 
+def _keyed(payload: Column, key: str, *values: Column) -> Column:
+    """The first of values, all of paths through key; a payload that doesn't hold the key letter for letter is not parsed. Escapes could spell it otherwise."""
+    return F.when(payload.contains(f'"{key}"') | payload.contains("\\"), F.coalesce(*values))
+
+
 def first_discount(payload: Column) -> Column:
     """The first discount of a JSON payload: under its own keys, in objects under them, in nested sellers, else from its prices."""
-    flat = [c for k in DISCOUNT_KEYS for c in (_json(payload, k), *(_json(payload, f"{k}.{j}") for j in DISCOUNT_KEYS))]
-    nested = [_json(payload, f"{o}.{k}") for o in NESTED_KEYS for k in DISCOUNT_KEYS]
-    number = lambda k: F.regexp_replace(_json(payload, k), ",", "").try_cast("double")
+    inner = lambda o: (_keyed(payload, k, _json(payload, f"{o}.{k}")) for k in DISCOUNT_KEYS)
+    flat = [_keyed(payload, k, _json(payload, k), *inner(k)) for k in DISCOUNT_KEYS]
+    nested = [_keyed(payload, o, *inner(o)) for o in NESTED_KEYS]
+    number = lambda k: _keyed(payload, k, F.regexp_replace(_json(payload, k), ",", "").try_cast("double"))
     public, sale = F.coalesce(*(number(k) for k in PRICE_KEYS)), number("salePrice")
     derived = F.when((public > 0) & (sale > 0) & (sale < public), F.bround((public - sale) / public * 100, 2).cast("string"))
     return F.coalesce(*flat, *nested, derived)
@@ -67,13 +73,14 @@ def format_discount(c: Column) -> Column:
 
 
 def offer_identity(payload: Column, ordinal: Column) -> Column:
-    keyed = [F.concat(F.lit(f"{k}:"), _json(payload, k)) for k in IDENTITY_KEYS]
-    return F.coalesce(*keyed, F.concat_ws(":", F.lit("storeName"), F.coalesce(_json(payload, "storeName"), F.lit("")), ordinal))
+    keyed = [_keyed(payload, k, F.concat(F.lit(f"{k}:"), _json(payload, k))) for k in IDENTITY_KEYS]
+    name = _keyed(payload, "storeName", _json(payload, "storeName"))
+    return F.coalesce(*keyed, F.concat_ws(":", F.lit("storeName"), F.coalesce(name, F.lit("")), ordinal))
 
 
 def enrich_company(payload: Column) -> Column:
-    flat = [_json(payload, k) for k in ("companyName", "supplierName", "storeName")]
-    return F.coalesce(*flat, *(_json(payload, f"{o}.{n}") for o in NESTED_KEYS for n in NAME_KEYS))
+    flat = [_keyed(payload, k, _json(payload, k)) for k in ("companyName", "supplierName", "storeName")]
+    return F.coalesce(*flat, *(_keyed(payload, o, *(_json(payload, f"{o}.{n}") for n in NAME_KEYS)) for o in NESTED_KEYS))
 
 
 def _pieces(c: Column) -> Column:
