@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import allocate as A
 from weftline.operators import blocking as B
+from weftline.operators import contained as C
 from weftline.plans.queries import QUERIES
 from weftline.sources import tables as T
 from weftline.streaming import resume
@@ -110,3 +111,14 @@ def test_many_batches_are_added_once_in_few_jobs(spark, tmp_path):
     rows = resume.read(spark, table, schema).collect()
     assert sorted((r.id, r.batch) for r in rows) == [*((i, i // 3) for i in range(3000)), (5000, 2000), (5001, 2000)]
     assert {r.batch: r.rows for r in resume.progress(spark, table).collect()} == {**dict.fromkeys(range(1000), 3), 2000: 2}
+
+
+def test_blocks_of_rows_are_bounded_by_letters(spark, monkeypatch):
+    """Few rows of long texts are as many blocks as their letters ask for, and find what they hold."""
+    seen, real = [], C.meeting_blocks
+    monkeypatch.setattr(C, "meeting_blocks", lambda left, key, blocks, *rest: seen.append(blocks) or real(left, key, blocks, *rest))
+    monkeypatch.setattr(C, "TEXT_LETTERS", 10_000, raising=False)
+    texts = spark.range(40).select(F.col("id").alias("row_id"), F.concat(F.repeat(F.lit("x"), 2000), F.when(F.col("id") % 2 == 0, "blue").otherwise("no")).alias("text"))
+    found = C.first_contained(texts, spark.createDataFrame([("blue",)], "name string")).collect()
+    assert sorted((r.row_id, r.name) for r in found) == [(i, "blue") for i in range(0, 40, 2)]
+    assert seen == [9]

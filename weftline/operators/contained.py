@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from weftline.operators.blocking import meeting_blocks
 
-#: Letters of names a block: a row of the table of states for each, at most. Rows a block.
-LETTERS, ROWS = 200_000, 50_000
+#: Letters of names a block: a row of the table of states for each, at most. Rows a block, and letters of their texts, about.
+LETTERS, ROWS, TEXT_LETTERS = 200_000, 50_000, 4_000_000
 #: Letters of a text that are stepped through as one; longer texts are cut, each piece beginning with the letters that a name could have begun in.
 PIECE = 2_000
 #: Letters of all texts that step together.
@@ -115,6 +115,8 @@ def first_contained(rows: DataFrame, names: DataFrame, letters: int = LETTERS, m
     r = rows.select("row_id", "text").filter("length(text) > 0")
     n = names.select("name").filter("length(name) > 0").distinct()
     total = n.agg(F.sum(F.length("name"))).first()[0] or 0
-    met = meeting_blocks(r, [F.xxhash64("row_id", "text")], -(-r.count() // most_rows), n, [F.xxhash64("name")], -(-total // letters))
+    size = r.agg(F.count("*").alias("rows"), F.sum(F.length("text").cast("long")).alias("letters")).first()
+    blocks = max(-(-size["rows"] // most_rows), -(-(size["letters"] or 0) // TEXT_LETTERS))
+    met = meeting_blocks(r, [F.xxhash64("row_id", "text")], blocks, n, [F.xxhash64("name")], -(-total // letters))
     kind = dict(r.dtypes)["row_id"]
     return met.applyInArrow(_meeting, f"row_id {kind}, name string").groupBy("row_id").agg(F.min("name").alias("name"))
