@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
+from tests.test_copies import nodes
 from weftline.functions import similarity as S
 from weftline.operators import cascade as C
 from weftline.operators import fuzzy_search as FS
@@ -91,6 +93,55 @@ def test_blocks_lose_nothing(spark):
     assert got == want and len(want) > 30
 
 
+@pytest.mark.parametrize(("asked_block", "names_block"), [(7, 30), (250, 20_000)])
+def test_names_of_a_key_lose_nothing(spark, asked_block, names_block):
+    """Keys of many, of few and of no names, null keys and texts, several blocks of each side, ties."""
+    a, b = texts(9, 90), texts(10, 160)
+    key = lambda i: None if i % 11 == 0 else f"k{min(i % 5, 2)}" if i % 13 else f"own{i}"
+    x = [(t, t, key(i)) for i, t in enumerate(dict.fromkeys(a))] + [("none", None, "k0")]
+    y = [(t, t, key(i), (i * 7) % 40, float(i)) for i, t in enumerate(dict.fromkeys(b))] + [("none", None, "k0", 0, 1.0)]
+    want = {}
+    for d, t, k in x:
+        for kind in KINDS:
+            own = sorted((-round(float(S._ALL[kind](t, n)), 6), row) for _, n, other, row, _ in y if k and k == other and t is not None and n is not None)
+            if own := [s for s in own if -s[0] >= 68][:3]:
+                want[d, kind] = own
+    asked, names = spark.createDataFrame(x, "d_name string, a string, key string"), spark.createDataFrame(y, "m_name string, b string, key string, row_id long, m_price double")
+    got: dict = {}
+    for r in FS.most_alike_of_key(asked, names, KINDS, 3, 68.0, asked_block, names_block).orderBy("rank").collect():
+        got.setdefault((r.d_name, r.scorer), []).append((-round(r.base, 6), r.row_id))
+    assert got == want and len(want) > 30
+    assert FS.most_alike_of_key(asked.limit(0), names, KINDS, 1, 80.0).collect() == FS.most_alike_of_key(asked, names.limit(0), KINDS, 1, 80.0).collect() == []
+
+
+def test_names_that_begin_alike_are_not_all_paired(spark):
+    """150 names on each side that begin alike: a join made 22,500 pairs of them, and each was scored three times."""
+    of = lambda word: spark.range(150).select((F.col("id") + 1).alias("row_id"), F.concat(F.lit(f"ZETA{word} "), F.translate(F.conv("id", 10, 5), "01234", "KLMNO"), F.lit("TA TAB")).alias("name"))
+    asked, m = C.names(of("MOL"), "name", "d").localCheckpoint(), C.names(of("MEL"), "name", "m").localCheckpoint()
+    first = of("MEL").select(F.col("name").alias("m_name"), "row_id", F.lit(1.0).alias("m_price")).localCheckpoint()
+    df = C.tops_of_beginnings(asked, m, first)
+    assert len({r.d_name for r in df.collect()}) == 150
+    assert max(n.metrics().apply("numOutputRows").value() for n in nodes(df._jdf.queryExecution().executedPlan()) if "Join" in n.nodeName()) <= 150
+
+
+def test_names_and_pairs_are_dealt_by_number(spark):
+    """A thousand names are few bytes but long to parse and to judge: they went to one task."""
+    items = spark.range(1000).select(F.concat(F.lit("ZETA "), "id", F.lit(" MG TAB")).alias("name"))
+    tasks = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    d, m = C.names(items, "name", "d"), C.names(items, "name", "m")
+    assert tasks(d) == 8  # two a core
+    pairs = d.select("d_name", F.col("d_name").alias("m_name")).groupBy("d_name", "m_name").count()
+    seen = []
+
+    class Kept:
+        def save(self, df, name):
+            seen.append(tasks(df))
+            return df
+
+    C.passing(pairs, d.localCheckpoint(), m.localCheckpoint(), Kept())
+    assert seen == [8]
+
+
 def test_empty_sides(spark):
     asked = spark.createDataFrame([("A", "A")], "d_name string, a string")
     names = spark.createDataFrame([("A", "A", 1, 1.0)], "m_name string, b string, row_id long, m_price double")

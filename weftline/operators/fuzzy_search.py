@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.similarity import batch_scores
-from weftline.operators.blocking import meeting_blocks
+from weftline.operators.blocking import block_tasks, meeting_blocks, task_count
 
 #: Names a block, of those asked for and of the catalogue.
 ASKED, NAMES = 2_000, 20_000
@@ -167,6 +167,16 @@ def _meeting(kinds: list[str], most: int, least: float):
     return run
 
 
+def _schema(asked: DataFrame, names: DataFrame) -> str:
+    kind = {f.name: f.dataType.simpleString() for f in [*asked.schema, *names.schema]}
+    return f"d_name {kind['d_name']}, m_name {kind['m_name']}, row_id long, m_price {kind['m_price']}, scorer string, ord int, base double"
+
+
+def _ranked(met: DataFrame, most: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("d_name", "scorer").orderBy(F.desc(F.round("base", 6)), "row_id"))
+    return met.withColumn("rank", rank).filter(F.col("rank") <= most)
+
+
 def most_alike(asked: DataFrame, names: DataFrame, kinds: list[str], most: int, least: float, asked_block: int = ASKED, names_block: int = NAMES) -> DataFrame:
     """d_name, m_name, row_id, m_price, scorer, ord, base, rank: of each asked name and scorer the most alike of all names, ties by row_id.
 
@@ -181,11 +191,32 @@ def most_alike(asked: DataFrame, names: DataFrame, kinds: list[str], most: int,
     cores = asked.sparkSession.sparkContext.defaultParallelism
     n_q = max(-(-count // asked_block), min(count // TOGETHER, 2 * cores // max(1, n_c)))  # few names in few blocks still keep all cores busy
     q, c = q.select("d_name", "a"), c.select("m_name", "b", F.col("row_id").cast("long").alias("row_id"), "m_price")
-    kind = {f.name: f.dataType.simpleString() for f in [*q.schema, *c.schema]}
-    schema = f"d_name {kind['d_name']}, m_name {kind['m_name']}, row_id long, m_price {kind['m_price']}, scorer string, ord int, base double"
-    met = meeting_blocks(q, [F.col("d_name")], n_q, c, [F.col("m_name")], n_c).applyInArrow(_meeting(kinds, most, least), schema)
-    rank = F.row_number().over(Window.partitionBy("d_name", "scorer").orderBy(F.desc(F.round("base", 6)), "row_id"))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= most)
+    return _ranked(meeting_blocks(q, [F.col("d_name")], n_q, c, [F.col("m_name")], n_c).applyInArrow(_meeting(kinds, most, least), _schema(q, c)), most)
+
+
+#: Asked names a block where a key brings names together.
+ASKED_OF_KEY = 250
+
+
+def most_alike_of_key(asked: DataFrame, names: DataFrame, kinds: list[str], most: int, least: float, asked_block: int = ASKED_OF_KEY, names_block: int = NAMES) -> DataFrame:
+    """As `most_alike`, of the names that have the asked name's key: bounds leave most pairs unscored, whatever the commonest key.
+
+    asked: d_name, a, key; names: m_name, b, key, row_id (long), m_price; a row for each name, so each has one key at most. How many names have
+    each key is counted first, and a key with many is cut into blocks of both sides. Null texts and keys are nothing's match.
+    """
+    q, c = asked.filter("a is not null"), names.filter("b is not null")
+    n = q.groupBy("key").agg(F.count("*").alias("_n")).join(c.groupBy("key").agg(F.count("*").alias("_m")), "key")
+    blocks = lambda x, size: F.ceil(F.col(x) / size).cast("int")
+    n = n.select("key", "_n", "_m", blocks("_n", asked_block).alias("_nb"), blocks("_m", names_block).alias("_mb"))
+    met, pairs = n.agg(F.coalesce(F.sum(F.col("_nb") * F.col("_mb")), F.lit(0)), F.coalesce(F.sum(F.col("_n") * F.col("_m")), F.lit(0))).first()
+    few = max(task_count(asked.sparkSession), -(-pairs // MOST_PAIRS))  # many keys of few names need no task each
+    tasks = block_tasks(asked.sparkSession, max(1, min(met, few)))
+    of = lambda x, k: F.pmod(F.xxhash64(x), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    at = ("key", "_lb", "_rb")
+    x = q.join(n, "key").select("d_name", "a", "key", of("d_name", "_nb").alias("_lb"), every("_mb").alias("_rb")).repartition(tasks, *at)
+    y = c.join(n, "key").select("m_name", "b", F.col("row_id").cast("long").alias("row_id"), "m_price", "key", of("m_name", "_mb").alias("_rb"), every("_nb").alias("_lb")).repartition(tasks, *at)
+    return _ranked(x.groupBy(*at).cogroup(y.groupBy(*at)).applyInArrow(_meeting(kinds, most, least), _schema(x, y)), most)
 
 
 #: Pairs of names that one key may bring together in a join; names of a key with more meet in blocks, where bounds go first.
@@ -220,6 +251,7 @@ def likely_pairs(asked: DataFrame, names: DataFrame, kinds: list[str], least: fl
     y = names.join(hot, "key").select("m_name", "b", "key", of("m_name", F.col("_mb")).alias("_rb"), every(F.col("_nb")).alias("_lb"))
     kind = {f.name: f.dataType.simpleString() for f in [*asked.schema, *names.schema]}
     at = ("key", "_lb", "_rb")
+    x, y = (d.repartition(task_count(asked.sparkSession), *at) for d in (x, y))
     met = x.groupBy(*at).cogroup(y.groupBy(*at)).applyInArrow(_may_reach(kinds, least), f"d_name {kind['d_name']}, m_name {kind['m_name']}")
     rest = asked.join(hot.select("key"), "key", "left_anti").join(names, "key").select("d_name", "m_name")
     return met.unionByName(rest).distinct()

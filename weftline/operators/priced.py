@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.blocking import MOST_TASKS
+from weftline.operators.blocking import MOST_TASKS, task_count
 
 #: The bonus and how far off a price may be for it (`scoring.price_bonus`), and what any other price gets.
 STEPS = [(6.0, 0.0), (5.0, 0.02), (4.0, 0.05), (2.0, 0.10)]
 NONE = 0.0
-#: Rows and asked prices of a task, about; those of one name stay together.
-ROWS_A_TASK = 200_000
+#: Rows and asked prices of a task, about, at most; those of one name stay together. Of fewer than the second a task is not worth starting.
+ROWS_A_TASK, FEW = 200_000, 10_000
 _NO = np.iinfo(np.int32).max
 
 
@@ -108,15 +108,21 @@ def _looked_up(k: int):
     return run
 
 
+def first_of_each_price(rows: DataFrame, k: int) -> DataFrame:
+    """Of rows that agree in m_name and m_price the k first: no more are ever asked for."""
+    nth = F.row_number().over(Window.partitionBy("m_name", "m_price").orderBy("row_id"))
+    return rows.withColumn("_n", nth).filter(F.col("_n") <= k).drop("_n")
+
+
 def best_rows(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """m_name, d_price, bonus, row_id and other columns of rows: of each asked name and price the k rows of that name with the highest bonus, ties by row_id.
 
     asked: m_name, d_price, each pair once; rows: m_name, m_price, row_id (long), ...; prices as `known_price` gives them. Both are counted, so
-    they should be cheap to make again. Of rows that agree in name and price no more than k are moved. A task holds the rows of whole names.
+    they should be cheap to make again. All rows are moved, so `first_of_each_price` goes before where many agree in name and price. A task
+    holds the rows of whole names.
     """
-    nth = F.row_number().over(Window.partitionBy("m_name", "m_price").orderBy("row_id"))
-    rows = rows.withColumn("_n", nth).filter(F.col("_n") <= k).drop("_n")
-    n = min(max(1, -(-(asked.count() + rows.count()) // ROWS_A_TASK)), MOST_TASKS)
+    count = asked.count() + rows.count()
+    n = min(max(-(-count // ROWS_A_TASK), task_count(rows.sparkSession, count, FEW)), MOST_TASKS)
     part = F.pmod(F.xxhash64("m_name"), F.lit(n)).cast("int").alias("_part")
     x, y = (d.select(part, *c).repartition(n, "_part") for d, c in ((asked, ["m_name", "d_price"]), (rows, rows.columns)))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("m_name", "m_price"))
