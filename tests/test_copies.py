@@ -68,6 +68,32 @@ def test_lists_of_ids_are_bounded_and_whole(spark):
     assert max(len(r.ids) for r in rows) < 150
 
 
+def descendants(plan):
+    for i in range(plan.children().size()):
+        yield plan.children().apply(i)
+        yield from descendants(plan.children().apply(i))
+
+
+@pytest.mark.parametrize("name", ["token_overlap_scores"])
+def test_pairs_of_lists_are_not_held_whole(spark, copies, name):
+    """Before the first row is out, a task has made the rows of one id, not of all ids of a list; and the rows are all there."""
+    df = QUERIES[name](spark, copies)
+    first = df.limit(1)
+    assert len(first.collect()) == 1
+    made = max(n.metrics().apply("numOutputRows").value() for n in nodes(first._jdf.queryExecution().executedPlan()) if n.nodeName() == "Generate")
+    assert 0 < made <= 2 * COPIES  # 90,000 for two lists of 300
+    assert df.distinct().count() == df.count() == 4 * COPIES**2
+
+
+@pytest.mark.parametrize("name", ["token_overlap_scores"])
+def test_names_are_normalised_once(spark, copies, name):
+    """In the plan all that normalises names stands in or above an aggregate."""
+    plan = QUERIES[name](spark, copies)._jdf.queryExecution().optimizedPlan()
+    own = [n for n in descendants(plan) if "[^A-Z0-9]+" in n.expressions().toString()]
+    assert len(own) >= 2
+    assert all("Aggregate" in (c.nodeName() for c in (n, *descendants(n))) for n in own)
+
+
 @pytest.mark.parametrize("name", ["parse_components", "component_key_sizes", "parse_names_full", "candidate_lines", "match_confidence", "safe_omissions"])
 def test_names_are_parsed_once(spark, copies, name):
     """The widest step is behind a distinct: in the plan parsing stands above an aggregate."""
