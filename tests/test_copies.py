@@ -74,7 +74,7 @@ def descendants(plan):
         yield from descendants(plan.children().apply(i))
 
 
-@pytest.mark.parametrize("name", ["token_overlap_scores"])
+@pytest.mark.parametrize("name", ["token_overlap_scores", "lexical_penalties"])
 def test_pairs_of_lists_are_not_held_whole(spark, copies, name):
     """Before the first row is out, a task has made the rows of one id, not of all ids of a list; and the rows are all there."""
     df = QUERIES[name](spark, copies)
