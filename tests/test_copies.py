@@ -74,7 +74,7 @@ def descendants(plan):
         yield from descendants(plan.children().apply(i))
 
 
-@pytest.mark.parametrize("name", ["token_overlap_scores", "lexical_penalties"])
+@pytest.mark.parametrize("name", ["token_overlap_scores", "extra_numeric_gate", "lexical_penalties"])
 def test_pairs_of_lists_are_not_held_whole(spark, copies, name):
     """Before the first row is out, a task has made the rows of one id, not of all ids of a list; and the rows are all there."""
     df = QUERIES[name](spark, copies)
@@ -85,7 +85,7 @@ def test_pairs_of_lists_are_not_held_whole(spark, copies, name):
     assert df.distinct().count() == df.count() == 4 * COPIES**2
 
 
-@pytest.mark.parametrize("name", ["token_overlap_scores"])
+@pytest.mark.parametrize("name", ["token_overlap_scores", "extra_numeric_gate"])
 def test_names_are_normalised_once(spark, copies, name):
     """In the plan all that normalises names stands in or above an aggregate."""
     plan = QUERIES[name](spark, copies)._jdf.queryExecution().optimizedPlan()
