@@ -30,7 +30,7 @@ def done(spark: SparkSession, table: str, batch: int) -> bool:
     return bool(fs.globStatus(many)) and not progress(spark, table).filter(F.col("batch") == batch).isEmpty()
 
 
-def _named(spark: SparkSession, table: str, name: str, batches: Iterable[tuple[int, str, int]]) -> None:
+def _all_named(spark: SparkSession, table: str, name: str, batches: Iterable[tuple[int, str, int]]) -> None:
     """Puts batches (batch, folder, rows) into the manifest, all at once: a hidden file first, then moved to its name."""
     hidden, fs = file_system(spark, f"{table}/manifest/_{uuid.uuid4().hex}")
     out = fs.create(hidden, False)
@@ -43,6 +43,11 @@ def _named(spark: SparkSession, table: str, name: str, batches: Iterable[tuple[i
         raise RuntimeError(f"{name} could not be named in {table}")
 
 
+def _named(spark: SparkSession, table: str, batch: int, folder: str) -> None:
+    """Puts one batch, whose rows lie in folder, into the manifest."""
+    _all_named(spark, table, f"batch-{batch:012d}", [(batch, folder, spark.read.parquet(f"{table}/{folder}").count())])
+
+
 def append_once(rows: DataFrame, table: str, batch: int) -> bool:
     """Adds the batch to table, unless that has been done. True if it was added now."""
     spark = rows.sparkSession
@@ -50,7 +55,7 @@ def append_once(rows: DataFrame, table: str, batch: int) -> bool:
         return False
     folder = f"data/{batch:012d}-{uuid.uuid4().hex}"
     rows.write.parquet(f"{table}/{folder}")
-    _named(spark, table, f"batch-{batch:012d}", [(batch, folder, spark.read.parquet(f"{table}/{folder}").count())])
+    _named(spark, table, batch, folder)
     return True
 
 
@@ -66,7 +71,7 @@ def append_many_once(rows: DataFrame, table: str, batch: str) -> None:
     fresh.write.parquet(f"{table}/many/{own}")
     sizes = spark.read.schema(fresh.schema).parquet(f"{table}/many/{own}").groupBy(_BATCH).agg(F.count("*").alias("rows")).collect()  # a row a batch
     if sizes:
-        _named(spark, table, f"batches-{own}", ((r[_BATCH], f"many/{own}", r["rows"]) for r in sizes))
+        _all_named(spark, table, f"batches-{own}", ((r[_BATCH], f"many/{own}", r["rows"]) for r in sizes))
 
 
 def progress(spark: SparkSession, table: str) -> DataFrame:
